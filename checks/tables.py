@@ -176,3 +176,233 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return directory_records(
         latest(spark, sf_dir), classifications(spark, sf_dir), candidates(spark, sf_dir), profiles(spark, sf_dir)
     )
+
+
+# --- texts derived from the given tables, for the readers and parsers ---------
+
+LAYOUTS = ["apache", "nginx", "python", "apache"]
+
+
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rendered listing of five entries per order, in four server layouts."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate")
+
+    def name(i):
+        return _pick(NAMES, (key * 7 + i * 13) % 80)
+
+    def number(i):
+        return ((key * 37 + i * 1009) % 5000000).cast("string")
+
+    def human(i):
+        return F.concat((key % 900 + 1).cast("string"), F.lit("."), i.cast("string"), F.lit("K"))
+
+    def size(i, text):
+        return F.when(name(i).endswith("/"), "-").otherwise(text)
+
+    def when(i, pattern):
+        return F.date_format(day + F.make_dt_interval(hours=i), pattern)
+
+    def join(line):
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4)), line), "\n")
+
+    def anchor(i):
+        return F.concat(F.lit('<a href="'), name(i), F.lit('">'), name(i), F.lit("</a>"))
+
+    folder = F.concat(F.lit("/d"), (key % 50).cast("string"), F.lit("/"))
+    table_rows = join(lambda i: F.concat(
+        F.lit('<tr><td valign="top">'), anchor(i), F.lit("</td><td>"), when(i, "yyyy-MM-dd HH:mm"),
+        F.lit("&nbsp;</td><td>"), size(i, human(i)), F.lit("</td></tr>")))
+    nginx_lines = join(lambda i: F.concat(
+        anchor(i), F.lit("    "), when(i, "dd-MMM-yyyy HH:mm"), F.lit("   "), size(i, number(i))))
+    items = join(lambda i: F.concat(F.lit("<li>"), anchor(i), F.lit("</li>")))
+    apache_lines = join(lambda i: F.concat(
+        F.lit('<img src="/icons/unknown.gif" alt="[   ]"> '), anchor(i), F.lit("  "),
+        when(i, "yyyy-MM-dd HH:mm"), F.lit("  "), size(i, human(i))))
+
+    def page(title, body, head=""):
+        return F.concat(
+            F.lit(head + "<html><head><title>" + title), folder, F.lit("</title></head>\n<body><h1>" + title),
+            folder, F.lit("</h1>\n"), *body, F.lit("\n</body></html>"),
+        )
+
+    layout = key % 4
+    html = (
+        F.when(layout == 0, page("Index of ", [
+            F.lit('<table><tr><th>Name</th><th>Size</th></tr>\n<tr><td><a href="/">Parent Directory</a></td></tr>\n'),
+            table_rows, F.lit("</table>")]))
+        .when(layout == 1, page("Index of ", [F.lit('<hr><pre><a href="../">../</a>\n'), nginx_lines, F.lit("</pre>")]))
+        .when(layout == 2, page("Directory listing for ", [F.lit("<hr><ul>\n"), items, F.lit("</ul>")],
+                                "<!DOCTYPE HTML>"))
+        .otherwise(page("Index of ", [
+            F.lit('<pre><a href="?C=N;O=D">Name</a> <a href="?C=S;O=A">Size</a><hr>'
+                  '<img src="/icons/back.gif"> <a href="/">Parent Directory</a>    -\n'),
+            apache_lines, F.lit("</pre>")]))
+    )
+    url = F.concat(F.lit("http://h"), (F.col("o_custkey") % 400).cast("string"), F.lit(".example"), folder)
+    return table(spark, sf_dir, "orders").select(key.alias("page_id"), url.alias("url"), html.alias("html"))
+
+
+def all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered listings, and the given pages under negative ids (none is a listing)."""
+    real = table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("page_id"), "url", "html")
+    return listing_pages(spark, sf_dir).unionByName(real)
+
+
+def size_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, supp, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    decimal = F.concat((part % 1000).cast("string"), F.lit("."), (supp % 10).cast("string"))
+    text = (
+        F.when(line % 7 == 0, part.cast("string"))
+        .when(line % 7 == 1, F.concat(decimal, F.lit("K")))
+        .when(line % 7 == 2, F.concat(decimal, F.lit("M")))
+        .when(line % 7 == 3, F.concat(F.lit("  "), decimal, F.lit(" GiB ")))
+        .when(line % 7 == 4, "-")
+        .when(line % 7 == 5, F.concat(decimal, F.lit(".1")))
+        .otherwise(F.concat(decimal, F.lit(" items")))
+    )
+    return table(spark, sf_dir, "lineitem").select(text.alias("text"))
+
+
+def mtime_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line, day = F.col("l_linenumber"), F.col("l_shipdate") + F.make_dt_interval(mins=F.col("l_linenumber"))
+    text = (
+        F.when(line % 5 == 0, F.date_format(day, "dd-MMM-yyyy HH:mm"))
+        .when(line % 5 == 1, F.date_format(day, "yyyy-MM-dd HH:mm"))
+        .when(line % 5 == 2, F.concat(F.lit("  "), F.date_format(day, "yyyy-MM-dd   HH:mm"), F.lit(" UTC")))
+        .when(line % 5 == 3, "-")
+        .otherwise(F.concat(F.lit("day "), line.cast("string")))
+    )
+    return table(spark, sf_dir, "lineitem").select(text.alias("text"))
+
+
+def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs of many kinds, in and out of scope, one per order."""
+    key = F.col("o_orderkey")
+    text = key.cast("string")
+    a, b, c = (key % 256).cast("string"), (F.floor(key / 256) % 256).cast("string"), (key % 7).cast("string")
+    urls = [
+        F.concat(F.lit("http://"), a, F.lit("."), b, F.lit("."), c, F.lit(".9/")),
+        F.concat(F.lit("HTTPS://H"), (key % 900).cast("string"), F.lit(".Example.COM:443/Files/")),
+        F.concat(F.lit("http://h"), (key % 900).cast("string"), F.lit(".example.com/Files")),
+        F.concat(F.lit("http://"), text, F.lit("/")),
+        F.concat(F.lit("http://0x"), F.lower(F.hex(key)), F.lit("/a")),
+        F.concat(F.lit("http://agency"), c, F.lit(".gov./x")),
+        F.concat(F.lit("h"), c, F.lit(".example.com/none")),
+        F.concat(F.lit("http://u@h"), text, F.lit(".internal:8080/")),
+        F.concat(F.lit("http://_srv"), (key % 50).cast("string"), F.lit(".example.org:8080/p?q="), c, F.lit("#f")),
+        F.concat(F.lit("http://[2001:db8::"), c, F.lit("]:8080/")),
+        F.concat(F.lit("http://[2606:4700::"), c, F.lit("]:8080/")),
+        F.concat(F.lit("http://172."), (key % 40).cast("string"), F.lit(".0.1./")),
+    ]
+    picked = F.get(F.array(*urls), (key % len(urls)).cast("int"))
+    return table(spark, sf_dir, "orders").select(
+        key.alias("input_order"), picked.alias("url"),
+        F.when(key % 2 == 0, "host_search").otherwise("host_services").alias("source"),
+        F.struct(text.alias("seed")).alias("source_meta"),
+    )
+
+
+def header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response headers per order, in five orders of sending."""
+    key = F.col("o_orderkey")
+    orders = [["server", "date"], ["Date", "Server"], ["content-type", "server", "Date"], ["date"], ["server", "server"]]
+    value = F.concat(F.lit("v"), key.cast("string"))
+    cases = [
+        F.array(*[F.struct(F.lit(k).alias("k"), F.concat(value, F.lit(f"-{i}")).alias("v")) for i, k in enumerate(o)])
+        for o in orders
+    ]
+    headers = cases[0]
+    for i in range(1, len(cases)):
+        headers = F.when(key % 5 == i, cases[i]).otherwise(headers)
+    return table(spark, sf_dir, "orders").select(key.alias("snapshot_id"), headers.alias("headers"))
+
+
+def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host-search result pages as JSON text, two matches each, one per customer."""
+    key = F.col("c_custkey")
+    kinds = [
+        ('"ip_str":"203.0.113.', '","port":80'),
+        ('"ip_str":"203.0.113.', '","port":8443,"ssl":{"cert":{}}'),
+        ('"ip_str":"203.0.113.', '","port":443'),
+        ('"ip_str":"203.0.113.', '","port":9000,"ssl":null'),
+        ('"ip_str":"203.0.113.', '"'),
+        ('"ip_str":"2606:4700::', '","port":8443,"ssl":{}'),
+    ]
+    host = (key % 200).cast("string")
+    body = F.get(F.array(*[F.concat(F.lit(a), host, F.lit(b)) for a, b in kinds]), (key % 6).cast("int"))
+    page = F.concat(
+        F.lit('{"total":2,"matches":[{'), body, F.lit(',"asn":"AS'), key.cast("string"),
+        F.lit('","org":"Org '), (key % 30).cast("string"), F.lit('","hostnames":["a","h'), host,
+        F.lit('"],"location":{"country_code":"DE"},"product":"nginx"},{"port":80,"org":"no address"}]}'),
+    )
+    return table(spark, sf_dir, "customer").select(page.alias("value"))
+
+
+def service_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host/service records as JSON lines, three services each, one per customer."""
+    key = F.col("c_custkey")
+    ip = F.when(key % 5 == 0, F.concat(F.lit("2606:4700::"), (key % 90).cast("string"))).otherwise(
+        F.concat(F.lit("198.51.100."), (key % 250).cast("string")))
+    line = F.concat(
+        F.lit('{"ip":"'), ip, F.lit('","autonomous_system":{"asn":'), key.cast("string"),
+        F.lit(',"name":"X"},"services":[{"port":80,"service_name":"http"},{"port":'),
+        (key % 2 * 8000 + 443).cast("string"),
+        F.lit(',"service_name":"UNKNOWN","extended_service_name":"https"},'
+              '{"port":22,"service_name":"SSH"},{"service_name":"HTTP"}]}'),
+    )
+    return table(spark, sf_dir, "customer").select(line.alias("value"))
+
+
+def capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture result lines of eight kinds, one per order."""
+    key = F.col("o_orderkey")
+    url = F.concat(F.lit('"url":"'), candidate_url(F.col("o_custkey")), F.lit('"'))
+    whole = F.lit(
+        ',"http_status":200,"final_url":"http://final/","headers":[["server","nginx"],["date","x"]],'
+        '"server_banner":"nginx","server_kind":"nginx","title":"Index of /","is_open_dir":true,'
+        '"listing_entries":[{"name":"a.zip","href":"a.zip","is_dir":false,"size":5,"mtime":null,"path":"/a.zip"}],'
+        '"entry_count":1,"raw_html_sha256":"aa","header_order_sha256":"bb","template_sha256":"cc",'
+        '"favicon_sha256":null,"tls":null}'
+    )
+    kinds = [
+        F.concat(F.lit('{"error":"",'), url, whole),
+        F.lit("   "),
+        F.concat(F.lit("{ not json "), key.cast("string")),
+        F.concat(F.lit("{"), url, F.lit(',"http_status":200}')),
+        F.lit('{"url":"http://unknown/","http_status":200}'),
+        F.concat(F.lit('{"error":"timeout","http_status":null,"final_url":"http://f/",'), url, F.lit("}")),
+        F.lit('{"http_status":200}'),
+        F.concat(F.lit('{"error":null,'), url, whole),
+    ]
+    return table(spark, sf_dir, "orders").select(
+        key.alias("snapshot_id"), F.col("o_orderdate").alias("fetched_at"),
+        F.get(F.array(*kinds), (key % 8).cast("int")).alias("value"),
+    )
+
+
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored reputation answers, one per order."""
+    key = F.col("o_orderkey")
+    text = key.cast("string")
+    stats = F.concat(
+        F.lit('{"data":{"attributes":{"last_analysis_stats":{"malicious":'), (key % 5).cast("string"),
+        F.lit(',"suspicious":1,"harmless":'), (key % 60).cast("string"),
+        F.lit('},"type_description":"Win32 EXE","meaningful_name":"n'), text, F.lit('"}}}'))
+    bodies = [stats, F.lit('{"data":{"attributes":{}}}'), F.lit(""), F.lit("oops"), F.lit("<html>")]
+    status = F.get(F.array(*[F.lit(s) for s in (200, 200, 404, 500, 200)]), (key % 5).cast("int"))
+    return table(spark, sf_dir, "orders").select(
+        F.sha2(text, 256).alias("sha256"), status.alias("status"),
+        F.get(F.array(*bodies), (key % 5).cast("int")).alias("body"),
+    )
+
+
+def landed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document texts as landed files, some allowlisted by name."""
+    doc = F.col("doc_id")
+    name = _pick(["run.EXE", "a.sh", "notes.txt", "web_shell.php", "index.php", "x.bin"], doc % 6)
+    content = F.encode("text", "UTF-8")
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("file:/landed/"), doc.cast("string"), F.lit("/"), name).alias("path"),
+        F.octet_length(content).cast("bigint").alias("length"),
+        content.alias("content"),
+    )

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from vitrine.functions import patterns as P
 
@@ -89,7 +90,7 @@ def tag_paths(html: str) -> list[str]:
     return sorted(paths)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _template_text(html: pd.Series) -> pd.Series:
     return html.map(lambda page: None if page is None else "\n".join(tag_paths(page)))
 

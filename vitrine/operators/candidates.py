@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from vitrine.functions import patterns as P
 from vitrine.functions.urls import dedup_form, normal_form, repaired, split_url
@@ -54,7 +55,7 @@ def _ipv4_blocked(number: Column, cidrs) -> Column:
 
 def _ipv6_class(cidrs):
     """``block``, ``allow`` or null (not an address) for the rare IPv6 literals."""
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def classify(host: pd.Series) -> pd.Series:
         extra = [n for n in _networks(cidrs) if n.version == 6]
 
