@@ -137,6 +137,11 @@ _IN_SCOPE = """(k % 12 IN (1, 2, 8, 10)
     ))
     OR (k % 12 = 11 AND NOT k % 40 BETWEEN 16 AND 31))"""
 
+TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+    TITLE = f"replace({TITLE}, {q(_entity)}, {q(_char)})"
+TITLE = f"trim({TITLE})"
+
 _I = "unnest([0, 1, 2, 3, 4])"
 _HUMAN = "(k % 900 + 1)::VARCHAR || '.' || i::VARCHAR"
 
@@ -362,10 +367,10 @@ def oracle() -> dict[str, str]:
             FROM (SELECT *, outcome = 'ok' AS ok FROM (SELECT *, {OUTCOME} AS outcome FROM ({CAPTURES}) WHERE kind <> 1))
             WHERE outcome IN ('ok', 'error')""",
         "ingest_stats": f"SELECT {OUTCOME} AS outcome, count(*) AS n FROM ({CAPTURES}) WHERE kind <> 1 GROUP BY 1",
-        "pages_to_snapshots": sql("found", r"""SELECT page_id, url AS final_url,
-            left(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), 512) AS title,
+        "pages_to_snapshots": sql("found", rf"""SELECT page_id, url AS final_url,
+            left({TITLE}, 512) AS title,
             coalesce(n, 0) AS entry_count, sha256(html) AS raw_html_sha256,
-            regexp_matches(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '(?i)^(index of |directory listing for )')
+            regexp_matches({TITLE}, '(?i)^(index of |directory listing for )')
             OR regexp_matches(html, '(?i)<h1[^>]*>\s*(index of |directory listing for )') AS is_open_dir,
             CASE WHEN contains(lower(html), 'directory listing for') THEN 'python'
                  WHEN contains(lower(html), 'index of') THEN CASE WHEN contains(lower(html), '<pre') THEN 'nginx' ELSE 'apache' END
@@ -419,9 +424,9 @@ def oracle() -> dict[str, str]:
             CASE WHEN line < 3 THEN strftime(day, '%Y-%m-%dT%H:%M') WHEN line = 4 THEN 'day ' || l_linenumber::VARCHAR END AS mtime,
             line < 3 AS known FROM (SELECT l_linenumber, l_linenumber % 5 AS line,
             l_shipdate + to_minutes(l_linenumber::BIGINT) AS day FROM lineitem)""",
-        "validate_listing": """SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 4 = 2 THEN 'Directory listing for '
+        "validate_listing": f"""SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 4 = 2 THEN 'Directory listing for '
             ELSE 'Index of ' END || '/d' || (o_orderkey % 50)::VARCHAR || '/' AS title, true AS is_open_dir FROM orders
-            UNION ALL SELECT -1 - page_id, left(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), 512),
+            UNION ALL SELECT -1 - page_id, left({TITLE}, 512),
             regexp_matches(html, '(?i)<(title|h1)[^>]*>(index of |directory listing for )') FROM pages""",
         "server_kind": f"""SELECT o_orderkey AS page_id, {_list(LAYOUTS)}[CAST(o_orderkey % 4 + 1 AS INT)] AS server_kind FROM orders
             UNION ALL SELECT -1 - page_id, CASE WHEN contains(lower(html), 'directory listing for') THEN 'python'

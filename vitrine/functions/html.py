@@ -5,14 +5,13 @@ characters and splitting on them, so one page is parsed by a few linear passes
 and stays one row until the caller explodes it. Markup nested in ways that need
 a real tree (tables inside cells) is not followed.
 """
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vitrine.functions import patterns as P
+from vitrine.functions.binding import let
 from vitrine.functions.texts import mtime_col, size_col, strip
-from vitrine.functions.urls import resolved_path, split_url
+from vitrine.functions.urls import is_plain_name, resolved_path, split_url
 
 _ANCHOR, _ROW, _CELL = "\x01", "\x02", "\x03"
 _HIDDEN = (
@@ -29,11 +28,6 @@ _MAX_WRAPPERS = 2
 _ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times inside a lambda."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _numeric_entity(token: Column) -> Column:
     digits = F.regexp_extract(token, r"([0-9a-fA-F]+);", 1)
     code = F.when(token.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
@@ -42,18 +36,19 @@ def _numeric_entity(token: Column) -> Column:
     return F.when(valid, text).otherwise("�")
 
 
-def unescape(text: Column) -> Column:
-    """Replace numeric and the common named character references."""
-    numeric = F.array_distinct(
+def _replace_entities(text: Column) -> Column:
+    tokens = F.array_distinct(
         F.regexp_extract_all(text, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0))
     )
-    plain = F.when(
-        text.contains("&#"),
-        F.aggregate(numeric, text, lambda done, t: F.replace(done, t, _numeric_entity(t))),
-    ).otherwise(text)
+    plain = F.aggregate(tokens, text, lambda done, t: F.replace(done, t, _numeric_entity(t)))
     for entity, char in _ENTITIES.items():
         plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return F.when(text.contains("&"), plain).otherwise(text)
+    return plain
+
+
+def unescape(text: Column) -> Column:
+    """Replace numeric and the common named character references."""
+    return let(text, lambda t: F.when(t.contains("&"), _replace_entities(t)).otherwise(t))
 
 
 def plain_text(markup: Column) -> Column:
@@ -90,7 +85,7 @@ def _row_meta(row: Column) -> Column:
         lambda c: c.rlike("^[dD]") & ~c.contains(_ANCHOR),
     )
     texts = F.transform(cells, lambda c: strip(plain_text(F.regexp_replace(c, r"^[^>]*>?", ""))))
-    return _let(
+    return let(
         texts,
         lambda t: F.struct(
             F.get(F.filter(F.transform(F.filter(t, lambda x: x.rlike(P.SIZE_HINT)), size_col),
@@ -102,14 +97,18 @@ def _row_meta(row: Column) -> Column:
 
 def _line_meta(tail: Column) -> Column:
     """Size and date from the text that follows an anchor on its line."""
-    nginx, apache = tail.rlike(P.NGINX_TAIL), tail.rlike(P.APACHE_TAIL)
-
-    def part(group: int) -> Column:
-        return F.when(nginx, F.regexp_extract(tail, P.NGINX_TAIL, group)).when(
-            apache, F.regexp_extract(tail, P.APACHE_TAIL, group)
-        )
+    def parts(pattern: str) -> Column:
+        return F.array(F.regexp_extract(tail, pattern, 1), F.regexp_extract(tail, pattern, 2))
 
-    return F.struct(size_col(part(2)).alias("size"), mtime_col(part(1)).alias("mtime"))
+    found = F.when(tail.rlike(P.NGINX_TAIL), parts(P.NGINX_TAIL)).when(
+        tail.rlike(P.APACHE_TAIL), parts(P.APACHE_TAIL)
+    )
+    return let(
+        found,
+        lambda f: F.struct(
+            size_col(F.get(f, F.lit(1))).alias("size"), mtime_col(F.get(f, F.lit(0))).alias("mtime")
+        ),
+    )
 
 
 def _cell_anchors(cell: Column, meta: Column) -> Column:
@@ -118,7 +117,7 @@ def _cell_anchors(cell: Column, meta: Column) -> Column:
         balance = F.transform(
             pieces, lambda p: F.regexp_count(p, F.lit(_OPENING)) - F.regexp_count(p, F.lit(_CLOSING))
         )
-        return _let(
+        return let(
             balance,
             lambda b: F.transform(
                 F.slice(pieces, 2, 1 << 30),
@@ -133,14 +132,15 @@ def _cell_anchors(cell: Column, meta: Column) -> Column:
             ),
         )
 
-    return _let(F.split(cell, _ANCHOR), located)
+    return let(F.split(cell, _ANCHOR), located)
 
 
-def listing_entries(clean: Column, base: Column) -> Column:
+def listing_entries(clean: Column, base: Column, directory: Column) -> Column:
     """Entries of a page in order, as an array of structs.
 
-    ``clean`` is ``visible(html)`` and ``base`` the split page URL, both already
-    columns. Sort links, fragments and parent links are left out.
+    ``clean`` is ``visible(html)``, ``base`` the split page URL and ``directory``
+    its directory, all already columns. Sort links, fragments and parent links
+    are left out.
     """
     rows = F.transform(
         F.split(_marked(clean), _ROW),
@@ -159,7 +159,7 @@ def listing_entries(clean: Column, base: Column) -> Column:
     )
     opened = F.transform(
         anchors,
-        lambda a: _let(
+        lambda a: let(
             F.regexp_extract(a["markup"], _ATTRIBUTES, 1),
             lambda attributes: F.struct(
                 _attribute(attributes, "href").alias("href"),
@@ -172,14 +172,14 @@ def listing_entries(clean: Column, base: Column) -> Column:
     named = F.transform(
         linked,
         lambda a: F.struct(
-            _let(
+            let(
                 plain_text(F.regexp_extract(a["body"], r"(?is)^(.*?)(?:</a\b|\z)", 1)),
                 lambda text: strip(F.when(text == "", a["href"]).otherwise(text)),
             ).alias("name"),
             a["href"].alias("href"),
             F.coalesce(
                 a["meta"],
-                _let(F.regexp_extract(a["body"], r"(?is)</a\s*>([^<\n]*)", 1), _line_meta),
+                let(F.regexp_extract(a["body"], r"(?is)</a\s*>([^<\n]*)", 1), _line_meta),
             ).alias("meta"),
         ),
     )
@@ -194,7 +194,9 @@ def listing_entries(clean: Column, base: Column) -> Column:
             a["href"].endswith("/").alias("is_dir"),
             a["meta"]["size"].alias("size"),
             a["meta"]["mtime"].alias("mtime"),
-            _let(split_url(a["href"]), lambda ref: resolved_path(base, ref)).alias("path"),
+            F.when(is_plain_name(a["href"]), F.concat(directory, a["href"]))
+            .otherwise(let(split_url(a["href"]), lambda ref: resolved_path(base, ref)))
+            .alias("path"),
         ),
     )
 

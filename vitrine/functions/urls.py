@@ -10,11 +10,40 @@ expressions run once per URL and not once per use.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vitrine.functions.binding import let
+
 # scheme, authority, path, query, fragment (RFC 3986, appendix B)
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//"
 _BLANKS = "".join(chr(i) for i in range(33))
 
 
+def _host_and_port(location: Column) -> Column:
+    bracketed = F.regexp_extract(location, r"\[([^\]]*)", 1)
+    host = F.when(location.contains("["), bracketed).otherwise(F.substring_index(location, ":", 1))
+    port = F.regexp_extract(location, r"^(?:[^\[]*\[[^\]]*\][^:]*|[^:\[]*):([0-9]+)$", 1).try_cast("int")
+    return F.struct(
+        F.nullif(F.lower(host), F.lit("")).alias("host"), F.when(port <= 65535, port).alias("port")
+    )
+
+
+def _split(url: Column) -> Column:
+    slashed = F.regexp_extract(url, _SPLIT, 2)
+    location = F.regexp_extract(slashed, r"([^@/]*)$", 1)
+    return let(
+        let(location, _host_and_port),
+        lambda place: F.struct(
+            F.lower(F.regexp_extract(url, _SPLIT, 1)).alias("scheme"),
+            F.when(url.rlike(_AUTHORITY), F.substring(slashed, 3, 1 << 30)).alias("authority"),
+            place["host"].alias("host"),
+            place["port"].alias("port"),
+            F.regexp_extract(url, _SPLIT, 3).alias("path"),
+            F.regexp_extract(url, _SPLIT, 4).alias("query"),
+            F.regexp_extract(url, _SPLIT, 5).alias("fragment"),
+        ),
+    )
+
+
 def split_url(url: Column) -> Column:
     """Struct of scheme, authority (null if none), host, port, path, query, fragment.
 
@@ -22,22 +51,7 @@ def split_url(url: Column) -> Column:
     lower-cased, without brackets, null if empty; ``port`` is null unless a
     valid port number is written out.
     """
-    url = F.ltrim(F.translate(url, "\t\r\n", ""), F.lit(_BLANKS))
-    slashed = F.regexp_extract(url, _SPLIT, 2)
-    location = F.regexp_extract(slashed, r"([^@/]*)$", 1)
-    host = F.when(location.contains("["), F.regexp_extract(location, r"\[([^\]]*)", 1)).otherwise(
-        F.substring_index(location, ":", 1)
-    )
-    port = F.regexp_extract(location, r"^(?:[^\[]*\[[^\]]*\][^:]*|[^:\[]*):([0-9]+)$", 1).try_cast("int")
-    return F.struct(
-        F.lower(F.regexp_extract(url, _SPLIT, 1)).alias("scheme"),
-        F.when(slashed != "", F.substring(slashed, 3, 1 << 30)).alias("authority"),
-        F.nullif(F.lower(host), F.lit("")).alias("host"),
-        F.when(port <= 65535, port).alias("port"),
-        F.regexp_extract(url, _SPLIT, 3).alias("path"),
-        F.regexp_extract(url, _SPLIT, 4).alias("query"),
-        F.regexp_extract(url, _SPLIT, 5).alias("fragment"),
-    )
+    return let(F.ltrim(F.translate(url, "\t\r\n", ""), F.lit(_BLANKS)), _split)
 
 
 def repaired(url: Column) -> Column:
@@ -71,8 +85,7 @@ def dedup_form(u: Column) -> Column:
     return F.concat(netloc(u), path, _prefixed("?", u["query"]))
 
 
-def _fold_dots(path: Column) -> Column:
-    """Apply the ``.`` and ``..`` segments of a path."""
+def _folded(path: Column) -> Column:
     kept = F.aggregate(
         F.split(path, "/"),
         F.array().cast("array<string>"),
@@ -80,9 +93,12 @@ def _fold_dots(path: Column) -> Column:
         .when(s == ".", done)
         .otherwise(F.concat(done, F.array(s))),
     )
-    closing = F.when(path.rlike(r"/\.{1,2}$"), "/").otherwise("")
-    folded = F.concat(F.array_join(kept, "/"), closing)
-    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), folded).otherwise(path)
+    return F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"/\.{1,2}$"), "/").otherwise(""))
+
+
+def _fold_dots(path: Column) -> Column:
+    """Apply the ``.`` and ``..`` segments of a path."""
+    return let(path, lambda p: F.when(p.rlike(r"(^|/)\.{1,2}(/|$)"), _folded(p)).otherwise(p))
 
 
 def is_foreign(base: Column, ref: Column) -> Column:
@@ -91,16 +107,33 @@ def is_foreign(base: Column, ref: Column) -> Column:
     return scheme | (ref["authority"].isNotNull() & (ref["authority"] != ""))
 
 
+def is_plain_name(ref: Column) -> Column:
+    """A reference that is one path segment: it just follows the base directory."""
+    return ref.rlike(r"^(?!\.{1,2}/?$)[^:/?#\x00-\x20][^:/?#\t\r\n]*/?$")
+
+
+def _joined(base: Column, tail: Column | None = None) -> Column:
+    directory = F.coalesce(F.nullif(F.regexp_extract(base["path"], r"^((?s:.*)/)", 1), F.lit("")), F.lit("/"))
+    whole = directory if tail is None else F.concat(directory, tail)
+    return F.regexp_replace(whole, r"/{2,}", "/")
+
+
+def _rooted(path: Column) -> Column:
+    return F.concat(F.lit("/"), F.regexp_replace(_fold_dots(path), r"^/", ""))
+
+
+def base_directory(base: Column) -> Column:
+    """Directory of a split page URL, in the form plain names are appended to."""
+    return _rooted(_joined(base))
+
+
 def resolved_path(base: Column, ref: Column) -> Column:
     """Path of a split reference resolved against a split base URL."""
-    directory = F.regexp_extract(base["path"], r"^((?s:.*)/)", 1)
-    directory = F.when(directory == "", "/").otherwise(directory)
-    beside = F.regexp_replace(F.concat(directory, ref["path"]), r"/{2,}", "/")
-    joined = _fold_dots(F.when(ref["path"].startswith("/"), ref["path"]).otherwise(beside))
     return (
         F.when(is_foreign(base, ref), ref["path"])
         .when(ref["path"] == "", base["path"])
-        .otherwise(F.concat(F.lit("/"), F.regexp_replace(joined, r"^/", "")))
+        .when(ref["path"].startswith("/"), _rooted(ref["path"]))
+        .otherwise(_rooted(_joined(base, ref["path"])))
     )
 
 

@@ -3,13 +3,13 @@ import ipaddress
 import sys
 from datetime import datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from vitrine.functions import patterns as P
+from vitrine.functions.binding import let
 from vitrine.functions.urls import dedup_form, normal_form, repaired, split_url
 
 register_pickle_by_value(sys.modules[__name__])
@@ -45,36 +45,42 @@ def _networks(cidrs) -> list:
     return networks
 
 
-def _ipv4_blocked(number: Column, cidrs) -> Column:
-    blocked = F.lit(False)
-    for net in _networks([*P.SPECIAL_IPV4, *cidrs]):
-        if net.version == 4:
-            blocked = blocked | number.between(int(net.network_address), int(net.broadcast_address))
-    return blocked
+def _ipv4_blocked(host: Column, cidrs) -> Column:
+    number = F.aggregate(
+        F.split(host, r"\."), F.lit(0).cast("bigint"), lambda n, octet: n * 256 + octet.try_cast("bigint")
+    )
+
+    def in_any(n: Column) -> Column:
+        blocked = F.lit(False)
+        for net in _networks([*P.SPECIAL_IPV4, *cidrs]):
+            if net.version == 4:
+                blocked = blocked | n.between(int(net.network_address), int(net.broadcast_address))
+        return blocked
+
+    return let(number, in_any)
 
 
-def _ipv6_class(cidrs):
-    """``block``, ``allow`` or null (not an address) for the rare IPv6 literals."""
-    @F.pandas_udf(StringType())
-    def classify(host: pd.Series) -> pd.Series:
+def _judge_literals(cidrs):
+    """Fill ``blocked`` of the rare rows whose host is an IPv6 literal."""
+    def judge(batches):
         extra = [n for n in _networks(cidrs) if n.version == 6]
 
-        def one(text):
-            if text is None:
-                return None
+        def blocked(text):
             try:
                 ip = ipaddress.ip_address(text)
             except ValueError:
-                return None
-            special = (
-                ip.is_private or ip.is_loopback or ip.is_link_local
-                or ip.is_reserved or ip.is_multicast or ip.is_unspecified
+                return True  # brackets around something else
+            return (
+                ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved
+                or ip.is_multicast or ip.is_unspecified or any(ip in n for n in extra)
             )
-            return "block" if special or any(ip in n for n in extra) else "allow"
 
-        return host.map(one)
+        for batch in batches:
+            at = batch.schema.get_field_index("blocked")
+            verdicts = pa.array([blocked(h) for h in batch.column("_host").to_pylist()], pa.bool_())
+            yield batch.set_column(at, "blocked", verdicts)
 
-    return classify
+    return judge
 
 
 def with_blocked(df: DataFrame, col: str = "url", cidrs=(), suffixes=P.BLOCKED_SUFFIXES) -> DataFrame:
@@ -82,28 +88,29 @@ def with_blocked(df: DataFrame, col: str = "url", cidrs=(), suffixes=P.BLOCKED_S
 
     The URL is judged as given, so one without a scheme has no host and is blocked.
     """
-    host = F.rtrim(F.coalesce("_u.host", F.lit("")), F.lit("."))
-    split = df.withColumn("_u", split_url(F.col(col))).withColumn(
-        "_host", F.when(host.rlike(P.HOST_CHARS), host)
-    )
-    literal = F.when(F.col("_host").contains(":"), F.col("_host"))
-    split = split.withColumn("_v6", _ipv6_class(tuple(cidrs))(literal))
-    name = F.col("_host")
-    octets = F.split(name, r"\.")
-    number = F.lit(0).cast("bigint")
-    for i in range(4):
-        number = number * 256 + F.get(octets, F.lit(i)).try_cast("bigint")
-    numeric = name.rlike(rf"^(?:{P.NUMERIC_LABEL})(?:\.(?:{P.NUMERIC_LABEL}))*$")
-    suffix = F.lit(False)
-    for s in suffixes:
-        suffix = suffix | (name == s.lstrip(".")) | name.endswith(s)
-    blocked = (
-        F.when(name.isNull(), True)
-        .when(name.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), _ipv4_blocked(number, cidrs))
-        .when(F.col("_v6").isNotNull(), F.col("_v6") == "block")
-        .otherwise(numeric | suffix)
+    split = df.withColumn("_u", split_url(F.col(col)))
+    host = let(
+        F.rtrim(F.coalesce("_u.host", F.lit("")), F.lit(".")),
+        lambda h: F.when(h.rlike(P.HOST_CHARS), h),
     )
-    return split.withColumn("blocked", blocked).drop("_u", "_host", "_v6")
+    placed = split.withColumn("_host", host).drop("_u")
+    is_literal = F.coalesce(F.col("_host").contains(":"), F.lit(False))
+
+    def judge(name: Column) -> Column:
+        numeric = name.rlike(rf"^(?:{P.NUMERIC_LABEL})(?:\.(?:{P.NUMERIC_LABEL}))*$")
+        suffix = F.lit(False)
+        for s in suffixes:
+            suffix = suffix | (name == s.lstrip(".")) | name.endswith(s)
+        return (
+            F.when(name.isNull(), True)
+            .when(name.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), _ipv4_blocked(name, cidrs))
+            .otherwise(numeric | suffix)
+        )
+
+    named = placed.filter(~is_literal).withColumn("blocked", let(F.col("_host"), judge))
+    literals = placed.filter(is_literal).withColumn("blocked", F.lit(None).cast("boolean"))
+    judged = literals.mapInArrow(_judge_literals(tuple(cidrs)), literals.schema)
+    return named.unionByName(judged).drop("_host")
 
 
 def scope_filter(df: DataFrame, col: str = "url", cidrs=(), suffixes=P.BLOCKED_SUFFIXES) -> DataFrame:

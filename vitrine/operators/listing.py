@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import fingerprints as fp
 from vitrine.functions import html as H
 from vitrine.functions import patterns as P
-from vitrine.functions.urls import split_url
+from vitrine.functions.urls import base_directory, split_url
 
 
 def with_listing(pages: DataFrame) -> DataFrame:
@@ -13,16 +13,20 @@ def with_listing(pages: DataFrame) -> DataFrame:
     return (
         pages.withColumn("_clean", H.visible(F.col("html")))
         .withColumn("_base", split_url(F.col("url")))
-        .withColumn("listing_entries", H.listing_entries(F.col("_clean"), F.col("_base")))
-        .drop("_base")
+        .withColumn("_directory", base_directory(F.col("_base")))
+        .withColumn(
+            "listing_entries", H.listing_entries(F.col("_clean"), F.col("_base"), F.col("_directory"))
+        )
+        .drop("_base", "_directory")
     )
 
 
 def explode_entries(snapshots: DataFrame, key: str = "snapshot_id") -> DataFrame:
     """Stored listings to one row per entry, with its position."""
-    return snapshots.select(key, F.posexplode("listing_entries").alias("pos", "entry")).select(
-        key, "pos", "entry.*"
-    )
+    # the outer form: the plain one also infers a filter on the array, which would
+    # parse each page a second time
+    rows = snapshots.select(key, F.posexplode_outer("listing_entries").alias("pos", "entry"))
+    return rows.filter("pos is not null").select(key, "pos", "entry.*")
 
 
 def extract_entries(pages: DataFrame) -> DataFrame:
