@@ -20,6 +20,8 @@ _BLANKS = "".join(chr(i) for i in range(33))
 
 def _host_and_port(location: Column) -> Column:
     bracketed = F.regexp_extract(location, r"\[([^\]]*)", 1)
+    # only an IPv6 address may stand in brackets
+    bracketed = F.when(bracketed.contains(":"), bracketed)
     host = F.when(location.contains("["), bracketed).otherwise(F.substring_index(location, ":", 1))
     port = F.regexp_extract(location, r"^(?:[^\[]*\[[^\]]*\][^:]*|[^:\[]*):([0-9]+)$", 1).try_cast("int")
     return F.struct(
