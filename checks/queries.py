@@ -45,7 +45,8 @@ def _hosted(s, d):
 
 
 def _ranked(s, d):
-    joined = hf.join_hashes(hf.host_entries(T.records(s, d), T.entries(s, d)), T.payload_hashes(s, d))
+    files_ = hf.host_entries(T.records(s, d), T.entries(s, d))
+    joined = hf.join_hashes(files_, T.payload_hashes(s, d))
     return hf.ranked_files(joined)
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import patterns as P
 from vitrine.functions.files import is_payload
-from vitrine.operators.classify import classification_rows, classify_snapshots
-from vitrine.operators.features import snapshot_profiles
+from vitrine.operators.classify import classification_rows, classify
+from vitrine.operators.features import features_of, snapshot_profiles
 from vitrine.operators.records import directory_records, latest_open
+from vitrine.sources.tables import materialized
 
 SALT = "oracle-salt"
 
@@ -48,6 +49,14 @@ def _pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
+def _case(key: Column, cases: list[Column]) -> Column:
+    """The case numbered by ``key``; only that one is computed."""
+    result = F.when(key == 0, cases[0])
+    for number, case in enumerate(cases[1:], 1):
+        result = result.when(key == number, case)
+    return result
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``snapshot_id, pos, name, is_dir, size, mtime``.
 
@@ -113,16 +122,17 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _judged(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
     """Verdicts of all open directories."""
     opened = snapshots(spark, sf_dir).filter("is_open_dir").select("snapshot_id", "fetched_at", "server_kind")
-    return classify_snapshots(opened, entries(spark, sf_dir))
+    return classify(features_of(opened, found))
 
 
-def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+def classifications(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
     """One row per open directory at the current ruleset (but for every ninth),
     and a newer row of an older ruleset, labelled unknown, for every seventh."""
-    judged = _judged(spark, sf_dir).withColumn("classified_at", F.col("fetched_at") + F.expr("interval 1 day"))
+    judged = _judged(spark, sf_dir, profiles(spark, sf_dir) if found is None else found)
+    judged = judged.withColumn("classified_at", F.col("fetched_at") + F.expr("interval 1 day"))
     versions = F.array_compact(
         F.array(
             F.when(F.col("snapshot_id") % 9 != 4, F.struct(
@@ -173,8 +183,12 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return directory_records(
-        latest(spark, sf_dir), classifications(spark, sf_dir), candidates(spark, sf_dir), profiles(spark, sf_dir)
+    """The per-directory table, written out as in a report: one pass over the entries."""
+    found = materialized(profiles(spark, sf_dir))
+    return materialized(
+        directory_records(
+            latest(spark, sf_dir), classifications(spark, sf_dir, found), candidates(spark, sf_dir), found
+        )
     )
 
 
@@ -239,7 +253,10 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             apache_lines, F.lit("</pre>")]))
     )
     url = F.concat(F.lit("http://h"), (F.col("o_custkey") % 400).cast("string"), F.lit(".example"), folder)
-    return table(spark, sf_dir, "orders").select(key.alias("page_id"), url.alias("url"), html.alias("html"))
+    # the narrow keys are spread over the cores before each grows into a page
+    keys = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    spread = keys.repartition(spark.sparkContext.defaultParallelism * 4)
+    return spread.select(key.alias("page_id"), url.alias("url"), html.alias("html"))
 
 
 def all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,7 +311,7 @@ def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("http://[2606:4700::"), c, F.lit("]:8080/")),
         F.concat(F.lit("http://172."), (key % 40).cast("string"), F.lit(".0.1./")),
     ]
-    picked = F.get(F.array(*urls), (key % len(urls)).cast("int"))
+    picked = _case(key % len(urls), urls)
     return table(spark, sf_dir, "orders").select(
         key.alias("input_order"), picked.alias("url"),
         F.when(key % 2 == 0, "host_search").otherwise("host_services").alias("source"),
@@ -329,7 +346,7 @@ def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         ('"ip_str":"2606:4700::', '","port":8443,"ssl":{}'),
     ]
     host = (key % 200).cast("string")
-    body = F.get(F.array(*[F.concat(F.lit(a), host, F.lit(b)) for a, b in kinds]), (key % 6).cast("int"))
+    body = _case(key % 6, [F.concat(F.lit(a), host, F.lit(b)) for a, b in kinds])
     page = F.concat(
         F.lit('{"total":2,"matches":[{'), body, F.lit(',"asn":"AS'), key.cast("string"),
         F.lit('","org":"Org '), (key % 30).cast("string"), F.lit('","hostnames":["a","h'), host,
@@ -376,7 +393,7 @@ def capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     return table(spark, sf_dir, "orders").select(
         key.alias("snapshot_id"), F.col("o_orderdate").alias("fetched_at"),
-        F.get(F.array(*kinds), (key % 8).cast("int")).alias("value"),
+        _case(key % 8, kinds).alias("value"),
     )
 
 
@@ -392,7 +409,7 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.get(F.array(*[F.lit(s) for s in (200, 200, 404, 500, 200)]), (key % 5).cast("int"))
     return table(spark, sf_dir, "orders").select(
         F.sha2(text, 256).alias("sha256"), status.alias("status"),
-        F.get(F.array(*bodies), (key % 5).cast("int")).alias("body"),
+        _case(key % 5, bodies).alias("body"),
     )
 
 

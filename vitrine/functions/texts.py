@@ -16,16 +16,16 @@ def strip(text: Column) -> Column:
 
 def _scaled(number: Column, unit: Column) -> Column:
     power = F.array_position(F.array(*[F.lit(u) for u in P.SIZE_UNITS]), F.upper(unit))
-    return F.rint(number * F.pow(F.lit(1024.0), power.cast("double"))).try_cast("bigint")
+    valid = F.when(number.rlike(r"^(\d+\.?\d*|\.\d+)$"), number.cast("double"))
+    size = F.rint(valid * F.pow(F.lit(1024.0), power.cast("double")))
+    return F.when(size < float(1 << 63), size.cast("bigint"))
 
 
 def size_col(text: Column) -> Column:
     """``2.5K`` or ``2560`` to bytes (1024-based, halves to even); else null."""
     return let(
         F.trim(text),
-        lambda t: _scaled(
-            F.regexp_extract(t, P.SIZE_TEXT, 1).try_cast("double"), F.regexp_extract(t, P.SIZE_TEXT, 2)
-        ),
+        lambda t: _scaled(F.regexp_extract(t, P.SIZE_TEXT, 1), F.regexp_extract(t, P.SIZE_TEXT, 2)),
     )
 
 

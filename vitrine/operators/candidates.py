@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import patterns as P
 from vitrine.functions.binding import let
-from vitrine.functions.urls import dedup_form, normal_form, repaired, split_url
+from vitrine.functions.urls import dedup_form, host_of, normal_form, repaired, split_url
 
 register_pickle_by_value(sys.modules[__name__])
 
@@ -47,7 +47,7 @@ def _networks(cidrs) -> list:
 
 def _ipv4_blocked(host: Column, cidrs) -> Column:
     number = F.aggregate(
-        F.split(host, r"\."), F.lit(0).cast("bigint"), lambda n, octet: n * 256 + octet.try_cast("bigint")
+        F.split(host, r"\."), F.lit(0).cast("bigint"), lambda n, octet: n * 256 + octet.cast("bigint")
     )
 
     def in_any(n: Column) -> Column:
@@ -88,12 +88,11 @@ def with_blocked(df: DataFrame, col: str = "url", cidrs=(), suffixes=P.BLOCKED_S
 
     The URL is judged as given, so one without a scheme has no host and is blocked.
     """
-    split = df.withColumn("_u", split_url(F.col(col)))
     host = let(
-        F.rtrim(F.coalesce("_u.host", F.lit("")), F.lit(".")),
+        F.rtrim(F.coalesce(host_of(F.col(col)), F.lit("")), F.lit(".")),
         lambda h: F.when(h.rlike(P.HOST_CHARS), h),
     )
-    placed = split.withColumn("_host", host).drop("_u")
+    placed = df.withColumn("_host", host)
     is_literal = F.coalesce(F.col("_host").contains(":"), F.lit(False))
 
     def judge(name: Column) -> Column:

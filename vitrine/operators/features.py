@@ -82,12 +82,17 @@ def _filled(column: str) -> Column:
 
 
 def extract_features(snapshots: DataFrame, entries: DataFrame) -> DataFrame:
+    """Features of every snapshot, straight from its entries."""
+    return features_of(snapshots, snapshot_profiles(entries))
+
+
+def features_of(snapshots: DataFrame, profiles: DataFrame) -> DataFrame:
     """Features of every snapshot; an empty listing has zeros.
 
     ``snapshots`` keeps its own columns; ``tls`` is optional. Both sides are
     partitioned by ``snapshot_id``, so the join adds no shuffle to the grouping.
     """
-    joined = snapshots.join(snapshot_profiles(entries), "snapshot_id", "left")
+    joined = snapshots.join(profiles, "snapshot_id", "left")
     numbers = [
         "entry_count", "file_count", "dir_count", "mirror_files",
         "known_sizes", "total_bytes", "files_over_100mb",

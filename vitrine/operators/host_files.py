@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.files import extension, file_rank, is_alarm, is_payload
 from vitrine.functions.tokens import host_token
-from vitrine.functions.urls import split_url
+from vitrine.functions.urls import host_of
 from vitrine.operators.hosts import host_summary
 
 
 def hashes_by_file(hashes: DataFrame) -> DataFrame:
     """The newest hash row per (host, file name); rows without a hash are left out."""
-    located = hashes.filter("sha256 <> ''").withColumn("_host", split_url(F.col("url"))["host"])
+    located = hashes.filter("sha256 <> ''").withColumn("_host", host_of(F.col("url")))
     newest = F.max_by(F.struct("sha256", "tlsh", "vt"), F.col("hash_id"))
     return (
         located.groupBy(F.coalesce("_host", F.lit("")).alias("host"), "name")

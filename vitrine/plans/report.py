@@ -3,7 +3,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions import patterns as P
-from vitrine.functions.urls import split_url
+from vitrine.functions.urls import host_of
 from vitrine.operators.features import snapshot_profiles
 from vitrine.operators.host_files import host_file_inventory
 from vitrine.operators.network import network_profile
@@ -68,9 +68,9 @@ def false_positive_rate(snapshots: DataFrame) -> DataFrame:
 
 def network_hosts(latest: DataFrame, candidates: DataFrame) -> DataFrame:
     """One row per address: the owner and country of its first directory."""
-    places = candidates.withColumn("_u", split_url(F.col("url"))).select(
+    places = candidates.select(
         "candidate_id",
-        F.coalesce(F.nullif(F.col("source_meta.ip"), F.lit("")), F.col("_u.host")).alias("ip"),
+        F.coalesce(F.nullif(F.col("source_meta.ip"), F.lit("")), host_of(F.col("url"))).alias("ip"),
         F.col("source_meta.org").alias("org"),
         F.coalesce(F.nullif(F.col("source_meta.country"), F.lit("")), F.lit("?")).alias("country"),
     )

@@ -1,5 +1,6 @@
 """Append-only tables, and the intermediate tables that cut long lineages."""
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,15 +22,22 @@ def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="vitrine-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def materialized(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage, in the cluster's shared folder.
+    """Compute once, write to shared storage, and go on from the written table.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Only where none is
-    set, as in local tests, a temporary one is made.
+    Survives the loss of executors, and later readers prune columns; a plain
+    checkpoint would compute the rows twice and keep every column.
     """
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vitrine-checkpoint-"))
-    return df.checkpoint()
+    path = f"{_shared_folder(df.sparkSession)}/vitrine-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
