@@ -515,7 +515,7 @@ def oracle() -> dict[str, str]:
             AS rank FROM entries"""),
         "file_disclosure": sql("entries", DISCLOSED.format(name=f"CASE WHEN {PAYLOAD} THEN name END")),
         "file_disclosure_full": sql("entries", DISCLOSED.format(name="name")),
-        "hash_join": sql("files", "SELECT snapshot_id, host, name, size, sha256, malicious FROM files"),
+        "hash_join": sql("files", "SELECT snapshot_id, host, name, size, sha256, malicious::BIGINT AS malicious FROM files"),
         "top_files_per_host": sql("top", "SELECT host, place, rank, name, size, mtime, alarm FROM top"),
         "host_inventory": sql("top hsig", f"""SELECT {_token('host')} AS token,
             CASE WHEN t.sev = 1 THEN 'malicious' ELSE 'sensitive' END AS verdict,
