@@ -81,6 +81,9 @@ def tag_paths(html: str) -> list[str]:
             stack.pop()
             if tag == "tr" and stack[-1] == "tr":
                 stack.pop()
+        if tag == "tr" and stack[-1] == "table":
+            stack.append("tbody")  # a parser supplies it
+            paths.add("/".join(stack))
         paths.add("/".join(stack) + "/" + tag)
         if tag in _RAW:
             end = re.compile(rf"</{tag}", re.I).search(html, at)
