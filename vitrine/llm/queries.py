@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm.exact_dedup import exact_dedup
+from vitrine.llm.labelled import held_out
 from vitrine.llm.mixing import curriculum
+from vitrine.llm.quality import fit_quality, quality_scores
 from vitrine.llm.tables import read
+from vitrine.llm.toxicity import fit_toxicity, toxicity_scores
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +25,25 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"), digest="text_sha256")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; fold 2 of 4 is never learned from."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels, ~held_out("doc_id", 4, 2))
+    rows = docs.select("doc_id", "text", held_out("doc_id", 4, 2).alias("held_out"))
+    return toxicity_scores(rows, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; fold 1 of 3 is never learned from."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = fit_quality(docs, labels, ~held_out("doc_id", 3, 1))
+    rows = docs.select("doc_id", "text", held_out("doc_id", 3, 1).alias("held_out"))
+    return quality_scores(rows, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mix_sources": op7_mix_sources,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality": op10_quality,
 }

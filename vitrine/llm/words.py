@@ -18,6 +18,9 @@ BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: A-Z to a-z, every other byte to itself.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Every ASCII byte that is no letter or digit parts tokens; bytes of other letters do not.
+MARKS = np.ones(256, bool)
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 #: Text bytes worked on at once; one longer text is still worked on whole.
 SLICE_BYTES = 2_000_000
 
@@ -41,9 +44,6 @@ def odd(n: int, seed: int) -> np.ndarray:
 
 
 BYTE = odd(256, 11)
-BYTE0 = BYTE.copy()
-BYTE0[BLANK] = 0
-
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in row order, cut so that the texts of a part stay near ``limit`` bytes."""
@@ -72,6 +72,7 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     rows: np.ndarray
+    parting: np.ndarray
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))
@@ -83,17 +84,17 @@ class Words:
         first = self.starts[0]
         reach = np.diff(np.append(self.starts, len(self.data)))
         place = np.arange(first, len(self.data)) - np.repeat(self.starts, reach)
-        values = BYTE0[self.data[first:]]
+        values = np.where(self.parting, np.uint64(0), BYTE)[self.data[first:]]
         values *= odd(int(reach.max()), 23)[place]
         return mix(np.add.reduceat(values, self.starts - first) + (self.ends - self.starts).astype(np.uint64))
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words are maximal runs of bytes other than the six blanks, within one row."""
+def split_words(data: np.ndarray, offsets: np.ndarray, parting: np.ndarray = BLANK) -> Words:
+    """Words are maximal runs of bytes that do not part them, within one row."""
     if not len(data):
         none = np.zeros(0, np.int64)
-        return Words(data, none, none, np.zeros(len(offsets), np.int64))
-    blank = BLANK[data]
+        return Words(data, none, none, np.zeros(len(offsets), np.int64), parting)
+    blank = parting[data]
     first, last = ~blank, ~blank
     first[1:] &= blank[:-1]
     last[:-1] &= blank[1:]
@@ -101,7 +102,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     a, b = offsets[:-1][filled], offsets[1:][filled] - 1
     first[a], last[b] = ~blank[a], ~blank[b]
     starts = np.flatnonzero(first)
-    return Words(data, starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets))
+    return Words(data, starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets), parting)
 
 
 def windows(hashes: np.ndarray, rows: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
