@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from vitrine.llm.labelled import sample, scored
-from vitrine.llm.words import LOWER, MARKS, odd, split_words, mix, text_bytes
+from vitrine.llm.words import LOWER, MARKS, mix, odd, slices, split_words, text_bytes
 
 #: Labelled documents to fit on, at most, and bytes of their text (later ones are left out).
-MOST_ROWS, MOST_BYTES = 8_000, 24_000_000
+MOST_ROWS, MOST_BYTES = 6_000, 14_000_000
 #: Words of a window and between starts of windows.
 WINDOW, STRIDE = 32, 24
 WORDS, GRAMS, WIDTH, HIDDEN = 1 << 14, 1 << 12, 12, 8
@@ -34,6 +34,7 @@ class Windows:
     """``at``: index of each word into ``words``/``grams``, -1 behind the end; ``rows``: first window of each text."""
 
     at: np.ndarray
+    keys: np.ndarray
     words: np.ndarray
     grams: np.ndarray
     gram_rows: np.ndarray
@@ -58,15 +59,31 @@ def cut(column: pa.Array) -> Windows:
     if len(letters):
         sums = letters[:-2] * factors[0] + letters[1:-1] * factors[1] + letters[2:] * factors[2]
         whole = place[:-2] < np.repeat(sizes, sizes)[:-2] - 2
-        grams = (mix(sums[whole]) >> np.uint64(64 - 12)).astype(np.int64)
+        grams = (mix(sums[whole]) >> np.uint64(64 - 12)).astype(np.int32)
     counts = np.diff(words.rows)
     windows = np.maximum(1, -(-np.maximum(counts - (WINDOW - STRIDE), 1) // STRIDE))
     rows = np.concatenate([[0], np.cumsum(windows)])
     begin = (np.arange(rows[-1]) - np.repeat(rows[:-1], windows)) * STRIDE + np.repeat(words.rows[:-1], windows)
     where = begin[:, None] + np.arange(WINDOW)
     past = where >= np.repeat(words.rows[1:], windows)[:, None]
-    at = np.where(past, -1, back[np.where(past, 0, where)] if len(back) else -1)
-    return Windows(at, (keys >> np.uint64(64 - 14)).astype(np.int64), grams, gram_rows, rows)
+    at = np.where(past, -1, back[np.where(past, 0, where)] if len(back) else -1).astype(np.int32)
+    return Windows(at, keys, (keys >> np.uint64(64 - 14)).astype(np.int64), grams, gram_rows, rows)
+
+
+def cut_all(texts: pa.Array) -> Windows:
+    """``cut`` slice by slice, with each different word once in the whole."""
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    parts = [cut(part.column("text")) for part in slices(batch, "text", 500_000)]
+    if not parts:
+        return cut(texts)
+    keys, first, back = np.unique(np.concatenate([w.keys for w in parts]), return_index=True, return_inverse=True)
+    shift = np.cumsum([0, *(len(w.keys) for w in parts)])
+    at = np.concatenate([np.where(w.at < 0, -1, back[np.maximum(w.at, 0) + shift[i]] if len(back) else -1).astype(np.int32) for i, w in enumerate(parts)])
+    gram_rows = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(w.gram_rows) for w in parts]))])
+    joined = Windows(at[:0], np.concatenate([w.keys for w in parts]), np.concatenate([w.words for w in parts]), np.concatenate([w.grams for w in parts]), gram_rows, gram_rows[:1])
+    whole = _only(joined, first)
+    rows = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(w.rows) for w in parts]))])
+    return Windows(at, keys, whole.words, whole.grams, whole.gram_rows, rows)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -191,8 +208,8 @@ def _only(w: Windows, used: np.ndarray) -> Windows:
     used = used[used >= 0]
     sizes = np.diff(w.gram_rows)[used]
     rows = np.concatenate([[0], np.cumsum(sizes)])
-    place = np.arange(rows[-1]) - np.repeat(rows[:-1], sizes) + np.repeat(w.gram_rows[used], sizes)
-    return Windows(w.at[:0], w.words[used], w.grams[place], rows, w.rows[:1])
+    place = np.arange(rows[-1], dtype=np.int32) + np.repeat((w.gram_rows[used] - rows[:-1]).astype(np.int32), sizes)
+    return Windows(w.at[:0], w.keys[used], w.words[used], w.grams[place], rows, w.rows[:1])
 
 
 def fit(texts: pa.Array, y: np.ndarray, steps: int = STEPS, seed: int = 5) -> dict[str, np.ndarray]:
@@ -204,7 +221,7 @@ def fit(texts: pa.Array, y: np.ndarray, steps: int = STEPS, seed: int = 5) -> di
     """
     p = _start(seed)
     rng = np.random.default_rng(seed)
-    w = cut(texts)
+    w = cut_all(texts)
     first, n = w.rows[:-1], np.diff(w.rows)
     marked, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(marked) or not len(clean):
