@@ -103,9 +103,10 @@ def _start(seed: int) -> dict[str, np.ndarray]:
 def _vectors(p: dict, w: Windows) -> np.ndarray:
     """The vector of each different word, with a row of zeros for -1 at the end."""
     out = np.zeros((len(w.words) + 1, WIDTH), np.float32)
-    if len(w.words):
-        n = np.diff(w.gram_rows)
-        out[:-1] = p["word"][w.words] + np.add.reduceat(p["gram"][w.grams], w.gram_rows[:-1]) / n[:, None]
+    for i in range(0, len(w.words), 20_000):
+        rows = w.gram_rows[i:i + 20_001]
+        sums = np.add.reduceat(p["gram"][w.grams[rows[0]:rows[-1]]], rows[:-1] - rows[0])
+        out[i:i + len(sums)] = p["word"][w.words[i:i + len(sums)]] + sums / np.diff(rows)[:, None]
     return out
 
 
