@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from vitrine.llm.words import slices
 
 #: Words a Python worker remembers, and their bytes, before it starts afresh; no effect on results.
-MOST_WORDS, MOST_BYTES = 600_000, 16_000_000
+MOST_WORDS, MOST_BYTES = 300_000, 8_000_000
 #: Text bytes whose words are replayed together.
 PART_BYTES = 4_000_000
 SHIFT = 24
@@ -162,9 +162,13 @@ def share_ranks(df: DataFrame, path: str):
 
 def bpe_encode(
     docs: DataFrame, path: str, pattern: str, columns: list[str], text_col: str = "text", ids: str = "ids", packed: bool = False,
+    decoded: str | None = None,
 ) -> DataFrame:
     """``columns`` of every row and the token ids of its whole text.
 
+    ``decoded`` names a further column: the bytes that the ids decode to, made in the
+    same pass, so that one Python worker per core holds a vocabulary.
+
     Ids are an array of integers, or, ``packed``, binary of little-endian unsigned
     32-bit integers. Special tokens are ordinary text. Null and empty texts have no
     ids. Repeated rows are encoded each; other columns are not read.
@@ -172,7 +176,7 @@ def bpe_encode(
     shared = share_ranks(docs, path)
     kept = docs.select(*columns, docs[text_col].alias("_text"))
     kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
-    schema = T.StructType([*(f for f in kept.schema if f.name != "_text"), T.StructField(ids, kind)])
+    schema = T.StructType([*(f for f in kept.schema if f.name != "_text"), T.StructField(ids, kind), *([T.StructField(decoded, T.BinaryType())] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(shared, pattern)
@@ -184,7 +188,8 @@ def bpe_encode(
                 else:
                     bounds = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
                     values = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), values], names=[*columns, ids])
+                back = [pa.array([vocabulary.decode(x) for x in found], pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), values, *back], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from vitrine.llm.bpe import bpe_decode, bpe_encode
+from vitrine.llm.bpe import bpe_encode
 from vitrine.llm.exact_dedup import exact_dedup
 from vitrine.llm.labelled import held_out
 from vitrine.llm.mixing import curriculum
@@ -19,12 +19,11 @@ from vitrine.llm.toxicity import fit_toxicity, toxicity_scores
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, then the bytes of the ids; both as digests."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe_encode(read(spark, sf_dir, "documents"), path, pattern, ["doc_id"], packed=True)
-    sized = encoded.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids"
+    coded = bpe_encode(read(spark, sf_dir, "documents"), path, pattern, ["doc_id"], packed=True, decoded="decoded")
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    decoded = bpe_decode(sized, path, pattern, ["doc_id", "n_tokens", "ids_sha256"])
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
