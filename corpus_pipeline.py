@@ -4,26 +4,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+from vitrine.llm.bpe import bpe_encode
 from vitrine.llm.exact_dedup import exact_dedup
+from vitrine.llm.labelled import held_out
 from vitrine.llm.mixing import curriculum
+from vitrine.llm.ngram_join import ngram_components
+from vitrine.llm.quality import fit_quality, quality_scores
 from vitrine.llm.tables import read, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more stay; the model is fitted on labelled documents outside the held-out fold."""
+    model = fit_quality(docs, read(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))
+    scores = quality_scores(docs, model, COLUMNS, name="_score")
+    return scores.where("_score >= 0.5").select(*COLUMNS)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays: the one with the largest id."""
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    dropped = exact_dedup(docs).where("not kept").select("doc_id")
+    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies stays: the one with the smallest id.
+
+    Five-word shingles, similarity 0.8 or more.
+    """
+    dropped = ngram_components(docs).where("component_id <> doc_id").select("doc_id")
+    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the curriculum takes, in order of their positions."""
-    mixed = curriculum(docs, keep=("text", "lang", "n_chars"))
-    return mixed.where("copies > 0").select(*COLUMNS, F.explode("positions").alias("_at")).orderBy("_at", "doc_id").select(*COLUMNS)
+    """As many copies of each document as the curriculum takes, in the order of their positions."""
+    mixed = curriculum(docs, keep=("text", "lang", "n_chars"), ordered=False)
+    copies = mixed.where("copies > 0").select(*COLUMNS, F.explode("positions").alias("_at"))
+    return copies.orderBy("_at", "doc_id").select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every copy: doc_id, source, n_tokens, ids."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe_encode(docs, path, pattern, ["doc_id", "source"])
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-STAGES = [("exact_dedup", exact), ("mixing", mix)]
+STAGES = [
+    ("quality_classifier", quality), ("exact_dedup", exact), ("ngram_join", near), ("mixing", mix), ("byte_bpe", encode),
+]
+#: Learned scores and token ids have no SQL; tests compare the rows with a brute-force version.
 ORACLE_SQL = None
 
 

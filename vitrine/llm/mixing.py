@@ -74,6 +74,7 @@ def curriculum(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
     weights: tuple[float, ...] = (3.0, 1.0, 2.0), total_share: float = 1.5, most_passes: float = 2.0,
     schedules: tuple = (FALLING, FLAT, RISING), ranges: int = RANGES, seed: int = 17, keep: tuple[str, ...] = (),
+    ordered: bool = True,
 ) -> DataFrame:
     """Per document: size, source_size, target, copies, taken, positions; range-sorted by first position.
 
@@ -83,7 +84,7 @@ def curriculum(
     a source is by a seeded hash of the id, so reruns agree. Null sources are one
     source of their own; null and empty texts have size 0, are never taken and have no
     position. Equal ids are placed apart by size. ``keep`` names further columns to
-    carry. An empty table gives an empty result.
+    carry; with ``ordered=False`` the rows are not sorted. An empty table gives an empty result.
 
     Sums per source and per (source, hash range) are combined before the shuffle; a
     source with a third of all rows is split into ``ranges`` windows.
@@ -113,7 +114,7 @@ def curriculum(
     )
     share = lambda p: (F.col("_start") + p * F.col("source_size")) / F.col("target")
     at = lambda p: F.coalesce(*[F.when(F.col("_schedule") == i, reached_at(share(p), s)) for i, s in enumerate(schedules)])
-    return (
+    mixed = (
         placed.withColumn("copies", copies)
         .withColumn("positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("copies"), F.lit(1)) - 1), at)))
         .select(
@@ -121,5 +122,5 @@ def curriculum(
             (F.col("copies") * F.col("size")).cast("long").alias("taken"), "positions",
             F.element_at("positions", 1).alias("position"), *[F.col(f"_keep_{c}").alias(c) for c in keep],
         )
-        .orderBy(F.col("position").asc_nulls_last(), id_col)
     )
+    return mixed.orderBy(F.col("position").asc_nulls_last(), id_col) if ordered else mixed

@@ -11,11 +11,17 @@ from vitrine.llm.bpe import bpe_encode
 from vitrine.llm.exact_dedup import exact_dedup
 from vitrine.llm.labelled import held_out
 from vitrine.llm.mixing import curriculum
+from vitrine.llm.ngram_join import ngram_components
 from vitrine.llm.quality import fit_quality, quality_scores
 from vitrine.llm.tables import read
 from vitrine.llm.toxicity import fit_toxicity, toxicity_scores
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of 0.85 or more between sets of four-word shingles of all documents."""
+    return ngram_components(read(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, then the bytes of the ids; both as digests."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -54,6 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_join": op2_ngram_join,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_mix_sources": op7_mix_sources,
     "op8_exact_dedup": op8_exact_dedup,
