@@ -13,6 +13,7 @@ from vitrine.llm.labelled import held_out
 from vitrine.llm.mixing import curriculum
 from vitrine.llm.ngram_join import ngram_components
 from vitrine.llm.quality import fit_quality, quality_scores
+from vitrine.llm.quotations import reply_order
 from vitrine.llm.tables import read
 from vitrine.llm.toxicity import fit_toxicity, toxicity_scores
 
@@ -32,6 +33,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of all conversations without quotations, with what it replies to."""
+    return reply_order(read(spark, sf_dir, "conversations"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights 3, 1, 2 in turn, 150% of all words, at most two passes over a source."""
     mixed = curriculum(read(spark, sf_dir, "documents"))
@@ -62,6 +68,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_quotation_links": op6_quotation_links,
     "op7_mix_sources": op7_mix_sources,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,

@@ -36,4 +36,49 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, source, copies FROM c
 """
 
-SQL: dict[str, str] = {"op7_mix_sources": OP7, "op8_exact_dedup": OP8}
+#: Quoted lines and passages are compared as texts; the latest earlier message that says one is its source.
+OP6 = r"""
+WITH m AS (
+  SELECT row_number() OVER () AS id, conv_id, turn, coalesce(role, 'user') AS role, string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM conversations
+), d AS (
+  SELECT *, list_transform(lines, lambda x: len(regexp_replace(regexp_extract(x, '^(?:[ \t]*>)+'), '[^>]', '', 'g'))) AS depths FROM m
+), o AS (
+  SELECT *, list_filter(lines, lambda x, i: depths[i] = 0 AND NOT (
+      regexp_matches(x, '^.*(?:wrote|writes|schrieb|écrit|escribió) ?:[ \t]*$') AND coalesce(depths[i + 1], 0) > 0)) AS own
+  FROM d
+), l AS (
+  SELECT id, conv_id, turn, depths[i] AS depth, i,
+         regexp_replace(regexp_replace(lines[i], '^(?:[ \t]*>)+', ''), '^[ \t\r]+|[ \t\r]+$', '', 'g') AS body
+  FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM d)
+), quoted AS (
+  SELECT DISTINCT conv_id, turn, depth, trim(regexp_replace(lower(t), '[ \t\r\n]+', ' ', 'g')) AS key FROM (
+    SELECT conv_id, turn, depth, body AS t FROM l WHERE depth > 0
+    UNION ALL
+    SELECT conv_id, turn, depth, string_agg(body, chr(10) ORDER BY i) FROM l WHERE depth > 0 GROUP BY id, conv_id, turn, depth)
+), said AS (
+  SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(t), '[ \t\r\n]+', ' ', 'g')) AS key FROM (
+    SELECT conv_id, turn, unnest(own) AS t FROM o UNION ALL SELECT conv_id, turn, array_to_string(own, chr(10)) FROM o)
+), links AS (
+  SELECT conv_id, turn, depth, source_turn, sum(len(key)) AS total FROM (
+    SELECT q.conv_id, q.turn, q.depth, q.key, max(s.turn) AS source_turn
+    FROM quoted q JOIN said s ON q.conv_id = s.conv_id AND q.key = s.key AND s.turn < q.turn
+    WHERE q.key <> '' GROUP BY ALL)
+  GROUP BY ALL
+), best AS (
+  SELECT conv_id, turn, depth, max({'n': total, 't': source_turn}).t AS source_turn FROM links GROUP BY ALL
+), replies AS (
+  SELECT conv_id, turn, arg_min(source_turn, depth) AS source_turn, count(*) AS n FROM best GROUP BY ALL
+), turns AS (
+  SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous
+  FROM (SELECT DISTINCT conv_id, turn FROM m)
+), c AS (
+  SELECT o.*, regexp_replace(array_to_string(own, chr(10)), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS content FROM o
+)
+SELECT c.conv_id, c.turn, c.role, row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn, c.role, c.id) AS position,
+       coalesce(r.source_turn, t.previous) AS reply_to, coalesce(r.n, 0) AS n_quotes, c.content,
+       '<|' || c.role || '|>' || chr(10) || c.content || chr(10) || '<|end|>' || chr(10) AS rendered
+FROM c JOIN turns t USING (conv_id, turn) LEFT JOIN replies r USING (conv_id, turn)
+"""
+
+SQL: dict[str, str] = {"op6_quotation_links": OP6, "op7_mix_sources": OP7, "op8_exact_dedup": OP8}
