@@ -14,10 +14,17 @@ from vitrine.llm.mixing import curriculum
 from vitrine.llm.ngram_join import ngram_components
 from vitrine.llm.quality import fit_quality, quality_scores
 from vitrine.llm.quotations import reply_order
+from vitrine.llm.substring_dedup import substring_dedup
 from vitrine.llm.tables import read
 from vitrine.llm.toxicity import fit_toxicity, toxicity_scores
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents less those of 13-word windows that an earlier document has."""
+    kept = substring_dedup(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of 0.85 or more between sets of four-word shingles of all documents."""
     return ngram_components(read(spark, sf_dir, "documents"), width=4, percent=85)
@@ -66,6 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_join": op2_ngram_join,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_quotation_links": op6_quotation_links,
