@@ -11,6 +11,7 @@ from vitrine.llm.bpe import bpe_encode
 from vitrine.llm.exact_dedup import exact_dedup
 from vitrine.llm.labelled import held_out
 from vitrine.llm.mixing import curriculum
+from vitrine.llm.neighbours import nearest
 from vitrine.llm.ngram_join import ngram_components
 from vitrine.llm.quality import fit_quality, quality_scores
 from vitrine.llm.quotations import reply_order
@@ -40,6 +41,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others."""
+    found = nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op6_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message of all conversations without quotations, with what it replies to."""
     return reply_order(read(spark, sf_dir, "conversations"))
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_join": op2_ngram_join,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_nearest": op5_nearest,
     "op6_quotation_links": op6_quotation_links,
     "op7_mix_sources": op7_mix_sources,
     "op8_exact_dedup": op8_exact_dedup,
