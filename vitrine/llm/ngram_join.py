@@ -289,9 +289,10 @@ def ngram_components(
     Ids are integers; a null id stands alone with a null component. Repeated rows are
     returned each. An empty table gives an empty result; other columns are not read.
 
-    Copies share a node, so groups of copies cost nothing more. A bucket is joined to one
-    reference each, which is linear; only where its members fall into different components
-    after that, members are joined with each other, block by block over an R-tree.
+    Copies share a node, so groups of copies cost nothing more. A bucket has one reference;
+    every node is first checked against one reference only. References and members of a bucket that
+    are still in different components after that are joined with each other, members
+    block by block over an R-tree.
     """
     table = written(set_table(docs, width, percent, id_col, text_col))
     nodes = table.where("same is not null and id is not null").groupBy("same").agg(F.min(F.col("id").cast("long")).alias("node"))
@@ -308,12 +309,16 @@ def ngram_components(
     names = sets.select("same", "node")
     buckets = written(
         shared.join(names, "same").join(names.select(F.col("same").alias("_least"), F.col("node").alias("ref")), "_least")
-        .select("signature", "node", "ref")
+        .select("signature", "node", "ref", "_least")
     )
-    star = buckets.where("node <> ref").select(F.least("node", "ref").alias("a"), F.greatest("node", "ref").alias("b")).distinct()
-    links = written(verified(_bounded(star, sets, percent), docs, width, percent, id_col, text_col))
+    others = buckets.where("node <> ref")
+    first = others.groupBy("node").agg(F.min(F.struct("_least", "ref")).alias("_f")).select(F.col("_f.ref").alias("a"), F.col("node").alias("b"))
+    links = written(verified(_bounded(first, sets, percent), docs, width, percent, id_col, text_col))
     joined = components(links)
-    across = written(_across(buckets, sets, joined, percent))
+    rest = others.select(F.col("ref").alias("a"), F.col("node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    of = lambda side: joined.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+    rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
+    across = written(_bounded(rest.select("a", "b"), sets, percent).unionByName(_across(buckets, sets, joined, percent)).distinct())
     if not across.isEmpty():
         joined = components(links.unionByName(verified(across, docs, width, percent, id_col, text_col)))
     label = joined.select(F.col("node").alias("_n"), "component")
