@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from vitrine.llm.words import slices
 
-#: Words a Python worker remembers, and their bytes, before it starts afresh; no effect on results.
-MOST_WORDS, MOST_BYTES = 300_000, 8_000_000
+#: Words a Python worker remembers, and their bytes, before it keeps those at hand only; no effect on results.
+MOST_WORDS, MOST_BYTES = 600_000, 16_000_000
 #: Text bytes whose words are replayed together.
 PART_BYTES = 4_000_000
 SHIFT = 24
@@ -69,10 +69,11 @@ class Vocabulary:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
         split = [self.pattern.findall(text) if text else [] for text in texts]
-        new = set().union(*split) - self.seen.keys()
+        words = set().union(*split)
+        new = words - self.seen.keys()
         if len(self.seen) + len(new) > MOST_WORDS or self.seen_bytes > MOST_BYTES:
-            self.seen, self.seen_bytes = {}, 0
-            new = set().union(*split)
+            self.seen = {word: self.seen[word] for word in words - new}
+            self.seen_bytes = sum(map(len, self.seen))
         if new:
             self.learn(new)
         return [b"".join(map(self.seen.__getitem__, words)) for words in split]
