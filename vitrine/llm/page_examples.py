@@ -117,20 +117,21 @@ class Maker:
         r = self.r
         out = [("<!DOCTYPE html><html><head>", -1), (f"<title>{self.prose(2, 8)}</title>", 0), ("<style>p{margin:0}</style></head><body>", -1)]
         wrap = r.choice([("", ""), ("", ""), ('<div id="page">', "</div>"), ('<div class="wrapper"><div class="row">', "</div></div>"), ("<main>", "</main>")])
+        bare = r.random() < 0.08
         for kind in ("note", "head", "nav", "form", "ad", "share"):
-            if r.random() < (0.7 if kind in ("head", "nav") else 0.35):
+            if not bare and r.random() < (0.7 if kind in ("head", "nav") else 0.35):
                 out += self.part(kind)
         out.append((wrap[0], -1))
         if r.random() < 0.4:
             out += self.part(r.choice(["side", "nav", "ad"]))
-        a, b = self.open("main")
+        a, b = self.open("main") if r.random() < 0.85 else ("", "")
         tail = self.part("talk") if r.random() < 0.2 else []
         out += [(a, -1), *self.article(), *tail, (b, -1)]
         for kind in ("share", "side", "talk", "ad", "form"):
-            if r.random() < 0.4:
+            if not bare and r.random() < 0.4:
                 out += self.part(kind)
         out.append((wrap[1], -1))
         for kind in ("foot", "note"):
-            if r.random() < (0.85 if kind == "foot" else 0.2):
+            if not bare and r.random() < (0.85 if kind == "foot" else 0.2):
                 out += self.part(kind)
         return [*out, ("</body></html>", -1)]
