@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 from vitrine.llm.bpe import bpe_encode
 from vitrine.llm.exact_dedup import exact_dedup
+from vitrine.llm.html_text import extract_main_text, fit_labeller
 from vitrine.llm.labelled import held_out
 from vitrine.llm.mixing import curriculum
 from vitrine.llm.neighbours import nearest
@@ -31,6 +32,13 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(read(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = read(spark, sf_dir, "pages")
+    texts = extract_main_text(pages, fit_labeller(pages), ["page_id", "url"])
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, then the bytes of the ids; both as digests."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -82,6 +90,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_join": op2_ngram_join,
+    "op3_main_text": op3_main_text,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_nearest": op5_nearest,
     "op6_quotation_links": op6_quotation_links,

@@ -81,4 +81,18 @@ SELECT c.conv_id, c.turn, c.role, row_number() OVER (PARTITION BY c.conv_id ORDE
 FROM c JOIN turns t USING (conv_id, turn) LEFT JOIN replies r USING (conv_id, turn)
 """
 
-SQL: dict[str, str] = {"op6_quotation_links": OP6, "op7_mix_sources": OP7, "op8_exact_dedup": OP8}
+#: What stands in the article element, where the given pages keep their main text.
+OP3 = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*)</article>', 1) AS x FROM pages
+), b AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(x, '</?(h1|p|br)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM a
+), c AS (
+  SELECT page_id, url,
+         replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&amp;', '&') AS x
+  FROM b
+), d AS (SELECT page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM d
+"""
+
+SQL: dict[str, str] = {"op3_main_text": OP3, "op6_quotation_links": OP6, "op7_mix_sources": OP7, "op8_exact_dedup": OP8}
