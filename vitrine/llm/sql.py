@@ -89,7 +89,8 @@ WITH a AS (
   SELECT page_id, url, regexp_replace(regexp_replace(x, '</?(h1|p|br)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM a
 ), c AS (
   SELECT page_id, url,
-         replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&amp;', '&') AS x
+         regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+           x, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#(39|x27);', chr(39), 'g'), '&amp;?', '&', 'g') AS x
   FROM b
 ), d AS (SELECT page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text FROM c)
 SELECT page_id, url, text, length(text) AS n_chars FROM d
