@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from vitrine.llm.shipping import shipped
 from vitrine.llm.words import slices
 
 #: Words a Python worker remembers, and their bytes, before it keeps those at hand only; no effect on results.
@@ -192,7 +193,7 @@ def bpe_encode(
                 back = [pa.array([vocabulary.decode(x) for x in found], pa.binary())] if decoded else []
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), values, *back], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return shipped(kept).mapInArrow(run, schema)
 
 
 def bpe_decode(rows: DataFrame, path: str, pattern: str, columns: list[str], ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -208,4 +209,4 @@ def bpe_decode(rows: DataFrame, path: str, pattern: str, columns: list[str], ids
                 values = pa.array([vocabulary.decode(x) for x in part.column(ids).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), values], names=[*columns, out])
 
-    return kept.mapInArrow(run, schema)
+    return shipped(kept).mapInArrow(run, schema)

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from vitrine.llm.html_blocks import Page, parse
 from vitrine.llm.page_examples import Maker
+from vitrine.llm.shipping import shipped
 from vitrine.llm.words import LOWER, MARKS, slices, split_words, text_bytes
 
 #: Vector sizes: tokens of the path, words, counts.
@@ -268,4 +269,4 @@ def extract_main_text(pages: DataFrame, model: dict[str, np.ndarray], columns: l
                 texts = pa.array(main_texts(model, part.column("_html").to_pylist()), pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), texts], names=[*columns, out])
 
-    return kept.mapInArrow(run, schema)
+    return shipped(kept).mapInArrow(run, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitrine.llm.shipping import shipped
 from vitrine.llm.words import slices
 
 
@@ -44,4 +45,4 @@ def scored(docs: DataFrame, text_col: str, columns: list[str], score: Callable[[
                 values = pa.array(np.asarray(score(text), np.float64))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), values], names=[*columns, name])
 
-    return kept.mapInArrow(run, schema)
+    return shipped(kept).mapInArrow(run, schema)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vitrine.llm.shipping import shipped
 from vitrine.llm.tables import written
 
 #: Vectors that the graph and the network are fitted on, at most; all vectors are indexed.
@@ -181,7 +182,7 @@ def nearest(
                 order, n = router.choices(_unit(x), share)
                 yield frame.assign(order=[o[:m] for o, m in zip(order, n)])
 
-    routed = written(rows.mapInPandas(route, "id long, v array<double>, asked boolean, order array<int>"))
+    routed = written(shipped(rows).mapInPandas(route, "id long, v array<double>, asked boolean, order array<int>"))
     sizes = routed.groupBy(F.get("order", F.lit(0)).alias("part")).agg(F.count(F.lit(1)).alias("n"))
     blocks = F.broadcast(sizes.select("part", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))  # one row per partition
     filed = routed.select(F.get("order", F.lit(0)).alias("part"), "id", "v").join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))

@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vitrine.llm.components import components
+from vitrine.llm.shipping import shipped
 from vitrine.llm.tables import written
 from vitrine.llm.words import LOWER, mix, odd, slices, split_words, text_bytes, windows
 
@@ -158,7 +159,7 @@ def set_table(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
                     names=["id", "n_shingles", "same", "point", "signatures"],
                 )
 
-    return kept.mapInArrow(run, f"id {kind}, n_shingles long, same long, point binary, signatures array<long>")
+    return shipped(kept).mapInArrow(run, f"id {kind}, n_shingles long, same long, point binary, signatures array<long>")
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -178,7 +179,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             fits = (100 + percent) * np.minimum(p, q).sum(1, dtype=np.int64) >= percent * (p.sum(1, dtype=np.int64) + q.sum(1))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(fits))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return shipped(rows).mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -214,7 +215,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
 
-    return rows.select("a", "role", "node", "text").mapInArrow(run, "a long, b long").distinct()
+    return shipped(rows.select("a", "role", "node", "text")).mapInArrow(run, "a long, b long").distinct()
 
 
 def tree_pairs(left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -275,7 +276,7 @@ def _across(buckets: DataFrame, sets: DataFrame, joined: DataFrame, percent: int
         x, y = node[a[apart]], node[b[apart]]
         return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
 
-    return sides.groupBy("signature", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    return shipped(sides).groupBy("signature", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def ngram_components(

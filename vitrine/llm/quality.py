@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.labelled import sample, scored
+from vitrine.llm.shipping import shipped
 from vitrine.llm.words import slices, split_words, text_bytes
 
 #: Labelled documents to fit on, at most.
@@ -223,7 +224,7 @@ def fit_quality(
                 yield pa.RecordBatch.from_arrays([part.column("_id"), rows, part.column("_label")], names=["_id", "x", "y"])
 
     kind = chosen.schema["_id"].dataType.simpleString()
-    rows: pd.DataFrame = chosen.mapInArrow(run, f"_id {kind}, x array<double>, y int").toPandas().sort_values("_id")
+    rows: pd.DataFrame = shipped(chosen).mapInArrow(run, f"_id {kind}, x array<double>, y int").toPandas().sort_values("_id")
     x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, len(FEATURES)))
     return fit(x, rows["y"].to_numpy(np.float64))
 

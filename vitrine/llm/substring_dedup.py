@@ -18,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vitrine.llm.shipping import shipped
 from vitrine.llm.tables import written
 from vitrine.llm.words import Words, odd, mix, slices, split_words, text_bytes, windows
 
 #: Words of the sequence that names a run.
 INNER = 4
+#: Rows that are settled among themselves before the shuffle.
+GROUP = 500_000
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -53,65 +56,100 @@ def paths(words: Words, k: int) -> tuple[np.ndarray, ...]:
     return row[starts], at[starts] - rows[row[starts]], n, least[starts], names
 
 
+def _settle(one: np.ndarray, two: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Source of every row whose two keys an earlier document has among these rows, else null.
+
+    A settled row needs no partner from elsewhere: its keys are replaced by its own
+    coordinates, so a passage that a third of all documents share is not one group of the shuffle.
+    """
+    order = np.lexsort((starts, ids, two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    at = np.flatnonzero(new)
+    leader = np.empty(len(order), np.int64)
+    leader[order] = np.repeat(order[at], np.diff(np.append(at, len(order))))
+    settled = ids > ids[leader]
+    one[settled] = mix(ids[settled].astype(np.uint64) ^ mix(starts[settled].astype(np.uint64)))
+    two[settled] = ~one[settled]
+    return pa.array(ids[leader], mask=~settled), pa.array(starts[leader].astype(np.int32), mask=~settled)
+
+
+def _settled(parts: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBatch:
+    one, two, ids, starts, *rest = (np.concatenate(c) for c in zip(*parts))
+    source = _settle(one, two, ids, starts)
+    values = [one.view(np.int64), two.view(np.int64), ids, starts.astype(np.int32), *(r.astype(np.int32) for r in rest)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, values), *source], names=[*names, "known_id", "known_start"])
+
+
+def _in_groups(batches: Iterator[pa.RecordBatch], rows_of, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of many texts settled among themselves, ``GROUP`` or so at a time."""
+    parts, n = [], 0
+    for batch in batches:
+        for part in slices(batch, "text"):
+            parts.append(rows_of(part))
+            n += len(parts[-1][0])
+            if n >= GROUP:
+                yield _settled(parts, names)
+                parts, n = [], 0
+    if n:
+        yield _settled(parts, names)
+
+
 def _path_table(docs: DataFrame, k: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                row, start, n, least, name = paths(split_words(*text_bytes(part.column("text"))), k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(least.view(np.int64)), pa.array(name.view(np.int64)), part.column("id").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["least", "name", "id", "start", "n"],
-                )
+    def rows_of(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        row, start, n, least, name = paths(split_words(*text_bytes(part.column("text"))), k)
+        return least, name, part.column("id").to_numpy()[row], start, n
 
-    return docs.mapInArrow(run, "least long, name long, id long, start int, n int")
+    names = ["least", "name", "id", "start", "n"]
+    return shipped(docs).mapInArrow(
+        lambda batches: _in_groups(batches, rows_of, names), "least long, name long, id long, start int, n int, known_id long, known_start int"
+    )
 
 
 def _edge_table(opened: DataFrame, k: int) -> DataFrame:
     """The single windows of paths: two hashes of each, its document and place."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words = split_words(*text_bytes(part.column("text")))
-                hashes = words.hashes()
-                one, two = windows(hashes, words.rows, k, 3)[0], windows(hashes, words.rows, k, 13)[0]
-                column = part.column("paths")
-                begins = np.diff(column.offsets.to_numpy())
-                flat = column.flatten()
-                start, n = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n"))
-                row = np.repeat(np.arange(len(part)), begins)
-                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
-                row = np.repeat(row, n)
-                at = place + words.rows[row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64)), part.column("id").take(pa.array(row)), pa.array(place.astype(np.int32))],
-                    names=["one", "two", "id", "start"],
-                )
-
-    return opened.mapInArrow(run, "one long, two long, id long, start int")
+    def rows_of(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        words = split_words(*text_bytes(part.column("text")))
+        hashes = words.hashes()
+        one, two = windows(hashes, words.rows, k, 3)[0], windows(hashes, words.rows, k, 13)[0]
+        column = part.column("paths")
+        flat = column.flatten()
+        start, n = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n"))
+        row = np.repeat(np.repeat(np.arange(len(part)), np.diff(column.offsets.to_numpy())), n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+        at = place + words.rows[row]
+        return one[at], two[at], part.column("id").to_numpy()[row], place
+
+    names = ["one", "two", "id", "start"]
+    return shipped(opened).mapInArrow(
+        lambda batches: _in_groups(batches, rows_of, names), "one long, two long, id long, start int, known_id long, known_start int"
+    )
 
 
 def repeated_spans(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, start, n, source_id, source_start: paths whose n windows from word ``start`` on also start in a document with a smaller id."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     source = F.struct("id", "start")
+    known = F.col("known_id").isNotNull()
+    origin = lambda field: F.coalesce(f"known_{field}", f"_source.{field}").alias(f"source_{field}")
     same, near = W.partitionBy("least", "name"), W.partitionBy("least")
     # One shuffle on the minimizer serves both windows: those of a path, and those of all paths that share it.
     marked = written(
         _path_table(texts, k).repartition("least")
         .withColumn("_source", F.min(source).over(same))
         .withColumn("_low", F.min("id").over(near)).withColumn("_high", F.max("id").over(near))
-        .where("_low < _high")
-        .withColumn("_other", (F.min("name").over(near) != F.max("name").over(near)) & (F.col("id") == F.col("_source.id")))
-        .where("_other or id > _source.id")
-        .select("id", "start", "n", "_other", F.col("_source.id").alias("source_id"), F.col("_source.start").alias("source_start"))
+        .where(known | (F.col("_low") < F.col("_high")))
+        .withColumn("_other", ~known & (F.min("name").over(near) != F.max("name").over(near)) & (F.col("id") == F.col("_source.id")))
+        .where(known | F.col("_other") | (F.col("id") > F.col("_source.id")))
+        .select("id", "start", "n", "_other", origin("id"), origin("start"))
     )
     alike = marked.where("not _other").drop("_other")
     opened = marked.where("_other").groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("paths"))
     edges = _edge_table(opened.hint("shuffle_hash").join(texts, "id").select("id", "text", "paths"), k)
     first = F.min(source).over(W.partitionBy("one", "two"))
-    branching = edges.withColumn("_source", first).where("id > _source.id").select(
-        "id", "start", F.lit(1).alias("n"), F.col("_source.id").alias("source_id"), F.col("_source.start").alias("source_start"),
+    branching = edges.withColumn("_source", first).where(known | (F.col("id") > F.col("_source.id"))).select(
+        "id", "start", F.lit(1).alias("n"), origin("id"), origin("start")
     )
     return alike.unionByName(branching)
 
@@ -172,6 +210,6 @@ def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_c
                 text, n, removed = kept_words(part.column("text"), part.column("_spans"), k)
                 yield pa.RecordBatch.from_arrays([part.column("_doc"), text, pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64))], names=["_doc", "_kept", "n_words", "n_removed"])
 
-    return rows.mapInArrow(run, f"_doc {kind}, _kept string, n_words long, n_removed long").select(
+    return shipped(rows).mapInArrow(run, f"_doc {kind}, _kept string, n_words long, n_removed long").select(
         F.col("_doc").alias(id_col), F.col("_kept").alias(out), "n_words", "n_removed"
     )
