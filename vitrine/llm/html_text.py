@@ -240,10 +240,9 @@ def main_texts(p: dict[str, np.ndarray], sources: list[str | None]) -> list[str]
 def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = GIVEN) -> dict[str, np.ndarray]:
     """Fit on the driver on made-up pages and at most ``most`` given ones of ``GIVEN_BYTES`` together."""
     limit = GIVEN_BYTES // max(most, 1) * 4
-    rows = (
-        pages.where(F.col(html_col).isNotNull() & (F.octet_length(html_col) <= limit)).select(F.xxhash64(F.col(id_col)).alias("k"), html_col)
-        .orderBy("k", html_col).limit(most).collect()
-    )
+    short = pages.where(F.col(html_col).isNotNull() & (F.octet_length(html_col) <= limit)).select(F.xxhash64(F.col(id_col)).alias("k"), html_col)
+    keys = F.broadcast(short.select("k").distinct().orderBy("k").limit(most))  # at most ``most`` numbers
+    rows = short.join(keys, "k", "left_semi").orderBy("k", html_col).limit(most).collect()
     sources, total = [], 0
     for row in rows:
         total += len(row[1])

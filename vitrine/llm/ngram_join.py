@@ -2,9 +2,9 @@
 
 Shingles are hashed into groups. Two sets that link differ in at most h shingles, so
 of more than h filled groups one is the same in both: such groups are the buckets
-in which links are looked for, and no link is lost. A set's group counts are a
-point; the summed minima of two points bound the overlap, for two boxes of an R-tree
-likewise, and only pairs that this bound leaves are verified on the whole sets.
+in which links are looked for, and no link is lost. A set's counts of hashes by
+group are a point; the summed minima of two points bound the overlap, for two boxes of an
+R-tree likewise, and only pairs that the bound leaves are verified on the whole sets.
 """
 from __future__ import annotations
 
@@ -23,10 +23,10 @@ from vitrine.llm.shipping import shipped
 from vitrine.llm.tables import written
 from vitrine.llm.words import LOWER, mix, odd, slices, split_words, text_bytes, windows
 
-#: Coordinates of a point.
-AXES = 64
-#: Members of a leaf of the R-tree, of a verified group, and of a block of a bucket.
-LEAF, GROUP, BLOCK = 16, 256, 2048
+#: Coordinates of a point in the R-tree, and in the second bound; the third bound has 65536.
+AXES, FINE = 64, 1024
+#: Members of a leaf of the R-tree, of a verified group, and of a block of a cluster.
+LEAF, GROUP, BLOCK = 16, 256, 1024
 #: Size classes grow by this factor.
 LEVEL = 1.4
 
@@ -120,10 +120,19 @@ def signatures(value: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.
     return np.concatenate(outs)[order], np.searchsorted(row[order], np.arange(len(bounds)))
 
 
-def _points(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    n = len(bounds) - 1
-    row = np.repeat(np.arange(n), np.diff(bounds))
-    return np.bincount(row * AXES + (value >> np.uint64(58)).astype(np.int64), minlength=n * AXES).reshape(n, AXES).astype(np.int32)
+def _folded(codes: list[np.ndarray], axes: int) -> np.ndarray:
+    """Counts of the 16-bit groups of each set, folded to ``axes`` coordinates."""
+    row = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+    flat = np.concatenate([*codes, np.zeros(0, np.uint16)]).astype(np.int64) * axes >> 16
+    return np.bincount(row * axes + flat, minlength=len(codes) * axes).reshape(len(codes), axes).astype(np.int32)
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Summed minima of the counts of two sorted lists of 16-bit groups."""
+    u, n = np.unique(x, return_counts=True)
+    v, m = np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -131,7 +140,7 @@ def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Arra
 
 
 def set_table(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, same (hash of the set), point, and, once per set and task, the signatures."""
+    """id, n_shingles, same (hash of the set), point (16-bit group of each shingle, in order), and, once per set and task, the signatures."""
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = kept.schema["id"].dataType.simpleString()
 
@@ -150,11 +159,11 @@ def set_table(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
                         first[i] = True
                 some = np.repeat(first, sizes)
                 signed, signed_bounds = signatures(value[some], np.concatenate([[0], np.cumsum(np.where(first, sizes, 0))]), percent)
-                points = _points(value, bounds)
+                codes = (value >> np.uint64(48)).astype("<u2")
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"), pa.array(sizes.astype(np.int64)), pa.array(np.where(sizes > 0, same, 0), mask=sizes == 0),
-                        pa.array([p.tobytes() for p in points], pa.binary()), _lists(signed.view(np.int64), signed_bounds, pa.int64()),
+                        pa.array([codes[a:b].tobytes() if f else None for a, b, f in zip(bounds[:-1], bounds[1:], first)], pa.binary()), _lists(signed.view(np.int64), signed_bounds, pa.int64()),
                     ],
                     names=["id", "n_shingles", "same", "point", "signatures"],
                 )
@@ -175,8 +184,8 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, AXES) for c in "pq")
-            fits = (100 + percent) * np.minimum(p, q).sum(1, dtype=np.int64) >= percent * (p.sum(1, dtype=np.int64) + q.sum(1))
+            p, q = ([np.frombuffer(x, "<u2") for x in batch.column(c).to_pylist()] for c in "pq")
+            fits = [(100 + percent) * _common(x, y) >= percent * (len(x) + len(y)) for x, y in zip(p, q)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(fits))
 
     return shipped(rows).mapInArrow(run, "a long, b long")
@@ -218,65 +227,88 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col
     return shipped(rows.select("a", "role", "node", "text")).mapInArrow(run, "a long, b long").distinct()
 
 
-def tree_pairs(left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of two point tables that the bound leaves, by boxes first."""
+def tree_pairs(left: np.ndarray, right: np.ndarray, of_left: np.ndarray, of_right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of two point tables, of different components, that the bound leaves; by boxes first."""
     order_l, order_r = (np.lexsort((p[:, 0], p.sum(1))) for p in (left, right))
 
     def leaves(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = np.arange(0, len(points), LEAF)
         return np.maximum.reduceat(points, starts), np.minimum.reduceat(points.sum(1), starts)
 
-    l, r = left[order_l], right[order_r]
+    l, r, comp_l, comp_r = left[order_l], right[order_r], of_left[order_l], of_right[order_r]
     top_l, least_l = leaves(l)
     top_r, least_r = leaves(r)
     sum_l, sum_r = l.sum(1, dtype=np.int64), r.sum(1, dtype=np.int64)
-    found_l, found_r = [], []
+    found_l, found_r = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(len(top_l)):
         near = np.flatnonzero((100 + percent) * np.minimum(top_l[i], top_r).sum(1, dtype=np.int64) >= percent * (least_l[i] + least_r))
-        if not len(near):
-            continue
         rows = (near[:, None] * LEAF + np.arange(LEAF)).ravel()
         rows = rows[rows < len(r)]
         for j in range(i * LEAF, min((i + 1) * LEAF, len(l))):
-            ok = (100 + percent) * np.minimum(l[j], r[rows]).sum(1, dtype=np.int64) >= percent * (sum_l[j] + sum_r[rows])
-            found_r.append(order_r[rows[ok]])
+            other = rows[comp_r[rows] != comp_l[j]]
+            ok = (100 + percent) * np.minimum(l[j], r[other]).sum(1, dtype=np.int64) >= percent * (sum_l[j] + sum_r[other])
+            found_r.append(order_r[other[ok]])
             found_l.append(np.full(int(ok.sum()), order_l[j]))
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(found_l), np.concatenate(found_r)) if found_l else (none, none)
-
-
-def _across(buckets: DataFrame, sets: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components that share a bucket in which neither is the reference."""
-    label = joined.select(F.col("node").alias("_n"), "component")
-    rows = buckets.join(label, F.col("node") == F.col("_n"), "left").select("signature", "node", "ref", F.coalesce("component", "node").alias("component"))
-    open_ = (
-        rows.where("node <> ref").groupBy("signature").agg(F.count(F.lit(1)).alias("_size"), F.min("component").alias("_x"), F.max("component").alias("_y"))
-        .where("_x <> _y").select("signature", F.ceil(F.col("_size") / BLOCK).cast("int").alias("_blocks"))
+    return np.concatenate(found_l), np.concatenate(found_r)
+
+
+def _forest(group: pd.DataFrame, failed: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The likeliest links that would join the components of a block, each joined once."""
+    node, comp, own = group["node"].to_numpy(), group["component"].to_numpy(), group["own"].to_numpy()
+    codes = [np.frombuffer(p, "<u2") for p in group["point"]]
+    sizes = np.array([len(c) for c in codes])
+    coarse, fine = _folded(codes, AXES), _folded(codes, FINE).astype(np.int16)
+    left, right = (np.flatnonzero(own == group[k].iloc[0]) for k in "ij")
+    a, b = tree_pairs(coarse[left], coarse[right], comp[left], comp[right], percent)
+    a, b = left[a], right[b]
+    shares = [np.zeros(0)]
+    for k in range(0, len(a), 10_000):
+        i, j = a[k:k + 10_000], b[k:k + 10_000]
+        shares.append(np.minimum(fine[i], fine[j]).sum(1, dtype=np.int64) / (sizes[i] + sizes[j]))
+    share = np.concatenate(shares)
+    fits = np.flatnonzero(share * (100 + percent) >= percent - 1e-9)
+    fits = fits[np.argsort(-share[fits], kind="stable")]
+    done = set(zip(failed["failed_a"].tolist(), failed["failed_b"].tolist()))
+    parent = {c: c for c in comp.tolist()}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out = []
+    for i, j in zip(a[fits].tolist(), b[fits].tolist()):
+        x, y = root(comp[i]), root(comp[j])
+        if x != y:
+            pair = (int(min(node[i], node[j])), int(max(node[i], node[j])))
+            if pair not in done and (100 + percent) * _common(codes[i], codes[j]) >= percent * (sizes[i] + sizes[j]):
+                out.append(pair)
+                parent[max(x, y)] = min(x, y)
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _across(members: DataFrame, joined: DataFrame, failed: DataFrame, percent: int) -> DataFrame:
+    """Pairs to check next: per two blocks of a cluster, a forest over the components that are left.
+
+    ``members``: cluster, node, point, blocks, block; ``failed``: cluster, failed_a, failed_b.
+    """
+    rows = members.join(joined.select(F.col("node").alias("_n"), "component"), F.col("node") == F.col("_n"), "left").withColumn(
+        "component", F.coalesce("component", "node")
     )
-    points = sets.select(F.col("node").alias("_n"), "point")
-    members = (
-        rows.where("node <> ref").join(open_, "signature").join(points, F.col("node") == F.col("_n"))
-        .select("signature", "node", "component", "point", "_blocks", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int").alias("_block"))
+    left = rows.groupBy("cluster").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x <> _y").select("cluster")
+    # Two blocks meet in one group: (i, j), i <= j.
+    sides = rows.join(left, "cluster").select(
+        "cluster", "node", "component", "point",
+        F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
+            F.least("block", k).alias("i"), F.greatest("block", k).alias("j"), F.col("block").alias("own")))).alias("_at"),
+    ).select("cluster", "node", "component", "point", "_at.*")
+    against = failed.join(sides.select(F.col("cluster").alias("_c"), F.col("i").alias("_i"), F.col("j").alias("_j")).distinct(), F.col("cluster") == F.col("_c")).select(
+        "_c", "_i", "_j", "failed_a", "failed_b"
     )
-    # Each block meets each other one once: as left side of the pairs (block, j), j >= block, as right side of (i, block), i <= block.
-    sides = members.select(
-        "signature", "node", "component", "point",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda k: F.struct(
-            F.least(F.col("_block"), k).alias("i"), F.greatest(F.col("_block"), k).alias("j"), F.col("_block").alias("own")))).alias("_at"),
-    ).select("signature", "node", "component", "point", "_at.*")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        points = np.frombuffer(b"".join(group["point"]), np.int32).reshape(-1, AXES)
-        node, comp, own = group["node"].to_numpy(), group["component"].to_numpy(), group["own"].to_numpy()
-        left = np.flatnonzero(own == group["i"].iloc[0])
-        right = np.flatnonzero(own == group["j"].iloc[0])
-        a, b = tree_pairs(points[left], points[right], percent)
-        a, b = left[a], right[b]
-        apart = comp[a] != comp[b]
-        x, y = node[a[apart]], node[b[apart]]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
-
-    return shipped(sides).groupBy("signature", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    kind = "a long, b long"
+    run = lambda group, done: _forest(group, done, percent) if len(group) else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    return shipped(sides).groupBy("cluster", "i", "j").cogroup(against.groupBy("_c", "_i", "_j")).applyInPandas(run, kind).distinct()
 
 
 def ngram_components(
@@ -291,39 +323,52 @@ def ngram_components(
     returned each. An empty table gives an empty result; other columns are not read.
 
     Copies share a node, so groups of copies cost nothing more. A bucket has one reference;
-    every node is first checked against one reference only. References and members of a bucket that
-    are still in different components after that are joined with each other, members
-    block by block over an R-tree.
+    every node is first checked against one reference, which is linear. Buckets whose members
+    are still in different components after that make up clusters. In a cluster,
+    block by block over an R-tree, the likeliest pairs that would join what is apart are checked;
+    until all pairs so checked do link, which is most often at once, this is done again without those that do not.
     """
     table = written(set_table(docs, width, percent, id_col, text_col))
-    nodes = table.where("same is not null and id is not null").groupBy("same").agg(F.min(F.col("id").cast("long")).alias("node"))
-    sets = written(
-        table.where("same is not null").select("same", "id", "point").join(nodes, "same")
-        .where(F.col("id") == F.col("node")).groupBy("node", "same").agg(F.first("point").alias("point"))
-    )
-    exploded = table.where("same is not null").select(F.explode("signatures").alias("signature"), "same")
+    filled = table.where("same is not null")
+    nodes = filled.where("id is not null").groupBy("same").agg(F.min(F.col("id").cast("long")).alias("node"))
+    sets = written(filled.where("point is not null").groupBy("same").agg(F.first("point").alias("point")).join(nodes, "same").select("node", "point"))
     by = W.partitionBy("signature")
     shared = (
-        exploded.withColumn("_least", F.min("same").over(by)).withColumn("_most", F.max("same").over(by))
+        filled.select(F.explode("signatures").alias("signature"), "same")
+        .withColumn("_least", F.min("same").over(by)).withColumn("_most", F.max("same").over(by))
         .where("_least <> _most").select("signature", "same", "_least").distinct()
     )
-    names = sets.select("same", "node")
     buckets = written(
-        shared.join(names, "same").join(names.select(F.col("same").alias("_least"), F.col("node").alias("ref")), "_least")
+        shared.join(nodes, "same").join(nodes.select(F.col("same").alias("_least"), F.col("node").alias("ref")), "_least")
         .select("signature", "node", "ref", "_least")
     )
-    others = buckets.where("node <> ref")
-    first = others.groupBy("node").agg(F.min(F.struct("_least", "ref")).alias("_f")).select(F.col("_f.ref").alias("a"), F.col("node").alias("b"))
+    first = buckets.where("node <> ref").groupBy("node").agg(F.min(F.struct("_least", "ref")).alias("_f")).select(F.col("_f.ref").alias("a"), F.col("node").alias("b"))
     links = written(verified(_bounded(first, sets, percent), docs, width, percent, id_col, text_col))
     joined = components(links)
-    rest = others.select(F.col("ref").alias("a"), F.col("node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    of = lambda side: joined.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
-    rest = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
-    across = written(_bounded(rest.select("a", "b"), sets, percent).unionByName(_across(buckets, sets, joined, percent)).distinct())
-    if not across.isEmpty():
-        joined = components(links.unionByName(verified(across, docs, width, percent, id_col, text_col)))
+    label = joined.select(F.col("node").alias("_n"), "component")
+    placed = buckets.join(label, F.col("node") == F.col("_n"), "left").select("signature", "node", "ref", F.coalesce("component", "node").alias("component"))
+    open_ = placed.groupBy("signature").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x <> _y").select("signature")
+    clusters = components(buckets.join(open_, "signature", "left_semi").where("node <> ref").select("node", "ref"), "node", "ref")
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    members = written(
+        clusters.join(sizes, "component").join(sets.select(F.col("node").alias("_n"), "point"), F.col("node") == F.col("_n"))
+        .select(F.col("component").alias("cluster"), "node", "point", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+    )
+    failed = members.sparkSession.createDataFrame([], "failed_a long, failed_b long")
+    while True:
+        places = clusters.select(F.col("node").alias("failed_a"), F.col("component").alias("cluster"))
+        tried = written(_across(members, joined, failed.join(places, "failed_a"), percent))
+        if tried.isEmpty():
+            break
+        found = written(verified(tried, docs, width, percent, id_col, text_col))
+        links = links.unionByName(found)
+        joined = components(links)
+        missed = tried.join(found, ["a", "b"], "left_anti")
+        if missed.isEmpty():
+            break
+        failed = failed.unionByName(missed.select(F.col("a").alias("failed_a"), F.col("b").alias("failed_b")))
     label = joined.select(F.col("node").alias("_n"), "component")
     return (
-        table.select("id", "n_shingles", "same").join(names, "same", "left").join(label, F.col("node") == F.col("_n"), "left")
+        table.select("id", "n_shingles", "same").join(nodes, "same", "left").join(label, F.col("node") == F.col("_n"), "left")
         .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "node", F.col("id").cast("long")).alias("component_id"))
     )
