@@ -16,28 +16,26 @@ from vitrine.sources.tables import materialized
 
 SALT = "oracle-salt"
 
-# 80 file names in four blocks of 20 (plain, mirror, sensitive, programs).
+# 80 made-up file names in four blocks of 20: plain, mirror, sensitive, programs.
 NAMES = (
-    "readme.txt index.html images/ notes.md style.css app.js logo.png users/ backup/ data.json "
-    "photo.jpg LICENSE favicon.ico video.webm sitemap.xml src/ main.py docs/ robots.txt font.woff2 "
-    "v1.zip v2.tar disk.iso src.tar.gz ep1.mp4 ep2.mkv pkg.deb pkg.rpm tool.whl lib.jar "
-    "setup.msi PyCharm-2025.exe Xshell-8.0.exe app.AppImage manual.pdf mac.dmg old.rar a.7z b.xz CHECKSUMS "
-    ".env prod.env .git/ id_rsa authorized_keys server.pem wp-config.php .htpasswd db_dump.sql backup.sql.gz "
-    "customers.csv passwords.zip ssh_keys.tar.gz config.zip wallet.dat credentials app.sqlite3 trace.pcap "
-    "client.ovpn site-backup.zip "
-    "c99.php shell.php shell.php5 mimikatz.exe run.ps1 deploy.sh lib.dll fw.bin tool.elf index.php "
-    "beacon.dll payroll.xlsx api_key.txt terraform.tfstate access.log invoices.pdf .svn/ .DS_Store "
-    "report.txt setup.bat"
+    "teig.txt start.html fotos/ plan.md laden.css laden.js ofen.png mitarbeiter/ backup_alt/ preise.json "
+    "markt.jpg LIZENZ ofen.ico ofen.webm seiten.xml quellen/ kneten.py papiere/ regeln.txt schrift.woff2 "
+    "brot-1.zip brot-2.tar brot.iso brot.tar.gz film-1.mp4 film-2.mkv ofen.deb ofen.rpm ofen.whl ofen.jar "
+    "ofen.msi Waage-3.exe Muschel-2.exe ofen.AppImage handbuch.pdf ofen.dmg winter.rar winter.7z winter.xz SUMMEN "
+    ".env laden.env .git/ kasse_id_rsa authorized_keys kasse.pem wp-config-neu.php .htpasswd kasse_dump.sql kasse.sql.gz "
+    "customers_nord.csv password_liste.zip ssh-key_nord.tar.gz config.rar wallet.dat credential.odt lager.sqlite3 netz.pcap "
+    "nord.ovpn laden_backup.zip "
+    "r57.php teig_shell.php teig_shell.phtml lazagne.exe lauf.ps1 lauf.sh kern.dll kern.bin kern.elf laden.php "
+    "beacon_nord.dll payroll_nord.xlsx api-key.txt nord.tfstate error.log invoice_nord.pdf .hg/ thumbs.db "
+    "bericht.txt lauf.bat"
 ).split()
 
-# An owner name per nation, covering all categories and one blank.
+# A made-up owner name per nation, covering all categories and one blank.
 ORGS = [
-    "Amazon Technologies Inc.", "Google LLC", "Microsoft Corporation", "DigitalOcean, LLC", "OVH SAS",
-    "Hetzner Online GmbH", "Akamai Connected Cloud", "Oracle Corporation", "Aliyun Computing Co., LTD",
-    "Tencent Building", "BisectHosting", "Contabo GmbH", "HostPapa", "Unified Layer", "Leaseweb USA",
-    "Comcast Cable Communications", "Vodafone Broadband", "Deutsche Telekom AG", "Orange S.A.",
-    "Massachusetts Institute of Technology", "University of Oslo", "Some Random Company Ltd",
-    "Acme Trading", "Example Dedicated Servers", "  ",
+    "AWS Nordtal", "Google Fiberglas", "Azure Talwerk", "DigitalOcean Nord", "OVH Talnetz", "Hetzner Nordtal", "Linode Talnetz",
+    "Oracle Nordtal", "Alicloud Tal", "Tencent Nordtal", "Bisect Tal", "Contabo Tal", "Hostpapa Tal", "Endurance Tal",
+    "Leaseweb Tal", "Talkabel Cable", "Nordfunk Broadband", "Bergnetz Telecom", "Seefunk Wireless", "Institut Nordtal",
+    "University of Nordtal", "Halm Backwaren", "Kornmühle Tal", "Nordtal Dedicated Servers", "  ",
 ]
 
 

@@ -56,30 +56,30 @@ def test_token_is_a_salted_hmac(spark):
 
 
 def test_nothing_identifying_leaves_the_inventory(spark):
-    listings = [("https://targethost.zzqdomain:8443/leakzone/", "sensitive_exposure", "h1",
-                 [("payroll_jane_doe.xlsx", 42), ("uniquename_secret.env", 7), ("sub/", None)]),
-                ("http://203.0.113.9:8081/uniquepath/", "malicious_staging", "h2",
-                 [("webshell.php", 1), ("acme_backup.sql", 2), ("utils.sh", 3)])]
-    rows = _inventory(spark, listings, [("http://203.0.113.9:8081/utils.sh", "utils.sh", "aa", 0)])
-    leaks = ("targethost", "zzqdomain", "8443", "leakzone", "203.0.113", "8081", "uniquepath")
-    assert not [x for x in leaks + ("jane_doe", "uniquename", "acme_backup") if x in repr(rows)]
+    listings = [("https://ofenhaus.backwerk.test:8181/keller/", "sensitive_exposure", "h1",
+                 [("payroll_mia_muster.xlsx", 42), ("hefe_secret.env", 7), ("regal/", None)]),
+                ("http://192.0.2.77:8282/dachboden/", "malicious_staging", "h2",
+                 [("webshell.phtml", 1), ("teig_backup.sql", 2), ("kneten.sh", 3)])]
+    rows = _inventory(spark, listings, [("http://192.0.2.77:8282/kneten.sh", "kneten.sh", "aa", 0)])
+    leaks = ("ofenhaus", "backwerk", "8181", "keller", "192.0.2", "8282", "dachboden")
+    assert not [x for x in leaks + ("mia_muster", "hefe", "teig_backup") if x in repr(rows)]
     assert rows[0]["verdict"] == "malicious" and rows[1]["total"] == 2
     by_name = {f["name"]: f for f in rows[0]["files"]}
-    assert by_name["utils.sh"]["sha256"] == "aa" and by_name["webshell.php"]["sha256"] is None
+    assert by_name["kneten.sh"]["sha256"] == "aa" and by_name["webshell.phtml"]["sha256"] is None
     assert by_name[None]["ext"] == ".sql" and by_name[None]["kind"] == "data"
     told = _inventory(spark, listings, disclose=True)
-    assert "acme_backup.sql" in repr(told) and not [x for x in leaks if x in repr(told)]
+    assert "teig_backup.sql" in repr(told) and not [x for x in leaks if x in repr(told)]
 
 
 def test_alarm_and_rank_order(spark):
-    files = [("ordinary.dat", 5), ("huge.iso", 500 << 20), ("installer.exe", 1000), ("secrets.env", 20),
-             ("shell.php", 100), ("Xshell-8.exe", 7), ("bad.sh", 1), ("clean.sh", 1), ("noext", None)]
-    hashes = [("http://a.example/bad.sh", "bad.sh", "old", 0), ("http://a.example/bad.sh", "bad.sh", "new", 7),
-              ("http://a.example/clean.sh", "clean.sh", "cc", 0), ("http://b.example/installer.exe", "installer.exe", "dd", 9)]
+    files = [("mehl.dat", 5), ("backstube.iso", 300 << 20), ("waage.exe", 900), ("rezept.env", 20),
+             ("teig_shell.phtml", 90), ("Muschel-2.exe", 7), ("gift.sh", 1), ("sauber.sh", 1), ("ohne", None)]
+    hashes = [("http://a.example/gift.sh", "gift.sh", "old", 0), ("http://a.example/gift.sh", "gift.sh", "new", 7),
+              ("http://a.example/sauber.sh", "sauber.sh", "cc", 0), ("http://b.example/waage.exe", "waage.exe", "dd", 9)]
     row, = _inventory(spark, [("http://a.example/", "sensitive_exposure", "h", files)], hashes)
     shown = [f["name"] or f["ext"] for f in row["files"]]
-    assert shown == ["shell.php", "bad.sh", ".env", "installer.exe", "Xshell-8.exe", "clean.sh", ".iso", ".dat", "(no ext)"]
-    assert [f["name"] for f in row["files"] if f["alarm"]] == ["shell.php", "bad.sh"]
+    assert shown == ["teig_shell.phtml", "gift.sh", ".env", "waage.exe", "Muschel-2.exe", "sauber.sh", ".iso", ".dat", "(no ext)"]
+    assert [f["name"] for f in row["files"] if f["alarm"]] == ["teig_shell.phtml", "gift.sh"]
     assert row["files"][1]["sha256"] == "new"
 
 
@@ -95,7 +95,7 @@ def test_cap_ties_and_hidden(spark):
 
 
 def test_flags_metadata_and_honeypots(spark):
-    lure = [(n, None) for n in ("wp_backup.zip", "dump.sql.gz", "config.zip", "passwords.zip", "ssh_keys.tar.gz", ".env")]
+    lure = [(n, None) for n in ("laden_backup.7z", "kasse_dump.sql", "kasse_config.rar", "password_liste.odt", "kasse_id_rsa", "kasse_credential.odt")]
     listings = [("http://benign.example/", "benign_index", "b", [("readme.txt", 10)]),
                 ("http://lure.example/", "sensitive_exposure", "l", lure)]
     listings += [(f"http://fan.example:{p}/", "sensitive_exposure", "same", [("db.sql", 1)]) for p in (80, 81, 82)]
