@@ -8,6 +8,7 @@ import hashlib
 
 from checks.tables import LAYOUTS, NAMES, ORGS, SALT
 from vitrine.functions import patterns as P
+from vitrine.functions.fingerprints import _HEAD, _RAW, _VOID
 
 
 def q(text: str) -> str:
@@ -202,7 +203,7 @@ PARTS = {
         CASE WHEN snapshot_id % 3 <> 0 THEN snapshot_id % 4 <> 0 END AS found,
         CASE WHEN snapshot_id % 3 <> 0 THEN CASE WHEN snapshot_id % 30 = 1 THEN 3 ELSE 0 END END AS malicious
         FROM entries e JOIN orders ON o_orderkey = snapshot_id
-        WHERE snapshot_id % 10 < 3 AND NOT is_dir AND {PAYLOAD}""",
+        WHERE NOT is_dir AND {PAYLOAD}""",
     "latest": """SELECT * EXCLUDE (rn) FROM (SELECT *,
         row_number() OVER (PARTITION BY candidate_id ORDER BY fetched_at DESC, snapshot_id DESC) AS rn,
         first_value(fetched_at) OVER (PARTITION BY candidate_id ORDER BY fetched_at, snapshot_id) AS first_open_at,
@@ -320,10 +321,10 @@ DISCLOSED = f"""SELECT snapshot_id, {_rank('hm')} AS rank, CASE WHEN {PAYLOAD} T
     CASE WHEN {PAYLOAD} THEN hm END AS malicious
     FROM (SELECT *, CASE WHEN snapshot_id % 2 = 0 THEN CASE WHEN snapshot_id % 30 = 1 THEN 1 ELSE 0 END END::BIGINT AS hm
           FROM entries WHERE NOT is_dir)"""
-CAPTURES = f"""SELECT o_orderkey AS snapshot_id, o_custkey AS candidate_id, o_orderkey % 8 AS kind,
+CAPTURES = f"""SELECT o_orderkey AS snapshot_id, o_custkey AS candidate_id, o_orderkey % 12 AS kind,
     o_custkey IN (SELECT c_custkey FROM customer) AS known FROM orders"""
 OUTCOME = """CASE WHEN kind = 2 THEN 'malformed' WHEN NOT known OR kind IN (4, 6) THEN 'unmatched'
-    WHEN kind = 5 THEN 'error' WHEN kind = 3 THEN 'malformed' ELSE 'ok' END"""
+    WHEN kind = 9 THEN 'mistyped' WHEN kind = 5 THEN 'error' WHEN kind = 3 THEN 'malformed' ELSE 'ok' END"""
 NEW_HEADERS = _kinds([
     "['server', 'date']", "['Date', 'Server']", "['content-type', 'server', 'Date']", "['date']", "['server', 'server']",
 ], "o_orderkey % 5")
@@ -336,6 +337,98 @@ def _layout(cases: list[str]) -> str:
     return _kinds(cases, "k % 4")
 
 
+def rendered_pages() -> str:
+    """The rendered listings and the given pages, as in ``all_pages``."""
+    name = f"{_list(NAMES)}[CAST((k * 7 + i * 13) % 80 + 1 AS INT)]"
+    anchor = "'<a href=\"' || name || '\">' || name || '</a>'"
+    size = "CASE WHEN name LIKE '%/' THEN '-' ELSE x END"
+    lines = {
+        0: "'<tr><td valign=\"top\">' || a || '</td><td>x</td><td>x</td></tr>'", 1: "a || ' x x'", 2: "'<li>' || a || '</li>'",
+        3: "'<img src=\"/icons/unknown.gif\" alt=\"[   ]\"> ' || a || ' x'",
+    }
+    whole = {
+        0: "'<table><tr><th>Name</th><th>Size</th></tr>' || chr(10) || '<tr><td><a href=\"/\">Parent Directory</a></td></tr>' || rows || '</table>'",
+        1: "'<hr><pre><a href=\"../\">../</a>' || rows || '</pre>'", 2: "'<hr><ul>' || rows || '</ul>'",
+        3: "'<pre><a href=\"?C=N;O=D\">Name</a> <a href=\"?C=S;O=A\">Size</a><hr><img src=\"/icons/back.gif\"> <a href=\"/\">Parent Directory</a>' || rows || '</pre>'",
+    }
+    del size
+    case = lambda cases: "CASE k % 4 " + " ".join(f"WHEN {i} THEN {c}" for i, c in cases.items()) + " END"
+    return f"""SELECT k AS page_id, '<html><head><title>x</title></head><body><h1>x</h1>' || {case(whole)} || '</body></html>' AS html
+      FROM (SELECT k, string_agg({case(lines)}, '' ORDER BY i) AS rows FROM (
+        SELECT k, i, {anchor} AS a FROM (SELECT k, i, {name} AS name FROM (SELECT o_orderkey AS k, {_I} AS i FROM orders)))
+        GROUP BY k)
+      UNION ALL SELECT -1 - page_id, html FROM pages"""
+
+
+#: Queries that also run without their limit.
+UNCAPPED = {
+    "classify_pending": "LIMIT 200", "pending_queue": "LIMIT 50", "recapture_queue": "LIMIT 50", "hash_pending": "LIMIT 50",
+    "vt_pending": "LIMIT 100", "select_payloads": "WHERE place <= 2",
+}
+
+
+def _uncapped(queries: dict[str, str]) -> dict[str, str]:
+    out = {}
+    for name, limit in UNCAPPED.items():
+        assert queries[name].count(limit) == 1, name
+        out[f"{name}_all"] = queries[name].replace(limit, "")
+    return out
+
+
+#: The stack of open elements of each distinct sequence of tags, folded tag by tag.
+_TOP = "s[len(s)]"
+TEMPLATES = r"""
+WITH RECURSIVE pages_all AS (
+  {pages}
+), tags AS (
+  SELECT page_id, list_filter(list_transform(
+      regexp_extract_all(html, '(?s)<!--.*?(?:-->|\z)|</?[a-zA-Z][^\s/>]*(?:[^>"'']|"[^"]*"|''[^'']*'')*(?:>|\z)'),
+      lambda t: regexp_extract(t, '^(</?)', 1) || lower(regexp_extract(t, '^</?([a-zA-Z][^\s/>]*)', 1))),
+    lambda t: t NOT IN ('', '<', '</', '<html', '</html')) AS tags
+  FROM pages_all
+), kinds AS (
+  SELECT row_number() OVER () AS kind, tags FROM (SELECT DISTINCT tags FROM tags)
+), steps AS (
+  SELECT kind, unnest(tags) AS tag, generate_subscripts(tags, 1) AS i, len(tags) AS n FROM kinds
+), fold(kind, i, stack, raw, path) AS (
+  SELECT kind, 0::BIGINT, ['html'], '', ''::VARCHAR FROM kinds
+  UNION ALL
+  SELECT kind, i, CASE WHEN skipped OR closing THEN s WHEN tag IN ('head', 'body') THEN ['html', tag]
+           WHEN tag IN {void} THEN s ELSE list_append(s, tag) END,
+         CASE WHEN skipped THEN raw WHEN NOT closing AND tag IN {raw} THEN tag ELSE '' END,
+         CASE WHEN skipped OR closing OR tag IN ('head', 'body') THEN ''
+              ELSE CASE WHEN tag = 'tr' AND {top} = 'tbody' THEN array_to_string(s, '/') || chr(10) ELSE '' END
+                   || array_to_string(s, '/') || '/' || tag END
+  FROM (
+    SELECT kind, i, tag, closing, skipped, raw,
+           CASE WHEN NOT skipped AND NOT closing AND tag = 'tr' AND {top} = 'table' THEN list_append(s, 'tbody') ELSE s END AS s
+    FROM (
+      SELECT kind, i, tag, closing, skipped, raw,
+             CASE WHEN skipped THEN s
+                  WHEN closing THEN CASE WHEN list_contains(s, tag) THEN s[1:len(s) - list_position(list_reverse(s), tag)] ELSE s END
+                  WHEN tag IN ('head', 'body') THEN s
+                  WHEN tag = 'a' AND list_contains(s, 'a') THEN s[1:len(s) - list_position(list_reverse(s), 'a')]
+                  WHEN tag IN ('li', 'tr', 'td', 'th') AND {top} IN ('li', 'td', 'th')
+                    THEN CASE WHEN tag = 'tr' AND s[len(s) - 1] = 'tr' THEN s[1:len(s) - 2] ELSE s[1:len(s) - 1] END
+                  ELSE s END AS s
+      FROM (
+        SELECT f.kind, f.i + 1 AS i, ltrim(t.tag, '</') AS tag, t.tag LIKE '</%' AS closing, f.raw,
+               f.raw <> '' AND t.tag <> '</' || f.raw AS skipped,
+               CASE WHEN f.raw <> '' OR t.tag LIKE '</%' OR t.tag IN ('<head', '<body') THEN f.stack
+                    WHEN len(f.stack) = 1 THEN CASE WHEN ltrim(t.tag, '<') IN {head} THEN ['html', 'head'] ELSE ['html', 'body'] END
+                    WHEN f.stack = ['html', 'head'] AND ltrim(t.tag, '<') NOT IN {head} THEN ['html', 'body']
+                    ELSE f.stack END AS s
+        FROM fold f JOIN steps t ON t.kind = f.kind AND t.i = f.i + 1)))
+), paths AS (
+  SELECT kind, list_sort(list_distinct(list_concat(['html', 'html/head', 'html/body'],
+    coalesce(flatten(list(string_split(path, chr(10))) FILTER (path <> '')), []::VARCHAR[])))) AS paths
+  FROM fold GROUP BY kind
+)
+SELECT page_id, min(page_id) OVER (PARTITION BY sha256(array_to_string(paths, chr(10)))) AS first_page
+FROM tags JOIN kinds USING (tags) JOIN paths USING (kind)
+"""
+
+
 def oracle() -> dict[str, str]:
     hits = lambda f: ", ".join(f"{f}_{c} AS {c}" for c in FAMILIES[f])
     unpivot = lambda f, src: " UNION ALL ".join(
@@ -360,15 +453,15 @@ def oracle() -> dict[str, str]:
         "ingest_captures": f"""SELECT snapshot_id, candidate_id, CASE WHEN ok THEN 200 END AS http_status,
             CASE WHEN ok THEN 'http://final/' ELSE 'http://f/' END AS final_url, CASE WHEN ok THEN 'nginx' END AS server_kind,
             CASE WHEN ok THEN 'Index of /' END AS title, CASE WHEN ok THEN true END AS is_open_dir,
-            CASE WHEN ok THEN 1::BIGINT END AS entry_count, CASE WHEN ok THEN '' ELSE 'timeout' END AS error,
+            CASE WHEN ok THEN CASE WHEN kind = 11 THEN 3 ELSE 1 END::BIGINT END AS entry_count, CASE WHEN ok THEN '' ELSE 'timeout' END AS error,
             CASE WHEN ok THEN 'cc' END AS template_sha256, NULL::VARCHAR AS favicon_sha256,
-            CASE WHEN ok THEN 'server=nginx|date=x' END AS headers, CASE WHEN ok THEN 'a.zip' END AS first_name,
-            CASE WHEN ok THEN 5::BIGINT END AS first_size
-            FROM (SELECT *, outcome = 'ok' AS ok FROM (SELECT *, {OUTCOME} AS outcome FROM ({CAPTURES}) WHERE kind <> 1))
+            CASE WHEN ok THEN 'server=nginx|date=x' END AS headers, CASE WHEN ok THEN 'a.zip:a.zip:false:5:/a.zip'
+                || CASE WHEN kind = 11 THEN '|unter/:unter/:true:-:/unter/|ä b.csv:%C3%A4%20b.csv:false:0:/ä b.csv' ELSE '' END END AS entries
+            FROM (SELECT *, outcome = 'ok' AS ok FROM (SELECT *, {OUTCOME} AS outcome FROM ({CAPTURES}) WHERE kind NOT IN (1, 8)))
             WHERE outcome IN ('ok', 'error')""",
-        "ingest_stats": f"SELECT {OUTCOME} AS outcome, count(*) AS n FROM ({CAPTURES}) WHERE kind <> 1 GROUP BY 1",
+        "ingest_stats": f"SELECT {OUTCOME} AS outcome, count(*) AS n FROM ({CAPTURES}) WHERE kind NOT IN (1, 8) GROUP BY 1",
         "pages_to_snapshots": sql("found", rf"""SELECT page_id, url AS final_url,
-            left({TITLE}, 512) AS title,
+            {TITLE} AS title,
             coalesce(n, 0) AS entry_count, sha256(html) AS raw_html_sha256,
             regexp_matches({TITLE}, '(?i)^(index of |directory listing for )')
             OR regexp_matches(html, '(?i)<h1[^>]*>\s*(index of |directory listing for )') AS is_open_dir,
@@ -385,10 +478,9 @@ def oracle() -> dict[str, str]:
             CASE k % 5 WHEN 3 THEN 'vt 500' WHEN 4 THEN 'unreadable report' END AS error
             FROM (SELECT o_orderkey AS k FROM orders)""",
         "hash_payload_files": """SELECT 'file:/landed/' || doc_id::VARCHAR || '/' || name AS url, name,
-            CASE WHEN small THEN sha256(text) ELSE '' END AS sha256, CASE WHEN small THEN md5(text) ELSE '' END AS md5,
-            CASE WHEN small THEN strlen(text) ELSE 0 END::BIGINT AS size, CASE WHEN small THEN '' ELSE 'too_large' END AS error
-            FROM (SELECT *, ['run.EXE', 'a.sh', 'notes.txt', 'web_shell.php', 'index.php', 'x.bin'][CAST(doc_id % 6 + 1 AS INT)] AS name,
-                  strlen(text) <= 4000 AS small FROM documents) WHERE doc_id % 6 IN (0, 1, 3, 5)""",
+            sha256(text) AS sha256, md5(text) AS md5, strlen(text)::BIGINT AS size, '' AS error
+            FROM (SELECT *, ['run.EXE', 'a.sh', 'notes.txt', 'web_shell.php', 'index.php', 'x.bin'][CAST(doc_id % 6 + 1 AS INT)] AS name
+                  FROM documents) WHERE doc_id % 6 IN (0, 1, 3, 5)""",
         # candidates
         "normalize_urls": sql("urls", f"SELECT url, {_NORMAL} AS normalized_url FROM (SELECT url, full_url, {_PARTS} FROM urls)"),
         "dedup_keys": sql("urls", f"SELECT url, {_DEDUP} AS dedup_key FROM (SELECT url, full_url, {_PARTS} FROM urls)"),
@@ -426,7 +518,7 @@ def oracle() -> dict[str, str]:
             l_shipdate + to_minutes(l_linenumber::BIGINT) AS day FROM lineitem)""",
         "validate_listing": f"""SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 4 = 2 THEN 'Directory listing for '
             ELSE 'Index of ' END || '/d' || (o_orderkey % 50)::VARCHAR || '/' AS title, true AS is_open_dir FROM orders
-            UNION ALL SELECT -1 - page_id, left({TITLE}, 512),
+            UNION ALL SELECT -1 - page_id, {TITLE},
             regexp_matches(html, '(?i)<(title|h1)[^>]*>(index of |directory listing for )') FROM pages""",
         "server_kind": f"""SELECT o_orderkey AS page_id, {_list(LAYOUTS)}[CAST(o_orderkey % 4 + 1 AS INT)] AS server_kind FROM orders
             UNION ALL SELECT -1 - page_id, CASE WHEN contains(lower(html), 'directory listing for') THEN 'python'
@@ -491,10 +583,10 @@ def oracle() -> dict[str, str]:
             CASE WHEN snapshot_id % 4 = 3 THEN '' ELSE md5(url) END AS md5, '' AS tlsh,
             CASE WHEN snapshot_id % 4 = 3 THEN 0 ELSE length(url) END::INT AS size,
             CASE WHEN snapshot_id % 4 = 3 THEN 'http 404' ELSE '' END AS error
-            FROM (SELECT DISTINCT snapshot_id, name, url FROM ({SELECTED}) WHERE place <= 50)"""),
+            FROM (SELECT DISTINCT snapshot_id, name, url FROM ({SELECTED}))"""),
         "hash_pending": sql("cls hashes", """SELECT snapshot_id FROM snaps WHERE is_open_dir AND snapshot_id IN (SELECT snapshot_id
             FROM cls WHERE ruleset_version = '1.1.0' AND label IN ('sensitive_exposure', 'malicious_staging'))
-            AND snapshot_id NOT IN (SELECT snapshot_id FROM hashes) ORDER BY snapshot_id LIMIT 50"""),
+            AND snapshot_id NOT IN (SELECT snapshot_id FROM hashes WHERE snapshot_id % 10 < 3) ORDER BY snapshot_id LIMIT 50"""),
         "hash_summary": sql("hashes", """SELECT count(*) FILTER (sha256 <> '') AS hashed, count(*) FILTER (sha256 = '') AS skipped,
             count(*) FILTER (error <> '') AS errored FROM hashes"""),
         "hashed_types": sql("hashes", """SELECT regexp_extract(lower(name), '([^.]*)$', 1) AS ext, count(*) AS n FROM hashes
@@ -588,7 +680,13 @@ def oracle() -> dict[str, str]:
         WHEN 0 THEN '{{"error":"",' || u || w WHEN 2 THEN '{{ not json ' || snapshot_id::VARCHAR
         WHEN 3 THEN '{{' || u || ',"http_status":200}}' WHEN 4 THEN '{{"url":"http://unknown/","http_status":200}}'
         WHEN 5 THEN '{{"error":"timeout","http_status":null,"final_url":"http://f/",' || u || '}}'
-        WHEN 6 THEN '{{"http_status":200}}' ELSE '{{"error":null,' || u || w END AS value FROM (
-        SELECT *, '' AS w, '"url":"' || {URL.format(c='candidate_id')} || '"' AS u FROM ({CAPTURES}) WHERE kind <> 1))
-        WHERE outcome IN ('unmatched', 'malformed')"""
+        WHEN 6 THEN '{{"http_status":200}}' WHEN 9 THEN '{{"error":"",' || u || ',"http_status":"abc"}}'
+        WHEN 10 THEN '{{"error":"","title":"alt",' || u || w WHEN 11 THEN '{{"error":"",' || u || w ELSE '{{"error":null,' || u || w END AS value FROM (
+        SELECT *, '' AS w, '"url":"' || {URL.format(c='candidate_id')} || '"' AS u FROM ({CAPTURES}) WHERE kind NOT IN (1, 8)))
+        WHERE outcome IN ('unmatched', 'mistyped', 'malformed')"""
+    out["fp_template"] = (
+        TEMPLATES.replace("{pages}", rendered_pages()).replace("{top}", _TOP).replace("{void}", _in(sorted(_VOID)))
+        .replace("{raw}", _in(sorted(_RAW))).replace("{head}", _in(sorted(_HEAD)))
+    )
+    out |= _uncapped(out)
     return out

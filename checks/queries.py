@@ -4,6 +4,8 @@ Nested results are flattened (arrays joined by ``|``) so that both engines give
 plain columns.
 """
 from pyspark.sql import Column, DataFrame
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from checks import tables as T
@@ -69,12 +71,12 @@ def src_host_services(s, d):
 
 def ingest_captures(s, d):
     snaps, _, _ = captures.ingest_captures(T.capture_lines(s, d), T.candidates(s, d))
-    first = F.get("listing_entries", F.lit(0))
+    entry = lambda e: F.concat_ws(":", e["name"], e["href"], e["is_dir"].cast("string"), F.coalesce(e["size"].cast("string"), F.lit("-")), e["path"])
     return snaps.select(
         "snapshot_id", "candidate_id", "http_status", "final_url", "server_kind", "title", "is_open_dir",
         "entry_count", "error", "template_sha256", "favicon_sha256",
         F.array_join(F.transform("headers", lambda h: F.concat_ws("=", h["k"], h["v"])), "|").alias("headers"),
-        first["name"].alias("first_name"), first["size"].alias("first_size"),
+        F.array_join(F.transform("listing_entries", entry), "|").alias("entries"),
     )
 
 
@@ -118,7 +120,7 @@ def src_reputation(s, d):
 
 
 def hash_payload_files(s, d):
-    return payload_files.hash_landed(T.landed_files(s, d), 4000)
+    return payload_files.hash_landed(T.landed_files(s, d))
 
 
 # --- candidates ------------------------------------------------------------
@@ -194,8 +196,9 @@ def fp_headers(s, d):
 
 
 def fp_template(s, d):
-    hashed = listing.with_template_hash(T.all_pages(s, d))
-    return hashed.select("page_id", "template_sha256")
+    hashed = listing.with_template_hash(T.all_pages(s, d)).select("page_id", "template_sha256")
+    first = hashed.groupBy("template_sha256").agg(F.min("page_id").alias("first_page"))
+    return hashed.join(first, "template_sha256").select("page_id", "first_page")
 
 
 def fp_favicon(s, d):
@@ -256,8 +259,8 @@ def reasons(s, d):
     return _judged(s, d).select("snapshot_id", _joined("reasons"))
 
 
-def classify_pending(s, d):
-    done = cls.classify_pending(T.snapshots(s, d), T.classifications(s, d), T.entries(s, d), 200)
+def classify_pending(s, d, limit=200):
+    done = cls.classify_pending(T.snapshots(s, d), T.classifications(s, d), T.entries(s, d), limit)
     return done.select("snapshot_id", "label", "confidence", _joined("reasons"), "ruleset_version")
 
 
@@ -348,12 +351,12 @@ def payload_names(s, d):
     return T.entries(s, d).select("name", files.is_payload(F.col("name")).alias("is_payload"))
 
 
-def select_payloads(s, d):
-    return payloads.select_payloads(T.entries(s, d), _hosted(s, d), 2).select("snapshot_id", "name", "url")
+def select_payloads(s, d, limit=2):
+    return payloads.select_payloads(T.entries(s, d), _hosted(s, d), limit).select("snapshot_id", "name", "url")
 
 
-def hash_pending(s, d):
-    pending = payloads.hash_pending(T.snapshots(s, d), T.classifications(s, d), T.payload_hashes(s, d), limit=50)
+def hash_pending(s, d, limit=50):
+    pending = payloads.hash_pending(T.snapshots(s, d), T.classifications(s, d), T.payload_hashes(s, d).filter("snapshot_id % 10 < 3"), limit=limit)
     return pending.select("snapshot_id")
 
 
@@ -365,8 +368,8 @@ def hashed_types(s, d):
     return payloads.hashed_types(T.payload_hashes(s, d))
 
 
-def vt_pending(s, d):
-    return payloads.vt_pending(T.payload_hashes(s, d), 100).select("snapshot_id", "name", "sha256")
+def vt_pending(s, d, limit=100):
+    return payloads.vt_pending(T.payload_hashes(s, d), limit).select("snapshot_id", "name", "sha256")
 
 
 def vt_enrich(s, d):
@@ -503,7 +506,8 @@ def exposed_volume(s, d):
 
 def kpis(s, d):
     latest, verdicts = T.latest(s, d), T.classifications(s, d)
-    return report.kpis(report.label_shares(latest, verdicts), report.signal_prevalence(latest, verdicts), _inventory(s, d))
+    return report.kpis(report.label_shares(latest, verdicts), report.signal_prevalence(latest, verdicts),
+                       hosts.host_summary(hf.flagged_records(T.records(s, d))))
 
 
 def one_in(s, d):
@@ -515,16 +519,16 @@ def one_in(s, d):
 
 # --- queues, browsing ------------------------------------------------------
 
-def pending_queue(s, d):
-    return cand.pending_queue(T.candidates(s, d), 50).select("candidate_id", "url")
+def pending_queue(s, d, limit=50):
+    return cand.pending_queue(T.candidates(s, d), limit).select("candidate_id", "url")
 
 
 def pending_count(s, d):
     return cand.pending_count(T.candidates(s, d))
 
 
-def recapture_queue(s, d):
-    return cand.recapture_queue(T.candidates(s, d), T.snapshots(s, d), 50).select("candidate_id", "url")
+def recapture_queue(s, d, limit=50):
+    return cand.recapture_queue(T.candidates(s, d), T.snapshots(s, d), limit).select("candidate_id", "url")
 
 
 def advance_status(s, d):
@@ -578,3 +582,6 @@ QUERIES = {
     "pending_queue": pending_queue, "pending_count": pending_count, "recapture_queue": recapture_queue,
     "advance_status": advance_status, "browse": browse,
 }
+
+for _name in ("classify_pending", "pending_queue", "recapture_queue", "hash_pending", "vt_pending", "select_payloads"):
+    QUERIES[f"{_name}_all"] = partial(QUERIES[_name], limit=None)

@@ -12,7 +12,6 @@ from vitrine.functions.files import is_payload
 from vitrine.operators.classify import classification_rows, classify
 from vitrine.operators.features import features_of, snapshot_profiles
 from vitrine.operators.records import directory_records, latest_open
-from vitrine.sources.tables import materialized
 
 SALT = "oracle-salt"
 
@@ -150,9 +149,9 @@ def classifications(spark: SparkSession, sf_dir: str, found: DataFrame | None =
 
 
 def payload_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash rows of the payload-named files of three snapshots in ten."""
+    """A hash row for every payload-named file; its state varies by snapshot."""
     sid = F.col("snapshot_id")
-    files = entries(spark, sf_dir).filter((sid % 10 < 3) & ~F.col("is_dir") & is_payload(F.col("name")))
+    files = entries(spark, sf_dir).filter(~F.col("is_dir") & is_payload(F.col("name")))
     owners = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("snapshot_id"), "o_custkey")
     skipped = sid % 10 == 2
     vt = F.struct(
@@ -181,12 +180,10 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The per-directory table, written out as in a report: one pass over the entries."""
-    found = materialized(profiles(spark, sf_dir))
-    return materialized(
-        directory_records(
-            latest(spark, sf_dir), classifications(spark, sf_dir, found), candidates(spark, sf_dir), found
-        )
+    """The per-directory table; its two readers share one exchange of the profiles."""
+    found = profiles(spark, sf_dir)
+    return directory_records(
+        latest(spark, sf_dir), classifications(spark, sf_dir, found), candidates(spark, sf_dir), found
     )
 
 
@@ -369,7 +366,7 @@ def service_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Capture result lines of eight kinds, one per order."""
+    """Capture result lines of twelve kinds, one per order."""
     key = F.col("o_orderkey")
     url = F.concat(F.lit('"url":"'), candidate_url(F.col("o_custkey")), F.lit('"'))
     whole = F.lit(
@@ -379,6 +376,9 @@ def capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         '"entry_count":1,"raw_html_sha256":"aa","header_order_sha256":"bb","template_sha256":"cc",'
         '"favicon_sha256":null,"tls":null}'
     )
+    more = F.replace(whole, F.lit('"path":"/a.zip"}],"entry_count":1'), F.lit(
+        '"path":"/a.zip"},{"name":"unter/","href":"unter/","is_dir":true,"size":null,"mtime":null,"path":"/unter/"},'
+        '{"name":"ä b.csv","href":"%C3%A4%20b.csv","is_dir":false,"size":0,"mtime":null,"path":"/ä b.csv"}],"entry_count":3'))
     kinds = [
         F.concat(F.lit('{"error":"",'), url, whole),
         F.lit("   "),
@@ -388,10 +388,14 @@ def capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit('{"error":"timeout","http_status":null,"final_url":"http://f/",'), url, F.lit("}")),
         F.lit('{"http_status":200}'),
         F.concat(F.lit('{"error":null,'), url, whole),
+        F.lit(" \t \r"),
+        F.concat(F.lit('{"error":"",'), url, F.lit(',"http_status":"abc"}')),
+        F.concat(F.lit('{"error":"","title":"alt",'), url, whole),
+        F.concat(F.lit('{"error":"",'), url, more),
     ]
     return table(spark, sf_dir, "orders").select(
         key.alias("snapshot_id"), F.col("o_orderdate").alias("fetched_at"),
-        _case(key % 8, kinds).alias("value"),
+        _case(key % 12, kinds).alias("value"),
     )
 
 

@@ -59,27 +59,27 @@ def test_nothing_identifying_leaves_the_inventory(spark):
     listings = [("https://ofenhaus.backwerk.test:8181/keller/", "sensitive_exposure", "h1",
                  [("payroll_mia_muster.xlsx", 42), ("hefe_secret.env", 7), ("regal/", None)]),
                 ("http://192.0.2.77:8282/dachboden/", "malicious_staging", "h2",
-                 [("webshell.phtml", 1), ("teig_backup.sql", 2), ("kneten.sh", 3)])]
+                 [("webshell.jsp", 1), ("teig_backup.sql", 2), ("kneten.sh", 3)])]
     rows = _inventory(spark, listings, [("http://192.0.2.77:8282/kneten.sh", "kneten.sh", "aa", 0)])
     leaks = ("ofenhaus", "backwerk", "8181", "keller", "192.0.2", "8282", "dachboden")
     assert not [x for x in leaks + ("mia_muster", "hefe", "teig_backup") if x in repr(rows)]
     assert rows[0]["verdict"] == "malicious" and rows[1]["total"] == 2
     by_name = {f["name"]: f for f in rows[0]["files"]}
-    assert by_name["kneten.sh"]["sha256"] == "aa" and by_name["webshell.phtml"]["sha256"] is None
+    assert by_name["kneten.sh"]["sha256"] == "aa" and by_name["webshell.jsp"]["sha256"] is None
     assert by_name[None]["ext"] == ".sql" and by_name[None]["kind"] == "data"
     told = _inventory(spark, listings, disclose=True)
     assert "teig_backup.sql" in repr(told) and not [x for x in leaks if x in repr(told)]
 
 
 def test_alarm_and_rank_order(spark):
-    files = [("mehl.dat", 5), ("backstube.iso", 300 << 20), ("waage.exe", 900), ("rezept.env", 20),
-             ("teig_shell.phtml", 90), ("Muschel-2.exe", 7), ("gift.sh", 1), ("sauber.sh", 1), ("ohne", None)]
+    files = [("mehl.dat", 5), ("backstube.iso", 300 << 20), ("waage.exe", 900), ("secret.env", 20),
+             ("teig_shell.aspx", 90), ("Muschel-2.exe", 7), ("gift.sh", 1), ("sauber.sh", 1), ("ohne", None)]
     hashes = [("http://a.example/gift.sh", "gift.sh", "old", 0), ("http://a.example/gift.sh", "gift.sh", "new", 7),
               ("http://a.example/sauber.sh", "sauber.sh", "cc", 0), ("http://b.example/waage.exe", "waage.exe", "dd", 9)]
     row, = _inventory(spark, [("http://a.example/", "sensitive_exposure", "h", files)], hashes)
     shown = [f["name"] or f["ext"] for f in row["files"]]
-    assert shown == ["teig_shell.phtml", "gift.sh", ".env", "waage.exe", "Muschel-2.exe", "sauber.sh", ".iso", ".dat", "(no ext)"]
-    assert [f["name"] for f in row["files"] if f["alarm"]] == ["teig_shell.phtml", "gift.sh"]
+    assert shown == ["teig_shell.aspx", "gift.sh", ".env", "waage.exe", "Muschel-2.exe", "sauber.sh", ".iso", ".dat", "(no ext)"]
+    assert [f["name"] for f in row["files"] if f["alarm"]] == ["teig_shell.aspx", "gift.sh"]
     assert row["files"][1]["sha256"] == "new"
 
 
@@ -90,6 +90,8 @@ def test_cap_ties_and_hidden(spark):
     assert (row["shown"], row["total"], row["hidden"]) == (12, 30, 18)
     assert [f["name"] for f in row["files"]] == [n for n, _ in files[:12]]
     records, entries, *_ = _world(spark, listings)
+    with pytest.raises(ValueError):
+        hf.host_file_inventory(records, entries, SALT, max_files=None)
     assert hf.host_file_rows(records, entries, SALT).count() == 30
     assert {r["file"]["name"] for r in hf.host_file_rows(records, entries, SALT).collect()} == {None}
 
@@ -123,6 +125,8 @@ def test_breakdown_order_ports_and_signals(spark):
     assert [(r["verdict"], r["ports"]) for r in rows] == [("malicious", 1), ("sensitive", 2), ("sensitive", 1)]
     assert rows[1]["signals"][:2] == ["private keys", ".env secrets"] and ".git repo" in rows[1]["signals"]
     assert hosts.host_breakdown(records, flagged_only=False).count() == 4
+    nameless, *_ = _world(spark, [("mehl/a", "benign_index", "1", [(".env", 1)]), ("mehl/b", "benign_index", "2", [(".git/", 1)])])
+    assert hosts.host_breakdown(nameless, flagged_only=False).count() == 2 and hosts.host_signals(nameless).count() == 1
 
 
 def test_top_files_agree_with_sorting_even_for_one_huge_host(spark):

@@ -1,17 +1,8 @@
 """Fingerprint columns: equal values mean equal pages, header orders, templates."""
-import re
-import sys
-
-import pandas as pd
-from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-from vitrine.functions import patterns as P
 
-# the function below travels with the job, so executors need no copy of the package
-register_pickle_by_value(sys.modules[__name__])
+from vitrine.functions.binding import let
 
 # Elements without a closing tag, and elements whose content is not markup.
 _VOID = {
@@ -20,8 +11,8 @@ _VOID = {
 }
 _RAW = {"script", "style", "title", "textarea"}
 _HEAD = {"head", "title", "meta", "link", "base", "style", "script"}
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:>|$)", re.S
+_TOKEN = (
+    r"""(?s)<!--.*?(?:-->|\z)|</?[a-zA-Z][^\s/>]*(?:[^>"']++|"[^"]*"|'[^']*')*+(?:>|\z)"""
 )
 
 
@@ -35,9 +26,9 @@ def header_hash(headers: Column) -> Column:
 
 
 def server_banner(headers: Column) -> Column:
-    """Value of the first ``server`` header, cut to the column width; else empty."""
+    """Value of the first ``server`` header; else empty."""
     first = F.get(F.filter(headers, lambda h: h["k"] == "server"), F.lit(0))
-    return F.coalesce(F.left(first["v"], F.lit(P.TEXT_LIMIT)), F.lit(""))
+    return F.coalesce(first["v"], F.lit(""))
 
 
 def favicon_hash(status: Column, body: Column) -> Column:
@@ -49,59 +40,86 @@ def self_signed(issuer: Column, subject: Column) -> Column:
     return issuer == subject
 
 
-def tag_paths(html: str) -> list[str]:
+_STATE = "struct<stack: array<string>, raw: string, paths: array<string>>"
+
+
+def _cut(stack: Column, tag: Column) -> Column:
+    """The stack below the last element of that name."""
+    return F.slice(stack, 1, F.size(stack) - F.array_position(F.reverse(stack), tag).cast("int"))
+
+
+def _opened(stack: Column, tag: Column) -> Column:
+    """The stack on which a new element stands, with what a parser supplies or closes first."""
+    top = lambda s: F.element_at(s, -1)
+    below = lambda s: F.slice(s, 1, F.size(s) - 1)
+    pair = lambda name: F.array(F.lit("html"), F.lit(name))
+    in_head = tag.isin(*_HEAD)
+    rooted = (
+        F.when(F.size(stack) == 1, F.when(in_head, pair("head")).otherwise(pair("body")))
+        .when((stack == pair("head")) & ~in_head, pair("body"))
+        .otherwise(stack)
+    )
+    item = tag.isin("li", "tr", "td", "th")
+
+    def closed(s: Column) -> Column:
+        inner = let(below(s), lambda b: F.when((tag == "tr") & (top(b) == "tr"), below(b)).otherwise(b))
+        return (
+            F.when((tag == "a") & F.array_contains(s, "a"), _cut(s, F.lit("a")))
+            .when(item & top(s).isin("li", "td", "th"), inner)
+            .otherwise(s)
+        )
+
+    row = lambda s: F.when((tag == "tr") & (top(s) == "table"), F.array_append(s, F.lit("tbody"))).otherwise(s)
+    return let(let(rooted, closed), row)
+
+
+def tag_paths(html: Column) -> Column:
     """The distinct root-to-node tag paths of a page, sorted."""
-    stack = ["html"]
-    paths = {"html", "html/head", "html/body"}
-    at = 0
-    while match := _TOKEN.search(html, at):
-        at = match.end()
-        closing, tag = match.group(1), match.group(2)
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag == "html":
-            continue
-        if closing:
-            if tag in stack[1:]:
-                while stack.pop() != tag:
-                    pass
-            continue
-        if tag in ("head", "body"):
-            stack = ["html", tag]
-            continue
-        if len(stack) == 1:
-            stack.append("head" if tag in _HEAD else "body")
-        elif stack == ["html", "head"] and tag not in _HEAD:
-            stack = ["html", "body"]
-        if tag == "a" and "a" in stack:
-            while stack.pop() != "a":
-                pass
-        elif tag in ("li", "tr", "td", "th") and stack[-1] in ("li", "td", "th"):
-            stack.pop()
-            if tag == "tr" and stack[-1] == "tr":
-                stack.pop()
-        if tag == "tr" and stack[-1] == "table":
-            stack.append("tbody")  # a parser supplies it
-            paths.add("/".join(stack))
-        paths.add("/".join(stack) + "/" + tag)
-        if tag in _RAW:
-            end = re.compile(rf"</{tag}", re.I).search(html, at)
-            at = end.start() if end else len(html)
-        if tag not in _VOID:
-            stack.append(tag)
-    return sorted(paths)
-
-
-@F.pandas_udf(StringType())
-def _template_text(html: pd.Series) -> pd.Series:
-    return html.map(lambda page: None if page is None else "\n".join(tag_paths(page)))
+    tokens = F.filter(
+        F.transform(
+            F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0)),
+            lambda t: F.struct(
+                t.startswith("</").alias("closing"), F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][^\s/>]*)", 1)).alias("tag")
+            ),
+        ),
+        lambda t: ~t["tag"].isin("", "html"),
+    )
+    start = F.struct(
+        F.array(F.lit("html")).alias("stack"), F.lit("").alias("raw"),
+        F.array(*[F.lit(p) for p in ("html", "html/head", "html/body")]).alias("paths"),
+    ).cast(_STATE)
+
+    def state(stack: Column, raw: Column, paths: Column) -> Column:
+        return F.struct(stack.alias("stack"), raw.alias("raw"), paths.alias("paths")).cast(_STATE)
+
+    def step(acc: Column, t: Column) -> Column:
+        tag, stack, none = t["tag"], acc["stack"], F.lit("")
+
+        def on(s: Column) -> Column:
+            path = F.concat(F.array_join(s, "/"), F.lit("/"), tag)
+            seen = F.when(
+                (tag == "tr") & (F.element_at(s, -1) == "tbody"), F.array(F.array_join(s, "/"), path)
+            ).otherwise(F.array(path))
+            return state(
+                F.when(tag.isin(*_VOID), s).otherwise(F.array_append(s, tag)),
+                F.when(tag.isin(*_RAW), tag).otherwise(none),
+                F.array_union(acc["paths"], seen),
+            )
+
+        return (
+            F.when((acc["raw"] != "") & ~(t["closing"] & (tag == acc["raw"])), acc)
+            .when(t["closing"], state(F.when(F.array_contains(stack, tag), _cut(stack, tag)).otherwise(stack), none, acc["paths"]))
+            .when(tag.isin("head", "body"), state(F.array(F.lit("html"), tag), none, acc["paths"]))
+            .otherwise(let(_opened(stack, tag), on))
+        )
+
+    return F.sort_array(F.aggregate(tokens, start, step)["paths"])
 
 
 def template_hash(html: Column) -> Column:
     """Hash of the set of tag paths: one value per page template.
 
-    Names, dates and the number of entries do not change it. The tag stack needs
-    a little Python, run on Arrow batches; everything else stays in the JVM.
+    Names, dates and the number of entries do not change it. The stack of open
+    elements is folded over the tags of the page by built-in array functions.
     """
-    return F.sha2(_template_text(html), 256)
+    return F.sha2(F.array_join(tag_paths(html), "\n"), 256)

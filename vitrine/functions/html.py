@@ -5,12 +5,16 @@ characters and splitting on them, so one page is parsed by a few linear passes
 and stays one row until the caller explodes it. Markup nested in ways that need
 a real tree (tables inside cells) is not followed.
 """
+import html as html_text
+import html.entities as html_names
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vitrine.functions import patterns as P
 from vitrine.functions.binding import let
-from vitrine.functions.texts import mtime_col, size_col, strip
+from vitrine.functions.texts import BLANK, mtime_col, size_col, strip
 from vitrine.functions.urls import is_plain_name, resolved_path, split_url
 
 _ANCHOR, _ROW, _CELL = "\x01", "\x02", "\x03"
@@ -25,30 +29,54 @@ _OPENING = (
 _CLOSING = r"(?i)</(?!a\b)[a-z]"
 # `<tr>` may be at most four ancestors up: the cell, and two more around the anchor
 _MAX_WRAPPERS = 2
-_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 
-def _numeric_entity(token: Column) -> Column:
-    digits = F.regexp_extract(token, r"([0-9a-fA-F]+);", 1)
-    code = F.when(token.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
-    valid = (code.between(1, 0xD7FF)) | code.between(0xE000, 0x10FFFF)
+# every named reference of the standard, with those that may lack the semicolon
+_NAMED = html_names.html5
+_LEGACY = max((n for n in _NAMED if not n.endswith(";")), key=len)
+_REFERENCE = r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);?|[a-zA-Z][a-zA-Z0-9]{0,31};?)"
+
+
+def _numeric(token: Column) -> Column:
+    """The character of a numeric reference, with the replacements of the standard."""
+    digits = F.regexp_replace(F.regexp_extract(token, r"([0-9a-fA-F]+);?$", 1), "^0+(?=.)", "")
+    short = F.length(digits) <= 8
+    code = F.when(short, F.when(token.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)).cast("bigint")
+    replaced = F.create_map(*[F.lit(x) for pair in invalid_charrefs().items() for x in pair])[code.cast("int")]
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
     text = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    return F.when(valid, text).otherwise("�")
+    dropped = code.between(1, 8) | code.between(0xE, 0x1F) | code.between(0x7F, 0x9F) | code.between(0xFDD0, 0xFDEF) | (code == 0xB) | (code.bitwiseAND(F.lit(0xFFFE).cast("bigint")) == 0xFFFE)
+    return F.coalesce(replaced, F.when(~F.coalesce(valid, F.lit(False)), "\ufffd").when(dropped, "").otherwise(text))
+
+
+def invalid_charrefs() -> dict[int, str]:
+    """What the standard puts for the numbers 0 and 128 to 159, and a return."""
+    return {n: html_text.unescape(f"&#{n};") for n in (0, 13, *range(0x80, 0xA0))}
 
 
-def _replace_entities(text: Column) -> Column:
-    tokens = F.array_distinct(
-        F.regexp_extract_all(text, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0))
+def _named(token: Column, table: Column) -> Column:
+    """A whole name, or the longest known start of one, its rest kept; else the token itself."""
+    name = F.substring(token, 2, 40)
+    starts = F.transform(
+        F.sequence(F.least(F.length(name), F.lit(len(_LEGACY))), F.lit(1), F.lit(-1)), lambda n: F.struct(n.alias("n"), table[F.substring(name, F.lit(1), n)].alias("c"))
     )
-    plain = F.aggregate(tokens, text, lambda done, t: F.replace(done, t, _numeric_entity(t)))
-    for entity, char in _ENTITIES.items():
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return plain
+    best = F.get(F.filter(starts, lambda s: s["c"].isNotNull() & (s["n"] > 1)), F.lit(0))
+    return F.coalesce(table[name], let(best, lambda b: F.concat(b["c"], F.substring(name, b["n"] + 1, F.lit(40)))), token)
+
+
+def _replace_references(text: Column) -> Column:
+    # both sides of every reference, in order, in one pass
+    table = F.from_json(F.lit(json.dumps(_NAMED)), "map<string, string>")
+    tokens = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    between = F.split(text, _REFERENCE, -1)
+    decoded = F.transform(tokens, lambda t: F.when(t.startswith("&#"), _numeric(t)).otherwise(_named(t, table)))
+    return F.concat(F.get(between, F.lit(0)), F.array_join(
+        F.zip_with(decoded, F.slice(between, 2, 1 << 30), lambda d, rest: F.concat(d, rest)), ""))
 
 
 def unescape(text: Column) -> Column:
-    """Replace numeric and the common named character references."""
-    return let(text, lambda t: F.when(t.contains("&"), _replace_entities(t)).otherwise(t))
+    """Replace numeric and named character references."""
+    return let(text, lambda t: F.when(t.contains("&"), _replace_references(t)).otherwise(t))
 
 
 def plain_text(markup: Column) -> Column:
@@ -114,23 +142,19 @@ def _line_meta(tail: Column) -> Column:
 def _cell_anchors(cell: Column, meta: Column) -> Column:
     """The anchors of one cell, each with the row's metadata if it is close enough."""
     def located(pieces: Column) -> Column:
-        balance = F.transform(
-            pieces, lambda p: F.regexp_count(p, F.lit(_OPENING)) - F.regexp_count(p, F.lit(_CLOSING))
-        )
-        return let(
-            balance,
-            lambda b: F.transform(
-                F.slice(pieces, 2, 1 << 30),
-                lambda p, i: F.struct(
-                    p.alias("markup"),
-                    F.when(
-                        meta.isNotNull()
-                        & (F.aggregate(F.slice(b, 1, i + 1), F.lit(0), lambda s, d: s + d) <= _MAX_WRAPPERS),
-                        meta,
-                    ).alias("meta"),
-                ),
-            ),
-        )
+        plain = F.transform(F.slice(pieces, 2, 1 << 30), lambda p: F.struct(p.alias("markup"), F.when(F.lit(False), meta).alias("meta")))
+        # wrappers open before each anchor, summed up once along the cell
+        start = F.struct(F.lit(0).alias("open"), F.array().cast("array<int>").alias("before"))
+        opened = F.aggregate(
+            F.transform(pieces, lambda p: F.regexp_count(p, F.lit(_OPENING)) - F.regexp_count(p, F.lit(_CLOSING))),
+            start,
+            lambda acc, d: F.struct((acc["open"] + d).alias("open"), F.array_append(acc["before"], acc["open"] + d).alias("before")),
+        )["before"]
+        close = let(opened, lambda before: F.transform(
+            F.slice(pieces, 2, 1 << 30),
+            lambda p, i: F.struct(p.alias("markup"), F.when(F.get(before, i) <= _MAX_WRAPPERS, meta).alias("meta")),
+        ))
+        return F.when(meta.isNull(), plain).otherwise(close)
 
     return let(F.split(cell, _ANCHOR), located)
 
@@ -179,7 +203,8 @@ def listing_entries(clean: Column, base: Column, directory: Column) -> Column:
             a["href"].alias("href"),
             F.coalesce(
                 a["meta"],
-                let(F.regexp_extract(a["body"], r"(?is)</a\s*>([^<\n]*)", 1), _line_meta),
+                let(
+                    F.regexp_replace(unescape(F.regexp_extract(a["body"], r"(?is)</a\s*>([^<\n]*)", 1)), BLANK, " "), _line_meta),
             ).alias("meta"),
         ),
     )

@@ -24,7 +24,7 @@ def _scaled(number: Column, unit: Column) -> Column:
 def size_col(text: Column) -> Column:
     """``2.5K`` or ``2560`` to bytes (1024-based, halves to even); else null."""
     return let(
-        F.trim(text),
+        strip(text),
         lambda t: _scaled(F.regexp_extract(t, P.SIZE_TEXT, 1), F.regexp_extract(t, P.SIZE_TEXT, 2)),
     )
 
@@ -51,7 +51,7 @@ def mtime_col(text: Column) -> Column:
     """Both listing date forms to ``YYYY-MM-DDTHH:MM``; other text is kept; ``-`` is null."""
     months = F.array(*[F.lit(m) for m in P.MONTHS])
     return let(
-        F.trim(text),
+        strip(text),
         lambda t: let(
             F.array_position(months, F.lower(F.regexp_extract(t, _NAMED, 2))),
             lambda month: _normal_mtime(t, month),

@@ -1,10 +1,7 @@
 """Candidates: scope, dedup, queues, status, browsing."""
 import ipaddress
-import sys
 from datetime import datetime
 
-import pyarrow as pa
-from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +9,6 @@ from vitrine.functions import patterns as P
 from vitrine.functions.binding import let
 from vitrine.functions.urls import dedup_form, host_of, normal_form, repaired, split_url
 
-register_pickle_by_value(sys.modules[__name__])
-
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
@@ -60,27 +55,42 @@ def _ipv4_blocked(host: Column, cidrs) -> Column:
     return let(number, in_any)
 
 
-def _judge_literals(cidrs):
-    """Fill ``blocked`` of the rare rows whose host is an IPv6 literal."""
-    def judge(batches):
-        extra = [n for n in _networks(cidrs) if n.version == 6]
+def _ipv6_digits(literal: Column) -> Column:
+    """The 32 hex digits of an IPv6 literal; null if it is none."""
+    tail = r"^(.*:)(\d+)\.(\d+)\.(\d+)\.(\d+)$"
+    pair = lambda i: F.lower(F.hex(F.regexp_extract(literal, tail, i).cast("bigint") * 256 + F.regexp_extract(literal, tail, i + 1).cast("bigint")))
+    plain = F.when(
+        literal.rlike(rf":{_OCTET}(?:\.{_OCTET}){{3}}$"), F.concat(F.regexp_extract(literal, tail, 1), pair(2), F.lit(":"), pair(4))
+    ).otherwise(literal)
+    groups = "(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?"
+
+    def digits(text: Column) -> Column:
+        halves = F.split(text, "::")
+        side = lambda i: F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+        joined = lambda parts: F.array_join(F.transform(parts, lambda g: F.lpad(g, 4, "0")), "")
+        count = F.size(side(0)) + F.size(side(1))
+        whole = F.when(text.contains("::"), count <= 7).otherwise(count == 8)
+        return F.when(
+            text.rlike(f"^{groups}(?:::{groups})?$") & whole,
+            F.concat(joined(side(0)), F.repeat(F.lit("0000"), 8 - count), joined(side(1))),
+        )
+
+    return let(plain, digits)
 
-        def blocked(text):
-            try:
-                ip = ipaddress.ip_address(text)
-            except ValueError:
-                return True  # brackets around something else
-            return (
-                ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved
-                or ip.is_multicast or ip.is_unspecified or any(ip in n for n in extra)
-            )
 
-        for batch in batches:
-            at = batch.schema.get_field_index("blocked")
-            verdicts = pa.array([blocked(h) for h in batch.column("_host").to_pylist()], pa.bool_())
-            yield batch.set_column(at, "blocked", verdicts)
+def _ipv6_blocked(literal: Column, cidrs) -> Column:
+    """Outside the public range, in a special block of it, in an extra block, or no address at all."""
+    def within(digits: Column, networks) -> Column:
+        found = F.lit(False)
+        for net in networks:
+            found = found | digits.between(f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}")
+        return found
 
-    return judge
+    special, spared = _networks(P.SPECIAL_IPV6), _networks(P.PUBLIC_IN_SPECIAL_IPV6)
+    extra = [n for n in _networks(cidrs) if n.version == 6]
+    return let(_ipv6_digits(literal), lambda d: F.coalesce(
+        ~within(d, _networks([P.PUBLIC_IPV6])) | (within(d, special) & ~within(d, spared)) | within(d, extra), F.lit(True)
+    ))
 
 
 def with_blocked(df: DataFrame, col: str = "url", cidrs=(), suffixes=P.BLOCKED_SUFFIXES) -> DataFrame:
@@ -93,7 +103,6 @@ def with_blocked(df: DataFrame, col: str = "url", cidrs=(), suffixes=P.BLOCKED_S
         lambda h: F.when(h.rlike(P.HOST_CHARS), h),
     )
     placed = df.withColumn("_host", host)
-    is_literal = F.coalesce(F.col("_host").contains(":"), F.lit(False))
 
     def judge(name: Column) -> Column:
         numeric = name.rlike(rf"^(?:{P.NUMERIC_LABEL})(?:\.(?:{P.NUMERIC_LABEL}))*$")
@@ -102,14 +111,12 @@ def with_blocked(df: DataFrame, col: str = "url", cidrs=(), suffixes=P.BLOCKED_S
             suffix = suffix | (name == s.lstrip(".")) | name.endswith(s)
         return (
             F.when(name.isNull(), True)
+            .when(name.contains(":"), _ipv6_blocked(name, cidrs))
             .when(name.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), _ipv4_blocked(name, cidrs))
             .otherwise(numeric | suffix)
         )
 
-    named = placed.filter(~is_literal).withColumn("blocked", let(F.col("_host"), judge))
-    literals = placed.filter(is_literal).withColumn("blocked", F.lit(None).cast("boolean"))
-    judged = literals.mapInArrow(_judge_literals(tuple(cidrs)), literals.schema)
-    return named.unionByName(judged).drop("_host")
+    return placed.withColumn("blocked", let(F.col("_host"), judge)).drop("_host")
 
 
 def scope_filter(df: DataFrame, col: str = "url", cidrs=(), suffixes=P.BLOCKED_SUFFIXES) -> DataFrame:
@@ -137,7 +144,7 @@ def ingest_candidates(
     return first.select("dedup_key", "_row.*", F.lit("pending").alias("status"))
 
 
-def pending_queue(candidates: DataFrame, limit: int | None = 50) -> DataFrame:
+def pending_queue(candidates: DataFrame, limit: int | None = None) -> DataFrame:
     """Candidates waiting for a capture, oldest first."""
     queue = candidates.filter("status = 'pending'").orderBy("first_seen", "candidate_id")
     return queue if limit is None else queue.limit(limit)
@@ -147,7 +154,7 @@ def pending_count(candidates: DataFrame) -> DataFrame:
     return candidates.filter("status = 'pending'").agg(F.count(F.lit(1)).alias("pending"))
 
 
-def recapture_queue(candidates: DataFrame, snapshots: DataFrame, limit: int | None = 50) -> DataFrame:
+def recapture_queue(candidates: DataFrame, snapshots: DataFrame, limit: int | None = None) -> DataFrame:
     """Candidates that ever showed an open directory, oldest first."""
     shown = snapshots.filter("is_open_dir").select("candidate_id")
     queue = candidates.join(shown, "candidate_id", "left_semi").orderBy("first_seen", "candidate_id")

@@ -89,7 +89,7 @@ def classify_snapshots(snapshots: DataFrame, entries: DataFrame) -> DataFrame:
 def pending_snapshots(
     snapshots: DataFrame,
     classifications: DataFrame,
-    limit: int | None = 200,
+    limit: int | None = None,
     ruleset_version: str = P.RULESET_VERSION,
 ) -> DataFrame:
     """Open directories with no verdict at this ruleset, oldest first."""
@@ -104,7 +104,7 @@ def classify_pending(
     snapshots: DataFrame,
     classifications: DataFrame,
     entries: DataFrame,
-    limit: int | None = 200,
+    limit: int | None = None,
 ) -> DataFrame:
     """New classification rows to append; empty when nothing is pending."""
     pending = pending_snapshots(snapshots, classifications, limit)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vitrine.functions.files import extension, file_rank, is_alarm, is_payload
 from vitrine.functions.tokens import host_token
 from vitrine.functions.urls import host_of
-from vitrine.operators.hosts import host_summary
+from vitrine.operators.hosts import host_summary, named
 
 
 def hashes_by_file(hashes: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def top_files(files: DataFrame, n: int | None = 12) -> DataFrame:
     """The ``n`` most notable ranked files per host, numbered by ``place``.
 
     The filter sits on the window, so map tasks send at most ``n`` rows per host
-    however many files it has. ``n=None`` keeps all files, without numbering.
+    however many files it has, for ``n`` up to ``spark.sql.optimizer.windowGroupLimitThreshold``. ``n=None`` keeps all files, without numbering.
     """
     if n is None:
         return files.withColumn("place", F.lit(None).cast("int"))
@@ -87,10 +87,11 @@ def disclose_files(files: DataFrame, disclose: bool = False) -> DataFrame:
     return files.select(*kept, shown.alias("file"))
 
 
-def _flagged(records: DataFrame, flagged_only: bool) -> DataFrame:
+def flagged_records(records: DataFrame, flagged_only: bool = True) -> DataFrame:
     """Records of hosts with at least one flagged record (all, if not asked)."""
     if not flagged_only:
         return records
+    records = named(records)
     hosts = records.filter(F.col("label").isin("malicious_staging", "sensitive_exposure")).select("host")
     return records.join(hosts.distinct(), "host", "left_semi")
 
@@ -111,7 +112,9 @@ def host_file_inventory(
     records included in its files. For a listing of all files, which has no bound
     per host, use ``host_file_rows``.
     """
-    kept = _flagged(records, flagged_only)
+    if max_files is None:
+        raise ValueError("an array of all files has no bound per host: use host_file_rows")
+    kept = flagged_records(named(records), flagged_only)
     files = ranked_files(join_hashes(host_entries(kept, entries), hashes))
     shown = disclose_files(top_files(files, max_files), disclose)
     # at most max_files structs per host
@@ -125,7 +128,7 @@ def host_file_inventory(
     count = F.coalesce("shown", F.lit(0))
     return (
         joined.select(
-            host_token(F.coalesce("host", F.lit("")), salt).alias("token"),
+            host_token(F.col("host"), salt).alias("token"),
             "verdict",
             "signals",
             F.coalesce("files", F.array()).alias("files"),
@@ -155,9 +158,9 @@ def host_file_rows(
 
     Written out flat and range-sorted, so one huge host is spread over many tasks.
     """
-    kept = _flagged(records, flagged_only)
+    kept = flagged_records(named(records), flagged_only)
     files = ranked_files(join_hashes(host_entries(kept, entries), hashes))
-    ordered = files.withColumn("token", host_token(F.coalesce("host", F.lit("")), salt)).orderBy(
+    ordered = files.withColumn("token", host_token(F.col("host"), salt)).orderBy(
         "token", *notable_order()
     )
     return disclose_files(ordered, disclose).select("token", "rank", "file")

@@ -59,9 +59,14 @@ def signal_labels() -> Column:
     return _named("signal", P.SIGNAL_LABELS)
 
 
+def named(records: DataFrame) -> DataFrame:
+    """Records with the host as text; those whose URL has none share the empty one."""
+    return records.withColumn("host", F.coalesce("host", F.lit("")))
+
+
 def host_signals(records: DataFrame) -> DataFrame:
     """The signals each host shows over all its records (``host, signals``)."""
-    return records.groupBy("host").agg(*signal_flags()).select("host", signal_labels().alias("signals"))
+    return named(records).groupBy("host").agg(*signal_flags()).select("host", signal_labels().alias("signals"))
 
 
 def host_breakdown(records: DataFrame, flagged_only: bool = True) -> DataFrame:
@@ -105,7 +110,7 @@ def bait_categories(entries: DataFrame, *by: str) -> DataFrame:
 
 def identical_fanout(records: DataFrame) -> DataFrame:
     """Per host, the most records that share one page hash; 1 if none has a hash."""
-    per_hash = records.groupBy("host", "raw_html_sha256").agg(F.count(F.lit(1)).alias("n"))
+    per_hash = named(records).groupBy("host", "raw_html_sha256").agg(F.count(F.lit(1)).alias("n"))
     return per_hash.groupBy("host").agg(
         F.coalesce(F.max(F.when(F.col("raw_html_sha256") != "", F.col("n"))), F.lit(1)).alias("fanout")
     )
@@ -115,13 +120,8 @@ def honeypot_col(bait: Column, fanout: Column) -> Column:
     """Flag, score and reasons of a potential trap."""
     curated = F.size(bait) >= P.MIN_BAIT
     fanned = fanout >= P.MIN_FANOUT
-    listed = F.concat(
-        F.lit("curated bait — "), F.size(bait).cast("string"), F.lit(" high-value file types ("),
-        F.array_join(F.array_sort(bait), ", "), F.lit(")"),
-    )
-    spread = F.concat(
-        F.lit("identical listing on "), fanout.cast("string"), F.lit(" ports (scanner fan-out)")
-    )
+    listed = F.format_string(P.REASON_BAIT, F.size(bait), F.array_join(F.array_sort(bait), ", "))
+    spread = F.format_string(P.REASON_FANOUT, fanout)
     return F.struct(
         (curated | fanned).alias("flag"),
         (F.size(bait) + F.when(fanned, 3).otherwise(0)).alias("score"),
@@ -145,12 +145,12 @@ def host_summary(records: DataFrame) -> DataFrame:
     """
     flagged = _severity(F.col("label"))
     flagged = F.when(flagged <= 1, flagged)
-    per_page = records.groupBy("host", "raw_html_sha256").agg(
+    per_page = named(records).groupBy("host", "raw_html_sha256").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(flagged).alias("severity"),
         F.sum("file_count").alias("total"),
         F.max("has_meta").alias("has_meta"),
-        F.min("first_open_at").alias("first_seen"),
+        F.min(F.struct("first_open_at", "first_open_id")).alias("first_seen"),
         *signal_flags(),
         *[F.max(F.col("bait_hits")[c] > 0).alias(f"bait:{c}") for c in P.BAIT],
     )

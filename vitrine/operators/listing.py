@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import fingerprints as fp
 from vitrine.functions import html as H
-from vitrine.functions import patterns as P
 from vitrine.functions.urls import base_directory, split_url
 
 
@@ -41,7 +40,7 @@ def validate_listing(pages: DataFrame) -> DataFrame:
     )
     return titled.select(
         "page_id",
-        F.left("title", F.lit(P.TEXT_LIMIT)).alias("title"),
+        "title",
         H.is_listing(F.col("_clean"), F.col("title")).alias("is_open_dir"),
     )
 
@@ -69,7 +68,7 @@ def snapshots_from_pages(pages: DataFrame) -> DataFrame:
     return with_template_hash(parsed).select(
         "page_id",
         F.col("url").alias("final_url"),
-        F.left("_title", F.lit(P.TEXT_LIMIT)).alias("title"),
+        F.col("_title").alias("title"),
         H.is_listing(F.col("_clean"), F.col("_title")).alias("is_open_dir"),
         H.server_kind(F.col("html"), F.col("_clean")).alias("server_kind"),
         "listing_entries",

@@ -8,9 +8,9 @@ from vitrine.functions.urls import resolved_path, resolved_url, split_url
 
 
 def select_payloads(
-    entries: DataFrame, urls: DataFrame, max_files: int = P.MAX_PAYLOADS
+    entries: DataFrame, urls: DataFrame, max_files: int | None = None
 ) -> DataFrame:
-    """The first ``max_files`` allowlisted files per snapshot, with absolute URLs.
+    """The allowlisted files of each snapshot (the first ``max_files``, if given), with absolute URLs.
 
     ``urls`` gives the candidate URL of each snapshot (``snapshot_id, url``).
     """
@@ -18,9 +18,10 @@ def select_payloads(
     files = entries.filter(~F.col("is_dir") & is_payload(F.col("name"))).select(
         "snapshot_id", "pos", "name", href.alias("href")
     )
-    order = Window.partitionBy("snapshot_id").orderBy("pos")
-    first = files.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max_files)
-    joined = first.join(urls.select("snapshot_id", F.col("url").alias("_base_url")), "snapshot_id")
+    if max_files is not None:
+        order = Window.partitionBy("snapshot_id").orderBy("pos")
+        files = files.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max_files)
+    joined = files.join(urls.select("snapshot_id", F.col("url").alias("_base_url")), "snapshot_id")
     split = joined.withColumns(
         {
             "_base": split_url(F.col("_base_url")),
@@ -36,7 +37,7 @@ def hash_pending(
     classifications: DataFrame,
     hashes: DataFrame,
     labels=("sensitive_exposure", "malicious_staging"),
-    limit: int | None = 50,
+    limit: int | None = None,
 ) -> DataFrame:
     """Flagged open directories none of whose files has been hashed yet."""
     flagged = classifications.filter(
@@ -77,7 +78,7 @@ def hashed_types(hashes: DataFrame) -> DataFrame:
     )
 
 
-def vt_pending(hashes: DataFrame, limit: int | None = 100) -> DataFrame:
+def vt_pending(hashes: DataFrame, limit: int | None = None) -> DataFrame:
     """Hashed rows still without a report."""
     pending = hashes.filter(F.col("vt").isNull() & (F.col("sha256") != ""))
     return pending if limit is None else pending.orderBy("hash_id").limit(limit)

@@ -39,7 +39,7 @@ def newest_classification(
         latest.select("snapshot_id"), "snapshot_id"
     )
     newest = verdicts.groupBy("snapshot_id").agg(
-        F.max_by(F.struct("label", *carry), F.struct("classified_at", "ruleset_version")).alias("_v")
+        F.max_by(F.struct("label", *carry), F.struct("classified_at", F.transform(F.split("ruleset_version", r"\."), lambda x: x.try_cast("int")))).alias("_v")
     )
     return latest.join(newest, "snapshot_id").select(*latest.columns, "_v.*")
 
@@ -49,11 +49,12 @@ def directory_records(
 ) -> DataFrame:
     """One row per latest directory with a verdict: what the host rollups read.
 
-    The host is that of the candidate URL, not of the final URL after redirects.
+    The host is that of the candidate URL, not of the final URL after redirects; it is
+    null where the URL has none, and each rollup chooses what that means.
     """
     places = candidates.withColumn("_u", split_url(F.col("url"))).select(
         "candidate_id", "url",
-        F.coalesce("_u.host", F.lit("")).alias("host"), F.col("_u.port").alias("port"),
+        F.col("_u.host").alias("host"), F.col("_u.port").alias("port"),
     )
     stored = classifications.select(
         "snapshot_id", "label", "ruleset_version", "classified_at",

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from vitrine.functions import patterns as P
 from vitrine.functions.urls import host_of
 from vitrine.operators.features import snapshot_profiles
-from vitrine.operators.host_files import host_file_inventory
+from vitrine.operators.host_files import flagged_records, host_file_inventory
+from vitrine.operators.hosts import host_summary
 from vitrine.operators.network import network_profile
 from vitrine.operators.payloads import hash_summary, hashed_types, vt_summary
 from vitrine.operators.records import directory_records, latest_open, newest_classification
@@ -93,13 +94,13 @@ def network_report(latest: DataFrame, candidates: DataFrame) -> DataFrame:
     return _with_share(owners.groupBy("category").agg(F.sum("hosts").alias("n")))
 
 
-def top_providers(latest: DataFrame, candidates: DataFrame, n: int = 8) -> DataFrame:
+def top_providers(latest: DataFrame, candidates: DataFrame, n: int | None = 8) -> DataFrame:
     owners = _categorised(network_hosts(latest, candidates))
     counts = owners.groupBy("provider").agg(F.sum("hosts").alias("n"))
-    return counts.orderBy(F.desc("n"), "provider").limit(n)
+    return counts if n is None else counts.orderBy(F.desc("n"), "provider").limit(n)
 
 
-def top_countries(latest: DataFrame, candidates: DataFrame, n: int = 10) -> DataFrame:
+def top_countries(latest: DataFrame, candidates: DataFrame, n: int | None = 10) -> DataFrame:
     return top_n(network_hosts(latest, candidates), "country", n)
 
 
@@ -139,12 +140,17 @@ _VERDICT_HITS = {"sensitive_hits": list(P.SENSITIVE), "payload_hits": list(P.PAY
 
 def signal_prevalence(latest: DataFrame, classifications: DataFrame) -> DataFrame:
     """Directories showing each verdict signal, by their newest verdict of any ruleset."""
-    judged = newest_classification(latest, classifications, "features")
-    flat = judged.select("features.sensitive_hits", "features.payload_hits")
+    hits = classifications.select(
+        "snapshot_id", "label", "ruleset_version", "classified_at",
+        *[F.struct(*[(F.col("features")[column][c] > 0).alias(c) for c in names]).alias(column) for column, names in _VERDICT_HITS.items()],
+    )
+    flat = newest_classification(latest, hits, *_VERDICT_HITS).select(
+        *[F.struct(*[F.col(column)[c].cast("int").alias(c) for c in names]).alias(column) for column, names in _VERDICT_HITS.items()]
+    )
     return _prevalence(flat, _VERDICT_HITS).orderBy(F.desc("dirs"), "family", "category")
 
 
-def ext_prevalence(latest: DataFrame, classifications: DataFrame, exts: DataFrame, n: int = 12) -> DataFrame:
+def ext_prevalence(latest: DataFrame, classifications: DataFrame, exts: DataFrame, n: int | None = 12) -> DataFrame:
     """Directories having an extension among their top ones; the ``n`` most common.
 
     ``exts`` is the long form of ``top_exts``: an extension occurs once per snapshot.
@@ -186,8 +192,8 @@ def one_in_col(total: Column, part: Column) -> Column:
     return F.greatest(F.lit(2), F.rint(F.try_divide(total, part)).cast("bigint"))
 
 
-def kpis(shares: DataFrame, prevalence: DataFrame, inventory: DataFrame) -> DataFrame:
-    """One row of headline figures from three other sections.
+def kpis(shares: DataFrame, prevalence: DataFrame, summary: DataFrame) -> DataFrame:
+    """One row of headline figures from two other sections and the summary of the flagged hosts.
 
     ``credential_key`` sums four prevalences, so a directory may count four times.
     """
@@ -202,7 +208,7 @@ def kpis(shares: DataFrame, prevalence: DataFrame, inventory: DataFrame) -> Data
         dirs((F.col("family") == "payload") & (F.col("category") == "webshell")).alias("webshell_dirs"),
         dirs((F.col("family") == "sensitive") & F.col("category").isin(P.CREDENTIAL_KEYS)).alias("credential_key"),
     )
-    traps = inventory.agg(F.count_if(F.col("honeypot").isNotNull()).alias("honeypot_hosts"))
+    traps = summary.agg(F.count_if("honeypot.flag").alias("honeypot_hosts"))
     joined = _side_by_side(labels, signals, traps)
     return joined.withColumn("one_in", one_in_col(F.col("classified"), F.col("sensitive")))
 
@@ -216,7 +222,7 @@ def report_tables(
     hashes: DataFrame,
     salt: str,
     max_files: int = 10,
-    hosts_shown: int = 20,
+    hosts_shown: int | None = None,
 ) -> dict[str, DataFrame]:
     """All report sections, by name.
 
@@ -243,8 +249,8 @@ def report_tables(
         "server_software": server_software(latest),
         "interest_prevalence": interest_prevalence(latest, profiles),
         "exposed_volume": exposed_volume(latest, profiles),
-        "kpis": kpis(shares, prevalence, inventory),
-        "host_inventory": inventory.limit(hosts_shown),
+        "kpis": kpis(shares, prevalence, host_summary(flagged_records(records))),
+        "host_inventory": inventory if hosts_shown is None else inventory.limit(hosts_shown),
         "hash_summary": hash_summary(hashes),
         "hashed_types": hashed_types(hashes),
         "vt_summary": vt_summary(hashes),

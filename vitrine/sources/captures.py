@@ -1,9 +1,10 @@
 """Capture results (JSON lines) to snapshots, with every line accounted for."""
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine import schemas
 from vitrine.functions import patterns as P
+from vitrine.functions.texts import strip
 
 _RESULT = (
     "url string, error string, http_status int, final_url string, "
@@ -18,32 +19,39 @@ _ONLY_OK = [
 ]
 
 
-def _object_keys(text: Column) -> Column:
-    """Keys of a JSON object; null when the text is not one."""
-    return F.when(F.try_parse_json(text).isNotNull(), F.json_object_keys(text))
-
-
 def route_captures(lines: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Lines (``value``) with their outcome: ok, error, unmatched or malformed.
+    """Lines (``value``) with their outcome: ok, error, unmatched, mistyped or malformed.
 
     Blank lines are dropped. A line belongs to the lowest candidate id with
-    exactly its URL; an unknown URL is unmatched whatever else the line lacks.
+    exactly its URL; an unknown URL is unmatched whatever else the line lacks. A
+    line whose keys are there but hold values of other types is mistyped, so no
+    value is lost unseen. Lines of any length are read; of a repeated key the last counts.
     """
-    present = lines.filter(F.trim(F.col("value")) != "").withColumn("_keys", _object_keys(F.col("value")))
-    parsed = present.withColumn("r", F.from_json("value", _RESULT, {"mode": "PERMISSIVE"}))
+    present = lines.filter(strip(F.col("value")) != "")
+    parsed = present.withColumn(
+        "r", F.from_json("value", f"{_RESULT}, _whole string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_whole"})
+    )
+    # the typed parser also reads numbers such as NaN, which the key reader rejects
+    loose = F.map_keys(F.from_json("value", "map<string, string>"))
+    keyed = parsed.withColumn("_keys", F.coalesce(F.json_object_keys("value"), F.when(F.col("r._whole").isNull(), loose)))
     owners = candidates.groupBy(F.col("url").alias("_url")).agg(
         F.min("candidate_id").alias("candidate_id")
     )
-    joined = parsed.join(owners, F.nullif(F.col("r.url"), F.lit("")) == F.col("_url"), "left")
+    # a line without a URL gets a key that no candidate has, its own, not one that all such lines share
+    own = F.concat(F.lit("\0"), F.xxhash64("value").cast("string"))
+    joined = keyed.withColumn("_key", F.coalesce(F.nullif(F.col("r.url"), F.lit("")), own)).join(
+        owners, F.col("_key") == F.col("_url"), "left"
+    )
     missing = F.size(F.array_except(F.array(*[F.lit(k) for k in P.CAPTURE_KEYS]), F.col("_keys"))) > 0
     outcome = (
         F.when(F.col("_keys").isNull(), "malformed")
         .when(F.col("candidate_id").isNull(), "unmatched")
+        .when(F.col("r._whole").isNotNull(), "mistyped")
         .when(F.coalesce("r.error", F.lit("")) != "", "error")
         .when(missing, "malformed")
         .otherwise("ok")
     )
-    return joined.withColumn("outcome", outcome).drop("_keys", "_url")
+    return joined.withColumns({"outcome": outcome, "r": F.col("r").dropFields("_whole")}).drop("_keys", "_url", "_key")
 
 
 def snapshots_of(routed: DataFrame) -> DataFrame:
@@ -65,11 +73,27 @@ def snapshots_of(routed: DataFrame) -> DataFrame:
 def ingest_captures(lines: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Snapshots to append, rejected lines, and counts per outcome."""
     routed = route_captures(lines, candidates)
-    rejects = routed.filter(F.col("outcome").isin("unmatched", "malformed")).select("value", "outcome")
-    stats = routed.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
-    return snapshots_of(routed), rejects, stats
+    return snapshots_of(routed), rejects_of(routed), outcome_counts(routed)
+
+
+def rejects_of(routed: DataFrame) -> DataFrame:
+    """Lines that gave no snapshot, with the reason."""
+    return routed.filter(F.col("outcome").isin("unmatched", "mistyped", "malformed")).select("value", "outcome")
+
+
+def outcome_counts(routed: DataFrame) -> DataFrame:
+    return routed.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def identified(lines: DataFrame) -> DataFrame:
+    """Lines read from files with ``snapshot_id`` (of file and line, so reruns agree) and ``fetched_at``."""
+    return lines.select(
+        "value",
+        F.xxhash64("_metadata.file_path", "value").alias("snapshot_id"),
+        F.col("_metadata.file_modification_time").alias("fetched_at"),
+    )
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Capture result lines."""
-    return spark.read.text(path)
+    """Capture result lines with the id and time that their snapshots keep."""
+    return identified(spark.read.text(path))

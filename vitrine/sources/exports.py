@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine import schemas
+from vitrine.functions.texts import strip
 
 _MATCH = (
     "ip_str string, port int, asn string, org string, hostnames array<string>, "
@@ -110,10 +111,11 @@ def parse_reputation(reports: DataFrame) -> DataFrame:
             name.alias("name"), error.alias("error"),
         )
 
-    answered = (F.col("status") == 200) & F.col("_json").isNotNull()
-    parsed = reports.withColumns(
-        {"_json": F.try_parse_json(F.col("body")), "_r": F.from_json("body", _REPORT)}
-    )
+    read = F.from_json("body", f"{_REPORT}, _whole string", {"columnNameOfCorruptRecord": "_whole"})
+    # an object is an answer even where a field of it has another type
+    is_json = F.col("_r._whole").isNull() & (strip(F.col("body")) != "") | F.json_object_keys("body").isNotNull()
+    answered = (F.col("status") == 200) & F.coalesce(is_json, F.lit(False))
+    parsed = reports.withColumn("_r", read)
     vt = (
         F.when(answered, report(
             True, number("malicious"), number("suspicious"), F.coalesce(total, F.lit(0)),

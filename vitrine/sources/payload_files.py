@@ -6,13 +6,13 @@ from vitrine.functions import patterns as P
 from vitrine.functions.files import is_payload
 
 
-def hash_landed(files: DataFrame, max_bytes: int = P.MAX_PAYLOAD_BYTES) -> DataFrame:
+def hash_landed(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """``url, name, sha256, md5, size, error`` of allowlisted files (``path, length, content``).
 
-    A file over the cap is reported as too large and never hashed.
+    With ``max_bytes`` a file over it is reported as too large and not hashed.
     """
     named = files.withColumn("name", F.substring_index("path", "/", -1)).filter(is_payload(F.col("name")))
-    small = F.col("length") <= max_bytes
+    small = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
     return named.select(
         F.col("path").alias("url"),
         "name",
@@ -30,10 +30,10 @@ def _any_case_glob() -> str:
     return "*{" + ",".join("".join(either(c) for c in ext) for ext in exts) + "}"
 
 
-def hash_files(spark: SparkSession, path: str, max_bytes: int = P.MAX_PAYLOAD_BYTES) -> DataFrame:
+def hash_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """Hash the payload files under ``path``.
 
-    Name and length are checked before a file is opened: the two branches push
+    Names are checked before a file is opened, and lengths with ``max_bytes``: the two branches push
     their length filter to the reader, and the large one never reads content.
     """
     def files():
@@ -44,6 +44,8 @@ def hash_files(spark: SparkSession, path: str, max_bytes: int = P.MAX_PAYLOAD_BY
             .load(path)
         )
 
+    if max_bytes is None:
+        return hash_landed(files())
     small = files().filter(F.col("length") <= max_bytes).select("path", "length", "content")
     large = files().filter(F.col("length") > max_bytes).select(
         "path", "length", F.lit(None).cast("binary").alias("content")

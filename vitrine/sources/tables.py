@@ -1,5 +1,4 @@
 """Append-only tables, and the intermediate tables that cut long lineages."""
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,21 +22,19 @@ def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    """The cluster's ``spark.checkpoint.dir``: executors write there, and all of them read it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        folder = tempfile.mkdtemp(prefix="vitrine-")
-        context.setCheckpointDir(folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder
 
 
-def materialized(df: DataFrame) -> DataFrame:
+def materialized(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Compute once, write to shared storage, and go on from the written table.
 
     Survives the loss of executors, and later readers prune columns; a plain
     checkpoint would compute the rows twice and keep every column.
     """
-    path = f"{_shared_folder(df.sparkSession)}/vitrine-{uuid.uuid4().hex}"
+    path = f"{folder or _shared_folder(df.sparkSession)}/vitrine-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from vitrine.sources.captures import route_captures, snapshots_of
+from vitrine.sources.captures import identified, outcome_counts, rejects_of, route_captures, snapshots_of
 
 
 def ingest_capture_stream(
@@ -10,15 +10,21 @@ def ingest_capture_stream(
 ) -> StreamingQuery:
     """Append the snapshots of every result file not ingested before, then stop.
 
+    Rejected lines and the counts of outcomes go beside them, to ``_rejects`` and
+    ``_counts`` with the same batch numbers.
+
     The batch job runs on each micro-batch. The checkpoint, in shared storage,
     remembers the files already read, and a batch that is retried after a failure
     replaces its own partition, so nothing is added twice.
     """
-    lines = spark.readStream.text(inbox)
+    lines = identified(spark.readStream.text(inbox))
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        rows = snapshots_of(route_captures(batch, candidates))
-        rows.write.mode("overwrite").parquet(f"{snapshots_path}/batch={batch_id}")
+        routed = route_captures(batch, candidates).persist()
+        parts = {"": snapshots_of, "_rejects": rejects_of, "_counts": outcome_counts}
+        for suffix, part in parts.items():
+            part(routed).write.mode("overwrite").parquet(f"{snapshots_path}{suffix}/batch={batch_id}")
+        routed.unpersist()
 
     return (
         lines.writeStream.foreachBatch(load)
