@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters as the sum of its own hashed vector and the mean of the hashed vectors
-of its characters' trigrams. Every text is cut into overlapping windows of words; the
+A word enters as the sum of its own vector and the mean of the hashed vectors of its
+four-byte sequences; words that few of the fitted texts hold share one vector. Every text is cut into overlapping windows of words; the
 score of a text is the largest score of its windows.
 """
 from __future__ import annotations
@@ -21,10 +21,14 @@ from vitrine.llm.words import LOWER, MARKS, mix, odd, slices, split_words, text_
 MOST_ROWS, MOST_BYTES = 6_000, 14_000_000
 #: Words of a window and between starts of windows.
 WINDOW, STRIDE = 32, 24
-WORDS, GRAMS, WIDTH, HIDDEN = 1 << 14, 1 << 12, 12, 8
+WORDS, GRAMS, WIDTH, HIDDEN = 1 << 14, 1 << 14, 12, 8
+#: Fitted texts that hold a word with a vector of its own, at least.
+SEEN_IN = 4
 STEPS, BATCH, RATE = 700, 192, 0.01
 #: Shrinking of the hashed vectors at each step, times the rate: rare words stay near zero.
-DECAY = 0.3
+DECAY = 0.1
+#: Where a text counts as toxic; the fit puts its best cut there.
+THRESHOLD = 0.3
 #: Input of a place behind the end: it keeps the state as it is.
 HOLD = 60.0
 
@@ -47,19 +51,19 @@ def cut(column: pa.Array) -> Windows:
     words = split_words(LOWER[data], offsets, MARKS)
     keys, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
     starts, ends = words.starts[first], words.ends[first]
-    # Trigrams of the bytes of each different word with one mark at both ends.
-    sizes = ends - starts + 2
-    gram_rows = np.concatenate([[0], np.cumsum(sizes - 2)])
+    # Four-byte sequences of each different word, with one mark before and two behind it.
+    sizes = ends - starts + 3
+    gram_rows = np.concatenate([[0], np.cumsum(sizes - 3)])
     place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    inside = (place > 0) & (place < np.repeat(sizes, sizes) - 1)
+    inside = (place > 0) & (place < np.repeat(sizes, sizes) - 2)
     letters = np.zeros(len(place), np.uint64)
     letters[inside] = words.data[(np.repeat(starts, sizes) + place - 1)[inside]] + np.uint64(1)
-    factors = odd(3, 41)
+    factors = odd(4, 41)
     grams = np.zeros(0, np.int64)
     if len(letters):
-        sums = letters[:-2] * factors[0] + letters[1:-1] * factors[1] + letters[2:] * factors[2]
-        whole = place[:-2] < np.repeat(sizes, sizes)[:-2] - 2
-        grams = (mix(sums[whole]) >> np.uint64(64 - 12)).astype(np.int32)
+        sums = sum(letters[k:len(letters) - 3 + k] * factors[k] for k in range(4))
+        whole = place[:-3] < np.repeat(sizes, sizes)[:-3] - 3
+        grams = (mix(sums[whole]) >> np.uint64(64 - 14)).astype(np.int32)
     counts = np.diff(words.rows)
     windows = np.maximum(1, -(-np.maximum(counts - (WINDOW - STRIDE), 1) // STRIDE))
     rows = np.concatenate([[0], np.cumsum(windows)])
@@ -67,7 +71,7 @@ def cut(column: pa.Array) -> Windows:
     where = begin[:, None] + np.arange(WINDOW)
     past = where >= np.repeat(words.rows[1:], windows)[:, None]
     at = np.where(past, -1, back[np.where(past, 0, where)] if len(back) else -1).astype(np.int32)
-    return Windows(at, keys, (keys >> np.uint64(64 - 14)).astype(np.int64), grams, gram_rows, rows)
+    return Windows(at, keys, np.zeros(len(keys), np.int64), grams, gram_rows, rows)
 
 
 def cut_all(texts: pa.Array) -> Windows:
@@ -86,6 +90,25 @@ def cut_all(texts: pa.Array) -> Windows:
     return Windows(at, keys, whole.words, whole.grams, whole.gram_rows, rows)
 
 
+def common_words(w: Windows) -> np.ndarray:
+    """Hashes, in order, of the words that most texts hold."""
+    held = np.zeros(len(w.keys), np.int64)
+    for a, b in zip(w.rows[:-1], w.rows[1:]):
+        own = np.unique(w.at[a:b])
+        held[own[own >= 0]] += 1
+    often = np.flatnonzero(held >= SEEN_IN)
+    often = often[np.lexsort((w.keys[often], -held[often]))[: WORDS - 1]]
+    return np.sort(w.keys[often])
+
+
+def placed(w: Windows, vocabulary: np.ndarray) -> Windows:
+    """With the row of each different word: 0 for all that have no vector of their own."""
+    if len(vocabulary):
+        i = np.minimum(np.searchsorted(vocabulary, w.keys), len(vocabulary) - 1)
+        w.words = np.where(vocabulary[i] == w.keys, i + 1, 0)
+    return w
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
@@ -106,7 +129,7 @@ def _vectors(p: dict, w: Windows) -> np.ndarray:
     for i in range(0, len(w.words), 20_000):
         rows = w.gram_rows[i:i + 20_001]
         sums = np.add.reduceat(p["gram"][w.grams[rows[0]:rows[-1]]], rows[:-1] - rows[0])
-        out[i:i + len(sums)] = p["word"][w.words[i:i + len(sums)]] + sums / np.diff(rows)[:, None]
+        out[i:i + len(sums)] = p["word"][w.words[i:i + len(sums)]] + sums / np.sqrt(np.diff(rows)[:, None])
     return out
 
 
@@ -200,7 +223,7 @@ def _gradients(p: dict, w: Windows, at: np.ndarray, y: np.ndarray) -> dict[str,
     if len(sub.words):
         np.add.at(g["word"], sub.words, d_vectors[:-1])
         n = np.diff(sub.gram_rows)
-        np.add.at(g["gram"], sub.grams, np.repeat(d_vectors[:-1] / n[:, None], n, axis=0))
+        np.add.at(g["gram"], sub.grams, np.repeat(d_vectors[:-1] / np.sqrt(n)[:, None], n, axis=0))
     return g
 
 
@@ -223,6 +246,8 @@ def fit(texts: pa.Array, y: np.ndarray, steps: int = STEPS, seed: int = 5) -> di
     p = _start(seed)
     rng = np.random.default_rng(seed)
     w = cut_all(texts)
+    p["vocabulary"] = common_words(w)
+    placed(w, p["vocabulary"])
     first, n = w.rows[:-1], np.diff(w.rows)
     marked, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(marked) or not len(clean):
@@ -231,8 +256,9 @@ def fit(texts: pa.Array, y: np.ndarray, steps: int = STEPS, seed: int = 5) -> di
         return p
     owner = np.repeat(np.arange(len(y)), n)
     best = hard = None
-    m = {k: np.zeros_like(v) for k, v in p.items()}
-    s = {k: np.zeros_like(v) for k, v in p.items()}
+    weights = [k for k in p if k != "vocabulary"]
+    m = {k: np.zeros_like(p[k]) for k in weights}
+    s = {k: np.zeros_like(p[k]) for k in weights}
     for step in range(1, steps + 1):
         if step > steps // 4 and step % (steps // 8 or 1) == 0:
             logits = window_logits(p, w)
@@ -249,20 +275,31 @@ def fit(texts: pa.Array, y: np.ndarray, steps: int = STEPS, seed: int = 5) -> di
         target = np.concatenate([np.ones(len(i), np.float32), np.zeros(len(j), np.float32)])
         g = _gradients(p, w, w.at[np.concatenate([from_marked, from_clean])], target)
         rate = RATE * min(1, 2 * (1 - step / (steps + 1)))
-        for k in p:
+        for k in weights:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
             if k in ("word", "gram"):
                 p[k] *= 1 - rate * DECAY
             p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)
+    p["bias"] += np.float32(np.log(THRESHOLD / (1 - THRESHOLD))) - _best_cut(np.maximum.reduceat(window_logits(p, w), first), y)
     return p
 
 
+def _best_cut(logits: np.ndarray, y: np.ndarray) -> np.float32:
+    """The cut with the best F1 over the fitted texts, in the middle between its neighbours."""
+    order = np.argsort(-logits, kind="stable")
+    hits = np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    k = int(np.argmax(f1))
+    below = logits[order[min(k + 1, len(y) - 1)]]
+    return np.float32((logits[order[k]] + below) / 2)
+
+
 def score_texts(p: dict[str, np.ndarray], column: pa.Array) -> np.ndarray:
     """The largest window score of each text."""
-    w = cut(column)
     if not len(column):
         return np.zeros(0)
+    w = placed(cut(column), p["vocabulary"])
     return _sigmoid(np.maximum.reduceat(window_logits(p, w), w.rows[:-1]).astype(np.float64))
 
 
