@@ -21,7 +21,9 @@ from vitrine.llm.shipping import shipped
 from vitrine.llm.words import slices
 
 #: Words a Python worker remembers, and their bytes, before it keeps those at hand only; no effect on results.
-MOST_WORDS, MOST_BYTES = 600_000, 16_000_000
+MOST_WORDS, MOST_BYTES = 300_000, 8_000_000
+#: Words it keeps between tasks: the shortest, which are the commonest.
+KEPT_WORDS = 60_000
 #: Text bytes whose words are replayed together.
 PART_BYTES = 4_000_000
 SHIFT = 24
@@ -73,12 +75,15 @@ class Vocabulary:
         words = set().union(*split)
         new = words - self.seen.keys()
         if len(self.seen) + len(new) > MOST_WORDS or self.seen_bytes > MOST_BYTES:
-            self.seen = {word: self.seen[word] for word in words - new}
-            self.seen_bytes = sum(map(len, self.seen))
+            self.keep(words - new)
         if new:
             self.learn(new)
         return [b"".join(map(self.seen.__getitem__, words)) for words in split]
 
+    def keep(self, words: set[str]) -> None:
+        self.seen = {word: self.seen[word] for word in words}
+        self.seen_bytes = sum(map(len, words))
+
     def decode(self, ids: bytes | None) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
@@ -192,6 +197,8 @@ def bpe_encode(
                     values = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32)))
                 back = [pa.array([vocabulary.decode(x) for x in found], pa.binary())] if decoded else []
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), values, *back], names=schema.names)
+        # between tasks a worker keeps the common words only, so that other stages have its memory
+        vocabulary.keep(set(sorted(vocabulary.seen, key=len)[:KEPT_WORDS]))
 
     return shipped(kept).mapInArrow(run, schema)
 

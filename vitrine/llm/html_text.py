@@ -50,7 +50,7 @@ def vectors(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return out, bounds
     slots = [_path_slots(path) for p in pages for path in p.paths]
-    out[np.repeat(np.arange(n), [len(s) for s in slots]), np.concatenate(slots)] = 1
+    out[np.repeat(np.arange(n), [len(s) for s in slots]), np.concatenate(slots).astype(np.int64)] = 1
     data, offsets = text_bytes(pa.array(texts, pa.large_string() if sum(map(len, texts)) > 1 << 29 else pa.string()))
     words = split_words(LOWER[data], offsets, MARKS)
     row = words.row_of()

@@ -1,13 +1,12 @@
 """A bounded sample of labelled documents to fit on, and scoring of whole tables by a fitted model."""
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vitrine.llm.shipping import shipped
 from vitrine.llm.words import slices
@@ -34,15 +33,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, fit_on: Column, most:
 
 
 def scored(docs: DataFrame, text_col: str, columns: list[str], score: Callable[[pa.Array], np.ndarray], name: str = "score") -> DataFrame:
-    """``columns`` of every row, and the score of its whole text; map-only, slice by slice."""
-    kept = docs.select(*columns, *([F.col(text_col).alias("_text")]))
-    schema = T.StructType([*(f for f in kept.schema if f.name != "_text"), T.StructField(name, T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "_text"):
-                text = part.column("_text")
-                values = pa.array(np.asarray(score(text), np.float64))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), values], names=[*columns, name])
-
-    return shipped(kept).mapInArrow(run, schema)
+    """``columns`` of every row, and the score of its whole text; map-only, slice by slice.
+
+    Only texts and scores pass through Python; the columns stay in the JVM.
+    """
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        parts = slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text")
+        return pa.array(np.concatenate([np.zeros(0), *(np.asarray(score(p.column("text")), np.float64) for p in parts)]))
+
+    return shipped(docs).select(*columns, run(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias(name))

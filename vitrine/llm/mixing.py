@@ -89,7 +89,7 @@ def curriculum(
     Sums per source and per (source, hash range) are combined before the shuffle; a
     source with a third of all rows is split into ``ranges`` windows.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     rows = docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
         key.alias("_key"), F.conv(F.substring(key, 1, 6), 16, 10).cast("long").alias("_high"), *[F.col(c).alias(f"_keep_{c}") for c in keep],

@@ -12,7 +12,7 @@ FROM t WINDOW w AS (PARTITION BY text)
 OP7 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('17:' || doc_id::VARCHAR) AS key
+         md5('17:' || coalesce(doc_id::VARCHAR, '')) AS key
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,

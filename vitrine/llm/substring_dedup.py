@@ -25,7 +25,7 @@ from vitrine.llm.words import Words, odd, mix, slices, split_words, text_bytes,
 #: Words of the sequence that names a run.
 INNER = 4
 #: Rows that are settled among themselves before the shuffle.
-GROUP = 500_000
+GROUP = 150_000
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
