@@ -27,6 +27,8 @@ from vitrine.llm.words import LOWER, mix, odd, slices, split_words, text_bytes,
 AXES, FINE = 64, 1024
 #: Members of a leaf of the R-tree, of a verified group, and of a block of a cluster.
 LEAF, GROUP, BLOCK = 16, 256, 1024
+#: So many pairs to check, 48 bytes each, are sent to the texts; more are joined by a shuffle of both.
+SENT_PAIRS = 100_000
 #: Size classes grow by this factor.
 LEVEL = 1.4
 
@@ -135,12 +137,24 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.minimum(n[i], m[j]).sum())
 
 
-def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind))
+def _same(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of each whole set."""
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(value ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
+    return mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
-def set_table(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, same (hash of the set), point (16-bit group of each shingle, in order), and, once per set and task, the signatures."""
+def _firsts(same: np.ndarray, told: set[int]) -> np.ndarray:
+    """Which sets come for the first time in this task."""
+    first = np.zeros(len(same), bool)
+    for i, key in enumerate(same.tolist()):
+        if key not in told:
+            told.add(key)
+            first[i] = True
+    return first
+
+
+def set_table(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """id, n_shingles, same (hash of the set) and, once per set and task, point (16-bit group of each shingle, in order)."""
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = kept.schema["id"].dataType.simpleString()
 
@@ -149,26 +163,31 @@ def set_table(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
         for batch in batches:
             for part in slices(batch, "text"):
                 value, bounds = shingle_sets(part.column("text"), width)
-                sizes = np.diff(bounds)
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(value ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-                same = mix(sums[bounds[1:]] - sums[bounds[:-1]] + sizes.astype(np.uint64)).view(np.int64)
-                first = np.zeros(len(same), bool)
-                for i, key in enumerate(same.tolist()):
-                    if key not in told:
-                        told.add(key)
-                        first[i] = True
-                some = np.repeat(first, sizes)
-                signed, signed_bounds = signatures(value[some], np.concatenate([[0], np.cumsum(np.where(first, sizes, 0))]), percent)
+                sizes, same = np.diff(bounds), _same(value, bounds)
                 codes = (value >> np.uint64(48)).astype("<u2")
+                points = [codes[a:b].tobytes() if f else None for a, b, f in zip(bounds[:-1], bounds[1:], _firsts(same, told))]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("id"), pa.array(sizes.astype(np.int64)), pa.array(np.where(sizes > 0, same, 0), mask=sizes == 0),
-                        pa.array([codes[a:b].tobytes() if f else None for a, b, f in zip(bounds[:-1], bounds[1:], first)], pa.binary()), _lists(signed.view(np.int64), signed_bounds, pa.int64()),
-                    ],
-                    names=["id", "n_shingles", "same", "point", "signatures"],
+                    [part.column("id"), pa.array(sizes.astype(np.int64)), pa.array(same, mask=sizes == 0), pa.array(points, pa.binary())],
+                    names=["id", "n_shingles", "same", "point"],
                 )
 
-    return shipped(kept).mapInArrow(run, f"id {kind}, n_shingles long, same long, point binary, signatures array<long>")
+    return shipped(kept).mapInArrow(run, f"id {kind}, n_shingles long, same long, point binary")
+
+
+def signature_table(docs: DataFrame, width: int, percent: int, text_col: str) -> DataFrame:
+    """signature, same: the buckets of every set, once per set and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                value, bounds = shingle_sets(part.column("text"), width)
+                sizes, same = np.diff(bounds), _same(value, bounds)
+                first = _firsts(same, told) & (sizes > 0)
+                signed, rows = signatures(value[np.repeat(first, sizes)], np.concatenate([[0], np.cumsum(sizes[first])]), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(signed.view(np.int64)), pa.array(np.repeat(same[first], np.diff(rows)))], names=["signature", "same"])
+
+    return shipped(docs.select(F.col(text_col).alias("text"))).mapInArrow(run, "signature long, same long")
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -192,15 +211,16 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs that link, checked on the whole sets; at most ``GROUP`` or so partners of a document meet in one run of rows."""
+    """Pairs (a written table) that link, checked on the whole sets; at most ``GROUP`` or so partners of a document meet in one run of rows."""
     count = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("a", "_a")
     salted = pairs.join(count, F.col("a") == F.col("_a")).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("_n") / GROUP)).cast("int").alias("part"))
     asked = salted.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("node")).unionByName(
         salted.select("a", "part", F.lit(0).alias("role"), F.col("a").alias("node")).distinct()
     )
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    few = pairs.limit(SENT_PAIRS + 1).count() <= SENT_PAIRS
     rows = (
-        asked.hint("shuffle_hash").join(texts, "node")
+        (F.broadcast(asked) if few else asked.hint("shuffle_hash")).join(texts, "node")
         .repartition("a", "part").sortWithinPartitions("a", "part", "role", "node")
     )
 
@@ -328,14 +348,13 @@ def ngram_components(
     block by block over an R-tree, the likeliest pairs that would join what is apart are checked;
     until all pairs so checked do link, which is most often at once, this is done again without those that do not.
     """
-    table = written(set_table(docs, width, percent, id_col, text_col))
+    table = written(set_table(docs, width, id_col, text_col))
     filled = table.where("same is not null")
     nodes = filled.where("id is not null").groupBy("same").agg(F.min(F.col("id").cast("long")).alias("node"))
     sets = written(filled.where("point is not null").groupBy("same").agg(F.first("point").alias("point")).join(nodes, "same").select("node", "point"))
     by = W.partitionBy("signature")
     shared = (
-        filled.select(F.explode("signatures").alias("signature"), "same")
-        .withColumn("_least", F.min("same").over(by)).withColumn("_most", F.max("same").over(by))
+        signature_table(docs, width, percent, text_col).withColumn("_least", F.min("same").over(by)).withColumn("_most", F.max("same").over(by))
         .where("_least <> _most").select("signature", "same", "_least").distinct()
     )
     buckets = written(
@@ -343,7 +362,8 @@ def ngram_components(
         .select("signature", "node", "ref", "_least")
     )
     first = buckets.where("node <> ref").groupBy("node").agg(F.min(F.struct("_least", "ref")).alias("_f")).select(F.col("_f.ref").alias("a"), F.col("node").alias("b"))
-    links = written(verified(_bounded(first, sets, percent), docs, width, percent, id_col, text_col))
+    likely = written(_bounded(first, sets, percent))
+    links = written(verified(likely, docs, width, percent, id_col, text_col))
     joined = components(links)
     label = joined.select(F.col("node").alias("_n"), "component")
     placed = buckets.join(label, F.col("node") == F.col("_n"), "left").select("signature", "node", "ref", F.coalesce("component", "node").alias("component"))
