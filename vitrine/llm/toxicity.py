@@ -23,7 +23,7 @@ MOST_ROWS, MOST_BYTES = 6_000, 14_000_000
 WINDOW, STRIDE = 32, 24
 WORDS, GRAMS, WIDTH, HIDDEN = 1 << 14, 1 << 14, 12, 8
 #: Fitted texts that hold a word with a vector of its own, at least.
-SEEN_IN = 4
+SEEN_IN = 12
 STEPS, BATCH, RATE = 700, 192, 0.01
 #: Shrinking of the hashed vectors at each step, times the rate: rare words stay near zero.
 DECAY = 0.1
@@ -179,10 +179,12 @@ def window_logits(p: dict, w: Windows, at: np.ndarray | None = None) -> np.ndarr
     return out
 
 
-def _gradients(p: dict, w: Windows, at: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+def _gradients(p: dict, w: Windows, at: np.ndarray, y: np.ndarray, drop=None) -> dict[str, np.ndarray]:
     used, local = np.unique(at, return_inverse=True)
     local = local.reshape(at.shape)
     sub = _only(w, used)
+    if drop is not None:
+        sub.words = np.where(drop.random(len(sub.words)) < 0.5, 0, sub.words)
     if used[0] == -1:
         local = np.where(at < 0, -1, local - 1)
     vectors = _vectors(p, sub)
@@ -273,7 +275,7 @@ def fit(texts: pa.Array, y: np.ndarray, steps: int = STEPS, seed: int = 5) -> di
         if hard is not None:
             from_clean[::2] = hard[rng.integers(0, len(hard), len(from_clean[::2]))]
         target = np.concatenate([np.ones(len(i), np.float32), np.zeros(len(j), np.float32)])
-        g = _gradients(p, w, w.at[np.concatenate([from_marked, from_clean])], target)
+        g = _gradients(p, w, w.at[np.concatenate([from_marked, from_clean])], target, rng)
         rate = RATE * min(1, 2 * (1 - step / (steps + 1)))
         for k in weights:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
