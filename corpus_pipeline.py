@@ -11,11 +11,16 @@ from vitrine.llm.labelled import held_out
 from vitrine.llm.mixing import curriculum
 from vitrine.llm.ngram_join import ngram_components
 from vitrine.llm.quality import fit_quality, quality_scores
-from vitrine.llm.tables import read, written
+from vitrine.llm.tables import read, sent, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The documents whose ids are not in ``dropped``."""
+    return docs.select(*COLUMNS).join(sent(written(dropped.select("doc_id"))), "doc_id", "left_anti").select(*COLUMNS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more stay; the model is fitted on labelled documents outside the held-out fold."""
     model = fit_quality(docs, read(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))
@@ -25,8 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays: the one with the largest id."""
-    dropped = exact_dedup(docs).where("not kept").select("doc_id")
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    groups = exact_dedup(docs, digest="_sha")
+    return _without(docs, groups.where("not kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +39,20 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Five-word shingles, similarity 0.8 or more.
     """
-    dropped = ngram_components(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    return _without(docs, ngram_components(docs).where("component_id <> doc_id"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the curriculum takes, in the order of their positions."""
-    mixed = curriculum(docs, keep=("text", "lang", "n_chars"), ordered=False)
-    copies = mixed.where("copies > 0").select(*COLUMNS, F.explode("positions").alias("_at"))
+    """As many copies of each document as the curriculum takes, in the order of their positions.
+
+    Positions are found on narrow rows; texts move once, for the sort by position.
+    """
+    text = F.xxhash64("text").alias("_text")
+    mixed = curriculum(docs.select("doc_id", "source", "text", text), keep=("_text",), ordered=False).where("copies > 0")
+    places = written(mixed.groupBy("doc_id", "_text").agg(F.first("positions").alias("_places")))
+    places = sent(places.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t"), "_places"))
+    placed = docs.select(*COLUMNS, text).join(places, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t")))
+    copies = placed.select(*COLUMNS, F.explode("_places").alias("_at"))
     return copies.orderBy("_at", "doc_id").select(*COLUMNS)
 
 

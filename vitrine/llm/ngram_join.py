@@ -20,15 +20,13 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.components import components
 from vitrine.llm.shipping import shipped
-from vitrine.llm.tables import written
+from vitrine.llm.tables import sent, written
 from vitrine.llm.words import LOWER, mix, odd, slices, split_words, text_bytes, windows
 
 #: Coordinates of a point in the R-tree, and in the second bound; the third bound has 65536.
 AXES, FINE = 64, 1024
 #: Members of a leaf of the R-tree, of a verified group, and of a block of a cluster.
 LEAF, GROUP, BLOCK = 16, 256, 1024
-#: So many pairs to check, 48 bytes each, are sent to the texts; more are joined by a shuffle of both.
-SENT_PAIRS = 100_000
 #: Size classes grow by this factor.
 LEVEL = 1.4
 
@@ -218,9 +216,8 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col
         salted.select("a", "part", F.lit(0).alias("role"), F.col("a").alias("node")).distinct()
     )
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    few = pairs.limit(SENT_PAIRS + 1).count() <= SENT_PAIRS
     rows = (
-        (F.broadcast(asked) if few else asked.hint("shuffle_hash")).join(texts, "node")
+        sent(written(asked)).join(texts, "node")
         .repartition("a", "part").sortWithinPartitions("a", "part", "role", "node")
     )
 
@@ -351,7 +348,6 @@ def ngram_components(
     table = written(set_table(docs, width, id_col, text_col))
     filled = table.where("same is not null")
     nodes = filled.where("id is not null").groupBy("same").agg(F.min(F.col("id").cast("long")).alias("node"))
-    sets = written(filled.where("point is not null").groupBy("same").agg(F.first("point").alias("point")).join(nodes, "same").select("node", "point"))
     by = W.partitionBy("signature")
     shared = (
         signature_table(docs, width, percent, text_col).withColumn("_least", F.min("same").over(by)).withColumn("_most", F.max("same").over(by))
@@ -361,6 +357,9 @@ def ngram_components(
         shared.join(nodes, "same").join(nodes.select(F.col("same").alias("_least"), F.col("node").alias("ref")), "_least")
         .select("signature", "node", "ref", "_least")
     )
+    # points of the nodes that share a bucket with another one only
+    shown = sent(written(nodes.join(buckets.select("node").distinct(), "node", "left_semi")))
+    sets = written(filled.where("point is not null").join(shown, "same").select("node", "point").dropDuplicates(["node"]))
     first = buckets.where("node <> ref").groupBy("node").agg(F.min(F.struct("_least", "ref")).alias("_f")).select(F.col("_f.ref").alias("a"), F.col("node").alias("b"))
     likely = written(_bounded(first, sets, percent))
     links = written(verified(likely, docs, width, percent, id_col, text_col))

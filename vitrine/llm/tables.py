@@ -4,6 +4,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/vitrine-{uuid.uuid4().hex}"
 
 
+#: Rows of narrow columns that are sent to all executors at most, some 100 bytes each.
+SENT_ROWS = 250_000
+
+
+def sent(table: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """A narrow written table, marked for broadcast if it has at most ``most`` rows; else left to a shuffled join."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
