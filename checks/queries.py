@@ -112,7 +112,8 @@ def _hash_results(s, d):
 
 
 def load_hashes(s, d):
-    return payloads.load_hashes(_hash_results(s, d), _selected(s, d))
+    rows = payloads.load_hashes(_hash_results(s, d), _selected(s, d))
+    return rows.drop("hash_id", "vt", "hashed_at")
 
 
 def src_reputation(s, d):

@@ -125,9 +125,13 @@ def scope_filter(df: DataFrame, col: str = "url", cidrs=(), suffixes=P.BLOCKED_S
 
 
 def ingest_candidates(
-    discovered: DataFrame, existing: DataFrame | None = None, order: str = "input_order", cidrs=()
+    discovered: DataFrame, existing: DataFrame | None = None, order: str = "input_order", cidrs=(),
+    seen_at: Column | None = None,
 ) -> DataFrame:
-    """New candidates: in scope, one per dedup key (the first seen), not known yet."""
+    """New candidates: in scope, one per dedup key (the first seen), not known yet.
+
+    ``candidate_id`` is a hash of the dedup key, so reruns agree and no counter is kept.
+    """
     admitted = scope_filter(discovered, "url", cidrs)
     split = admitted.withColumn("_u", split_url(repaired(F.col("url"))))
     keyed = split.select(
@@ -141,7 +145,11 @@ def ingest_candidates(
     first = keyed.groupBy("dedup_key").agg(F.min_by("_row", "_order").alias("_row"))
     if existing is not None:
         first = first.join(existing.select("dedup_key"), "dedup_key", "left_anti")
-    return first.select("dedup_key", "_row.*", F.lit("pending").alias("status"))
+    return first.select(
+        F.xxhash64("dedup_key").alias("candidate_id"), "dedup_key", "_row.*",
+        (F.current_timestamp() if seen_at is None else seen_at).alias("first_seen"),
+        F.lit("pending").alias("status"), F.lit(None).cast("timestamp").alias("last_captured_at"),
+    )
 
 
 def pending_queue(candidates: DataFrame, limit: int | None = None) -> DataFrame:

@@ -10,7 +10,6 @@ from vitrine.operators.hosts import host_summary
 from vitrine.operators.network import network_profile
 from vitrine.operators.payloads import hash_summary, hashed_types, vt_summary
 from vitrine.operators.records import directory_records, latest_open, newest_classification
-from vitrine.sources.tables import materialized
 
 
 def top_n(df: DataFrame, key: str, n: int | None) -> DataFrame:
@@ -213,6 +212,16 @@ def kpis(shares: DataFrame, prevalence: DataFrame, summary: DataFrame) -> DataFr
     return joined.withColumn("one_in", one_in_col(F.col("classified"), F.col("sensitive")))
 
 
+def report_inputs(
+    candidates: DataFrame, snapshots: DataFrame, classifications: DataFrame, entries: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The latest directories, their profiles, and one record per directory: write each once for a large report."""
+    latest = latest_open(snapshots, "server_kind", "raw_html_sha256")
+    current = entries.join(latest.select("snapshot_id"), "snapshot_id", "left_semi")
+    profiles = snapshot_profiles(current)
+    return latest, profiles, directory_records(latest, classifications, candidates, profiles)
+
+
 def report_tables(
     candidates: DataFrame,
     snapshots: DataFrame,
@@ -223,17 +232,15 @@ def report_tables(
     salt: str,
     max_files: int = 10,
     hosts_shown: int | None = None,
+    inputs: tuple[DataFrame, DataFrame, DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """All report sections, by name.
 
-    The entries of the latest directories are profiled once, and the resulting
-    per-directory table is written out; every section but the file lists reads
-    that table, which is as many rows as there are directories.
+    ``inputs`` are the three tables of ``report_inputs``, as the caller has written
+    them (``materialized``): every section but the file lists reads those, which are as many
+    rows as there are directories. Building the report runs no job.
     """
-    latest = materialized(latest_open(snapshots, "server_kind", "raw_html_sha256"))
-    current = entries.join(latest.select("snapshot_id"), "snapshot_id", "left_semi")
-    profiles = materialized(snapshot_profiles(current))
-    records = materialized(directory_records(latest, classifications, candidates, profiles))
+    latest, profiles, records = inputs or report_inputs(candidates, snapshots, classifications, entries)
     inventory = host_file_inventory(records, entries, salt, hashes, max_files)
     shares = label_shares(latest, classifications)
     prevalence = signal_prevalence(latest, classifications)
