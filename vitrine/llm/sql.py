@@ -96,4 +96,53 @@ WITH a AS (
 SELECT page_id, url, text, length(text) AS n_chars FROM d
 """
 
-SQL: dict[str, str] = {"op3_main_text": OP3, "op6_quotation_links": OP6, "op7_mix_sources": OP7, "op8_exact_dedup": OP8}
+#: A word goes if one of the windows that end at it or up to 12 words later is known from an earlier document.
+OP1 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d
+), k AS (
+  SELECT doc_id, i, word, count(*) OVER f AS n, md5(string_agg(word, ' ') OVER f) AS key
+  FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+), known AS (
+  SELECT doc_id, i, word, n = 13 AND min(doc_id) FILTER (n = 13) OVER (PARTITION BY key) < doc_id AS known FROM k
+), gone AS (
+  SELECT doc_id, i, word, bool_or(known) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM known
+), kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS text FROM gone GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+#: All pairs that share a shingle, counted; then the smallest id that links reach.
+OP2 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), w AS (
+  SELECT doc_id, len(words) AS n_words, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d
+), k AS (
+  SELECT doc_id, n_words, count(*) OVER f AS n, md5(string_agg(word, ' ') OVER f) AS key, i
+  FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)
+), s AS (
+  SELECT DISTINCT doc_id, key FROM k WHERE n = 4 OR (n_words < 4 AND i = 1)
+), sizes AS (
+  SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id
+), links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM s x JOIN s y ON x.key = y.key AND x.doc_id < y.doc_id GROUP BY ALL)
+  JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * n >= 85 * (p.size + q.size - n)
+), sides AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT DISTINCT a AS doc_id, a AS other FROM sides
+  UNION
+  SELECT reach.doc_id, sides.b FROM reach JOIN sides ON sides.a = reach.other
+)
+SELECT d.doc_id, coalesce(sizes.size, 0) AS n_shingles, coalesce(c.least, d.doc_id) AS component_id
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id) c USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op2_ngram_join": OP2, "op3_main_text": OP3, "op6_quotation_links": OP6, "op7_mix_sources": OP7, "op8_exact_dedup": OP8}
