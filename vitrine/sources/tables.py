@@ -1,4 +1,6 @@
 """Append-only tables, and the intermediate tables that cut long lineages."""
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +24,17 @@ def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``: executors write there, and all of them read it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The cluster's ``spark.checkpoint.dir``: executors write there, and all of them read it.
+
+    Only a local session, whose one process sees its own folders, may do without.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="vitrine-")
+        context.setCheckpointDir(folder)
     return folder
 
 
