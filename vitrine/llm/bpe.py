@@ -21,11 +21,11 @@ from vitrine.llm.shipping import shipped
 from vitrine.llm.words import slices
 
 #: Words a Python worker remembers, and their bytes, before it keeps those at hand only; no effect on results.
-MOST_WORDS, MOST_BYTES = 300_000, 8_000_000
+MOST_WORDS, MOST_BYTES = 250_000, 6_000_000
 #: Words it keeps between tasks: the shortest, which are the commonest.
 KEPT_WORDS = 60_000
 #: Text bytes whose words are replayed together.
-PART_BYTES = 4_000_000
+PART_BYTES = 1_000_000
 SHIFT = 24
 
 
@@ -46,6 +46,7 @@ class Vocabulary:
             ranks[t[:i]] << SHIFT | ranks[t[i:]]: rank
             for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
         }
+        self.first = np.array([[self.pairs.get(a << SHIFT | b, -1) for b in self.byte] for a in self.byte], np.int64)
         self.tokens: dict[int, bytes] = {rank: t for t, rank in ranks.items()}
         self.seen: dict[str, bytes] = {}
         self.seen_bytes = 0
@@ -64,7 +65,7 @@ class Vocabulary:
                 self.seen[word] = whole.to_bytes(4, "little")
             self.seen_bytes += len(data)
         if rest:
-            ids, bounds = replay(texts, self.byte, self.pairs)
+            ids, bounds = replay(texts, self.byte, self.pairs, self.first)
             raw = ids.astype("<u4").tobytes()
             for word, a, b in zip(rest, (bounds[:-1] * 4).tolist(), (bounds[1:] * 4).tolist()):
                 self.seen[word] = raw[a:b]
@@ -88,9 +89,11 @@ class Vocabulary:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
 
-def replay(words: list[bytes], byte: list[int], pairs: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+def replay(words: list[bytes], byte: list[int], pairs: dict[int, int], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All merges over all words; the ids one after another, and where each word's begin.
 
+    ``byte`` has the id of each byte, ``first`` the rank of each pair of bytes, -1 for none.
+
     A merged pair can complete a token of a lower rank than its own; such a pair is
     merged at once, before the next place of the rank at hand, as it would be in its word.
     """
@@ -101,10 +104,6 @@ def replay(words: list[bytes], byte: list[int], pairs: dict[int, int]) -> tuple[
     table = np.asarray(byte, np.int64)
     flat = np.full(len(data) + len(words) + 1, -1, np.int64)
     flat[at] = table[data]
-    first = np.full((256, 256), -1, np.int64)
-    for a in range(256):
-        for b in range(256):
-            first[a, b] = pairs.get(byte[a] << SHIFT | byte[b], -1)
     inner = np.flatnonzero(np.diff(at) == 1)
     ranks = first[data[inner], data[inner + 1]]
     places = at[inner][ranks >= 0]
