@@ -308,18 +308,23 @@ def _forest(group: pd.DataFrame, failed: pd.DataFrame, percent: int) -> pd.DataF
 def _across(members: DataFrame, joined: DataFrame, failed: DataFrame, percent: int) -> DataFrame:
     """Pairs to check next: per two blocks of a cluster, a forest over the components that are left.
 
-    ``members``: cluster, node, point, blocks, block; ``failed``: cluster, failed_a, failed_b.
+    ``members``: cluster, node, size, point, block; ``failed``: cluster, failed_a, failed_b. Blocks
+    are ranges of set sizes; two meet, as (i, j), i <= j, only if their sizes allow a link.
     """
     rows = members.join(joined.select(F.col("node").alias("_n"), "component"), F.col("node") == F.col("_n"), "left").withColumn(
         "component", F.coalesce("component", "node")
     )
     left = rows.groupBy("cluster").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x <> _y").select("cluster")
-    # Two blocks meet in one group: (i, j), i <= j.
-    sides = rows.join(left, "cluster").select(
-        "cluster", "node", "component", "point",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
-            F.least("block", k).alias("i"), F.greatest("block", k).alias("j"), F.col("block").alias("own")))).alias("_at"),
-    ).select("cluster", "node", "component", "point", "_at.*")
+    rows = rows.join(left, "cluster")
+    blocks = rows.groupBy("cluster", "block").agg(F.min("size").alias("_low"), F.max("size").alias("_high"))
+    smaller = blocks.select(F.col("cluster").alias("_c"), F.col("block").alias("i"), F.col("_high").alias("_most"))
+    meet = blocks.join(smaller, (F.col("cluster") == F.col("_c")) & (F.col("i") <= F.col("block")) & (F.col("_low") * percent <= F.col("_most") * 100)).select(
+        "_c", "i", F.col("block").alias("j")
+    )
+    side = lambda own, only: rows.join(only, (F.col("cluster") == F.col("_c")) & (F.col("block") == F.col(own))).select(
+        "cluster", "node", "component", "point", "i", "j", F.col("block").alias("own")
+    )
+    sides = side("i", meet).unionByName(side("j", meet.where("i < j")))
     against = failed.join(sides.select(F.col("cluster").alias("_c"), F.col("i").alias("_i"), F.col("j").alias("_j")).distinct(), F.col("cluster") == F.col("_c")).select(
         "_c", "_i", "_j", "failed_a", "failed_b"
     )
@@ -341,38 +346,48 @@ def ngram_components(
 
     Copies share a node, so groups of copies cost nothing more. A bucket has one reference;
     every node is first checked against one reference, which is linear. Buckets whose members
-    are still in different components after that make up clusters. In a cluster,
-    block by block over an R-tree, the likeliest pairs that would join what is apart are checked;
+    are still in different components after that make up clusters, or single pairs. In a cluster,
+    block by block over an R-tree, blocks being ranges of sizes, the likeliest pairs that would join what is apart are checked;
     until all pairs so checked do link, which is most often at once, this is done again without those that do not.
     """
     table = written(set_table(docs, width, id_col, text_col))
     filled = table.where("same is not null")
-    nodes = filled.where("id is not null").groupBy("same").agg(F.min(F.col("id").cast("long")).alias("node"))
+    nodes = filled.where("id is not null").groupBy("same").agg(F.min(F.col("id").cast("long")).alias("node"), F.first("n_shingles").alias("size"))
     by = W.partitionBy("signature")
     shared = (
         signature_table(docs, width, percent, text_col).withColumn("_least", F.min("same").over(by)).withColumn("_most", F.max("same").over(by))
         .where("_least <> _most").select("signature", "same", "_least").distinct()
     )
+    refs = nodes.select(F.col("same").alias("_least"), F.col("node").alias("ref"), F.col("size").alias("ref_size"))
     buckets = written(
-        shared.join(nodes, "same").join(nodes.select(F.col("same").alias("_least"), F.col("node").alias("ref")), "_least")
-        .select("signature", "node", "ref", "_least")
+        shared.join(nodes, "same").join(refs, "_least")
+        .select("signature", "node", "ref", "_least", "size", "ref_size")
     )
     # points of the nodes that share a bucket with another one only
-    shown = sent(written(nodes.join(buckets.select("node").distinct(), "node", "left_semi")))
+    shown = sent(written(nodes.select("same", "node").join(buckets.select("node").distinct(), "node", "left_semi")))
     sets = written(filled.where("point is not null").join(shown, "same").select("node", "point").dropDuplicates(["node"]))
     first = buckets.where("node <> ref").groupBy("node").agg(F.min(F.struct("_least", "ref")).alias("_f")).select(F.col("_f.ref").alias("a"), F.col("node").alias("b"))
     likely = written(_bounded(first, sets, percent))
     links = written(verified(likely, docs, width, percent, id_col, text_col))
     joined = components(links)
     label = joined.select(F.col("node").alias("_n"), "component")
-    placed = buckets.join(label, F.col("node") == F.col("_n"), "left").select("signature", "node", "ref", F.coalesce("component", "node").alias("component"))
-    open_ = placed.groupBy("signature").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x <> _y").select("signature")
-    clusters = components(buckets.join(open_, "signature", "left_semi").where("node <> ref").select("node", "ref"), "node", "ref")
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = written(
-        clusters.join(sizes, "component").join(sets.select(F.col("node").alias("_n"), "point"), F.col("node") == F.col("_n"))
-        .select(F.col("component").alias("cluster"), "node", "point", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+    placed = buckets.join(label, F.col("node") == F.col("_n"), "left").select("signature", "node", F.coalesce("component", "node").alias("component"))
+    open_ = placed.groupBy("signature").agg(
+        F.count(F.lit(1)).alias("_m"), F.min("component").alias("_x"), F.max("component").alias("_y")
+    ).where("_x <> _y").select("signature", "_m")
+    apart = buckets.join(open_, "signature").where("node <> ref")
+    # Two sets alone in a bucket are a pair to check; more make up clusters.
+    sized = (F.least("size", "ref_size") * 100 >= F.greatest("size", "ref_size") * percent) & (F.col("_m") == 2)
+    lone = apart.where(sized).select(F.col("ref").alias("a"), F.col("node").alias("b")).distinct().join(likely, ["a", "b"], "left_anti")
+    more = written(_bounded(lone, sets, percent))
+    links = links.unionByName(written(verified(more, docs, width, percent, id_col, text_col)))
+    joined = components(links)
+    clusters = components(apart.where("_m > 2").select("node", "ref"), "node", "ref")
+    place = F.row_number().over(W.partitionBy("component").orderBy("size", "node")) - 1
+    ranged = clusters.join(nodes.select(F.col("node").alias("_n"), "size"), F.col("node") == F.col("_n")).select(
+        F.col("component").alias("cluster"), "node", "size", F.floor(place / BLOCK).cast("int").alias("block")
     )
+    members = written(ranged.join(sets.select(F.col("node").alias("_n"), "point"), F.col("node") == F.col("_n")).drop("_n"))
     failed = members.sparkSession.createDataFrame([], "failed_a long, failed_b long")
     while True:
         places = clusters.select(F.col("node").alias("failed_a"), F.col("component").alias("cluster"))
