@@ -53,8 +53,8 @@ def exact_dedup(
     if digest:
         marked = narrow.join(groups, keys, "left")
     else:
-        members = hashed.join(groups, keys).select("_id", "keep_id", "group_size").distinct()
-        marked = narrow.join(members, "_id", "left")
+        alone = narrow.join(same_prefix, ["_len", "_prefix"], "left_anti")
+        marked = hashed.join(groups, keys, "left").select("_id", "keep_id", "group_size").unionByName(alone.select("_id"), allowMissingColumns=True)
     return marked.select(
         F.col("_id").alias(id_col),
         F.coalesce("keep_id", "_id").alias("keep_id"),
