@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from vitrine.llm.shipping import shipped
-from vitrine.llm.words import slices
+from vitrine.llm.words import release, slices
 
 #: Words a Python worker remembers, and their bytes, before it keeps those at hand only; no effect on results.
 MOST_WORDS, MOST_BYTES = 250_000, 6_000_000
 #: Words it keeps between tasks: the shortest, which are the commonest.
-KEPT_WORDS = 60_000
+KEPT_WORDS = 30_000
 #: Text bytes whose words are replayed together.
 PART_BYTES = 1_000_000
 SHIFT = 24
@@ -198,6 +198,7 @@ def bpe_encode(
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), values, *back], names=schema.names)
         # between tasks a worker keeps the common words only, so that other stages have its memory
         vocabulary.keep(set(sorted(vocabulary.seen, key=len)[:KEPT_WORDS]))
+        release()
 
     return shipped(kept).mapInArrow(run, schema)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.shipping import shipped
-from vitrine.llm.words import slices
+from vitrine.llm.words import release, slices
 
 
 def held_out(id_col: str, folds: int, fold: int) -> Column:
@@ -40,6 +40,8 @@ def scored(docs: DataFrame, text_col: str, columns: list[str], score: Callable[[
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
         parts = slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text")
-        return pa.array(np.concatenate([np.zeros(0), *(np.asarray(score(p.column("text")), np.float64) for p in parts)]))
+        scores = pa.array(np.concatenate([np.zeros(0), *(np.asarray(score(p.column("text")), np.float64) for p in parts)]))
+        release()
+        return scores
 
     return shipped(docs).select(*columns, run(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias(name))

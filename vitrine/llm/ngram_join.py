@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from vitrine.llm.components import components
 from vitrine.llm.shipping import shipped
 from vitrine.llm.tables import sent, written
-from vitrine.llm.words import LOWER, mix, odd, slices, split_words, text_bytes, windows
+from vitrine.llm.words import LOWER, mix, odd, release, slices, split_words, text_bytes, windows
 
 #: Coordinates of a point in the R-tree, and in the second bound; the third bound has 65536.
 AXES, FINE = 64, 1024
@@ -168,6 +168,7 @@ def set_table(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFr
                     [part.column("id"), pa.array(sizes.astype(np.int64)), pa.array(same, mask=sizes == 0), pa.array(points, pa.binary())],
                     names=["id", "n_shingles", "same", "point"],
                 )
+        release()
 
     return shipped(kept).mapInArrow(run, f"id {kind}, n_shingles long, same long, point binary")
 
@@ -184,6 +185,7 @@ def signature_table(docs: DataFrame, width: int, percent: int, text_col: str) ->
                 first = _firsts(same, told) & (sizes > 0)
                 signed, rows = signatures(value[np.repeat(first, sizes)], np.concatenate([[0], np.cumsum(sizes[first])]), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(signed.view(np.int64)), pa.array(np.repeat(same[first], np.diff(rows)))], names=["signature", "same"])
+        release()
 
     return shipped(docs.select(F.col(text_col).alias("text"))).mapInArrow(run, "signature long, same long")
 
@@ -240,6 +242,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col
                             links.append((x, node[i]))
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
+        release()
 
     return shipped(rows.select("a", "role", "node", "text")).mapInArrow(run, "a long, b long").distinct()
 

@@ -5,6 +5,9 @@ made per word, and memory is a fixed multiple of the slice (``slices``).
 """
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +25,15 @@ LOWER[65:91] += 32
 MARKS = np.ones(256, bool)
 MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 #: Text bytes worked on at once; one longer text is still worked on whole.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+
+
+def release() -> None:
+    """Give free memory of a Python worker back to the system at the end of a task, for the tasks of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
