@@ -348,8 +348,8 @@ def ngram_components(
     returned each. An empty table gives an empty result; other columns are not read.
 
     Copies share a node, so groups of copies cost nothing more. A bucket has one reference;
-    every node is first checked against one reference, which is linear. Buckets whose members
-    are still in different components after that make up clusters, or single pairs. In a cluster,
+    every node is first checked against one reference, and against the other one of a bucket of two. Larger buckets
+    whose members are still in different components after that make up clusters. In a cluster,
     block by block over an R-tree, blocks being ranges of sizes, the likeliest pairs that would join what is apart are checked;
     until all pairs so checked do link, which is most often at once, this is done again without those that do not.
     """
@@ -370,22 +370,19 @@ def ngram_components(
     shown = sent(written(nodes.select("same", "node").join(buckets.select("node").distinct(), "node", "left_semi")))
     sets = written(filled.where("point is not null").join(shown, "same").select("node", "point").dropDuplicates(["node"]))
     first = buckets.where("node <> ref").groupBy("node").agg(F.min(F.struct("_least", "ref")).alias("_f")).select(F.col("_f.ref").alias("a"), F.col("node").alias("b"))
-    likely = written(_bounded(first, sets, percent))
+    # Two sets alone in a bucket are a pair to check as well; more than two may make up clusters.
+    counted = buckets.join(buckets.groupBy("signature").agg(F.count(F.lit(1)).alias("_m")), "signature")
+    sized = F.least("size", "ref_size") * 100 >= F.greatest("size", "ref_size") * percent
+    lone = counted.where((F.col("node") != F.col("ref")) & (F.col("_m") == 2) & sized).select(F.col("ref").alias("a"), F.col("node").alias("b"))
+    likely = written(_bounded(first.unionByName(lone).distinct(), sets, percent))
     links = written(verified(likely, docs, width, percent, id_col, text_col))
     joined = components(links)
     label = joined.select(F.col("node").alias("_n"), "component")
-    placed = buckets.join(label, F.col("node") == F.col("_n"), "left").select("signature", "node", F.coalesce("component", "node").alias("component"))
+    placed = buckets.join(label, F.col("node") == F.col("_n"), "left").select("signature", "node", "ref", F.coalesce("component", "node").alias("component"))
     open_ = placed.groupBy("signature").agg(
         F.count(F.lit(1)).alias("_m"), F.min("component").alias("_x"), F.max("component").alias("_y")
-    ).where("_x <> _y").select("signature", "_m")
-    apart = buckets.join(open_, "signature").where("node <> ref")
-    # Two sets alone in a bucket are a pair to check; more make up clusters.
-    sized = (F.least("size", "ref_size") * 100 >= F.greatest("size", "ref_size") * percent) & (F.col("_m") == 2)
-    lone = apart.where(sized).select(F.col("ref").alias("a"), F.col("node").alias("b")).distinct().join(likely, ["a", "b"], "left_anti")
-    more = written(_bounded(lone, sets, percent))
-    links = links.unionByName(written(verified(more, docs, width, percent, id_col, text_col)))
-    joined = components(links)
-    clusters = components(apart.where("_m > 2").select("node", "ref"), "node", "ref")
+    ).where("_x <> _y and _m > 2").select("signature")
+    clusters = components(placed.join(open_, "signature", "left_semi").where("node <> ref").select("node", "ref"), "node", "ref")
     place = F.row_number().over(W.partitionBy("component").orderBy("size", "node")) - 1
     ranged = clusters.join(nodes.select(F.col("node").alias("_n"), "size"), F.col("node") == F.col("_n")).select(
         F.col("component").alias("cluster"), "node", "size", F.floor(place / BLOCK).cast("int").alias("block")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.labelled import sample, scored
 from vitrine.llm.shipping import shipped
-from vitrine.llm.words import slices, split_words, text_bytes
+from vitrine.llm.words import release, slices, split_words, text_bytes
 
 #: Labelled documents to fit on, at most.
 MOST_ROWS = 20_000
@@ -226,7 +226,10 @@ def fit_quality(
     kind = chosen.schema["_id"].dataType.simpleString()
     rows: pd.DataFrame = shipped(chosen).mapInArrow(run, f"_id {kind}, x array<double>, y int").toPandas().sort_values("_id")
     x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, len(FEATURES)))
-    return fit(x, rows["y"].to_numpy(np.float64))
+    model = fit(x, rows["y"].to_numpy(np.float64))
+    del rows, x
+    release()
+    return model
 
 
 def quality_scores(docs: DataFrame, model: AdditiveModel, columns: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
