@@ -53,6 +53,31 @@ def test_scores_of_odd_rows_and_tables(spark):
     assert toxicity.toxicity_scores(docs, weights, ["doc_id"]).toPandas()["score"].between(0, 1).all()
 
 
+def _labelled(spark, rows):
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, v) for i, _, v in rows], "doc_id long, toxic int")
+
+
+def test_a_long_text_leaves_the_others_to_learn_from(spark):
+    """The smallest id alone is over the bytes: clean it gives a piece, marked it is passed over."""
+    for long in (0, 1):
+        rows = [(0, "é lang " * 9_000, long)] + [(i, f"wort {i} " + ("fies " if i % 4 == 0 else "nett ") * 3, int(i % 4 == 0)) for i in range(1, 41)]
+        docs, labels = _labelled(spark, rows)
+        got = toxicity.chosen_texts(docs.unionByName(docs.limit(5)), labels, F.lit(True), most_bytes=20_000)
+        assert sorted(got["_id"]) == list(range(long, 41)) and got["_text"].str.encode("utf-8").str.len().sum() <= 20_000
+        assert got[got["_id"] > 0]["_text"].tolist() == [t for _, t, _ in rows[1:]]
+        few = toxicity.chosen_texts(docs, labels, F.lit(True), most=12)
+        assert (few["_label"] == 1).sum() == 6 and abs(few["_weight"].sum() - 41) < 1e-9
+        scores = toxicity.toxicity_scores(docs, toxicity.fit_toxicity(docs, labels, F.lit(True), most_bytes=20_000), ["doc_id"]).toPandas().set_index("doc_id")["score"]
+        assert all((scores[i] >= toxicity.THRESHOLD) == (v == 1) for i, _, v in rows[1:])
+
+
+def test_a_missing_label_is_told(spark):
+    docs, labels = _labelled(spark, [(1, "gut", 0), (2, "nett", 0)])
+    with pytest.warns(UserWarning, match="0 marked and 2 clean"):
+        toxicity.fit_toxicity(docs, labels, F.lit(True))
+
+
 def _numeric(loss, p, g, names, eps=1e-3):
     r = np.random.default_rng(0)
     for name in names:

@@ -6,6 +6,7 @@ score of a text is the largest score of its windows.
 """
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,11 +14,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from vitrine.llm.labelled import sample, scored
+from vitrine.llm.labelled import scored
 from vitrine.llm.words import LOWER, MARKS, mix, odd, slices, split_words, text_bytes
 
-#: Labelled documents to fit on, at most, and bytes of their text (later ones are left out).
+#: Labelled documents to fit on, at most, and bytes of their text.
 MOST_ROWS, MOST_BYTES = 6_000, 14_000_000
 #: Words of a window and between starts of windows.
 WINDOW, STRIDE = 32, 24
@@ -238,12 +240,12 @@ def _only(w: Windows, used: np.ndarray) -> Windows:
     return Windows(w.at[:0], w.keys[used], w.words[used], w.grams[place], rows, w.rows[:1])
 
 
-def fit(texts: pa.Array, y: np.ndarray, steps: int = STEPS, seed: int = 5) -> dict[str, np.ndarray]:
+def fit(texts: pa.Array, y: np.ndarray, steps: int = STEPS, seed: int = 5, weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Adam on batches of windows, half of them from marked texts.
 
     Only the text is labelled, so a batch takes, of a marked text, the window that
     scores highest so far (any, to begin with), and of clean texts half any window,
-    half one of the highest so far.
+    half one of the highest so far. ``weight``: documents that a text stands for where the cut is put.
     """
     p = _start(seed)
     rng = np.random.default_rng(seed)
@@ -283,15 +285,15 @@ def fit(texts: pa.Array, y: np.ndarray, steps: int = STEPS, seed: int = 5) -> di
             if k in ("word", "gram"):
                 p[k] *= 1 - rate * DECAY
             p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)
-    p["bias"] += np.float32(np.log(THRESHOLD / (1 - THRESHOLD))) - _best_cut(np.maximum.reduceat(window_logits(p, w), first), y)
+    p["bias"] += np.float32(np.log(THRESHOLD / (1 - THRESHOLD))) - _best_cut(np.maximum.reduceat(window_logits(p, w), first), y, np.ones(len(y)) if weight is None else weight)
     return p
 
 
-def _best_cut(logits: np.ndarray, y: np.ndarray) -> np.float32:
+def _best_cut(logits: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.float32:
     """The cut with the best F1 over the fitted texts, in the middle between its neighbours."""
     order = np.argsort(-logits, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    hits = np.cumsum((weight * y)[order])
+    f1 = 2 * hits / (np.cumsum(weight[order]) + (weight * y).sum())
     k = int(np.argmax(f1))
     below = logits[order[min(k + 1, len(y) - 1)]]
     return np.float32((logits[order[k]] + below) / 2)
@@ -305,15 +307,69 @@ def score_texts(p: dict[str, np.ndarray], column: pa.Array) -> np.ndarray:
     return _sigmoid(np.maximum.reduceat(window_logits(p, w), w.rows[:-1]).astype(np.float64))
 
 
+def _share(sizes: np.ndarray, most_bytes: int) -> int:
+    """The largest bound for which all sizes, each cut to it, come to ``most_bytes`` at most."""
+    order = np.sort(sizes)
+    before = np.cumsum(order) - order
+    bounds = (most_bytes - before) // np.arange(len(order), 0, -1)
+    over = np.flatnonzero(bounds < order)
+    return int(max(0, bounds[over[0]])) if len(over) else int(sizes.max(initial=0))
+
+
+def chosen_texts(
+    docs: DataFrame, labels: DataFrame, fit_on: Column, label: str = "toxic", most: int = MOST_ROWS,
+    most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text",
+) -> pd.DataFrame:
+    """_id, _text, _label, _weight: labelled texts to fit on, the same ones in every run.
+
+    Half of ``most`` rows for each label, in the order of a hash of the id; what one label
+    leaves goes to the other. Sizes are collected first, and of the texts only what is chosen.
+    A marked text is taken whole or not at all, since its mark need not hold for a part: the
+    shorter ones, within half of ``most_bytes`` or what the clean ones leave. Every clean text
+    is taken, a long one with a piece at a place that its hash gives. ``_weight``: labelled
+    documents of its label that a row stands for.
+    """
+    known = (
+        labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & fit_on)
+        .groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_label")).where("_label in (0, 1)")
+    )
+    total = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
+    first = [known.where(F.col("_label") == v).orderBy(F.xxhash64("_id"), "_id").limit(most) for v in (0, 1)]
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    sized = (
+        texts.join(F.broadcast(first[0].unionByName(first[1])), "_id")
+        .groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("_hash"), F.octet_length("_text").cast("long").alias("_bytes"))).alias("_s"))
+        .select("_id", "_label", "_s._hash", "_s._bytes", F.xxhash64("_id").alias("_order")).toPandas()
+    ).sort_values(["_order", "_id"])
+    clean, marked = (sized[sized["_label"] == v] for v in (0, 1))
+    marked_rows = min(len(marked), max(most // 2, most - len(clean)))
+    clean, marked = clean[: most - marked_rows], marked[:marked_rows].sort_values("_bytes", kind="stable")
+    marked = marked[marked["_bytes"].cumsum() <= max(most_bytes // 2, most_bytes - int(clean["_bytes"].sum()))]
+    bound = _share(clean["_bytes"].to_numpy(np.int64), most_bytes - int(marked["_bytes"].sum()))
+    rows = [(*r, len_ if label_ else min(len_, bound), total[label_] / n) for part in (clean, marked) for n in [len(part)]
+            for *r, label_, len_ in part[["_id", "_hash", "_label", "_bytes"]].itertuples(index=False)]
+    spark, kind = docs.sparkSession, texts.schema["_id"].dataType.simpleString()
+    taken = spark.createDataFrame([(i, int(h), int(n), float(w)) for i, h, n, w in rows], f"_id {kind}, _hash long, _take long, _weight double")
+    data = F.col("_text").cast("binary")
+    start = F.pmod(F.col("_hash"), F.octet_length("_text") - F.col("_take") + 1) + 1
+    found = (
+        texts.withColumn("_hash", F.xxhash64("_text")).join(F.broadcast(taken), ["_id", "_hash"])
+        .select("_id", F.substring(data, start.cast("int"), F.col("_take").cast("int")).alias("_text"), "_weight").dropDuplicates(["_id"]).toPandas()
+    )
+    found["_text"] = [bytes(t).decode("utf-8", "ignore") for t in found["_text"]]
+    return found.merge(sized[["_id", "_label"]], on="_id").sort_values("_id", ignore_index=True)
+
+
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, fit_on: Column, label: str = "toxic", most: int = MOST_ROWS,
     most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text",
 ) -> dict[str, np.ndarray]:
-    """Fit on the driver on at most ``most`` labelled documents, of ``most_bytes`` together."""
-    rows: pd.DataFrame = sample(docs, labels, label, fit_on, most, id_col, text_col).toPandas()
-    rows = rows.sort_values(["_id", "_text"])
-    rows = rows[rows["_text"].str.len().cumsum() <= most_bytes]
-    return fit(pa.array(rows["_text"], pa.string()), rows["_label"].to_numpy(np.float32))
+    """Fit on the driver on at most ``most`` labelled documents, of ``most_bytes`` together; warns if a label has none."""
+    rows = chosen_texts(docs, labels, fit_on, label, most, most_bytes, id_col, text_col)
+    y = rows["_label"].to_numpy(np.float32)
+    if len(np.unique(y)) < 2:
+        warnings.warn(f"{int((y == 1).sum())} marked and {int((y == 0).sum())} clean texts to fit {label} on: all documents score the same", stacklevel=2)
+    return fit(pa.array(rows["_text"], pa.string()), y, weight=rows["_weight"].to_numpy(np.float64))
 
 
 def toxicity_scores(docs: DataFrame, model: dict[str, np.ndarray], columns: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
