@@ -95,6 +95,17 @@ def test_ngram_components_of_odd_tables(spark):
     assert sorted(got, key=str) == [(3, 2, 3), (3, 2, 3), (4, 2, 3), (None, 2, 3)]
 
 
+def test_a_null_id_takes_no_links_from_others(spark):
+    """Three near copies, of which each in turn has no id, so once the one with the smallest hash of its set."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words[:-1], "x"]), " ".join([*words[:-1], "y"])]
+    for none in range(3):
+        rows = [(None if i == none else i, t) for i, t in enumerate(texts)]
+        got = {r["doc_id"]: r["component_id"] for r in ngram_components(_docs(spark, rows), 4, 85).collect()}
+        least = min(i for i, _ in rows if i is not None)
+        assert got == {i: None if i is None else least for i, _ in rows}
+
+
 def test_a_chain_of_near_copies_is_one_component(spark):
     """Neighbours in the chain link, its ends share nothing: found through verified links only."""
     names = [f"w{i}" for i in range(400)]

@@ -173,8 +173,8 @@ def set_table(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFr
     return shipped(kept).mapInArrow(run, f"id {kind}, n_shingles long, same long, point binary")
 
 
-def signature_table(docs: DataFrame, width: int, percent: int, text_col: str) -> DataFrame:
-    """signature, same: the buckets of every set, once per set and task."""
+def signature_table(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """signature, same: the buckets of every set of a row with an id, once per set and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
@@ -187,7 +187,7 @@ def signature_table(docs: DataFrame, width: int, percent: int, text_col: str) ->
                 yield pa.RecordBatch.from_arrays([pa.array(signed.view(np.int64)), pa.array(np.repeat(same[first], np.diff(rows)))], names=["signature", "same"])
         release()
 
-    return shipped(docs.select(F.col(text_col).alias("text"))).mapInArrow(run, "signature long, same long")
+    return shipped(docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"))).mapInArrow(run, "signature long, same long")
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -358,7 +358,7 @@ def ngram_components(
     nodes = filled.where("id is not null").groupBy("same").agg(F.min(F.col("id").cast("long")).alias("node"), F.first("n_shingles").alias("size"))
     by = W.partitionBy("signature")
     shared = (
-        signature_table(docs, width, percent, text_col).withColumn("_least", F.min("same").over(by)).withColumn("_most", F.max("same").over(by))
+        signature_table(docs, width, percent, id_col, text_col).withColumn("_least", F.min("same").over(by)).withColumn("_most", F.max("same").over(by))
         .where("_least <> _most").select("signature", "same", "_least").distinct()
     )
     refs = nodes.select(F.col("same").alias("_least"), F.col("node").alias("ref"), F.col("size").alias("ref_size"))
