@@ -16,9 +16,24 @@ from vitrine.llm.tables import read, sent, written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The documents whose ids are not in ``dropped``."""
-    return docs.select(*COLUMNS).join(sent(written(dropped.select("doc_id"))), "doc_id", "left_anti").select(*COLUMNS)
+def _matched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` by id, null or not, and ``_key``; ``keys`` is a written table of both."""
+    keys = sent(keys.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")))
+    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), how)
+
+
+def _once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` with one row for all rows of each id and ``_key`` in ``repeated``, a written table."""
+    if repeated.isEmpty():
+        return docs
+    one = _matched(docs, repeated, "left_semi").groupBy("doc_id", "_key").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("_one"))
+    one = one.select("doc_id", "_key", "_one.text", "_one.lang", "_one.source", "_one.n_chars")
+    return _matched(docs, repeated, "left_anti").select(*COLUMNS, "_key").unionByName(one.select(*COLUMNS, "_key"))
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Ids and keys of more than one row, written."""
+    return written(rows.groupBy("doc_id", "_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id", "_key"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,29 +44,57 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays: the one with the largest id."""
-    groups = exact_dedup(docs, digest="_sha")
-    return _without(docs, groups.where("not kept"))
+    """One row of each group of equal texts stays: of the largest id, of null only if no row has an id.
+
+    A row is known by its id and text, so another text of the same id is not touched.
+    """
+    groups = exact_dedup(docs, digest="_sha").where("group_size > 1")
+    marks = written(groups.select("doc_id", "kept", F.xxhash64("_sha").alias("_key")))
+    rows = docs.select(*COLUMNS, F.xxhash64(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("_key"))
+    rest = _matched(rows, written(marks.where("not kept").select("doc_id", "_key").distinct()), "left_anti")
+    return _once(rest, _repeated(marks.where("kept"))).select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays: the one with the smallest id.
+    """One row of each component of near copies stays: of the smallest id, of null only if no row has an id.
 
-    Five-word shingles, similarity 0.8 or more.
+    Five-word shingles, similarity 0.8 or more. Rows whose id is null or not theirs alone are
+    numbered by a hash of id and text; where all ids are single, ids are the numbers.
     """
-    return _without(docs, ngram_components(docs).where("component_id <> doc_id"))
+    shared = written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 or doc_id is null").select("doc_id"))
+    if shared.isEmpty():
+        dropped = written(ngram_components(docs).where("component_id <> doc_id").select("doc_id"))
+        return docs.select(*COLUMNS).join(sent(dropped), "doc_id", "left_anti").select(*COLUMNS)
+    known = sent(shared.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_odd")))
+    rows = docs.join(known, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
+        *COLUMNS, F.when(F.col("_odd"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long")).alias("_key"), "_odd"
+    )
+    names = written(rows.where("_odd").select(F.col("_key").alias("_k"), "doc_id", F.lit(True).alias("_odd")).distinct())
+    found = written(ngram_components(rows, id_col="_key").select("_key", "component_id").distinct())
+    many = written(found.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("component_id"))
+    members = found.join(sent(many), "component_id").join(sent(names), F.col("_key") == F.col("_k"), "left").select(
+        "component_id", "_key", F.when(F.col("_odd"), F.col("doc_id")).otherwise(F.col("_key")).alias("doc_id")
+    )
+    order = F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_least"), "_key")
+    stays = written(members.groupBy("component_id").agg(F.min(order).alias("_s")).select("_s._key"))
+    dropped = members.join(sent(stays), "_key", "left_anti").select("doc_id", "_key")
+    rest = _matched(rows, written(dropped), "left_anti")
+    return _once(rest, _repeated(rows.where("_odd"))).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the curriculum takes, in the order of their positions.
 
-    Positions are found on narrow rows; texts move once, for the sort by position.
+    Positions are found on narrow rows; texts move once, for the sort by position. Rows alike in
+    all columns are one row here, with the positions of all.
     """
-    text = F.xxhash64("text").alias("_text")
-    mixed = curriculum(docs.select("doc_id", "source", "text", text), keep=("_text",), ordered=False).where("copies > 0")
-    places = written(mixed.groupBy("doc_id", "_text").agg(F.first("positions").alias("_places")))
-    places = sent(places.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t"), "_places"))
-    placed = docs.select(*COLUMNS, text).join(places, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t")))
+    rows = docs.select(*COLUMNS, F.xxhash64("text", "lang", "source", "n_chars").alias("_key"))
+    mixed = curriculum(rows.select("doc_id", "source", "text", "_key"), keep=("_key",), ordered=False)
+    places = mixed.groupBy("doc_id", "_key").agg(F.flatten(F.collect_list("positions")).alias("_places"), F.count(F.lit(1)).alias("_n"))
+    places = written(places.where(F.size("_places") > 0))
+    rows = _once(rows, places.where("_n > 1"))
+    places = sent(places.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "_places"))
+    placed = rows.join(places, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")))
     copies = placed.select(*COLUMNS, F.explode("_places").alias("_at"))
     return copies.orderBy("_at", "doc_id").select(*COLUMNS)
 

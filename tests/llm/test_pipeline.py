@@ -61,6 +61,29 @@ def test_stages_take_odd_documents(spark):
         assert stage(spark, docs.where(F.lit(False)), DATA).count() == 0
 
 
+def test_rows_are_told_apart_where_ids_are_not(spark):
+    """Repeated rows, null ids, and ids of two texts: one row of each group stays, and no other text goes."""
+    words = [f"w{i}" for i in range(60)]
+    a, a2, a3, b, c = " ".join(words), " ".join([*words[:-1], "x"]), " ".join([*words[:-1], "y"]), "ganz anderer text " * 3, "nur ohne nummer hier"
+    rows = [(7, a), (9, a), (7, b), (3, "drei"), (3, "drei"), (None, c), (None, c), (None, a), (5, a2), (None, a3), (None, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda frame: sorted(((r["doc_id"], r["text"]) for r in frame.collect()), key=str)
+    kept = [(9, a), (7, b), (3, "drei"), (None, c), (5, a2), (None, a3), (8, "")]
+    one = pipeline.written(pipeline.exact(spark, docs, DATA))
+    assert key(one) == sorted(kept, key=str)
+    want = sorted([(7, b), (3, "drei"), (None, c), (5, a2), (8, "")], key=str)
+    assert key(pipeline.near(spark, one, DATA)) == want
+    alone = sorted([(7, b), (3, "drei"), (None, c), (5, a2), (8, ""), (None, None)], key=str)
+    assert key(pipeline.near(spark, docs, DATA)) == alone
+
+
+def test_mixing_gives_each_repeated_row_its_own_copies(spark):
+    docs = spark.createDataFrame([(i, f"wort {i}", "en", "s", 1) for i in (1, 1, 1, 2, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {r["doc_id"]: r["n"] for r in pipeline.curriculum(docs).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()}
+    got = {r["doc_id"]: r["n"] for r in pipeline.mix(spark, docs, DATA).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {i: n for i, n in want.items() if n}
+
+
 def test_run_is_registered_and_repeatable(spark):
     from __spark_entry__ import queries
 
