@@ -14,8 +14,10 @@ from vitrine.llm.labelled import held_out
 from vitrine.llm.mixing import curriculum
 from vitrine.llm.neighbours import nearest
 from vitrine.llm.ngram_join import ngram_components
+from vitrine.llm.pieces import piece_encode
 from vitrine.llm.quality import fit_quality, quality_scores
 from vitrine.llm.quotations import reply_order
+from vitrine.llm.spelling import spelling_forms
 from vitrine.llm.substring_dedup import substring_dedup
 from vitrine.llm.tables import read
 from vitrine.llm.toxicity import fit_toxicity, toxicity_scores
@@ -87,6 +89,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(rows, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op11_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, with near words and the common form that each is a variant of."""
+    return spelling_forms(read(spark, sf_dir, "documents"), every=199)
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and the text of the ids, both as digests; ``agrees`` is the library's word on both."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = piece_encode(read(spark, sf_dir, "documents"), path, ["doc_id"], decoded="decoded")
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), "agrees",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -98,4 +115,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_spelling_forms": op11_spelling_forms,
+    "op12_pieces": op12_pieces,
 }
