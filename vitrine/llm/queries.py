@@ -21,6 +21,7 @@ from vitrine.llm.spelling import spelling_forms
 from vitrine.llm.substring_dedup import substring_dedup
 from vitrine.llm.tables import read
 from vitrine.llm.toxicity import fit_toxicity, toxicity_scores
+from vitrine.llm.turn_trie import turn_trie
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +105,11 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations, with totals of its subtree."""
+    return turn_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -117,4 +123,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_spelling_forms": op11_spelling_forms,
     "op12_pieces": op12_pieces,
+    "op13_turn_trie": op13_turn_trie,
 }
