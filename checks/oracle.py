@@ -429,6 +429,98 @@ FROM tags JOIN kinds USING (tags) JOIN paths USING (kind)
 """
 
 
+_BATCH = "CASE WHEN fetched_at < '1994-01-01' THEN 'a' WHEN fetched_at < '1997-01-01' THEN 'b' ELSE 'c' END"
+_VALUES = """SELECT DISTINCT host, kind, value FROM (
+    SELECT 'h' || o_custkey::VARCHAR AS host, unnest(['favicon_sha256', 'header_order_sha256', 'raw_html_sha256']) AS kind, unnest([
+        CASE WHEN o_orderkey % 5 < 3 THEN sha256('f' || (o_custkey // 3)::VARCHAR) ELSE '' END,
+        CASE WHEN o_orderkey % 7 < 5 AND o_custkey // 3 % 30 BETWEEN 12 AND 25 THEN sha256('o' || ((o_custkey + 1) // 2)::VARCHAR) END,
+        CASE WHEN o_orderkey % 3 = 0 AND o_custkey // 3 % 30 < 10 THEN sha256('hub') ELSE sha256('s' || o_orderkey::VARCHAR) END]) AS value
+    FROM orders) WHERE value <> ''"""
+_CLUSTERED = f"""WITH RECURSIVE v AS ({_VALUES}), e AS (
+    SELECT DISTINCT host AS a, min(host) OVER (PARTITION BY kind, value) AS b FROM v
+), sides AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+reach AS (SELECT DISTINCT host, host AS other FROM v UNION SELECT reach.host, sides.b FROM reach JOIN sides ON sides.a = reach.other),
+c AS (SELECT host, cluster, count(*) OVER (PARTITION BY cluster) AS n_hosts FROM (SELECT host, min(other) AS cluster FROM reach GROUP BY host))"""
+#: Two results per payload file in the order of arrival.
+_LOADED = """SELECT row_number() OVER (ORDER BY go, snapshot_id * 7919 % 1000, snapshot_id, name) AS hash_id, *,
+    CASE WHEN failed THEN '' ELSE sha256(name || snapshot_id::VARCHAR || go::VARCHAR) END AS sha,
+    CASE WHEN failed THEN 0 ELSE length(url) END::BIGINT AS bytes, CASE WHEN failed THEN 'http 404' ELSE '' END AS failure
+    FROM (SELECT *, go = 2 AND snapshot_id % 4 = 1 AS failed FROM (
+        SELECT snapshot_id, name, url, host, unnest([1, 2]) AS go FROM (SELECT DISTINCT snapshot_id, name, url, host FROM hashes)))"""
+_TOP_EXTS = f"""SELECT snapshot_id, ext, n, place FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY n DESC, ext) AS place
+    FROM (SELECT snapshot_id, {EXT} AS ext, count(*) AS n FROM entries WHERE NOT is_dir GROUP BY ALL) WHERE ext <> '') WHERE place <= 10"""
+
+
+def _added(unpivot) -> dict[str, str]:
+    """Clusters, batches, arrival, stored extensions, the report as rows, indexed search, rejects."""
+    hits = " UNION ALL ".join(
+        f"SELECT '{section}' AS section, category AS key, count(*) AS value FROM ({unpivot(f, src)}) WHERE {where} GROUP BY category"
+        for section, f, src, where in (
+            ("sensitive", "s", "newest", "true"), ("payload", "p", "newest", "true"),
+            ("interest", "i", "prof", "snapshot_id IN (SELECT snapshot_id FROM latest)"))
+    )
+    volume = "SELECT known_sizes, total_bytes, over FROM prof WHERE known_sizes > 0 AND snapshot_id IN (SELECT snapshot_id FROM latest)"
+    kinds = "(SELECT s_suppkey % 6 AS k, count(*) AS n FROM supplier GROUP BY 1)"
+    outcomes = {  # by kind of line: what each source makes of it
+        "host_search": {0: "unreadable", 1: "no_matches", 2: "unreadable", 3: "mistyped", 4: "mistyped", 5: "unreadable"},
+        "host_services": {0: "unreadable", 1: "no_services", 3: "mistyped", 4: "no_services", 5: "unreadable"},
+        "reputation": {0: "unreadable", 1: "no_key", 3: "mistyped", 4: "no_key", 5: "unreadable"},
+    }
+    lines = " UNION ALL ".join(
+        f"SELECT '{source}' AS source, '{outcome}' AS outcome, n * {2 if (source, k) == ('host_search', 4) else 1} AS n FROM {kinds} WHERE k = {k}"
+        for source, table in outcomes.items() for k, outcome in table.items()
+    )
+    per_customer = " UNION ALL ".join(
+        f"SELECT '{source}', '{outcome}', count(*){times} FROM customer WHERE {where}" for source, outcome, times, where in (
+            ("host_search", "ok", "", "c_custkey % 6 <> 4"), ("host_search", "no_address", "", "true"), ("host_search", "no_address", "", "c_custkey % 6 = 4"),
+            ("host_services", "ok", " * 2", "true"), ("host_services", "other_service", "", "true"), ("host_services", "no_port", "", "true"))
+    )
+    return {
+        "host_clusters": _CLUSTERED + " SELECT * FROM c",
+        "cluster_profiles": _CLUSTERED + """, p AS (
+            SELECT cluster, kind, value, count(*) AS hosts FROM v JOIN c USING (host) WHERE n_hosts > 1 GROUP BY ALL
+        ), w AS (SELECT *, row_number() OVER (PARTITION BY cluster, kind ORDER BY hosts DESC, value) AS place FROM p)
+        SELECT cluster, kind, n_hosts, count(*) AS n_values, count(*) FILTER (hosts > 1) AS n_shared,
+            min(value) FILTER (place = 1) AS widest, max(hosts) AS widest_hosts
+        FROM w JOIN (SELECT cluster, kind, count(DISTINCT host) AS n_hosts FROM v JOIN (SELECT host, cluster FROM c) USING (host) GROUP BY ALL)
+            USING (cluster, kind) GROUP BY ALL""",
+        "append_twice": sql("snaps", f"SELECT {_BATCH} AS batch, snapshot_id, candidate_id, server_kind, http_status FROM snaps"),
+        "append_manifest": sql("snaps", f"""SELECT 'ab' AS batch, 1 AS version, count(*) FILTER ({_BATCH} <> 'c') AS n FROM snaps
+            UNION ALL SELECT 'c', 1, count(*) FILTER ({_BATCH} = 'c') FROM snaps UNION ALL SELECT 'a', 2, 0 UNION ALL SELECT 'b', 3, 0"""),
+        "latest_open_merged": sql("latest", f"""SELECT candidate_id, snapshot_id, {DAY.format('fetched_at')}, {DAY.format('first_open_at')},
+            first_open_id, server_kind FROM latest"""),
+        "pending_merged": sql("snaps", f"SELECT snapshot_id, {DAY.format('fetched_at')} FROM snaps WHERE is_open_dir AND snapshot_id % 9 = 4"),
+        "load_hashes_in_order": sql("hashes", "SELECT hash_id, snapshot_id, name, sha AS sha256, bytes AS size, failure AS error FROM loaded", loaded=_LOADED),
+        "vt_pending_in_order": sql("hashes", "SELECT hash_id, snapshot_id, name, sha AS sha256 FROM loaded WHERE sha <> '' ORDER BY hash_id LIMIT 100", loaded=_LOADED),
+        "hash_join_loaded": sql("entries recs hashes", """SELECT e.snapshot_id, r.host, e.name, e.size, h.sha AS sha256 FROM entries e
+            JOIN recs r USING (snapshot_id) LEFT JOIN (SELECT host, name, arg_max(sha, hash_id) AS sha FROM loaded WHERE sha <> '' GROUP BY ALL) h
+            ON h.host = r.host AND h.name = e.name WHERE NOT is_dir""", loaded=_LOADED),
+        "stored_exts": sql("cls entries", """SELECT snapshot_id, judged_label AS label, coalesce(listed, '') AS top_exts, '2.0.0' AS ruleset_version
+            FROM cls LEFT JOIN (SELECT snapshot_id, string_agg(ext || '=' || n::VARCHAR, '|' ORDER BY place) AS listed FROM exts GROUP BY 1)
+            USING (snapshot_id)""", exts=_TOP_EXTS),
+        "report_tables": sql("snaps cands latest newest newest_current prof net entries", f"""SELECT section, key, value::BIGINT AS value FROM (
+            SELECT 'corpus' AS section, 'candidates' AS key, count(*) AS value FROM cands
+            UNION ALL SELECT 'corpus', status, count(*) FROM cands GROUP BY status
+            UNION ALL SELECT 'corpus', 'open_dirs', count(*) FROM latest
+            UNION ALL SELECT 'corpus', 'not_listing', count(DISTINCT candidate_id) FROM snaps WHERE http_status = 200 AND NOT is_open_dir
+            UNION ALL SELECT 'server', server_kind, count(*) FROM latest GROUP BY server_kind
+            UNION ALL SELECT 'label', label, count(*) FROM newest_current GROUP BY label
+            UNION ALL {hits}
+            UNION ALL SELECT 'volume', 'sized_dirs', count(*) FROM ({volume}) UNION ALL SELECT 'volume', 'total_bytes', sum(total_bytes) FROM ({volume})
+            UNION ALL SELECT 'volume', 'files_over_100mb', sum(over) FROM ({volume})
+            UNION ALL SELECT 'ext', ext, count(*) FROM exts WHERE snapshot_id IN (SELECT snapshot_id FROM newest) GROUP BY ext
+            UNION ALL SELECT 'network', {CATEGORY}, count(*) FROM net GROUP BY ALL
+            UNION ALL SELECT 'provider', CASE WHEN coalesce(trim(org), '') = '' THEN 'Unknown' ELSE {PROVIDER} END, count(*) FROM net GROUP BY ALL
+            UNION ALL SELECT 'country', country, count(*) FROM net GROUP BY ALL) WHERE value > 0""", exts=_TOP_EXTS),
+        "browse_indexed": sql("hosted", """SELECT snapshot_id, url, server_kind FROM hosted WHERE http_status = 200
+            AND (contains(lower(url), 'h10') OR contains(lower(server_kind), 'h10'))"""),
+        "search_documents": """SELECT doc_id, term FROM documents, (SELECT unnest(['license', 'Ung der', 'zz']) AS term)
+            WHERE contains(lower(text), lower(term))""",
+        "source_outcomes": f"""SELECT source, outcome, sum(n)::BIGINT AS n FROM ({lines} UNION ALL {per_customer}
+            UNION ALL SELECT 'reputation', 'ok', count(*) FROM orders) GROUP BY ALL""",
+    }
+
+
 def oracle() -> dict[str, str]:
     hits = lambda f: ", ".join(f"{f}_{c} AS {c}" for c in FAMILIES[f])
     unpivot = lambda f, src: " UNION ALL ".join(
@@ -616,7 +708,8 @@ def oracle() -> dict[str, str]:
             CASE WHEN {BAIT_N} >= 4 OR fanout >= 3 THEN {HONEYPOT_REASONS} END AS honeypot
             FROM totals t JOIN hsig USING (host) JOIN fan USING (host) LEFT JOIN shown USING (host)
             WHERE host IN ({HOST_FLAGGED})""", totals=HOST_TOTALS, fan=PARTS["fan"].format(src="recs"), shown=INVENTORY_FILES),
-        "host_file_rows": sql("files", f"""SELECT {_token('host')} AS token, rank, CASE WHEN program THEN 'exec' ELSE 'data' END AS kind,
+        "host_file_rows": sql("files", f"""SELECT {_token('host')} AS token, row_number() OVER (PARTITION BY host ORDER BY rank,
+            coalesce(size, 0) DESC, first_open_at, first_open_id, pos) AS place, rank, CASE WHEN program THEN 'exec' ELSE 'data' END AS kind,
             name, size, CASE WHEN program THEN alarm END AS alarm FROM files WHERE host IN ({HOST_FLAGGED})"""),
         # report
         "corpus_funnel": sql("snaps cands", """SELECT count(*) AS candidates, count(*) FILTER (status = 'captured') AS captured,
@@ -670,6 +763,7 @@ def oracle() -> dict[str, str]:
             AND is_open_dir AND http_status = 200 AND contains(lower(url), 'h1')
             AND fetched_at BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-12-31'"""),
     }
+    out |= _added(unpivot)
     meant = "['benign_index', 'intentional_public', 'sensitive_exposure', 'malicious_staging'][CAST(snapshot_id % 8 % 4 + 1 AS INT)]"
     gold = f"(SELECT label, {meant} AS expected FROM judged)"
     out["goldset_eval"] = sql("judged", "SELECT expected, " + ", ".join(

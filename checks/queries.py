@@ -15,9 +15,10 @@ from vitrine.operators import candidates as cand
 from vitrine.operators import classify as cls
 from vitrine.operators import features as feat
 from vitrine.operators import host_files as hf
-from vitrine.operators import hosts, inventory, listing, network, payloads
+from vitrine.operators import clusters, hosts, inventory, listing, network, payloads, records, text_index
 from vitrine.plans import report
-from vitrine.sources import captures, exports, payload_files
+from vitrine.sources import batches, captures, exports, payload_files
+from vitrine.sources.tables import materialized, new_folder
 
 
 def _joined(column: str, name: str | None = None) -> Column:
@@ -427,6 +428,26 @@ def file_disclosure_full(s, d):
     return _disclosed(s, d, True)
 
 
+def _loaded(s, d):
+    """Hash rows as the library loads them, two per file, numbered as they arrive."""
+    found = T.results(s, d)
+    return payloads.load_hashes(found.drop("name"), found.withColumn("pos", F.lit(0)), order=("arrived",))
+
+
+def load_hashes_in_order(s, d):
+    return _loaded(s, d).select("hash_id", "snapshot_id", "name", "sha256", "size", "error")
+
+
+def vt_pending_in_order(s, d, limit=100):
+    return payloads.vt_pending(_loaded(s, d), limit).select("hash_id", "snapshot_id", "name", "sha256")
+
+
+def hash_join_loaded(s, d):
+    """The last loaded result of a host's file counts, as where ids count up."""
+    files_ = hf.host_entries(T.records(s, d), T.entries(s, d))
+    return hf.join_hashes(files_, _loaded(s, d)).select("snapshot_id", "host", "name", "size", "hash.sha256")
+
+
 def hash_join(s, d):
     files_ = hf.host_entries(T.records(s, d), T.entries(s, d))
     return hf.join_hashes(files_, T.payload_hashes(s, d)).select(
@@ -450,7 +471,7 @@ def host_inventory(s, d):
 
 def host_file_rows(s, d):
     rows = hf.host_file_rows(T.records(s, d), T.entries(s, d), T.SALT, T.payload_hashes(s, d), disclose=True)
-    return rows.select("token", "rank", "file.kind", "file.name", "file.size", "file.alarm")
+    return rows.select("token", "place", "rank", "file.kind", "file.name", "file.size", "file.alarm")
 
 
 # --- report ----------------------------------------------------------------
@@ -489,8 +510,20 @@ def signal_prevalence(s, d):
     return report.signal_prevalence(T.latest(s, d), T.classifications(s, d))
 
 
+def _stored(s, d):
+    """Classifications with the extensions of each listing stored beside the other features."""
+    return T.classifications(s, d, T.profiles(s, d, P.TOP_EXTS))
+
+
 def ext_prevalence(s, d):
-    return report.ext_prevalence(T.latest(s, d), T.classifications(s, d), feat.top_exts(T.entries(s, d)))
+    return report.ext_prevalence(T.latest(s, d), _stored(s, d))
+
+
+def stored_exts(s, d):
+    """Extensions as stored with the verdict, kept when stored features are judged again."""
+    again = cls.reclassify(_stored(s, d), "2.0.0")
+    listed = F.array_join(F.transform("features.top_exts", lambda e: F.concat_ws("=", e["ext"], e["n"].cast("string"))), "|")
+    return again.select("snapshot_id", "label", listed.alias("top_exts"), "ruleset_version")
 
 
 def server_software(s, d):
@@ -547,7 +580,112 @@ def browse(s, d):
     return found.select("snapshot_id", "url", "server_kind")
 
 
+def _fingerprints(s, d):
+    return materialized(clusters.fingerprint_values(T.fingerprinted(s, d), T.FINGERPRINTS))
+
+
+def host_clusters(s, d):
+    return clusters.host_clusters(_fingerprints(s, d))
+
+
+def cluster_profiles(s, d):
+    values = _fingerprints(s, d)
+    return clusters.cluster_profiles(clusters.host_clusters(values), values)
+
+
+def _in_batches(s, d):
+    """Snapshots appended as three batches by day, the second one twice: first with other rows, then rightly."""
+    snaps = T.snapshots(s, d)
+    day = F.col("fetched_at")
+    parts = {"a": day < "1994-01-01", "b": (day >= "1994-01-01") & (day < "1997-01-01"), "c": day >= "1997-01-01"}
+    path = new_folder(s)
+    batches.append_batch(snaps.filter(parts["a"]), path, "a")
+    batches.append_batch(snaps.filter(parts["b"]).withColumn("server_kind", F.lit("lost")), path, "b")
+    batches.append_batch(snaps.filter(parts["c"]), path, "c")
+    batches.append_batch(snaps.filter(parts["b"]), path, "b")
+    return path
+
+
+def append_twice(s, d):
+    """Appended batches read back, one of them added twice."""
+    path = _in_batches(s, d)
+    rows = batches.read_batches(s, path, T.snapshots(s, d).schema, name="batch")
+    return rows.select("batch", "snapshot_id", "candidate_id", "server_kind", "http_status")
+
+
+def append_manifest(s, d):
+    """What the manifest says after the retry and a compaction of two batches into one."""
+    path = _in_batches(s, d)
+    batches.compact(s, path, T.snapshots(s, d).schema, ["a", "b"], "ab")
+    return batches.manifest(s, path).select("batch", "version", "n")
+
+
+def latest_open_merged(s, d):
+    """The newest listings kept up to date batch by batch: stored state and new rows only."""
+    path = _in_batches(s, d)
+    schema, state = T.snapshots(s, d).schema, None
+    for batch in "abc":
+        new = batches.read_batches(s, path, schema, [batch])
+        merged = records.latest_open(new, "server_kind") if state is None else records.merged_latest(state, new, "server_kind")
+        state = materialized(merged)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return state.select("candidate_id", "snapshot_id", day("fetched_at"), day("first_open_at"), "first_open_id", "server_kind")
+
+
+def pending_merged(s, d):
+    """Listings without a verdict, kept up to date batch by batch."""
+    path = _in_batches(s, d)
+    schema, verdicts = T.snapshots(s, d).schema, T.classifications(s, d).select("snapshot_id", "ruleset_version")
+    state = T.snapshots(s, d).limit(0)
+    for batch in "abc":
+        new = batches.read_batches(s, path, schema, [batch])
+        state = materialized(cls.merged_pending(state, new, verdicts.join(new.select("snapshot_id"), "snapshot_id", "left_semi")))
+    return state.select("snapshot_id", F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched_at"))
+
+
+def report_tables(s, d):
+    """All count sections of the report from one pass over one table."""
+    found = report.report_records(T.candidates(s, d), T.snapshots(s, d), _stored(s, d), T.profiles(s, d))
+    return report.report_rows(materialized(found))
+
+
+def browse_indexed(s, d):
+    rows = materialized(_hosted(s, d).select("snapshot_id", "url", "server_kind", "is_open_dir", "http_status", "fetched_at"))
+    path = new_folder(s)
+    text_index.save_index(text_index.build_index(rows, "snapshot_id", ("url", "server_kind")), path)
+    index = s.read.parquet(path)
+    found = cand.browse(rows, {"http_status": 200}, "H10", ("url", "server_kind"), "fetched_at", index=(index, "snapshot_id"))
+    return found.select("snapshot_id", "url", "server_kind")
+
+
+def search_documents(s, d):
+    """Whole document texts searched by trigrams, a rare term and a common one."""
+    docs = T.table(s, d, "documents").select("doc_id", "text")
+    index = materialized(text_index.build_index(docs, "doc_id", ("text",)))
+    parts = [text_index.search_indexed(docs, index, "doc_id", ("text",), t).select("doc_id", F.lit(t).alias("term")) for t in ("license", "Ung der", "zz")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def source_outcomes(s, d):
+    """Every record of the three sources by outcome, unreadable ones among them."""
+    broken = T.broken_lines(s, d)
+    answers = T.report_lines(s, d).select(F.to_json(F.struct("sha256", "status", "body")).alias("value"))
+    parts = {
+        "host_search": exports.host_search_outcomes(T.search_pages(s, d).unionByName(broken)),
+        "host_services": exports.host_services_outcomes(T.service_lines(s, d).unionByName(broken)),
+        "reputation": exports.reputation_outcomes(answers.unionByName(broken)),
+    }
+    rows = [part.select(F.lit(name).alias("source"), "outcome", "n") for name, part in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 QUERIES = {
+    "host_clusters": host_clusters, "cluster_profiles": cluster_profiles,
+    "append_twice": append_twice, "append_manifest": append_manifest,
+    "latest_open_merged": latest_open_merged, "pending_merged": pending_merged,
+    "load_hashes_in_order": load_hashes_in_order, "vt_pending_in_order": vt_pending_in_order, "hash_join_loaded": hash_join_loaded,
+    "stored_exts": stored_exts, "report_tables": report_tables,
+    "browse_indexed": browse_indexed, "search_documents": search_documents, "source_outcomes": source_outcomes,
     "src_host_search": src_host_search, "src_host_services": src_host_services,
     "ingest_captures": ingest_captures, "ingest_stats": ingest_stats, "ingest_rejects": ingest_rejects,
     "pages_to_snapshots": pages_to_snapshots, "load_hashes": load_hashes, "src_reputation": src_reputation,

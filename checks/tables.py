@@ -20,7 +20,7 @@ NAMES = (
     "teig.txt start.html fotos/ plan.md laden.css laden.js ofen.png mitarbeiter/ backup_alt/ preise.json "
     "markt.jpg LIZENZ ofen.ico ofen.webm seiten.xml quellen/ kneten.py papiere/ regeln.txt schrift.woff2 "
     "brot-1.zip brot-2.tar brot.iso brot.tar.gz film-1.mp4 film-2.mkv ofen.deb ofen.rpm ofen.whl ofen.jar "
-    "ofen.msi Waage-3.exe Muschel-2.exe ofen.AppImage handbuch.pdf ofen.dmg winter.rar winter.7z winter.xz SUMMEN "
+    "ofen.msi brotwaage.exe kalender.exe ofen.AppImage handbuch.pdf ofen.dmg winter.rar winter.7z winter.xz SUMMEN "
     ".env laden.env .git/ kasse_id_rsa authorized_keys kasse.pem wp-config-neu.php .htpasswd kasse_dump.sql kasse.sql.gz "
     "customers_nord.csv password_liste.zip ssh-key_nord.tar.gz config.rar wallet.dat credential.odt lager.sqlite3 netz.pcap "
     "nord.ovpn laden_backup.zip "
@@ -175,8 +175,8 @@ def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_open(snapshots(spark, sf_dir), "server_kind", "raw_html_sha256")
 
 
-def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot_profiles(entries(spark, sf_dir))
+def profiles(spark: SparkSession, sf_dir: str, exts: int | None = None) -> DataFrame:
+    return snapshot_profiles(entries(spark, sf_dir), exts=exts)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -425,3 +425,52 @@ def landed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length(content).cast("bigint").alias("length"),
         content.alias("content"),
     )
+
+
+# --- hosts and fingerprints, batches, arrival ---------------------------------
+
+FINGERPRINTS = ("favicon_sha256", "header_order_sha256", "raw_html_sha256")
+
+
+def fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of one host per customer with fingerprints that link hosts in threes, in chains and in one hub.
+
+    One page is that of a third of all hosts; most snapshots have no value that another host has.
+    """
+    cust, key = F.col("o_custkey"), F.col("o_orderkey")
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    third, pair = F.floor(cust / 3), F.floor((cust + 1) / 2)
+    block = third % 30
+    return table(spark, sf_dir, "orders").select(
+        text("h", cust).alias("host"), key.alias("snapshot_id"),
+        F.when(key % 5 < 3, F.sha2(text("f", third), 256)).otherwise(F.lit("")).alias("favicon_sha256"),
+        F.when((key % 7 < 5) & block.between(12, 25), F.sha2(text("o", pair), 256)).alias("header_order_sha256"),
+        F.when((key % 3 == 0) & (block < 10), F.sha2(F.lit("hub"), 256)).otherwise(F.sha2(text("s", key), 256)).alias("raw_html_sha256"),
+    )
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hash results per payload file, the later one of another content or failed, and ``arrived``, their order."""
+    files = payload_hashes(spark, sf_dir).select("hash_id", "snapshot_id", "name", "url").groupBy("snapshot_id", "name", "url").agg(F.min("hash_id.pos").alias("_pos"))
+    sid = F.col("snapshot_id")
+    twice = files.withColumn("go", F.explode(F.array(F.lit(1), F.lit(2))))
+    failed = (F.col("go") == 2) & (sid % 4 == 1)
+    return twice.select(
+        "snapshot_id", "name", "url", F.struct("go", (sid * 7919 % 1000).alias("o"), "snapshot_id", "name").alias("arrived"),
+        F.when(~failed, F.sha2(F.concat("name", sid.cast("string"), F.col("go").cast("string")), 256)).alias("sha256"),
+        F.when(~failed, F.md5("url")).alias("md5"), F.lit(None).cast("string").alias("tlsh"),
+        F.when(~failed, F.length("url").cast("bigint")).alias("size"), F.when(failed, "http 404").alias("error"),
+    )
+
+
+def broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that no source can read as they stand, one per supplier."""
+    key = F.col("s_suppkey")
+    text = key.cast("string")
+    kinds = [
+        F.concat(F.lit("{ "), text), F.concat(F.lit('{"total":'), text, F.lit("}")), F.lit("  "),
+        F.concat(F.lit('{"matches":"'), text, F.lit('","services":"x","status":"x","sha256":"'), text, F.lit('"}')),
+        F.concat(F.lit('{"matches":[{"ip_str":"203.0.113.1","port":"x'), text, F.lit('"},7],"services":[],"ip":"'), text, F.lit('","sha256":""}')),
+        F.concat(F.lit("["), text, F.lit("]")),
+    ]
+    return table(spark, sf_dir, "supplier").select(_case(key % len(kinds), kinds).alias("value"))

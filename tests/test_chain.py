@@ -7,7 +7,6 @@ from vitrine import schemas
 from vitrine.operators import candidates as cand
 from vitrine.operators import payloads
 from vitrine.operators.classify import classify_pending
-from vitrine.operators.features import top_exts
 from vitrine.operators.listing import explode_entries
 from vitrine.plans.report import report_inputs, report_tables
 from vitrine.sources import captures, exports, tables
@@ -48,7 +47,7 @@ def test_export_to_inventory(spark, tmp_path):
     hashes = tables.materialized(payloads.load_hashes(results, picked))
     assert payloads.vt_pending(hashes).count() == 1
     inputs = tuple(map(tables.materialized, report_inputs(after, snapshots, verdicts, entries)))
-    report = report_tables(after, snapshots, verdicts, entries, top_exts(entries), hashes, "salt", inputs=inputs)
+    report = report_tables(after, snapshots, verdicts, entries, hashes, "salt", inputs=inputs)
     row, = report["host_inventory"].collect()
     assert (row["verdict"], row["total"], row["files"][0]["name"]) == ("malicious", 2, "teig_shell.jsp")
     assert row["files"][0]["sha256"] == hashes.first()["sha256"]

@@ -96,6 +96,18 @@ def test_top_exts_and_hits(spark):
     assert top[0] == (".zip", 2) and len(top) == 10 and top[1:3] == [(".e0", 1), (".e1", 1)]
     profile = feat.snapshot_profiles(entries).first()
     assert (profile["mirror_files"], profile["dir_count"]) == (3, 1)
+    stored = feat.snapshot_profiles(entries, exts=10).first()
+    assert [tuple(e) for e in stored["top_exts"]] == top
+    assert {k: v for k, v in stored.asDict().items() if k != "top_exts"} == profile.asDict()
+
+
+def test_stored_extensions_survive_a_new_verdict(spark):
+    snapshots, entries = _listings(spark, [["a.zip", "b.zip", "c.TXT", "ordner.d/"], ["ohne"], []])
+    judged = cls.classification_rows(cls.classify_snapshots(snapshots, entries))
+    again = cls.reclassify(judged, "9.0.0").orderBy("snapshot_id").collect()
+    assert [[tuple(e) for e in r["features"]["top_exts"]] for r in again] == [[(".zip", 2), (".txt", 1)], [], []]
+    plan = cls.classify_snapshots(snapshots, entries).select("top_exts", "label")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(snapshot_id") <= 3
 
 
 def test_columns_agree_with_plain_regular_expressions(spark):

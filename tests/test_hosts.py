@@ -1,16 +1,19 @@
 """Host rollups: grouping, ranking, disclosure, and what must never appear."""
 import hashlib
 import hmac
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from vitrine.functions import patterns as P
 from vitrine.operators import host_files as hf
 from vitrine.operators import hosts
 from vitrine.operators.classify import classification_rows, classify_snapshots
-from vitrine.operators.features import snapshot_profiles, top_exts
+from vitrine.operators.features import snapshot_profiles
 from vitrine.operators.records import directory_records, latest_open
-from vitrine.plans.report import report_tables
+from vitrine.plans.report import report_records, report_rows, report_tables
 
 SALT = "a-test-salt"
 ENTRY = "snapshot_id int, pos int, name string, is_dir boolean, size long, mtime string"
@@ -71,16 +74,35 @@ def test_nothing_identifying_leaves_the_inventory(spark):
     assert "teig_backup.sql" in repr(told) and not [x for x in leaks if x in repr(told)]
 
 
-def test_alarm_and_rank_order(spark):
-    files = [("mehl.dat", 5), ("backstube.iso", 300 << 20), ("waage.exe", 900), ("secret.env", 20),
-             ("teig_shell.aspx", 90), ("Muschel-2.exe", 7), ("gift.sh", 1), ("sauber.sh", 1), ("ohne", None)]
-    hashes = [("http://a.example/gift.sh", "gift.sh", "old", 0), ("http://a.example/gift.sh", "gift.sh", "new", 7),
-              ("http://a.example/sauber.sh", "sauber.sh", "cc", 0), ("http://b.example/waage.exe", "waage.exe", "dd", 9)]
-    row, = _inventory(spark, [("http://a.example/", "sensitive_exposure", "h", files)], hashes)
-    shown = [f["name"] or f["ext"] for f in row["files"]]
-    assert shown == ["teig_shell.aspx", "gift.sh", ".env", "waage.exe", "Muschel-2.exe", "sauber.sh", ".iso", ".dat", "(no ext)"]
-    assert [f["name"] for f in row["files"] if f["alarm"]] == ["teig_shell.aspx", "gift.sh"]
-    assert row["files"][1]["sha256"] == "new"
+def _kind_of(name, size, malicious):
+    """The rank of a file by the rule as it is written: alarm, telling name, program, large, rest."""
+    ext = "." + name.rsplit(".", 1)[-1] if "." in name else ""
+    shell = ext in P.WEB_SCRIPT_EXTS and re.search(P.WEBSHELL_NAME, name)
+    program = ext in P.PAYLOAD_EXTS or shell
+    if program and (shell or malicious):
+        return 0, True
+    if any(re.search(x, name) for patterns in P.INTEREST.values() for x in patterns):
+        return 1, bool(program and malicious)
+    return (2 if program else 3 if (size or 0) >= P.BIG_FILE_BYTES else 4), False
+
+
+def test_rank_and_alarm_follow_the_rule(spark):
+    """Two names for every extension and category of the dictionaries, with random sizes and reports."""
+    r = random.Random(11)
+    stems = ["brief", "zettel"]
+    names = [f"{stem}{i}{ext}" for i, ext in enumerate([*P.PAYLOAD_EXTS, *P.WEB_SCRIPT_EXTS, ".odt", ""]) for stem in stems]
+    names += [f"{stem}-{word}{ext}" for word in ("shell", "reverse", "ordner") for ext in P.WEB_SCRIPT_EXTS for stem in stems]
+    names += [f"{stem}-{word}.txt" for word in ("invoice", "payroll", "password") for stem in stems]
+    sizes = {n: r.choice([None, 0, r.randrange(10**6), P.BIG_FILE_BYTES, P.BIG_FILE_BYTES - 1]) for n in names}
+    reports = {n: r.randrange(3) for n in names if r.random() < 0.5}
+    hashes = [(f"http://a.example/{n}", n, f"{n}-{go}", m if go else 9) for n, m in reports.items() for go in (0, 1)]  # the later row counts
+    row, = _inventory(spark, [("http://a.example/", "sensitive_exposure", "h", list(sizes.items()))], hashes, max_files=99, disclose=True)
+    ranks = {n: _kind_of(n, sizes[n], reports.get(n, 0)) for n in names}
+    assert len({rank for rank, _ in ranks.values()}) == 5
+    expected = sorted(names, key=lambda n: (ranks[n][0], -(sizes[n] or 0), names.index(n)))
+    assert [f["name"] for f in row["files"]] == expected
+    assert {f["name"] for f in row["files"] if f["alarm"]} == {n for n in names if ranks[n][1]}
+    assert {f["sha256"] for f in row["files"] if f["sha256"]} <= {f"{n}-1" for n in reports}
 
 
 def test_cap_ties_and_hidden(spark):
@@ -94,6 +116,7 @@ def test_cap_ties_and_hidden(spark):
         hf.host_file_inventory(records, entries, SALT, max_files=None)
     assert hf.host_file_rows(records, entries, SALT).count() == 30
     assert {r["file"]["name"] for r in hf.host_file_rows(records, entries, SALT).collect()} == {None}
+    assert [r["place"] for r in hf.host_file_rows(records, entries, SALT).collect()] == list(range(1, 31))
 
 
 def test_flags_metadata_and_honeypots(spark):
@@ -157,7 +180,7 @@ def test_report_tables(spark):
     candidates = candidates.withColumns({"status": F.lit("captured"), "source_meta": F.struct(
         F.lit(None).cast("string").alias("ip"), F.lit("Google LLC").alias("org"), F.lit("").alias("country"))})
     table = table.withColumn("error", F.lit(""))
-    tables = report_tables(candidates, snapshots, verdicts, entries, top_exts(entries), table, SALT)
+    tables = report_tables(candidates, snapshots, verdicts, entries, table, SALT)
     head = tables["kpis"].first().asDict()
     assert head == {"classified": 3, "sensitive": 2, "malicious": 1, "webshell_dirs": 1, "credential_key": 1,
                     "honeypot_hosts": 0, "one_in": 2}
@@ -168,3 +191,21 @@ def test_report_tables(spark):
     assert tables["host_inventory"].count() == 2 and tables["hash_summary"].first()["skipped"] == 1
     for name, df in tables.items():
         assert "example" not in repr(df.collect()), name
+
+
+def test_the_report_in_one_pass_has_the_counts_of_its_sections(spark):
+    listings = [(f"http://{c}.example/", label, str(i % 2), [(n, s) for n, s in files]) for i, (c, label, files) in enumerate([
+        ("a", "sensitive_exposure", [(".env", 1), ("b.zip", 200 << 20)]), ("b", "malicious_staging", [("c99.php", 1)]),
+        ("c", "benign_index", [("a.txt", None)]), ("d", "benign_index", [])])]
+    records, entries, table, snapshots, verdicts, candidates = _world(spark, listings, [])
+    candidates = candidates.unionByName(spark.createDataFrame([(90, "http://e.example/")], "candidate_id int, url string")).withColumns({
+        "status": F.when(F.col("candidate_id") < 90, "captured").otherwise("pending"),
+        "source_meta": F.struct(F.when(F.col("candidate_id") < 2, "192.0.2.1").alias("ip"), F.lit("Google LLC").alias("org"), F.lit("").alias("country"))})
+    found = report_records(candidates, snapshots, verdicts, snapshot_profiles(entries, exts=3))
+    rows = {(r["section"], r["key"]): r["value"] for r in report_rows(found).collect()}
+    assert rows["corpus", "candidates"] == 5 and rows["corpus", "pending"] == 1 and rows["corpus", "open_dirs"] == 4
+    assert rows["label", "benign_index"] == 2 and rows["sensitive", "env"] == 1 and rows["payload", "webshell"] == 1
+    assert rows["volume", "total_bytes"] == (200 << 20) + 2 and rows["volume", "files_over_100mb"] == 1
+    assert rows["ext", ".zip"] == rows["ext", ".php"] == 1 and rows["country", "?"] == 3 and rows["server", "nginx"] == 4
+    plan = report_rows(found)._jdf.queryExecution().optimizedPlan().toString()
+    assert "example" not in repr(rows) and plan.count("LogicalRDD") >= 4

@@ -73,6 +73,29 @@ def test_host_search_export(spark, tmp_path):
     assert rows[0]["source_meta"]["country"] == "AT" and rows[0]["source_meta"]["hostnames"] == ["mehl", "salz"]
 
 
+def test_every_record_of_a_source_is_counted(spark, tmp_path):
+    pages = ['{"matches":[{"ip_str":"192.0.2.1","port":80},{"port":1},{"ip_str":"x","port":"y"},3,null]}', '{"matches":null}', "{}", "[", '{"matches":4}', "",
+             '{"matches":[{"ip_str":"192.0.2.2","port":443,"hostnames":"none"}],"other":"' + "z" * (20 << 20) + '"}']
+    frame = spark.createDataFrame([(x,) for x in pages], "value string")
+    assert {r["outcome"]: r["n"] for r in exports.host_search_outcomes(frame).collect()} == {
+        "ok": 2, "no_address": 1, "mistyped": 4, "no_matches": 2, "unreadable": 2}
+    found = {r["outcome"]: r["n"] for r in exports.host_search_outcomes(frame).collect()}
+    assert found["ok"] == exports.parse_host_search(frame).count() == 2
+    assert sum(found.values()) == 5 + 1 + exports.host_search_rejects(frame).count()
+    hosts = [{"ip": "192.0.2.3", "services": [{"port": 80, "service_name": "HTTP"}, {"service_name": "HTTP"}, {"port": 1, "service_name": "SSH"}]},
+             {"ip": "192.0.2.4"}, {"ip": "192.0.2.5", "services": 3}]
+    (tmp_path / "h.jsonl").write_text("\n".join([*map(json.dumps, hosts), "{", "", '{"ip":"192.0.2.6","note":"' + "z" * (20 << 20) + '","services":[{"port":80,"service_name":"HTTP"}]}']))
+    lines = spark.read.text(str(tmp_path / "h.jsonl"))
+    assert {r["outcome"]: r["n"] for r in exports.host_services_outcomes(lines).collect()} == {
+        "ok": 2, "no_port": 1, "other_service": 1, "no_services": 1, "mistyped": 1, "unreadable": 1}
+    assert exports.read_host_services(spark, str(tmp_path / "h.jsonl")).count() == 2 and exports.host_services_rejects(lines).count() == 3
+    answers = ['{"sha256":"a","status":404,"body":""}', '{"sha256":"b","status":"x"}', '{"status":200}', "no", " "]
+    (tmp_path / "r.jsonl").write_text("\n".join(answers))
+    lines = spark.read.text(str(tmp_path / "r.jsonl"))
+    assert {r["outcome"]: r["n"] for r in exports.reputation_outcomes(lines).collect()} == {"ok": 1, "mistyped": 1, "no_key": 1, "unreadable": 1}
+    assert exports.read_reputation(spark, str(tmp_path / "r.jsonl")).count() == 1 and exports.reputation_rejects(lines).count() == 3
+
+
 def test_host_services_export(spark, tmp_path):
     hosts = [{"ip": "192.0.2.62", "autonomous_system": {"asn": 65011}, "services": [
         {"port": 25, "service_name": "SMTP"}, {"port": 8844, "service_name": "http", "extended_service_name": "https"},

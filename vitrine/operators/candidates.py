@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import patterns as P
 from vitrine.functions.binding import let
 from vitrine.functions.urls import dedup_form, host_of, normal_form, repaired, split_url
+from vitrine.operators.text_index import search_indexed
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
@@ -192,16 +193,20 @@ def browse(
     date_column: str | None = None,
     start: datetime | str | None = None,
     end: datetime | str | None = None,
+    index: tuple[DataFrame, str] | None = None,
 ) -> DataFrame:
     """Rows with the given column values whose text columns contain ``search``.
 
     Every condition is a plain predicate on a column, so it reaches the scan.
-    Newest first by ``date_column``.
+    Newest first by ``date_column``. ``index`` (a ``build_index`` table of the search
+    columns, and the key column) finds the rows to be searched by trigrams.
     """
     rows = df
     for column, value in (filters or {}).items():
         rows = rows.filter(F.col(column).isin(*value) if isinstance(value, (list, tuple)) else F.col(column) == value)
-    if search:
+    if search and index:
+        rows = search_indexed(rows, *index, search_columns, search)
+    elif search:
         found = F.lit(False)
         for column in search_columns:
             found = found | F.contains(F.lower(column), F.lit(search.lower()))

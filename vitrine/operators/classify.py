@@ -7,7 +7,7 @@ from vitrine.operators.features import extract_features
 
 _FEATURES = [
     "entry_count", "file_count", "dir_count", "mirror_files", "mirror_ratio",
-    "sensitive_hits", "payload_hits", "server_kind", "cert_self_signed",
+    "sensitive_hits", "payload_hits", "top_exts", "server_kind", "cert_self_signed",
 ]
 
 
@@ -100,6 +100,21 @@ def pending_snapshots(
     return pending.orderBy("fetched_at", "snapshot_id").limit(limit)
 
 
+def merged_pending(
+    pending: DataFrame, snapshots: DataFrame, classifications: DataFrame, ruleset_version: str = P.RULESET_VERSION
+) -> DataFrame:
+    """``snapshot_id, fetched_at`` of open directories without a verdict, from the stored ones and what is new.
+
+    ``pending`` is the result of an earlier run, ``snapshots`` and ``classifications`` the rows
+    added since. History is not read: a verdict can only be on a snapshot that is stored as
+    pending or new, if each verdict is added in the batch of its snapshot or later.
+    """
+    columns = ["snapshot_id", "fetched_at"]
+    both = pending.select(*columns).unionByName(snapshots.filter("is_open_dir").select(*columns)).distinct()
+    done = classifications.filter(F.col("ruleset_version") == ruleset_version).select("snapshot_id")
+    return both.join(done, "snapshot_id", "left_anti")
+
+
 def classify_pending(
     snapshots: DataFrame,
     classifications: DataFrame,

@@ -27,10 +27,14 @@ def ext_col(name: Column) -> Column:
 
 def hit_counters(name: Column, column: str, keep: Column | None = None) -> list[Column]:
     """Counting aggregates of one dictionary, named ``<column>:<category>``."""
-    return [
-        F.count_if(test if keep is None else keep & test).alias(f"{column}:{category}")
+    return [counter.alias(key) for key, counter in _hit_counters(name, column, keep).items()]
+
+
+def _hit_counters(name: Column, column: str, keep: Column | None = None) -> dict[str, Column]:
+    return {
+        f"{column}:{category}": F.count_if(test if keep is None else keep & test)
         for category, test in category_tests(name, HITS[column]).items()
-    ]
+    }
 
 
 def hit_struct(column: str) -> Column:
@@ -40,26 +44,42 @@ def hit_struct(column: str) -> Column:
     ).alias(column)
 
 
-def snapshot_profiles(entries: DataFrame, *carry: str) -> DataFrame:
+def snapshot_profiles(entries: DataFrame, *carry: str, exts: int | None = None) -> DataFrame:
     """Everything the verdict and the reports need to know about each listing.
 
-    One pass over the entries, one row per snapshot that has any.
+    One pass over the entries, one row per snapshot that has any. With ``exts`` each row
+    also has ``top_exts``, the ``exts`` most frequent file extensions (``ext, n``; by
+    count, then name): entries are first counted by snapshot and extension, with partial
+    sums in the map tasks, and one exchange by snapshot then serves both the ranking of
+    extensions and the sums of the counts, so no list longer than ``exts`` is built.
     """
     name, size = F.col("name"), F.col("size")
     is_file = ~F.coalesce(F.col("is_dir"), F.lit(False))
-    grouped = entries.groupBy("snapshot_id", *carry).agg(
-        F.count(F.lit(1)).alias("entry_count"),
-        F.count_if(is_file).alias("file_count"),
-        F.count_if(is_file & ext_col(name).isin(P.MIRROR_EXTS)).alias("mirror_files"),
-        F.count_if(is_file & size.isNotNull()).alias("known_sizes"),
-        F.coalesce(F.sum(F.when(is_file, size)), F.lit(0)).alias("total_bytes"),
-        F.count_if(is_file & (size >= P.BIG_FILE_BYTES)).alias("files_over_100mb"),
-        F.count_if(is_file & (size.isNotNull() | (F.col("mtime") != ""))).alias("dated_or_sized"),
-        *hit_counters(name, "sensitive_hits"),
-        *hit_counters(name, "payload_hits"),
-        *hit_counters(name, "interest_hits"),
-        *hit_counters(name, "bait_hits", is_file),
-    )
+    counters = {
+        "entry_count": F.count(F.lit(1)),
+        "file_count": F.count_if(is_file),
+        "mirror_files": F.count_if(is_file & ext_col(name).isin(P.MIRROR_EXTS)),
+        "known_sizes": F.count_if(is_file & size.isNotNull()),
+        "total_bytes": F.coalesce(F.sum(F.when(is_file, size)), F.lit(0)),
+        "files_over_100mb": F.count_if(is_file & (size >= P.BIG_FILE_BYTES)),
+        "dated_or_sized": F.count_if(is_file & (size.isNotNull() | (F.col("mtime") != ""))),
+        **_hit_counters(name, "sensitive_hits"),
+        **_hit_counters(name, "payload_hits"),
+        **_hit_counters(name, "interest_hits"),
+        **_hit_counters(name, "bait_hits", is_file),
+    }
+    aliased = [c.alias(n) for n, c in counters.items()]
+    if exts is None:
+        grouped = entries.groupBy("snapshot_id", *carry).agg(*aliased)
+    else:
+        by_ext = entries.groupBy("snapshot_id", *carry, F.when(is_file, ext_col(name)).alias("_ext")).agg(*aliased)
+        named = F.coalesce("_ext", F.lit("")) != ""
+        order = Window.partitionBy("snapshot_id", *carry).orderBy(F.desc(named), F.desc("file_count"), "_ext")
+        ranked = by_ext.withColumn("_place", F.row_number().over(order))
+        # at most ``exts`` structs a listing: the others are null and not collected
+        listed = F.when(named & (F.col("_place") <= exts), F.struct("_place", F.col("_ext").alias("ext"), F.col("file_count").alias("n")))
+        top = F.transform(F.array_sort(F.collect_list(listed)), lambda x: F.struct(x["ext"].alias("ext"), x["n"].alias("n")))
+        grouped = ranked.groupBy("snapshot_id", *carry).agg(*[F.sum(f"`{n}`").alias(n) for n in counters], top.alias("top_exts"))
     return grouped.select(
         "snapshot_id",
         *carry,
@@ -72,6 +92,7 @@ def snapshot_profiles(entries: DataFrame, *carry: str) -> DataFrame:
         "files_over_100mb",
         (F.col("dated_or_sized") > 0).alias("has_meta"),
         *[hit_struct(column) for column in HITS],
+        *(["top_exts"] if exts is not None else []),
     )
 
 
@@ -81,9 +102,9 @@ def _filled(column: str) -> Column:
     ).alias(column)
 
 
-def extract_features(snapshots: DataFrame, entries: DataFrame) -> DataFrame:
+def extract_features(snapshots: DataFrame, entries: DataFrame, exts: int | None = P.TOP_EXTS) -> DataFrame:
     """Features of every snapshot, straight from its entries."""
-    return features_of(snapshots, snapshot_profiles(entries))
+    return features_of(snapshots, snapshot_profiles(entries, exts=exts))
 
 
 def features_of(snapshots: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -107,6 +128,7 @@ def features_of(snapshots: DataFrame, profiles: DataFrame) -> DataFrame:
             F.coalesce("mirror_files", F.lit(0)), F.coalesce("file_count", F.lit(0))
         ).alias("mirror_ratio"),
         cert_flag_col(signed).alias("cert_self_signed"),
+        *([F.coalesce("top_exts", F.array()).alias("top_exts")] if "top_exts" in profiles.columns else []),
     )
 
 

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from vitrine.functions.files import extension, file_rank, is_alarm, is_payload
 from vitrine.functions.tokens import host_token
 from vitrine.functions.urls import host_of
+from vitrine.operators.arrival import with_place
 from vitrine.operators.hosts import host_summary, named
 
 
 def hashes_by_file(hashes: DataFrame) -> DataFrame:
-    """The newest hash row per (host, file name); rows without a hash are left out."""
+    """The newest hash row per (host, file name), by ``hash_id``, which counts up; rows without a hash are left out."""
     located = hashes.filter("sha256 <> ''").withColumn("_host", host_of(F.col("url")))
     newest = F.max_by(F.struct("sha256", "tlsh", "vt"), F.col("hash_id"))
     return (
@@ -60,10 +61,11 @@ def top_files(files: DataFrame, n: int | None = 12) -> DataFrame:
     """The ``n`` most notable ranked files per host, numbered by ``place``.
 
     The filter sits on the window, so map tasks send at most ``n`` rows per host
-    however many files it has, for ``n`` up to ``spark.sql.optimizer.windowGroupLimitThreshold``. ``n=None`` keeps all files, without numbering.
+    however many files it has, for ``n`` up to ``spark.sql.optimizer.windowGroupLimitThreshold``.
+    ``n=None`` keeps and numbers all files, in sorted ranges: no task has to hold a host.
     """
     if n is None:
-        return files.withColumn("place", F.lit(None).cast("int"))
+        return with_place(files, "host", *notable_order())
     order = Window.partitionBy("host").orderBy(*notable_order())
     return files.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
 
@@ -154,13 +156,12 @@ def host_file_rows(
     flagged_only: bool = True,
     disclose: bool = False,
 ) -> DataFrame:
-    """Every file of every host as rows (``token, rank, file``), most notable first.
+    """Every file of every host as rows (``token, place, rank, file``), most notable first.
 
-    Written out flat and range-sorted, so one huge host is spread over many tasks.
+    ``place`` counts a host's files from 1 on. Written out flat, in sorted ranges that number
+    their own rows, so one huge host is spread over many tasks.
     """
     kept = flagged_records(named(records), flagged_only)
     files = ranked_files(join_hashes(host_entries(kept, entries), hashes))
-    ordered = files.withColumn("token", host_token(F.col("host"), salt)).orderBy(
-        "token", *notable_order()
-    )
-    return disclose_files(ordered, disclose).select("token", "rank", "file")
+    placed = with_place(files.withColumn("token", host_token(F.col("host"), salt)), "token", *notable_order())
+    return disclose_files(placed, disclose).select("token", "place", "rank", "file").orderBy("token", "place")

@@ -6,6 +6,7 @@ from vitrine import schemas
 from vitrine.functions import patterns as P
 from vitrine.functions.files import is_payload
 from vitrine.functions.urls import resolved_path, resolved_url, split_url
+from vitrine.operators.arrival import with_sequence
 
 
 def select_payloads(
@@ -52,13 +53,20 @@ def hash_pending(
     return pending if limit is None else pending.orderBy("snapshot_id").limit(limit)
 
 
-def load_hashes(results: DataFrame, selected: DataFrame, hashed_at: Column | None = None) -> DataFrame:
-    """Hash results to ``payload_hashes`` rows, still without a report; the name comes back by URL."""
+def load_hashes(
+    results: DataFrame, selected: DataFrame, hashed_at: Column | None = None, order: tuple[str, ...] = (), above: int = 0
+) -> DataFrame:
+    """Hash results to ``payload_hashes`` rows, still without a report; the name comes back by URL.
+
+    ``hash_id`` counts up from ``above``, the largest id given before, in the ``order`` of
+    the results (columns of theirs; without any, as they are read), so the largest id of a
+    file is its last result and the smallest ids have waited longest.
+    """
     names = selected.groupBy("snapshot_id", "url").agg(F.max_by("name", "pos").alias("name"))
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return results.join(names, ["snapshot_id", "url"], "left").select(
-        F.xxhash64("snapshot_id", "url").alias("hash_id"),
-        "snapshot_id", text("name"), "url", text("sha256"), text("md5"), text("tlsh"),
+    numbered = with_sequence(results, *order, name="hash_id", start=above + 1)
+    return numbered.join(names, ["snapshot_id", "url"], "left").select(
+        "hash_id", "snapshot_id", text("name"), "url", text("sha256"), text("md5"), text("tlsh"),
         F.coalesce("size", F.lit(0)).alias("size"), text("error"),
         F.lit(None).cast(f"struct<{schemas.VT}>").alias("vt"),
         (F.current_timestamp() if hashed_at is None else hashed_at).alias("hashed_at"),

@@ -24,6 +24,22 @@ def latest_open(snapshots: DataFrame, *carry: str) -> DataFrame:
     )
 
 
+def merged_latest(state: DataFrame, batch: DataFrame, *carry: str) -> DataFrame:
+    """``latest_open`` of all snapshots, from its stored result and the new ones only.
+
+    ``state`` is the result of ``latest_open`` (or of this) with the same ``carry``. Newest
+    and first are a maximum and a minimum, so a candidate's row and the rows of its new
+    snapshots merge by key in any order; a snapshot that comes twice changes nothing.
+    """
+    seen = F.struct("fetched_at", "snapshot_id")
+    new = latest_open(batch, *carry)
+    columns = ["candidate_id", "snapshot_id", "fetched_at", *carry, "first_open_at", "first_open_id"]
+    both = state.select(*columns).unionByName(new.select(*columns))
+    first = F.min(F.struct("first_open_at", "first_open_id")).alias("_first")
+    merged = both.groupBy("candidate_id").agg(F.max_by(F.struct("snapshot_id", "fetched_at", *carry), seen).alias("_s"), first)
+    return merged.select("candidate_id", "_s.*", "_first.*")
+
+
 def newest_classification(
     latest: DataFrame, classifications: DataFrame, *carry: str, ruleset_version: str | None = None
 ) -> DataFrame:

@@ -149,16 +149,11 @@ def signal_prevalence(latest: DataFrame, classifications: DataFrame) -> DataFram
     return _prevalence(flat, _VERDICT_HITS).orderBy(F.desc("dirs"), "family", "category")
 
 
-def ext_prevalence(latest: DataFrame, classifications: DataFrame, exts: DataFrame, n: int | None = 12) -> DataFrame:
-    """Directories having an extension among their top ones; the ``n`` most common.
-
-    ``exts`` is the long form of ``top_exts``: an extension occurs once per snapshot.
-    """
-    judged = latest.select("snapshot_id").join(
-        classifications.select("snapshot_id"), "snapshot_id", "left_semi"
-    )
-    present = exts.select("snapshot_id", "ext").join(judged, "snapshot_id", "left_semi")
-    return top_n(present, "ext", n)
+def ext_prevalence(latest: DataFrame, classifications: DataFrame, n: int | None = 12) -> DataFrame:
+    """Directories having an extension among their top ones, as stored with the newest verdict; the ``n`` most common."""
+    stored = classifications.select("snapshot_id", "label", "ruleset_version", "classified_at", F.col("features.top_exts.ext").alias("exts"))
+    judged = newest_classification(latest.select("snapshot_id"), stored, "exts")
+    return top_n(judged.select(F.explode("exts").alias("ext")), "ext", n)
 
 
 def server_software(latest: DataFrame) -> DataFrame:
@@ -227,7 +222,6 @@ def report_tables(
     snapshots: DataFrame,
     classifications: DataFrame,
     entries: DataFrame,
-    exts: DataFrame,
     hashes: DataFrame,
     salt: str,
     max_files: int = 10,
@@ -252,7 +246,7 @@ def report_tables(
         "top_countries": top_countries(latest, candidates),
         "label_shares": shares,
         "signal_prevalence": prevalence,
-        "ext_prevalence": ext_prevalence(latest, classifications, exts),
+        "ext_prevalence": ext_prevalence(latest, classifications),
         "server_software": server_software(latest),
         "interest_prevalence": interest_prevalence(latest, profiles),
         "exposed_volume": exposed_volume(latest, profiles),
@@ -262,3 +256,83 @@ def report_tables(
         "hashed_types": hashed_types(hashes),
         "vt_summary": vt_summary(hashes),
     }
+
+
+def report_records(
+    candidates: DataFrame, snapshots: DataFrame, classifications: DataFrame, profiles: DataFrame, ruleset_version: str = P.RULESET_VERSION
+) -> DataFrame:
+    """One row per candidate with all that the counts of the report need: each input is read once.
+
+    The newest listing with its newest verdict (label of the current rule set, hits and
+    extensions of any), the profile of that listing, the owner and place of the candidate.
+    """
+    is_listing = F.coalesce("is_open_dir", F.lit(False))
+    seen = F.struct("fetched_at", "snapshot_id")
+    per_candidate = snapshots.groupBy("candidate_id").agg(
+        F.max_by(F.struct("snapshot_id", "server_kind"), F.when(is_listing, seen)).alias("_s"),
+        F.min(F.when(is_listing, seen)).alias("first_open"),
+        F.max(F.when((F.col("http_status") == 200) & ~is_listing, 1)).alias("not_listing"),
+    )
+    order = F.struct("classified_at", F.transform(F.split("ruleset_version", r"\."), lambda x: x.try_cast("int")))
+    current = F.col("ruleset_version") == ruleset_version
+    verdicts = classifications.groupBy("snapshot_id").agg(
+        F.max_by("label", F.when(current, order)).alias("label"),
+        F.max_by(F.struct("features.sensitive_hits", "features.payload_hits", F.col("features.top_exts.ext").alias("exts")), order).alias("features"),
+    )
+    owners = candidates.select(
+        "candidate_id", "status", F.col("source_meta.org").alias("org"), F.coalesce(F.nullif(F.col("source_meta.country"), F.lit("")), F.lit("?")).alias("country"),
+        F.coalesce(F.nullif(F.col("source_meta.ip"), F.lit("")), host_of(F.col("url"))).alias("place"),
+    )
+    sums = profiles.select("snapshot_id", "interest_hits", "known_sizes", "total_bytes", "files_over_100mb")
+    # candidates without a listing get join keys of their own, not one null that they share
+    listed = per_candidate.select("candidate_id", "_s.*", "first_open", "not_listing").withColumn(
+        "_k", F.coalesce("snapshot_id", F.xxhash64("candidate_id")))
+    for part in (verdicts, sums):
+        part = part.withColumnRenamed("snapshot_id", "_id")
+        listed = listed.join(part, (F.col("_k") == F.col("_id")) & F.col("snapshot_id").isNotNull(), "left").drop("_id")
+    return owners.join(listed.drop("_k"), "candidate_id", "left")
+
+
+def report_rows(records: DataFrame, network_top: int | None = None) -> DataFrame:
+    """``section, key, value``: every count of the report from one pass over written ``report_records``.
+
+    Each record is turned into the (section, key, value) triples it counts for, at most a
+    few dozen, and one combined sum by section and key yields all sections; map tasks send
+    one row per key. Hosts are counted once for their first listing, by a minimum per
+    address that is combined as well, and join the same sum. Zero counts have no row.
+    """
+    def triple(section: str, key: Column | str, value: Column | int = 1) -> Column:
+        key = F.lit(key) if isinstance(key, str) else key
+        value = F.lit(value) if isinstance(value, int) else value
+        return F.struct(F.lit(section).alias("section"), key.alias("key"), value.cast("bigint").alias("value"))
+
+    is_open = F.col("snapshot_id").isNotNull()
+    hits = lambda section, column, names: [
+        F.when(column[c] > 0, triple(section, c)) for c in names]
+    kind = F.coalesce(F.nullif(F.col("server_kind"), F.lit("")), F.lit("unknown"))
+    triples = F.array_compact(F.array(
+        triple("corpus", "candidates"),
+        triple("corpus", F.coalesce("status", F.lit("unknown"))),
+        F.when(is_open, triple("corpus", "open_dirs")),
+        F.when(F.col("not_listing") == 1, triple("corpus", "not_listing")),
+        F.when(is_open, triple("server", kind)),
+        F.when(F.col("label").isNotNull(), triple("label", F.col("label"))),
+        *hits("sensitive", F.col("features.sensitive_hits"), P.SENSITIVE),
+        *hits("payload", F.col("features.payload_hits"), P.PAYLOAD),
+        *hits("interest", F.col("interest_hits"), P.INTEREST),
+        *[F.when(F.col("known_sizes") > 0, triple("volume", name, value)) for name, value in (
+            ("sized_dirs", F.lit(1)), ("total_bytes", F.col("total_bytes")), ("files_over_100mb", F.col("files_over_100mb")))],
+    ))
+    exts = F.transform(F.coalesce("features.exts", F.array()), lambda e: triple("ext", e))
+    counted = records.select(F.explode(F.concat(triples, F.when(is_open, exts).otherwise(F.array()))).alias("_t")).select("_t.*")
+    first = records.where(is_open).groupBy("place").agg(F.min_by(F.struct("org", "country"), "first_open").alias("_o")).select("_o.*")
+    profiled = network_profile(first)
+    network = profiled.select(F.explode(F.array(
+        triple("network", F.col("category")), triple("provider", F.col("provider")), triple("country", F.col("country")),
+    )).alias("_t")).select("_t.*")
+    rows = counted.unionByName(network).groupBy("section", "key").agg(F.sum("value").alias("value")).where("value > 0")
+    if network_top is None:
+        return rows
+    order = Window.partitionBy("section").orderBy(F.desc("value"), "key")
+    cut = F.col("section").isin("provider", "country", "ext")
+    return rows.withColumn("_n", F.row_number().over(order)).where(~cut | (F.col("_n") <= network_top)).drop("_n")

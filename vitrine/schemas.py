@@ -26,3 +26,5 @@ SNAPSHOT = (
     "header_order_sha256 string, template_sha256 string, favicon_sha256 string, "
     f"tls struct<{TLS}>, error string"
 )
+#: Reader options: values of any length, where the default ends records beyond 20,000,000 characters.
+ANY_LENGTH = {"maxStringLen": "2147483647"}

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from vitrine import schemas
 from vitrine.functions import patterns as P
 from vitrine.functions.texts import strip
+from vitrine.operators.arrival import file_lines, located
 
 _RESULT = (
     "url string, error string, http_status int, final_url string, "
@@ -29,10 +30,10 @@ def route_captures(lines: DataFrame, candidates: DataFrame) -> DataFrame:
     """
     present = lines.filter(strip(F.col("value")) != "")
     parsed = present.withColumn(
-        "r", F.from_json("value", f"{_RESULT}, _whole string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_whole"})
+        "r", F.from_json("value", f"{_RESULT}, _whole string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_whole"} | schemas.ANY_LENGTH)
     )
     # the typed parser also reads numbers such as NaN, which the key reader rejects
-    loose = F.map_keys(F.from_json("value", "map<string, string>"))
+    loose = F.map_keys(F.from_json("value", "map<string, string>", schemas.ANY_LENGTH))
     keyed = parsed.withColumn("_keys", F.coalesce(F.json_object_keys("value"), F.when(F.col("r._whole").isNull(), loose)))
     owners = candidates.groupBy(F.col("url").alias("_url")).agg(
         F.min("candidate_id").alias("candidate_id")
@@ -45,6 +46,7 @@ def route_captures(lines: DataFrame, candidates: DataFrame) -> DataFrame:
     missing = F.size(F.array_except(F.array(*[F.lit(k) for k in P.CAPTURE_KEYS]), F.col("_keys"))) > 0
     outcome = (
         F.when(F.col("_keys").isNull(), "malformed")
+        .when(F.col("r").isNull(), "mistyped")
         .when(F.col("candidate_id").isNull(), "unmatched")
         .when(F.col("r._whole").isNotNull(), "mistyped")
         .when(F.coalesce("r.error", F.lit("")) != "", "error")
@@ -85,15 +87,16 @@ def outcome_counts(routed: DataFrame) -> DataFrame:
     return routed.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-def identified(lines: DataFrame) -> DataFrame:
-    """Lines read from files with ``snapshot_id`` (of file and line, so reruns agree) and ``fetched_at``."""
-    return lines.select(
-        "value",
-        F.xxhash64("_metadata.file_path", "value").alias("snapshot_id"),
-        F.col("_metadata.file_modification_time").alias("fetched_at"),
+def identified(lines: DataFrame, above: int = 0) -> DataFrame:
+    """``located`` lines with ``snapshot_id``, which counts up from ``above`` by file and line, and ``fetched_at``.
+
+    Equal lines get different ids; the same files give the same ids again.
+    """
+    return file_lines(lines).select(
+        "value", (F.col("line") + above).alias("snapshot_id"), F.col("modified").alias("fetched_at"),
     )
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Capture result lines with the id and time that their snapshots keep."""
-    return identified(spark.read.text(path))
+def read_captures(spark: SparkSession, path: str, above: int = 0) -> DataFrame:
+    """Capture result lines with the id and time that their snapshots keep; ``above`` is the largest id given before."""
+    return identified(located(spark.read.text(path)), above)

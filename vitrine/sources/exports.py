@@ -1,6 +1,8 @@
 """Host exports and reputation reports, read from files already collected.
 
-A discovery source is any function that returns ``url, source, source_meta``.
+A discovery source is any function that returns ``url, source, source_meta``. Every
+record of a source has an outcome (``*_outcomes``): what a parser leaves out is counted
+by reason, and what cannot be read at all is handed out (``*_rejects``).
 """
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ _HOST = (
     "services array<struct<port: int, service_name: string, "
     "extended_service_name: string, transport_protocol: string>>"
 )
+_PAGE = "matches array<string>, _whole string"
+_CORRUPT = {"columnNameOfCorruptRecord": "_whole"} | schemas.ANY_LENGTH
 _REPORT = (
     "data struct<attributes: struct<last_analysis_stats: map<string, bigint>, "
     "type_description: string, meaningful_name: string>>"
@@ -32,19 +36,38 @@ def _service_url(ip: Column, port: Column, https: Column) -> Column:
     return F.concat(scheme, F.lit("://"), host, suffix, F.lit("/"))
 
 
+def _read_pages(pages: DataFrame) -> DataFrame:
+    """Pages with their matches as texts; ``_outcome`` is set where a page has none that can be read."""
+    read = pages.withColumn("_p", F.from_json("value", _PAGE, _CORRUPT))
+    outcome = (
+        F.when(F.json_object_keys("value").isNull(), "unreadable")
+        .when(F.col("_p._whole").isNotNull(), "mistyped")
+        .when(F.col("_p.matches").isNull(), "no_matches")
+    )
+    return read.select("value", F.col("_p.matches").alias("_matches"), outcome.alias("_outcome"))
+
+
+def _read_matches(pages: DataFrame) -> DataFrame:
+    """Every match with its outcome: ok, mistyped (a value of another type, or no object) or no_address."""
+    matches = _read_pages(pages).where("_outcome IS NULL").select(F.explode("_matches").alias("raw"))
+    parsed = matches.select(
+        F.from_json("raw", f"{_MATCH}, _whole string", _CORRUPT).alias("m"),
+        F.coalesce(F.array_contains(F.json_object_keys("raw"), "ssl"), F.lit(False)).alias("has_ssl"),
+        F.json_object_keys("raw").isNull().alias("no_object"),
+    )
+    addressed = (F.coalesce("m.ip_str", F.lit("")) != "") & F.col("m.port").isNotNull()
+    # a match whose other fields hold values of another type still has its address
+    outcome = F.when(addressed, "ok").when(F.col("no_object") | F.col("m._whole").isNotNull(), "mistyped").otherwise("no_address")
+    return parsed.withColumn("outcome", outcome)
+
+
 def parse_host_search(pages: DataFrame) -> DataFrame:
     """Search result pages (``value``: JSON with ``matches``) to discovered URLs.
 
     https is told by the presence of an ``ssl`` key, whatever its value, which a
     typed read cannot see; each match is therefore kept as text once.
     """
-    matches = pages.select(
-        F.explode(F.from_json("value", "matches array<string>")["matches"]).alias("raw")
-    )
-    parsed = matches.select(
-        F.from_json("raw", _MATCH).alias("m"),
-        F.array_contains(F.json_object_keys("raw"), "ssl").alias("has_ssl"),
-    ).filter((F.coalesce("m.ip_str", F.lit("")) != "") & F.col("m.port").isNotNull())
+    parsed = _read_matches(pages).where("outcome = 'ok'")
     https = F.col("has_ssl") | (F.col("m.port") == 443)
     return parsed.select(
         _service_url(F.col("m.ip_str"), F.col("m.port"), https).alias("url"),
@@ -56,19 +79,60 @@ def parse_host_search(pages: DataFrame) -> DataFrame:
     )
 
 
+def host_search_rejects(pages: DataFrame) -> DataFrame:
+    """Pages that gave no match: ``value, outcome`` (unreadable, mistyped or no_matches)."""
+    return _read_pages(pages).where("_outcome IS NOT NULL").select("value", F.col("_outcome").alias("outcome"))
+
+
+def host_search_outcomes(pages: DataFrame) -> DataFrame:
+    """``outcome, n`` of rejected pages and of all matches."""
+    return _counted(host_search_rejects(pages).select("outcome").unionByName(_read_matches(pages).select("outcome")))
+
+
+def _counted(outcomes: DataFrame) -> DataFrame:
+    return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 def read_host_search(spark: SparkSession, path: str) -> DataFrame:
     """Host-search export: one JSON result page per file."""
     return parse_host_search(spark.read.text(path, wholetext=True))
 
 
+def _read_hosts(lines: DataFrame) -> DataFrame:
+    """Host lines (``value``), typed; ``outcome`` is set where a line is unreadable, mistyped or has no services."""
+    read = lines.where(strip(F.col("value")) != "").withColumn("h", F.from_json("value", f"{_HOST}, _whole string", _CORRUPT))
+    outcome = (
+        F.when(F.json_object_keys("value").isNull(), "unreadable")
+        .when(F.col("h.services").isNull() & F.col("h._whole").isNotNull(), "mistyped")
+        .when(F.coalesce(F.size("h.services"), F.lit(0)) < 1, "no_services")
+    )
+    return read.withColumn("outcome", outcome)
+
+
+def _service_outcome(service: Column) -> Column:
+    name = F.upper(F.coalesce(service["service_name"], F.lit("")))
+    extended = F.upper(F.coalesce(service["extended_service_name"], F.lit("")))
+    web = name.isin("HTTP", "HTTPS") | extended.isin("HTTP", "HTTPS")
+    return F.when(~web, "other_service").when(service["port"].isNull(), "no_port").otherwise("ok")
+
+
+def host_services_rejects(lines: DataFrame) -> DataFrame:
+    """Host lines that gave no service: ``value, outcome`` (unreadable, mistyped or no_services)."""
+    return _read_hosts(lines).where("outcome IS NOT NULL").select("value", "outcome")
+
+
+def host_services_outcomes(lines: DataFrame) -> DataFrame:
+    """``outcome, n`` of rejected lines and of all services; blank lines are no records."""
+    read = _read_hosts(lines)
+    services = read.where("outcome IS NULL").select(F.explode("h.services").alias("s"))
+    return _counted(read.where("outcome IS NOT NULL").select("outcome").unionByName(services.select(_service_outcome(F.col("s")).alias("outcome"))))
+
+
 def parse_host_services(hosts: DataFrame) -> DataFrame:
     """Host records (typed) to one URL per HTTP or HTTPS service with a port."""
     services = hosts.select("ip", "autonomous_system", F.explode("services").alias("s"))
-    name = F.upper(F.coalesce("s.service_name", F.lit("")))
+    web = services.filter(_service_outcome(F.col("s")) == "ok")
     extended = F.upper(F.coalesce("s.extended_service_name", F.lit("")))
-    web = services.filter(
-        (name.isin("HTTP", "HTTPS") | extended.isin("HTTP", "HTTPS")) & F.col("s.port").isNotNull()
-    )
     https = (extended == "HTTPS") | (F.col("s.port") == 443)
     no_text = F.lit(None).cast("string")
     return web.select(
@@ -87,8 +151,9 @@ def parse_host_services(hosts: DataFrame) -> DataFrame:
 
 
 def read_host_services(spark: SparkSession, path: str) -> DataFrame:
-    """Host/service export: one JSON host per line."""
-    return parse_host_services(spark.read.schema(_HOST).json(path))
+    """Host/service export: one JSON host per line, of any length."""
+    lines = spark.read.text(path)
+    return parse_host_services(_read_hosts(lines).where("outcome IS NULL").select("h.*"))
 
 
 def host_services_schema() -> str:
@@ -111,7 +176,7 @@ def parse_reputation(reports: DataFrame) -> DataFrame:
             name.alias("name"), error.alias("error"),
         )
 
-    read = F.from_json("body", f"{_REPORT}, _whole string", {"columnNameOfCorruptRecord": "_whole"})
+    read = F.from_json("body", f"{_REPORT}, _whole string", _CORRUPT)
     # an object is an answer even where a field of it has another type
     is_json = F.col("_r._whole").isNull() & (strip(F.col("body")) != "") | F.json_object_keys("body").isNotNull()
     answered = (F.col("status") == 200) & F.coalesce(is_json, F.lit(False))
@@ -130,6 +195,32 @@ def parse_reputation(reports: DataFrame) -> DataFrame:
     return parsed.select("sha256", vt.cast(f"struct<{schemas.VT}>").alias("vt"))
 
 
+_ANSWER = "sha256 string, status int, body string"
+
+
+def _read_answers(lines: DataFrame) -> DataFrame:
+    """Answer lines (``value``), typed, with their outcome: ok, unreadable, mistyped or no_key."""
+    read = lines.where(strip(F.col("value")) != "").withColumn("a", F.from_json("value", f"{_ANSWER}, _whole string", _CORRUPT))
+    outcome = (
+        F.when(F.json_object_keys("value").isNull(), "unreadable")
+        .when(F.col("a._whole").isNotNull(), "mistyped")
+        .when(F.coalesce("a.sha256", F.lit("")) == "", "no_key")
+        .otherwise("ok")
+    )
+    return read.withColumn("outcome", outcome)
+
+
+def reputation_rejects(lines: DataFrame) -> DataFrame:
+    """Answer lines that belong to no hash: ``value, outcome``."""
+    return _read_answers(lines).where("outcome <> 'ok'").select("value", "outcome")
+
+
+def reputation_outcomes(lines: DataFrame) -> DataFrame:
+    """``outcome, n`` of all answer lines; blank lines are no records."""
+    return _counted(_read_answers(lines))
+
+
 def read_reputation(spark: SparkSession, path: str) -> DataFrame:
-    """Reputation export: JSON lines of ``sha256, status, body``."""
-    return parse_reputation(spark.read.schema("sha256 string, status int, body string").json(path))
+    """Reputation export: JSON lines of ``sha256, status, body``, of any length."""
+    answers = _read_answers(spark.read.text(path)).where("outcome = 'ok'").select("a.*")
+    return parse_reputation(answers.drop("_whole"))

@@ -38,12 +38,17 @@ def _shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share."""
+    return f"{_shared_folder(spark)}/vitrine-{uuid.uuid4().hex}"
+
+
 def materialized(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Compute once, write to shared storage, and go on from the written table.
 
     Survives the loss of executors, and later readers prune columns; a plain
     checkpoint would compute the rows twice and keep every column.
     """
-    path = f"{folder or _shared_folder(df.sparkSession)}/vitrine-{uuid.uuid4().hex}"
+    path = f"{folder}/vitrine-{uuid.uuid4().hex}" if folder else new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
