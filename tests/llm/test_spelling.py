@@ -46,7 +46,7 @@ def test_forms_are_those_of_the_plain_version(spark, monkeypatch):
     rows += [(900 + i, "y" * 5000 + " " + "y" * 4999 + "z") for i in range(6)]
     rows += [(950, "kettle " * 5 + "kettles " * 30 + "kettless " * 200)]
     docs = spark.createDataFrame([(i, t, 1, "w") for i, t in rows], "doc_id long, text string, n int, word string").repartition(4)
-    for every in (None, 7):
+    for every in (7, None):
         found = [tuple(x) for x in spelling_forms(docs, every=every).collect()]
         assert len(found) == len(set(found)) and set(found) == _plain(rows, every)
     assert any(x[1] != x[2] for x in found if x[1])  # a form that has a form itself

@@ -282,15 +282,15 @@ def piece_encode(
                 texts = [x or "" for x in part.column(text).to_pylist()]
                 found = pieces.encode(texts)
                 more: list[pa.Array] = []
-                back = [pieces.decode(np.frombuffer(x, "<i4").tolist()) for x in found] if decoded else []
+                lists = [np.frombuffer(x, "<i4").tolist() for x in found] if decoded else []
+                back = [pieces.decode(x) for x in lists]
                 if decoded:
                     more.append(pa.array(back, pa.string()))
                 if agrees:
-                    theirs = pieces.library.encode(texts, num_threads=1)
-                    same = [np.array(x, "<i4").tobytes() == y for x, y in zip(theirs, found)]
+                    theirs = pieces.library.encode_as_numpy(texts, num_threads=1)
+                    same = [x.astype("<i4").tobytes() == y for x, y in zip(theirs, found)]
                     if decoded:
-                        texts = pieces.library.decode(theirs, num_threads=1) if theirs else []
-                        same = [a and x == y for a, x, y in zip(same, texts, back)]
+                        same = [a and x == y for a, x, y in zip(same, pieces.library.decode(lists, num_threads=1), back)]
                     more.append(pa.array(same, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), _lists(found), *more], names=schema.names)
         release()

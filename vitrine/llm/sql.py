@@ -145,4 +145,73 @@ SELECT d.doc_id, coalesce(sizes.size, 0) AS n_shingles, coalesce(c.least, d.doc_
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id) c USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op2_ngram_join": OP2, "op3_main_text": OP3, "op6_quotation_links": OP6, "op7_mix_sources": OP7, "op8_exact_dedup": OP8}
+
+def _crc32(text: str) -> str:
+    """The unsigned crc32 of a text's UTF-8 bytes: a fold over its hexadecimal digits, of each byte the low one first."""
+    steps = [n for n in range(16)]
+    for _ in range(4):
+        steps = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in steps]
+    digits = f"hex(encode({text}))"
+    values = f"list_transform(range(0, len({digits})), lambda i: (instr('0123456789ABCDEF', {digits}[(i + 2 - i % 2 * 2)::INT]) - 1)::BIGINT)"
+    fold = f"list_reduce(list_prepend(4294967295::BIGINT, {values}), lambda c, x: xor(c >> 4, {steps}[(xor(c, x) & 15) + 1]))"
+    return f"xor({fold}, 4294967295)"
+
+
+#: Runs counted by document, then words; near words by what is left without each of their symbols.
+OP11 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), d AS (
+  SELECT *, {_crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM (SELECT doc_id, run, count(*) AS n FROM w GROUP BY ALL)
+), v AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM d)
+  GROUP BY word HAVING length(word) >= 6 AND sum(n) >= 5
+), p AS (
+  SELECT word, n, left(word, i - 1) AS pre, substr(word, i + 1) AS post FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM p a JOIN p b ON a.pre = b.pre AND a.post = b.post AND a.word <> b.word
+  UNION SELECT p.word, v.word, v.n FROM p JOIN v ON v.word = p.pre || p.post
+  UNION SELECT v.word, p.word, p.n FROM p JOIN v ON v.word = p.pre || p.post
+), best AS (
+  SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near FROM near
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1
+), f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * v.n THEN other END AS form, CASE WHEN other_n >= 5 * v.n THEN other_n END AS form_n
+  FROM v LEFT JOIN best USING (word)
+), follow AS (
+  SELECT word, word AS at FROM f UNION ALL SELECT follow.word, f.form FROM follow JOIN f ON f.word = follow.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, follow.at AS root, f.n, f.n_near, f.form_n FROM f JOIN follow USING (word) JOIN f AS l ON l.word = follow.at WHERE l.form IS NULL
+"""
+
+#: Every prefix of every rebuilt conversation; the ancestors of a node are the prefixes of its smallest conversation.
+OP13 = rf"""
+WITH t AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS tie
+  FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT c, list(struct_pack(key := sha256(length(role)::VARCHAR || ':' || role || text), chars := length(text)) ORDER BY turn NULLS FIRST, role, tie) AS own
+  FROM t GROUP BY c
+), h AS (SELECT *, {_crc32("c::VARCHAR")} % 6 AS h FROM o),
+b AS (SELECT h.c, list_concat(coalesce(base.own, [])[1:h.h], h.own[h.h + 1:]) AS path FROM h LEFT JOIN o base ON base.c = h.c - h.c % 100),
+r AS (
+  SELECT c, len(path) AS size, d AS depth, array_to_string(list_transform(path[1:d], lambda x: x.key), '') AS key,
+         array_to_string(list_transform(path[1:d - 1], lambda x: x.key), '') AS above, coalesce(path[d].chars, 0) AS chars
+  FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM b)
+), n AS (
+  SELECT key, min(c) AS conv_id, min(depth) AS depth, min(above) AS above, count(*) AS n_convs, (count(*) - 1) * max(chars) AS own,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (depth = size), '')) AS ends_sha256
+  FROM r GROUP BY key
+), k AS (SELECT above, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY above),
+s AS (
+  SELECT r.key, count(*) FILTER (n.key NOT IN (SELECT above FROM k)) AS n_leaves, sum(n.own)::BIGINT AS saved_tokens
+  FROM n JOIN r ON r.c = n.conv_id AND r.depth <= n.depth GROUP BY r.key
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN s USING (key) LEFT JOIN k ON k.above = n.key LEFT JOIN n p ON p.key = n.above AND n.depth > 0
+"""
+
+SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op2_ngram_join": OP2, "op3_main_text": OP3, "op6_quotation_links": OP6, "op7_mix_sources": OP7, "op8_exact_dedup": OP8, "op11_spelling_forms": OP11, "op13_turn_trie": OP13}
