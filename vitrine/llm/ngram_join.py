@@ -4,7 +4,8 @@ Shingles are hashed into groups. Two sets that link differ in at most h shingles
 of more than h filled groups one is the same in both: such groups are the buckets
 in which links are looked for, and no link is lost. A set's counts of hashes by
 group are a point; the summed minima of two points bound the overlap, for two boxes of an
-R-tree likewise, and only pairs that the bound leaves are verified on the whole sets.
+R-tree likewise. Each bucket whose sets are not one component yet has a tree, descended
+from pairs of its top boxes, and only pairs that the bound leaves are verified on whole sets.
 """
 from __future__ import annotations
 
@@ -12,7 +13,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -22,11 +22,14 @@ from vitrine.llm.components import components
 from vitrine.llm.shipping import shipped
 from vitrine.llm.tables import sent, written
 from vitrine.llm.words import LOWER, mix, odd, release, slices, split_words, text_bytes, windows
-
-#: Coordinates of a point in the R-tree, and in the second bound; the third bound has 65536.
-AXES, FINE = 64, 1024
-#: Members of a leaf of the R-tree, of a verified group, and of a block of a cluster.
-LEAF, GROUP, BLOCK = 16, 256, 1024
+from vitrine.operators.arrival import with_place
+
+#: Coordinates of the boxes of an R-tree; a point has one for two to four shingles of its set.
+AXES = 64
+#: Children of a box, members of a verified group, and of a block of a large bucket.
+FAN, GROUP, BLOCK = 16, 256, 1024
+#: Coordinates compared at once.
+STEP = 4_000_000
 #: Size classes grow by this factor.
 LEVEL = 1.4
 
@@ -120,19 +123,36 @@ def signatures(value: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.
     return np.concatenate(outs)[order], np.searchsorted(row[order], np.arange(len(bounds)))
 
 
-def _folded(codes: list[np.ndarray], axes: int) -> np.ndarray:
-    """Counts of the 16-bit groups of each set, folded to ``axes`` coordinates."""
-    row = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-    flat = np.concatenate([*codes, np.zeros(0, np.uint16)]).astype(np.int64) * axes >> 16
-    return np.bincount(row * axes + flat, minlength=len(codes) * axes).reshape(len(codes), axes).astype(np.int32)
+def _point(codes: np.ndarray) -> bytes:
+    """Counts of a set's 16-bit groups over 2 ** k coordinates: a byte for k, then half a byte each, or four where one is larger."""
+    k = min(16, max(0, len(codes).bit_length() - 2))
+    counts = np.bincount(codes >> np.uint16(16 - k) if k else np.zeros(len(codes), np.int64), minlength=max(2, 1 << k))
+    if counts.max(initial=0) < 16:
+        return bytes([k]) + (counts[0::2] << 4 | counts[1::2]).astype(np.uint8).tobytes()
+    return bytes([k | 128]) + counts.astype("<u4").tobytes()
+
 
+def _counts(points: list[bytes]) -> np.ndarray:
+    """Points as rows of counts, folded to the fewest coordinates among them."""
+    ks = [p[0] & 127 for p in points]
+    k = min(ks)
+    out = np.zeros((len(points), 1 << k), np.uint32)
+    for row, (p, own) in enumerate(zip(points, ks)):
+        raw = np.frombuffer(p, np.uint8, offset=1)
+        if p[0] & 128:
+            counts = raw.view("<u4")
+        else:
+            counts = np.empty(2 * len(raw), np.uint8)
+            counts[0::2], counts[1::2] = raw >> 4, raw & 15
+        out[row] = counts[: 1 << own].reshape(1 << k, -1).sum(1)
+    return out if out.max(initial=0) > 65_535 else out.astype(np.uint16)
 
-def _common(x: np.ndarray, y: np.ndarray) -> int:
-    """Summed minima of the counts of two sorted lists of 16-bit groups."""
-    u, n = np.unique(x, return_counts=True)
-    v, m = np.unique(y, return_counts=True)
-    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-    return int(np.minimum(n[i], m[j]).sum())
+
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Summed minima of the rows of two tables, a step of rows at a time."""
+    step = max(1, STEP // max(1, x.shape[1]))
+    parts = [np.minimum(x[i:i + step], y[i:i + step]).sum(1, dtype=np.int64) for i in range(0, len(x), step)]
+    return np.concatenate([np.zeros(0, np.int64), *parts])
 
 
 def _same(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -152,7 +172,7 @@ def _firsts(same: np.ndarray, told: set[int]) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, same (hash of the set) and, once per set and task, point (16-bit group of each shingle, in order)."""
+    """id, n_shingles, same (hash of the set) and, once per set and task, its point."""
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = kept.schema["id"].dataType.simpleString()
 
@@ -162,8 +182,8 @@ def set_table(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFr
             for part in slices(batch, "text"):
                 value, bounds = shingle_sets(part.column("text"), width)
                 sizes, same = np.diff(bounds), _same(value, bounds)
-                codes = (value >> np.uint64(48)).astype("<u2")
-                points = [codes[a:b].tobytes() if f else None for a, b, f in zip(bounds[:-1], bounds[1:], _firsts(same, told))]
+                codes = (value >> np.uint64(48)).astype(np.uint16)
+                points = [_point(codes[a:b]) if f else None for a, b, f in zip(bounds[:-1], bounds[1:], _firsts(same, told))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(sizes.astype(np.int64)), pa.array(same, mask=sizes == 0), pa.array(points, pa.binary())],
                     names=["id", "n_shingles", "same", "point"],
@@ -203,8 +223,10 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            p, q = ([np.frombuffer(x, "<u2") for x in batch.column(c).to_pylist()] for c in "pq")
-            fits = [(100 + percent) * _common(x, y) >= percent * (len(x) + len(y)) for x, y in zip(p, q)]
+            fits = []
+            for p, q in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist()):
+                both = _counts([p, q])
+                fits.append(bool((100 + percent) * _common(both[:1], both[1:])[0] >= percent * int(both.sum(dtype=np.int64))))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(fits))
 
     return shipped(rows).mapInArrow(run, "a long, b long")
@@ -247,49 +269,83 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col
     return shipped(rows.select("a", "role", "node", "text")).mapInArrow(run, "a long, b long").distinct()
 
 
-def tree_pairs(left: np.ndarray, right: np.ndarray, of_left: np.ndarray, of_right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of two point tables, of different components, that the bound leaves; by boxes first."""
-    order_l, order_r = (np.lexsort((p[:, 0], p.sum(1))) for p in (left, right))
-
-    def leaves(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts = np.arange(0, len(points), LEAF)
-        return np.maximum.reduceat(points, starts), np.minimum.reduceat(points.sum(1), starts)
-
-    l, r, comp_l, comp_r = left[order_l], right[order_r], of_left[order_l], of_right[order_r]
-    top_l, least_l = leaves(l)
-    top_r, least_r = leaves(r)
-    sum_l, sum_r = l.sum(1, dtype=np.int64), r.sum(1, dtype=np.int64)
-    found_l, found_r = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(len(top_l)):
-        near = np.flatnonzero((100 + percent) * np.minimum(top_l[i], top_r).sum(1, dtype=np.int64) >= percent * (least_l[i] + least_r))
-        rows = (near[:, None] * LEAF + np.arange(LEAF)).ravel()
-        rows = rows[rows < len(r)]
-        for j in range(i * LEAF, min((i + 1) * LEAF, len(l))):
-            other = rows[comp_r[rows] != comp_l[j]]
-            ok = (100 + percent) * np.minimum(l[j], r[other]).sum(1, dtype=np.int64) >= percent * (sum_l[j] + sum_r[other])
-            found_r.append(order_r[other[ok]])
-            found_l.append(np.full(int(ok.sum()), order_l[j]))
-    return np.concatenate(found_l), np.concatenate(found_r)
-
-
-def _forest(group: pd.DataFrame, failed: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """The likeliest links that would join the components of a block, each joined once."""
-    node, comp, own = group["node"].to_numpy(), group["component"].to_numpy(), group["own"].to_numpy()
-    codes = [np.frombuffer(p, "<u2") for p in group["point"]]
-    sizes = np.array([len(c) for c in codes])
-    coarse, fine = _folded(codes, AXES), _folded(codes, FINE).astype(np.int16)
-    left, right = (np.flatnonzero(own == group[k].iloc[0]) for k in "ij")
-    a, b = tree_pairs(coarse[left], coarse[right], comp[left], comp[right], percent)
+class Tree:
+    """An R-tree over points: level 0 holds the points, each box above the maxima of up to ``FAN`` boxes below."""
+
+    def __init__(self, points: np.ndarray):
+        self.sizes = [points.sum(1, dtype=np.int64)]
+        coarse = points.reshape(len(points), min(AXES, points.shape[1]), -1).sum(2, dtype=np.uint32)
+        self.order = np.lexsort((coarse.argmax(1), self.sizes[0]))
+        self.points, self.boxes = points[self.order], [coarse[self.order]]
+        self.sizes[0] = self.sizes[0][self.order]
+        while len(self.boxes[-1]) > FAN:
+            starts = np.arange(0, len(self.boxes[-1]), FAN)
+            self.sizes.append(np.minimum.reduceat(self.sizes[-1], starts))
+            self.boxes.append(np.maximum.reduceat(self.boxes[-1], starts))
+
+
+def _below(x: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the children of boxes, one row each; those beyond the last are -1."""
+    children = x[:, None] * FAN + np.arange(FAN)
+    return np.where(children < n, children, -1)
+
+
+def tree_pairs(left: Tree, right: Tree, of_left: np.ndarray, of_right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (of the tables the trees are made of) of different components whose bound allows a link, and the bound.
+
+    Pairs of boxes are descended from the top of both trees; a pair is dropped as soon as the
+    summed minima of its boxes are too small for the smallest sets in them. A tree with itself
+    gives each pair once.
+    """
+    itself = left is right
+    level = max(len(left.boxes), len(right.boxes)) - 1
+    height = [min(level, len(t.boxes) - 1) for t in (left, right)]
+    x, y = (g.ravel() for g in np.meshgrid(*(np.arange(len(t.boxes[-1])) for t in (left, right)), indexing="ij"))
+    while True:
+        if itself:
+            x, y = x[x <= y], y[x <= y]
+        if height == [0, 0]:
+            apart = (of_left[left.order[x]] != of_right[right.order[y]]) & ((x < y) | (not itself))
+            x, y = x[apart], y[apart]
+        l, r = height
+        least = left.sizes[l][x] + right.sizes[r][y]
+        keep = []
+        for i in range(0, len(x), STEP // AXES):
+            a, b = left.boxes[l][x[i:i + STEP // AXES]], right.boxes[r][y[i:i + STEP // AXES]]
+            keep.append(_common(a, b) * (100 + percent) >= percent * least[i:i + STEP // AXES])
+        keep = np.concatenate([np.zeros(0, bool), *keep])
+        x, y = x[keep], y[keep]
+        if height == [0, 0]:
+            break
+        down = [l >= r and l > 0, r >= l and r > 0]
+        if down[0]:
+            children = _below(x, len(left.boxes[l - 1]))
+            x, y = children.ravel(), np.repeat(y, FAN)
+            x, y = x[x >= 0], y[x >= 0]
+        if down[1]:
+            children = _below(y, len(right.boxes[r - 1]))
+            x, y = np.repeat(x, FAN), children.ravel()
+            x, y = x[y >= 0], y[y >= 0]
+        height = [l - down[0], r - down[1]]
+    step = max(1, STEP // left.points.shape[1])
+    common = np.concatenate([np.zeros(0, np.int64), *(_common(left.points[x[i:i + step]], right.points[y[i:i + step]]) for i in range(0, len(x), step))])
+    sizes = left.sizes[0][x] + right.sizes[0][y]
+    fits = common * (100 + percent) >= percent * sizes
+    return left.order[x[fits]], right.order[y[fits]], common[fits] / sizes[fits]
+
+
+def _forest(node: list[int], component: list[int], own: np.ndarray, points: list[bytes], told: list[list[int] | None], percent: int) -> list[tuple[int, int]]:
+    """The likeliest links that would join the components of a block, or of two blocks; each joined once.
+
+    ``told`` has, for a node, larger nodes that it is known not to link with.
+    """
+    counts, comp = _counts(points), np.array(component)
+    left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
+    tree = Tree(counts[left])
+    other = tree if own.min() == own.max() else Tree(counts[right])
+    a, b, share = tree_pairs(tree, other, comp[left], comp[right], percent)
     a, b = left[a], right[b]
-    shares = [np.zeros(0)]
-    for k in range(0, len(a), 10_000):
-        i, j = a[k:k + 10_000], b[k:k + 10_000]
-        shares.append(np.minimum(fine[i], fine[j]).sum(1, dtype=np.int64) / (sizes[i] + sizes[j]))
-    share = np.concatenate(shares)
-    fits = np.flatnonzero(share * (100 + percent) >= percent - 1e-9)
-    fits = fits[np.argsort(-share[fits], kind="stable")]
-    done = set(zip(failed["failed_a"].tolist(), failed["failed_b"].tolist()))
-    parent = {c: c for c in comp.tolist()}
+    parent = {c: c for c in component}
 
     def root(c: int) -> int:
         while parent[c] != c:
@@ -297,43 +353,76 @@ def _forest(group: pd.DataFrame, failed: pd.DataFrame, percent: int) -> pd.DataF
             c = parent[c]
         return c
 
+    known = {(node[i], x) for i, others in enumerate(told) for x in others or ()}
     out = []
-    for i, j in zip(a[fits].tolist(), b[fits].tolist()):
-        x, y = root(comp[i]), root(comp[j])
-        if x != y:
-            pair = (int(min(node[i], node[j])), int(max(node[i], node[j])))
-            if pair not in done and (100 + percent) * _common(codes[i], codes[j]) >= percent * (sizes[i] + sizes[j]):
-                out.append(pair)
-                parent[max(x, y)] = min(x, y)
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    for k in np.argsort(-share, kind="stable").tolist():
+        i, j = int(a[k]), int(b[k])
+        x, y = root(component[i]), root(component[j])
+        pair = (min(node[i], node[j]), max(node[i], node[j]))
+        if x != y and pair not in known:
+            out.append(pair)
+            parent[max(x, y)] = min(x, y)
+    return out
+
+
+def _blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` (signature, node, size, _m: the bucket's members) with i, j, own: the blocks to be compared, and whose a row is.
+
+    A bucket of up to ``BLOCK`` members is one block. A larger one is parted into ranges of set
+    sizes, in sorted ranges of the whole table, so no task holds it; two of its blocks meet, as
+    (i, j), i <= j, only if their sizes allow a link.
+    """
+    zero = [F.lit(0).cast("long").alias(c) for c in ("i", "j", "own")]
+    small = rows.where(F.col("_m") <= BLOCK).select("signature", "node", "size", *zero)
+    large = rows.where(F.col("_m") > BLOCK).select("signature", "node", "size")
+    if large.isEmpty():
+        return small
+    placed = written(with_place(large, "signature", "size", "node").withColumn("block", F.floor((F.col("place") - 1) / BLOCK)))
+    blocks = placed.groupBy("signature", "block").agg(F.min("size").alias("_low"), F.max("size").alias("_high"))
+    smaller = blocks.select(F.col("signature").alias("_s"), F.col("block").alias("i"), F.col("_high").alias("_most"))
+    meet = blocks.join(smaller, (F.col("signature") == F.col("_s")) & (F.col("i") <= F.col("block")) & (F.col("_low") * percent <= F.col("_most") * 100))
+    meet = meet.select("_s", "i", F.col("block").alias("j"))
+    side = lambda own, only: placed.join(only, (F.col("signature") == F.col("_s")) & (F.col("block") == F.col(own))).select(
+        "signature", "node", "size", "i", "j", F.col("block").alias("own"))
+    return small.unionByName(side("i", meet)).unionByName(side("j", meet.where("i < j")))
+
+
+def _to_check(rows: DataFrame, label: DataFrame, sets: DataFrame, failed: DataFrame, percent: int) -> DataFrame:
+    """Pairs to verify next: per bucket, or two blocks of one, a forest over the components that are left.
+
+    ``rows``: signature, node, size, _m; ``failed``: pairs a < b that do not link.
+    """
+    told = failed.groupBy(F.col("a").alias("_n")).agg(F.collect_list("b").alias("told"))
+    about = sets.select(F.col("node").alias("_n"), "point").join(label.select(F.col("node").alias("_n"), "component"), "_n", "left").join(told, "_n", "left")
+    full = _blocks(rows, percent).join(about, F.col("node") == F.col("_n")).select(
+        "signature", "i", "j", "own", "node", F.coalesce("component", "node").alias("component"), "point", "told"
+    )
+    ordered = full.repartition("signature", "i", "j").sortWithinPartitions("signature", "i", "j", "node")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
 
-def _across(members: DataFrame, joined: DataFrame, failed: DataFrame, percent: int) -> DataFrame:
-    """Pairs to check next: per two blocks of a cluster, a forest over the components that are left.
+        def pairs() -> list[tuple[int, int]]:
+            if len({x[2] for x in held}) < 2:
+                return []
+            own, node, component, points, told = zip(*held)
+            return _forest(list(node), list(component), np.array(own), list(points), list(told), percent)
 
-    ``members``: cluster, node, size, point, block; ``failed``: cluster, failed_a, failed_b. Blocks
-    are ranges of set sizes; two meet, as (i, j), i <= j, only if their sizes allow a link.
-    """
-    rows = members.join(joined.select(F.col("node").alias("_n"), "component"), F.col("node") == F.col("_n"), "left").withColumn(
-        "component", F.coalesce("component", "node")
-    )
-    left = rows.groupBy("cluster").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x <> _y").select("cluster")
-    rows = rows.join(left, "cluster")
-    blocks = rows.groupBy("cluster", "block").agg(F.min("size").alias("_low"), F.max("size").alias("_high"))
-    smaller = blocks.select(F.col("cluster").alias("_c"), F.col("block").alias("i"), F.col("_high").alias("_most"))
-    meet = blocks.join(smaller, (F.col("cluster") == F.col("_c")) & (F.col("i") <= F.col("block")) & (F.col("_low") * percent <= F.col("_most") * 100)).select(
-        "_c", "i", F.col("block").alias("j")
-    )
-    side = lambda own, only: rows.join(only, (F.col("cluster") == F.col("_c")) & (F.col("block") == F.col(own))).select(
-        "cluster", "node", "component", "point", "i", "j", F.col("block").alias("own")
-    )
-    sides = side("i", meet).unionByName(side("j", meet.where("i < j")))
-    against = failed.join(sides.select(F.col("cluster").alias("_c"), F.col("i").alias("_i"), F.col("j").alias("_j")).distinct(), F.col("cluster") == F.col("_c")).select(
-        "_c", "_i", "_j", "failed_a", "failed_b"
-    )
-    kind = "a long, b long"
-    run = lambda group, done: _forest(group, done, percent) if len(group) else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    return shipped(sides).groupBy("cluster", "i", "j").cogroup(against.groupBy("_c", "_i", "_j")).applyInPandas(run, kind).distinct()
+        found: list[tuple[int, int]] = []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("signature", "i", "j", "own", "node", "component", "point", "told")]
+            for signature, i, j, *row in zip(*columns):
+                if (signature, i, j) != key:
+                    found += pairs()
+                    key, held = (signature, i, j), []
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            found = []
+        found += pairs()
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        release()
+
+    return shipped(ordered).mapInArrow(run, "a long, b long").distinct()
 
 
 def ngram_components(
@@ -348,10 +437,11 @@ def ngram_components(
     returned each. An empty table gives an empty result; other columns are not read.
 
     Copies share a node, so groups of copies cost nothing more. A bucket has one reference;
-    every node is first checked against one reference, and against the other one of a bucket of two. Larger buckets
-    whose members are still in different components after that make up clusters. In a cluster,
-    block by block over an R-tree, blocks being ranges of sizes, the likeliest pairs that would join what is apart are checked;
-    until all pairs so checked do link, which is most often at once, this is done again without those that do not.
+    every node is first checked against one reference, and against the other one of a bucket of two.
+    In each larger bucket whose members are still in different components after that, the likeliest
+    pairs over its R-tree that would join what is apart are checked; where some of them do not
+    link, their buckets are looked through again without those. Pairs of sets that share no
+    bucket are never compared.
     """
     table = written(set_table(docs, width, id_col, text_col))
     filled = table.where("same is not null")
@@ -376,31 +466,31 @@ def ngram_components(
     lone = counted.where((F.col("node") != F.col("ref")) & (F.col("_m") == 2) & sized).select(F.col("ref").alias("a"), F.col("node").alias("b"))
     likely = written(_bounded(first.unionByName(lone).distinct(), sets, percent))
     links = written(verified(likely, docs, width, percent, id_col, text_col))
-    joined = components(links)
-    label = joined.select(F.col("node").alias("_n"), "component")
-    placed = buckets.join(label, F.col("node") == F.col("_n"), "left").select("signature", "node", "ref", F.coalesce("component", "node").alias("component"))
-    open_ = placed.groupBy("signature").agg(
-        F.count(F.lit(1)).alias("_m"), F.min("component").alias("_x"), F.max("component").alias("_y")
-    ).where("_x <> _y and _m > 2").select("signature")
-    clusters = components(placed.join(open_, "signature", "left_semi").where("node <> ref").select("node", "ref"), "node", "ref")
-    place = F.row_number().over(W.partitionBy("component").orderBy("size", "node")) - 1
-    ranged = clusters.join(nodes.select(F.col("node").alias("_n"), "size"), F.col("node") == F.col("_n")).select(
-        F.col("component").alias("cluster"), "node", "size", F.floor(place / BLOCK).cast("int").alias("block")
-    )
-    members = written(ranged.join(sets.select(F.col("node").alias("_n"), "point"), F.col("node") == F.col("_n")).drop("_n"))
-    failed = members.sparkSession.createDataFrame([], "failed_a long, failed_b long")
+    ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    failed = written(ordered(likely.join(links, ["a", "b"], "left_anti")))
+    joined, again = components(links), None
+    members = buckets.select("signature", "node", "size")
     while True:
-        places = clusters.select(F.col("node").alias("failed_a"), F.col("component").alias("cluster"))
-        tried = written(_across(members, joined, failed.join(places, "failed_a"), percent))
+        open_ = (members if again is None else members.join(again, "signature", "left_semi")).join(
+            joined.select(F.col("node").alias("_n"), "component"), F.col("node") == F.col("_n"), "left"
+        ).groupBy("signature").agg(
+            F.count(F.lit(1)).alias("_m"), F.min(F.coalesce("component", "node")).alias("_x"), F.max(F.coalesce("component", "node")).alias("_y"),
+            F.bit_xor(F.xxhash64("node")).alias("_nodes"),
+        ).where("_x <> _y and _m > 2")
+        # buckets of the same members are one
+        chosen = open_.groupBy("_m", "_nodes").agg(F.min("signature").alias("signature")).select("signature", "_m")
+        tried = written(_to_check(written(members.join(chosen, "signature")), joined, sets, failed, percent))
         if tried.isEmpty():
             break
-        found = written(verified(tried, docs, width, percent, id_col, text_col))
-        links = links.unionByName(found)
+        found = written(ordered(verified(tried, docs, width, percent, id_col, text_col)))
+        links = written(links.unionByName(found))
         joined = components(links)
-        missed = tried.join(found, ["a", "b"], "left_anti")
+        missed = written(tried.join(found, ["a", "b"], "left_anti"))
         if missed.isEmpty():
             break
-        failed = failed.unionByName(missed.select(F.col("a").alias("failed_a"), F.col("b").alias("failed_b")))
+        failed = written(failed.unionByName(missed))
+        with_a = members.select("signature", F.col("node").alias("a")).join(missed, "a")
+        again = written(with_a.join(members.select("signature", F.col("node").alias("b")), ["signature", "b"]).select("signature").distinct())
     label = joined.select(F.col("node").alias("_n"), "component")
     return (
         table.select("id", "n_shingles", "same").join(nodes, "same", "left").join(label, F.col("node") == F.col("_n"), "left")
