@@ -334,8 +334,10 @@ def tree_pairs(left: Tree, right: Tree, of_left: np.ndarray, of_right: np.ndarra
     return left.order[x[fits]], right.order[y[fits]], common[fits] / sizes[fits]
 
 
-def _forest(node: list[int], component: list[int], own: np.ndarray, points: list[bytes], told: list[list[int] | None], percent: int) -> list[tuple[int, int]]:
-    """The likeliest links that would join the components of a block, or of two blocks; each joined once.
+def _likely(
+    node: list[int], component: list[int], own: np.ndarray, points: list[bytes], told: list[list[int] | None], percent: int, every: bool
+) -> list[tuple[int, int]]:
+    """The likeliest links that would join the components of a block, or of two blocks, each joined once; or ``every`` likely one.
 
     ``told`` has, for a node, larger nodes that it is known not to link with.
     """
@@ -361,7 +363,8 @@ def _forest(node: list[int], component: list[int], own: np.ndarray, points: list
         pair = (min(node[i], node[j]), max(node[i], node[j]))
         if x != y and pair not in known:
             out.append(pair)
-            parent[max(x, y)] = min(x, y)
+            if not every:
+                parent[max(x, y)] = min(x, y)
     return out
 
 
@@ -387,8 +390,8 @@ def _blocks(rows: DataFrame, percent: int) -> DataFrame:
     return small.unionByName(side("i", meet)).unionByName(side("j", meet.where("i < j")))
 
 
-def _to_check(rows: DataFrame, label: DataFrame, sets: DataFrame, failed: DataFrame, percent: int) -> DataFrame:
-    """Pairs to verify next: per bucket, or two blocks of one, a forest over the components that are left.
+def _to_check(rows: DataFrame, label: DataFrame, sets: DataFrame, failed: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs to verify next: per bucket, or two blocks of one, a forest over the components that are left, or ``every`` likely pair.
 
     ``rows``: signature, node, size, _m; ``failed``: pairs a < b that do not link.
     """
@@ -406,7 +409,7 @@ def _to_check(rows: DataFrame, label: DataFrame, sets: DataFrame, failed: DataFr
             if len({x[2] for x in held}) < 2:
                 return []
             own, node, component, points, told = zip(*held)
-            return _forest(list(node), list(component), np.array(own), list(points), list(told), percent)
+            return _likely(list(node), list(component), np.array(own), list(points), list(told), percent, every)
 
         found: list[tuple[int, int]] = []
         for batch in batches:
@@ -440,8 +443,8 @@ def ngram_components(
     every node is first checked against one reference, and against the other one of a bucket of two.
     In each larger bucket whose members are still in different components after that, the likeliest
     pairs over its R-tree that would join what is apart are checked; where some of them do not
-    link, their buckets are looked through again without those. Pairs of sets that share no
-    bucket are never compared.
+    link, all other pairs of their buckets that the bound leaves and that are still apart are
+    checked too. Pairs of sets that share no bucket are never compared.
     """
     table = written(set_table(docs, width, id_col, text_col))
     filled = table.where("same is not null")
@@ -470,7 +473,7 @@ def ngram_components(
     failed = written(ordered(likely.join(links, ["a", "b"], "left_anti")))
     joined, again = components(links), None
     members = buckets.select("signature", "node", "size")
-    while True:
+    for every in (False, True):
         open_ = (members if again is None else members.join(again, "signature", "left_semi")).join(
             joined.select(F.col("node").alias("_n"), "component"), F.col("node") == F.col("_n"), "left"
         ).groupBy("signature").agg(
@@ -479,15 +482,13 @@ def ngram_components(
         ).where("_x <> _y and _m > 2")
         # buckets of the same members are one
         chosen = open_.groupBy("_m", "_nodes").agg(F.min("signature").alias("signature")).select("signature", "_m")
-        tried = written(_to_check(written(members.join(chosen, "signature")), joined, sets, failed, percent))
-        if tried.isEmpty():
-            break
+        tried = written(_to_check(written(members.join(chosen, "signature")), joined, sets, failed, percent, every))
         found = written(ordered(verified(tried, docs, width, percent, id_col, text_col)))
         links = written(links.unionByName(found))
         joined = components(links)
         missed = written(tried.join(found, ["a", "b"], "left_anti"))
-        if missed.isEmpty():
-            break
+        if every or missed.isEmpty():
+            break  # every likely pair of the buckets that were left has been checked
         failed = written(failed.unionByName(missed))
         with_a = members.select("signature", F.col("node").alias("a")).join(missed, "a")
         again = written(with_a.join(members.select("signature", F.col("node").alias("b")), ["signature", "b"]).select("signature").distinct())
