@@ -1,4 +1,6 @@
 """Learned operators: held-out accuracy, recall against brute force, gradients, and odd rows."""
+import time
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,7 +13,7 @@ from vitrine.llm.labelled import held_out
 from vitrine.llm.neighbours import nearest
 from vitrine.llm.page_examples import Maker
 from vitrine.llm.quality import fit_quality, quality_scores
-from vitrine.llm.queries import op3_main_text, op9_toxicity, op10_quality
+from vitrine.llm.queries import op3_main_text, op5_nearest, op9_toxicity, op10_quality
 from vitrine.llm.tables import read
 
 DATA = "/root/testdata/sf0.1"
@@ -151,6 +153,16 @@ def test_blocks():
     assert page.linked == [0, 0, 0, 0, 1, 0] and {"p", ".kopf", ".zeile"} <= set(page.paths[1])
 
 
+def test_all_words_of_a_class_count_and_deep_nests_are_linear():
+    page = parse("<div class='col col-md-4 col-lg-3 order-2 d-none d-lg-block widget-area sidebar'>x</div>", {})
+    assert {".widget", ".area", ".sidebar"} <= set(page.paths[0])
+    start = time.time()
+    page = parse("<div class=a><span><section>" * 50_000 + "tief" + "</section></div>" * 20_000 + "flach" + "<ul><li>" * 20_000, {})
+    assert page.texts == ["tief", "flach"] and page.paths[0] == ("div", ".a", "section") and time.time() - start < 20
+    nested = parse("<div id=x><p id=y>a<div id=z>b</div>c</div>d", {})
+    assert nested.paths == [("div", ".x", "p", ".y"), ("div", ".x", ".z"), ("div", ".x"), ()]
+
+
 def _recall(spark, x, k=20, step=20):
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
@@ -180,6 +192,23 @@ def test_recall_of_neighbours(spark):
     assert _recall(spark, apart / np.linalg.norm(apart, axis=1, keepdims=True)) > 0.9
 
 
+def test_the_query_finds_the_largest_inner_products_of_mixed_lengths(spark, tmp_path):
+    r = np.random.default_rng(6)
+    lengths = np.exp(0.5 * r.standard_normal((4000, 1)))
+    centres = r.standard_normal((60, 24))
+    for x in (centres[r.integers(0, 60, 4000)] + 0.3 * r.standard_normal((4000, 24)), r.standard_normal((4000, 24))):
+        x = x / np.linalg.norm(x, axis=1, keepdims=True) * lengths
+        path = str(tmp_path / f"{x[0, 0]}")
+        spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(f"{path}/embeddings.parquet")
+        got = op5_nearest(spark, path).toPandas()
+        hits = 0
+        for q, part in got.groupby("query_id"):
+            score = x @ x[q]
+            score[q] = -np.inf
+            hits += np.isin(part["vec_id"], np.argsort(-score)[:20]).sum()
+        assert len(got) == 200 * 20 and hits / len(got) > 0.9
+
+
 def test_neighbours_of_odd_vectors(spark):
     odd = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]),
            (7, [1.0, None]), (8, [1.0]), (9, []), (None, [1.0, 1.0]), (10, [0.5, 0.5]), (10, [0.5, 0.5])]

@@ -52,3 +52,10 @@ def test_odd_rows(spark):
     assert [r["reply_to"] for r in rows if (r["conv_id"], r["turn"]) == (5, 2)] == [1]
     assert all(r["position"] is None for r in rows if r["conv_id"] is None or r["turn"] is None)
     assert reply_order(table.limit(0)).count() == 0
+
+
+def test_each_passage_of_an_interleaved_reply_is_linked(spark):
+    rows = [(1, 0, "u", "Wo ist das Mehl?"), (1, 1, "u", "Und wo das Salz?"), (1, 2, "u", "Nichts"),
+            (1, 3, "a", "> Und wo das Salz?\nIm Schrank.\n> Wo ist das Mehl?\nDaneben.\n>> Nichts\n> Wo ist das Mehl?")]
+    row, = [r for r in reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect() if r["turn"] == 3]
+    assert (row["reply_to"], row["n_quotes"], row["content"]) == (1, 4, "Im Schrank.\nDaneben.")

@@ -43,7 +43,7 @@ def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
     for name, a, b, c, bare in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role", "itemprop"):
-            out += [f".{p.lower()}" for p in _PIECE.findall(value)[:8]]
+            out += [f".{p.lower()}" for p in _PIECE.findall(value)]
         elif bare or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             out.append(".hidden")
     return tuple(dict.fromkeys(out))
@@ -58,6 +58,8 @@ def parse(source: str, known: dict[tuple[str, str], tuple[str, ...]]) -> Page:
     """
     page = Page()
     stack: list[tuple[str, tuple[str, ...]]] = []
+    places: dict[str, list[int]] = {}  # of each tag, its places in the stack
+    path: dict[str, int] = {}  # of each token on the path, how many open elements have it
     parts: list[str] = []
     linked, links = 0, 0
     at, n = 0, len(source)
@@ -71,19 +73,24 @@ def parse(source: str, known: dict[tuple[str, str], tuple[str, ...]]) -> Page:
             text = " ".join(text.split())
             if text:
                 page.texts.append(text)
-                page.paths.append(tuple(dict.fromkeys(t for _, tokens in stack for t in tokens)))
+                page.paths.append(tuple(path))
                 page.linked.append(linked)
             parts.clear()
         linked = 0
 
     def close(names: set[str] | frozenset[str], stops: set[str] | frozenset[str] = frozenset()) -> bool:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return True
-            if stack[i][0] in stops:
-                return False
-        return False
+        last = lambda tags: max((places[t][-1] for t in tags if places.get(t)), default=-1)
+        to = last(names)
+        if to < 0 or last(stops) > to:
+            return False
+        while len(stack) > to:
+            gone, tokens = stack.pop()
+            places[gone].pop()
+            for token in tokens:
+                path[token] -= 1
+                if not path[token]:
+                    del path[token]
+        return True
 
     while at < n:
         found = _TAG.search(source, at)
@@ -127,7 +134,10 @@ def parse(source: str, known: dict[tuple[str, str], tuple[str, ...]]) -> Page:
                     if len(known) > 20_000:
                         known.clear()
                     tokens = known[key] = _tokens(tag, attributes)
+                places.setdefault(tag, []).append(len(stack))
                 stack.append((tag, tokens))
+                for token in tokens:
+                    path[token] = path.get(token, 0) + 1
         elif tag == "a":
             links = 1
         elif tag == "br":

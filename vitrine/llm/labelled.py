@@ -37,6 +37,9 @@ def scored(docs: DataFrame, text_col: str, columns: list[str], score: Callable[[
 
     Only texts and scores pass through Python; the columns stay in the JVM.
     """
+    if name in columns:
+        raise ValueError(f"a column to keep has the name of the score: {name}")
+
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
         parts = slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text")

@@ -1,9 +1,11 @@
 """Approximate nearest neighbours over learned partitions.
 
 A neighbour graph of a bounded sample is cut into balanced partitions; a small network
-learns to name the partition of a vector. All vectors are filed by its first choice,
-queries are sent to several of its most probable partitions and ranked there on the
-original vectors in double precision.
+learns to name the partition of a vector. All vectors are filed by its first choice. A
+second one learns in which partitions the nearest of a query are filed; queries are sent
+to several of the most probable ones and ranked there on the original vectors in double
+precision. The measure is the inner product, so candidates are filed with one coordinate
+more, sqrt(longest ** 2 - length ** 2), which makes nearness of directions out of it.
 """
 from __future__ import annotations
 
@@ -48,15 +50,22 @@ class Router:
         return order, np.minimum(1 + (p < share).sum(1), p.shape[1])
 
 
+def _levelled(x: np.ndarray, longest: float) -> np.ndarray:
+    """Candidates of one length: one coordinate more holds what each lacks of the longest."""
+    x = x / max(longest, 1e-300)
+    return np.hstack([x, np.sqrt(np.maximum(1 - (x * x).sum(1, keepdims=True), 0))])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)).astype(np.float32)
 
 
-def neighbour_graph(x: np.ndarray, degree: int) -> np.ndarray:
-    """The nearest rows of each row by inner product of unit vectors, block by block."""
+def neighbour_graph(x: np.ndarray, degree: int, asked: np.ndarray | None = None) -> np.ndarray:
+    """The nearest rows of ``x`` of each row (or of what it asks for) by inner product, never the row itself, block by block."""
+    asked = x if asked is None else asked
     out = np.empty((len(x), min(degree, max(len(x) - 1, 0))), np.int64)
     for i in range(0, len(x), 1024):
-        near = x[i:i + 1024] @ x.T
+        near = asked[i:i + 1024] @ x.T
         near[np.arange(len(near)), i + np.arange(len(near))] = -np.inf
         out[i:i + 1024] = np.argpartition(-near, out.shape[1] - 1, axis=1)[:, : out.shape[1]] if out.shape[1] else 0
     return out
@@ -102,38 +111,47 @@ def balanced_partitions(x: np.ndarray, graph: np.ndarray, parts: int, rounds: in
     return part
 
 
-def fit_router(x: np.ndarray, parts: int, seed: int = 3) -> Router:
-    """Graph, partitions, and a network with one hidden layer that learns the shares of partitions among neighbours."""
+def _learned(x: np.ndarray, near: np.ndarray, own: np.ndarray | None, parts: int, seed: int) -> Router:
+    """A network with one hidden layer that learns each row's shares of partitions in ``near``, with a double weight for ``own``."""
     rng = np.random.default_rng(seed)
     width = x.shape[1]
     p = {"w1": rng.standard_normal((width, HIDDEN)) / np.sqrt(width) * 2, "b1": np.zeros(HIDDEN), "w2": rng.standard_normal((HIDDEN, parts)) * 0.1, "b2": np.zeros(parts)}
     p = {k: v.astype(np.float32) for k, v in p.items()}
-    if parts > 1 and len(x) > parts:
-        x = _unit(x)
-        graph = neighbour_graph(x, DEGREE)
-        part = balanced_partitions(x, graph, parts)
-        m = {k: np.zeros_like(v) for k, v in p.items()}
-        s = {k: np.zeros_like(v) for k, v in p.items()}
-        for step in range(1, STEPS + 1):
-            i = rng.integers(0, len(x), BATCH)
-            target = np.zeros((BATCH, parts), np.float32)
-            np.add.at(target, (np.arange(BATCH)[:, None], part[graph[i]]), 1)
-            np.add.at(target, (np.arange(BATCH), part[i]), 2)
-            target /= target.sum(1, keepdims=True)
-            z = x[i] @ p["w1"] + p["b1"]
-            h = np.maximum(z, 0)
-            logits = h @ p["w2"] + p["b2"]
-            q = np.exp(logits - logits.max(1, keepdims=True))
-            d = (q / q.sum(1, keepdims=True) - target) / BATCH
-            dz = (d @ p["w2"].T) * (z > 0)
-            g = {"w2": h.T @ d, "b2": d.sum(0), "w1": x[i].T @ dz, "b1": dz.sum(0)}
-            for k in p:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
-                p[k] -= RATE * (1 - step / (STEPS + 1)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
+    m = {k: np.zeros_like(v) for k, v in p.items()}
+    s = {k: np.zeros_like(v) for k, v in p.items()}
+    for step in range(1, STEPS + 1 if parts > 1 and len(x) > parts else 1):
+        i = rng.integers(0, len(x), BATCH)
+        target = np.zeros((BATCH, parts), np.float32)
+        np.add.at(target, (np.arange(BATCH)[:, None], near[i]), 1)
+        if own is not None:
+            np.add.at(target, (np.arange(BATCH), own[i]), 2)
+        target /= target.sum(1, keepdims=True)
+        z = x[i] @ p["w1"] + p["b1"]
+        h = np.maximum(z, 0)
+        logits = h @ p["w2"] + p["b2"]
+        q = np.exp(logits - logits.max(1, keepdims=True))
+        d = (q / q.sum(1, keepdims=True) - target) / BATCH
+        dz = (d @ p["w2"].T) * (z > 0)
+        g = {"w2": h.T @ d, "b2": d.sum(0), "w1": x[i].T @ dz, "b1": dz.sum(0)}
+        for k in p:
+            m[k] = 0.9 * m[k] + 0.1 * g[k]
+            s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
+            p[k] -= RATE * (1 - step / (STEPS + 1)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
     return Router(**p)
 
 
+def fit_routers(x: np.ndarray, parts: int, longest: float, seed: int = 3) -> tuple[Router, Router]:
+    """The network that files candidates, from their graph and its partitions, and the one that sends queries."""
+    level = _unit(_levelled(x, longest))
+    small = parts < 2 or len(x) <= parts
+    graph = np.zeros((len(x), 1), np.int64) if small else neighbour_graph(level, DEGREE)
+    part = np.zeros(len(x), np.int64) if small else balanced_partitions(level, graph, parts)
+    filing = _learned(level, part[graph], part, parts, seed)
+    filed = filing.logits(level).argmax(1)
+    sought = graph if small else neighbour_graph(x.astype(np.float32), DEGREE, _unit(x))
+    return filing, _learned(_unit(x), filed[sought], None, parts, seed)
+
+
 def usable(vector: Column) -> Column:
     """Vectors that take part: not null, not all zero, and of finite components only."""
     return F.coalesce(
@@ -173,19 +191,22 @@ def nearest(
     if parts is None:
         parts = 1 << max(0, round(np.log2(max(np.sqrt(total) / 4, 1))))
     sample = _matrix(rows.orderBy(F.xxhash64("id"), "id").limit(most).toPandas()["v"])
-    router = fit_router(sample, parts)
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    longest = float(rows.agg(F.max(length)).first()[0])
+    filing, sending = fit_routers(sample, parts, longest)
 
     def route(batches):
         for frame in batches:
             x = _matrix(frame["v"])
             if len(x):
-                order, n = router.choices(_unit(x), share)
-                yield frame.assign(order=[o[:m] for o, m in zip(order, n)])
+                order, n = sending.choices(_unit(x), share)
+                home = filing.logits(_unit(_levelled(x, longest))).argmax(1).astype(np.int32)
+                yield frame.assign(home=home, order=[o[:m] if a else None for o, m, a in zip(order, n, frame["asked"])])
 
-    routed = written(shipped(rows).mapInPandas(route, "id long, v array<double>, asked boolean, order array<int>"))
-    sizes = routed.groupBy(F.get("order", F.lit(0)).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    routed = written(shipped(rows).mapInPandas(route, "id long, v array<double>, asked boolean, home int, order array<int>"))
+    sizes = routed.groupBy(F.col("home").alias("part")).agg(F.count(F.lit(1)).alias("n"))
     blocks = F.broadcast(sizes.select("part", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))  # one row per partition
-    filed = routed.select(F.get("order", F.lit(0)).alias("part"), "id", "v").join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    filed = routed.select(F.col("home").alias("part"), "id", "v").join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     sent = routed.where("asked").select("id", "v", F.explode("order").alias("part")).join(blocks, "part")
     turns = F.broadcast(sent.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("turns")))
     sent = sent.join(turns, "part").withColumn("turn", F.pmod(F.xxhash64("id", F.lit(1)), "turns").cast("int"))

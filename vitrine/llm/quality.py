@@ -236,6 +236,7 @@ def quality_scores(docs: DataFrame, model: AdditiveModel, columns: list[str], te
     """``columns`` of every document and its score, from its whole text.
 
     Null and empty texts score by their zero features. Repeated rows are scored
-    each; other columns are not read. An empty table gives an empty result.
+    each; other columns are not read. An empty table gives an empty result. ``name`` must
+    not be one of ``columns``.
     """
     return scored(docs, text_col, columns, model.score, name)

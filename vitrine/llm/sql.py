@@ -51,24 +51,27 @@ WITH m AS (
   SELECT id, conv_id, turn, depths[i] AS depth, i,
          regexp_replace(regexp_replace(lines[i], '^(?:[ \t]*>)+', ''), '^[ \t\r]+|[ \t\r]+$', '', 'g') AS body
   FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM d)
+), runs AS (
+  SELECT *, sum(changed) OVER (PARTITION BY id ORDER BY i) AS passage FROM (
+    SELECT *, (depth IS DISTINCT FROM lag(depth) OVER (PARTITION BY id ORDER BY i))::INT AS changed FROM l)
 ), quoted AS (
-  SELECT DISTINCT conv_id, turn, depth, trim(regexp_replace(lower(t), '[ \t\r\n]+', ' ', 'g')) AS key FROM (
-    SELECT conv_id, turn, depth, body AS t FROM l WHERE depth > 0
+  SELECT DISTINCT conv_id, turn, passage, depth, trim(regexp_replace(lower(t), '[ \t\r\n]+', ' ', 'g')) AS key FROM (
+    SELECT conv_id, turn, passage, depth, body AS t FROM runs WHERE depth > 0
     UNION ALL
-    SELECT conv_id, turn, depth, string_agg(body, chr(10) ORDER BY i) FROM l WHERE depth > 0 GROUP BY id, conv_id, turn, depth)
+    SELECT conv_id, turn, passage, depth, string_agg(body, chr(10) ORDER BY i) FROM runs WHERE depth > 0 GROUP BY id, conv_id, turn, passage, depth)
 ), said AS (
   SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(t), '[ \t\r\n]+', ' ', 'g')) AS key FROM (
     SELECT conv_id, turn, unnest(own) AS t FROM o UNION ALL SELECT conv_id, turn, array_to_string(own, chr(10)) FROM o)
 ), links AS (
-  SELECT conv_id, turn, depth, source_turn, sum(len(key)) AS total FROM (
-    SELECT q.conv_id, q.turn, q.depth, q.key, max(s.turn) AS source_turn
+  SELECT conv_id, turn, passage, depth, source_turn, sum(len(key)) AS total FROM (
+    SELECT q.conv_id, q.turn, q.passage, q.depth, q.key, max(s.turn) AS source_turn
     FROM quoted q JOIN said s ON q.conv_id = s.conv_id AND q.key = s.key AND s.turn < q.turn
     WHERE q.key <> '' GROUP BY ALL)
   GROUP BY ALL
 ), best AS (
-  SELECT conv_id, turn, depth, max({'n': total, 't': source_turn}).t AS source_turn FROM links GROUP BY ALL
+  SELECT conv_id, turn, passage, depth, max({'n': total, 't': source_turn}).t AS source_turn FROM links GROUP BY ALL
 ), replies AS (
-  SELECT conv_id, turn, arg_min(source_turn, depth) AS source_turn, count(*) AS n FROM best GROUP BY ALL
+  SELECT conv_id, turn, arg_min(source_turn, {'d': depth, 'p': passage}) AS source_turn, count(*) AS n FROM best GROUP BY ALL
 ), turns AS (
   SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous
   FROM (SELECT DISTINCT conv_id, turn FROM m)

@@ -21,8 +21,8 @@ from vitrine.llm.words import LOWER, MARKS, mix, odd, slices, split_words, text_
 
 #: Labelled documents to fit on, at most, and bytes of their text.
 MOST_ROWS, MOST_BYTES = 6_000, 14_000_000
-#: Words of a window and between starts of windows.
-WINDOW, STRIDE = 32, 24
+#: Words of a window and between starts of windows: up to 17 words in a row always lie in one.
+WINDOW, STRIDE = 32, 16
 WORDS, GRAMS, WIDTH, HIDDEN = 1 << 14, 1 << 14, 12, 8
 #: Fitted texts that hold a word with a vector of its own, at least.
 SEEN_IN = 12
@@ -48,7 +48,7 @@ class Windows:
 
 
 def cut(column: pa.Array) -> Windows:
-    """All overlapping windows of all texts; a text without words has one empty window."""
+    """Overlapping windows of all texts, one every ``STRIDE`` words; a text without words has one empty window."""
     data, offsets = text_bytes(column)
     words = split_words(LOWER[data], offsets, MARKS)
     keys, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
@@ -376,6 +376,7 @@ def toxicity_scores(docs: DataFrame, model: dict[str, np.ndarray], columns: list
     """``columns`` of every document and its score, from all windows of its whole text.
 
     Null and empty texts score as one empty window. Repeated rows are scored each;
-    other columns are not read. An empty table gives an empty result.
+    other columns are not read. An empty table gives an empty result. ``name`` must not
+    be one of ``columns``.
     """
     return scored(docs, text_col, columns, lambda column: score_texts(model, column), name)
