@@ -782,5 +782,6 @@ def oracle() -> dict[str, str]:
         TEMPLATES.replace("{pages}", rendered_pages()).replace("{top}", _TOP).replace("{void}", _in(sorted(_VOID)))
         .replace("{raw}", _in(sorted(_RAW))).replace("{head}", _in(sorted(_HEAD)))
     )
+    out["src_large_host_search"] = out["src_host_search"]
     out |= _uncapped(out)
     return out

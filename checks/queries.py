@@ -64,6 +64,14 @@ def src_host_search(s, d):
     return rows.select("url", "source", "source_meta.*").withColumn("hostnames", F.array_join("hostnames", "|"))
 
 
+def src_large_host_search(s, d):
+    """The same pages written to files that are cut anywhere."""
+    path = new_folder(s)
+    T.search_pages(s, d).write.text(path)
+    rows = exports.read_large_host_search(s, path)
+    return rows.select("url", "source", "source_meta.*").withColumn("hostnames", F.array_join("hostnames", "|"))
+
+
 def src_host_services(s, d):
     lines = T.service_lines(s, d).select(F.from_json("value", exports.host_services_schema()).alias("h"))
     rows = exports.parse_host_services(lines.select("h.*"))
@@ -680,6 +688,7 @@ def source_outcomes(s, d):
 
 
 QUERIES = {
+    "src_large_host_search": src_large_host_search,
     "host_clusters": host_clusters, "cluster_profiles": cluster_profiles,
     "append_twice": append_twice, "append_manifest": append_manifest,
     "latest_open_merged": latest_open_merged, "pending_merged": pending_merged,

@@ -97,13 +97,14 @@ def tag_paths(html: Column) -> Column:
 
         def on(s: Column) -> Column:
             path = F.concat(F.array_join(s, "/"), F.lit("/"), tag)
-            seen = F.when(
-                (tag == "tr") & (F.element_at(s, -1) == "tbody"), F.array(F.array_join(s, "/"), path)
-            ).otherwise(F.array(path))
+            # a page has many tags and few paths: most are known, and nothing is copied for those
+            known = lambda paths, p: F.when(F.array_contains(paths, p), paths).otherwise(F.array_append(paths, p))
+            body = (tag == "tr") & (F.element_at(s, -1) == "tbody")
+            above = F.when(body, known(acc["paths"], F.array_join(s, "/"))).otherwise(acc["paths"])
             return state(
                 F.when(tag.isin(*_VOID), s).otherwise(F.array_append(s, tag)),
                 F.when(tag.isin(*_RAW), tag).otherwise(none),
-                F.array_union(acc["paths"], seen),
+                let(path, lambda p: let(above, lambda paths: known(paths, p))),
             )
 
         return (

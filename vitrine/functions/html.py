@@ -106,6 +106,12 @@ def _attribute(attributes: Column, name: str) -> Column:
     return unescape(F.regexp_replace(raw, r"""^["']|["']$""", ""))
 
 
+def _href(attributes: Column) -> Column:
+    """The link of an anchor; most have this one attribute, in quotes, and are read by one pattern."""
+    alone = F.regexp_extract(attributes, r'(?i)^\s+href="([^"]+)"\s*$', 1)
+    return let(alone, lambda href: F.when(href != "", unescape(href)).otherwise(_attribute(attributes, "href")))
+
+
 def _row_meta(row: Column) -> Column:
     """Size and date of a table row: its first date cell and first size cell."""
     cells = F.filter(
@@ -186,7 +192,7 @@ def listing_entries(clean: Column, base: Column, directory: Column) -> Column:
         lambda a: let(
             F.regexp_extract(a["markup"], _ATTRIBUTES, 1),
             lambda attributes: F.struct(
-                _attribute(attributes, "href").alias("href"),
+                _href(attributes).alias("href"),
                 F.substring(a["markup"], F.length(attributes) + 2, F.length(a["markup"])).alias("body"),
                 a["meta"].alias("meta"),
             ),

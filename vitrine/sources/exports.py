@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vitrine import schemas
 from vitrine.functions.texts import strip
+from vitrine.sources.split_json import read_array_objects
 
 _MATCH = (
     "ip_str string, port int, asn string, org string, hostnames array<string>, "
@@ -49,7 +50,10 @@ def _read_pages(pages: DataFrame) -> DataFrame:
 
 def _read_matches(pages: DataFrame) -> DataFrame:
     """Every match with its outcome: ok, mistyped (a value of another type, or no object) or no_address."""
-    matches = _read_pages(pages).where("_outcome IS NULL").select(F.explode("_matches").alias("raw"))
+    return _parsed(_read_pages(pages).where("_outcome IS NULL").select(F.explode("_matches").alias("raw")))
+
+
+def _parsed(matches: DataFrame) -> DataFrame:
     parsed = matches.select(
         F.from_json("raw", f"{_MATCH}, _whole string", _CORRUPT).alias("m"),
         F.coalesce(F.array_contains(F.json_object_keys("raw"), "ssl"), F.lit(False)).alias("has_ssl"),
@@ -67,7 +71,11 @@ def parse_host_search(pages: DataFrame) -> DataFrame:
     https is told by the presence of an ``ssl`` key, whatever its value, which a
     typed read cannot see; each match is therefore kept as text once.
     """
-    parsed = _read_matches(pages).where("outcome = 'ok'")
+    return _discovered(_read_matches(pages))
+
+
+def _discovered(matches: DataFrame) -> DataFrame:
+    parsed = matches.where("outcome = 'ok'")
     https = F.col("has_ssl") | (F.col("m.port") == 443)
     return parsed.select(
         _service_url(F.col("m.ip_str"), F.col("m.port"), https).alias("url"),
@@ -94,10 +102,15 @@ def _counted(outcomes: DataFrame) -> DataFrame:
 
 
 def read_host_search(spark: SparkSession, path: str) -> DataFrame:
-    """Host-search export: one JSON result page per file."""
+    """Host-search export: one JSON result page per file, read as one row each."""
     return parse_host_search(spark.read.text(path, wholetext=True))
 
 
+def read_large_host_search(spark: SparkSession, path: str) -> DataFrame:
+    """Host-search export whose files are too large for one row: the matches of each file are found by many tasks."""
+    return _discovered(_parsed(read_array_objects(spark, path, "matches").select(F.col("value").alias("raw"))))
+
+
 def _read_hosts(lines: DataFrame) -> DataFrame:
     """Host lines (``value``), typed; ``outcome`` is set where a line is unreadable, mistyped or has no services."""
     read = lines.where(strip(F.col("value")) != "").withColumn("h", F.from_json("value", f"{_HOST}, _whole string", _CORRUPT))
