@@ -782,6 +782,15 @@ def oracle() -> dict[str, str]:
         TEMPLATES.replace("{pages}", rendered_pages()).replace("{top}", _TOP).replace("{void}", _in(sorted(_VOID)))
         .replace("{raw}", _in(sorted(_RAW))).replace("{head}", _in(sorted(_HEAD)))
     )
+    out["listing_snapshots"] = f"""SELECT page_id, final_url, title, is_open_dir, server_kind, coalesce(n, 0) AS entry_count,
+        coalesce(entries, '') AS entries, first_page
+        FROM ({out["validate_listing"]}) JOIN ({out["server_kind"]}) USING (page_id) JOIN ({out["fp_template"]}) USING (page_id)
+        JOIN (SELECT o_orderkey AS page_id, 'http://h' || (o_custkey % 400)::VARCHAR || '.example/d' || (o_orderkey % 50)::VARCHAR || '/' AS final_url
+            FROM orders UNION ALL SELECT -1 - page_id, url FROM pages) USING (page_id)
+        LEFT JOIN (SELECT page_id, count(*) AS n, string_agg(name || '|' || href || '|' || is_dir::VARCHAR || '|' || coalesce(size::VARCHAR, '-') || '|'
+                || coalesce(mtime, '-') || '|' || path, ';' ORDER BY pos) AS entries
+            FROM ({out["extract_entries"]}) JOIN ({out["entry_paths"]}) USING (page_id, pos) JOIN ({out["entry_meta"]}) USING (page_id, pos)
+            GROUP BY page_id) USING (page_id)"""
     out["src_large_host_search"] = out["src_host_search"]
     out |= _uncapped(out)
     return out

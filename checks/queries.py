@@ -101,6 +101,17 @@ def pages_to_snapshots(s, d):
     return listing.snapshots_from_pages(T.table(s, d, "pages")).drop("listing_entries", "template_sha256")
 
 
+def listing_snapshots(s, d):
+    """Rendered listings and given pages to snapshots, entries and template included."""
+    snaps = listing.snapshots_from_pages(T.all_pages(s, d))
+    entry = lambda e: F.concat_ws("|", *[F.coalesce(e[c].cast("string"), F.lit("-")) for c in ("name", "href", "is_dir", "size", "mtime", "path")])
+    first = snaps.groupBy("template_sha256").agg(F.min("page_id").alias("first_page"))
+    return snaps.join(first, "template_sha256").select(
+        "page_id", "final_url", "title", "is_open_dir", "server_kind", "entry_count",
+        F.array_join(F.transform("listing_entries", entry), ";").alias("entries"), "first_page",
+    )
+
+
 def _selected(s, d):
     return payloads.select_payloads(T.entries(s, d), _hosted(s, d))
 
@@ -688,7 +699,7 @@ def source_outcomes(s, d):
 
 
 QUERIES = {
-    "src_large_host_search": src_large_host_search,
+    "src_large_host_search": src_large_host_search, "listing_snapshots": listing_snapshots,
     "host_clusters": host_clusters, "cluster_profiles": cluster_profiles,
     "append_twice": append_twice, "append_manifest": append_manifest,
     "latest_open_merged": latest_open_merged, "pending_merged": pending_merged,
