@@ -37,7 +37,10 @@ def _repeated(rows: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more stay; the model is fitted on labelled documents outside the held-out fold."""
+    """Documents that score 0.5 or more stay; the model is fitted on labelled documents outside the held-out fold.
+
+    Null and empty texts score by their zero features, as any other text.
+    """
     model = fit_quality(docs, read(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))
     scores = quality_scores(docs, model, COLUMNS, name="_score")
     return scores.where("_score >= 0.5").select(*COLUMNS)
@@ -100,7 +103,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every copy: doc_id, source, n_tokens, ids."""
+    """Token ids of every copy: doc_id, source, n_tokens, ids; null and empty texts have none."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     coded = bpe_encode(docs, path, pattern, ["doc_id", "source"])
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
