@@ -30,6 +30,8 @@ AXES = 64
 FAN, GROUP, BLOCK = 16, 256, 1024
 #: Coordinates compared at once.
 STEP = 4_000_000
+#: Smallest buckets that a row names, so that a pair is told once and not in each bucket it shares.
+NAMED = 8
 #: Size classes grow by this factor.
 LEVEL = 1.4
 
@@ -335,12 +337,15 @@ def tree_pairs(left: Tree, right: Tree, of_left: np.ndarray, of_right: np.ndarra
 
 
 def _likely(
-    node: list[int], component: list[int], own: np.ndarray, points: list[bytes], told: list[list[int] | None], percent: int, every: bool
+    signature: int, node: list[int], component: list[int], own: np.ndarray, points: list[bytes], told: list[list[int] | None],
+    named: list[list[int]], percent: int, every: bool,
 ) -> list[tuple[int, int]]:
     """The likeliest links that would join the components of a block, or of two blocks, each joined once; or ``every`` likely one.
 
-    ``told`` has, for a node, larger nodes that it is known not to link with.
+    ``told`` has, for a node, larger nodes that it is known not to link with. ``named`` has some of
+    its buckets: a pair whose nodes both name a smaller one than this is left to that one.
     """
+    smaller = [{s for s in names if s < signature} for names in named]
     counts, comp = _counts(points), np.array(component)
     left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
     tree = Tree(counts[left])
@@ -361,7 +366,7 @@ def _likely(
         i, j = int(a[k]), int(b[k])
         x, y = root(component[i]), root(component[j])
         pair = (min(node[i], node[j]), max(node[i], node[j]))
-        if x != y and pair not in known:
+        if x != y and pair not in known and smaller[i].isdisjoint(smaller[j]):
             out.append(pair)
             if not every:
                 parent[max(x, y)] = min(x, y)
@@ -395,10 +400,13 @@ def _to_check(rows: DataFrame, label: DataFrame, sets: DataFrame, failed: DataFr
 
     ``rows``: signature, node, size, _m; ``failed``: pairs a < b that do not link.
     """
+    by = W.partitionBy("node").orderBy("signature")
+    names = rows.select("node", "signature").withColumn("_k", F.row_number().over(by)).where(F.col("_k") <= NAMED)
+    names = names.groupBy(F.col("node").alias("_n")).agg(F.collect_list("signature").alias("named"))
     told = failed.groupBy(F.col("a").alias("_n")).agg(F.collect_list("b").alias("told"))
-    about = sets.select(F.col("node").alias("_n"), "point").join(label.select(F.col("node").alias("_n"), "component"), "_n", "left").join(told, "_n", "left")
+    about = sets.select(F.col("node").alias("_n"), "point").join(label.select(F.col("node").alias("_n"), "component"), "_n", "left").join(told, "_n", "left").join(names, "_n")
     full = _blocks(rows, percent).join(about, F.col("node") == F.col("_n")).select(
-        "signature", "i", "j", "own", "node", F.coalesce("component", "node").alias("component"), "point", "told"
+        "signature", "i", "j", "own", "node", F.coalesce("component", "node").alias("component"), "point", "told", "named"
     )
     ordered = full.repartition("signature", "i", "j").sortWithinPartitions("signature", "i", "j", "node")
 
@@ -408,12 +416,12 @@ def _to_check(rows: DataFrame, label: DataFrame, sets: DataFrame, failed: DataFr
         def pairs() -> list[tuple[int, int]]:
             if len({x[2] for x in held}) < 2:
                 return []
-            own, node, component, points, told = zip(*held)
-            return _likely(list(node), list(component), np.array(own), list(points), list(told), percent, every)
+            own, node, component, points, told, named = zip(*held)
+            return _likely(key[0], list(node), list(component), np.array(own), list(points), list(told), list(named), percent, every)
 
         found: list[tuple[int, int]] = []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("signature", "i", "j", "own", "node", "component", "point", "told")]
+            columns = [batch.column(c).to_pylist() for c in ("signature", "i", "j", "own", "node", "component", "point", "told", "named")]
             for signature, i, j, *row in zip(*columns):
                 if (signature, i, j) != key:
                     found += pairs()
@@ -483,9 +491,12 @@ def ngram_components(
         # buckets of the same members are one
         chosen = open_.groupBy("_m", "_nodes").agg(F.min("signature").alias("signature")).select("signature", "_m")
         tried = written(_to_check(written(members.join(chosen, "signature")), joined, sets, failed, percent, every))
+        if tried.isEmpty():
+            break
         found = written(ordered(verified(tried, docs, width, percent, id_col, text_col)))
-        links = written(links.unionByName(found))
-        joined = components(links)
+        if not found.isEmpty():
+            links = written(links.unionByName(found))
+            joined = components(links)
         missed = written(tried.join(found, ["a", "b"], "left_anti"))
         if every or missed.isEmpty():
             break  # every likely pair of the buckets that were left has been checked
